@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def table(seed: int, n: int = 256) -> np.ndarray:
     """Fixed random 64-bit words, the same on every machine."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed) * np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
