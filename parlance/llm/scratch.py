@@ -42,13 +42,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables written so far, but for the last ``keep``; their DataFrames are dead then."""
-    drop, _WRITTEN[:] = _WRITTEN[: len(_WRITTEN) - keep], _WRITTEN[len(_WRITTEN) - keep :]
+def written() -> list[str]:
+    """The tables written so far and not released, oldest first."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of :func:`materialise`; DataFrames that read them are dead then."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in drop:
+    for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
 
 
 def ship(spark: SparkSession) -> None:
