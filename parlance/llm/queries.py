@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import license_scan, ngram_join, packing, pii, quality, repeats
+from parlance.llm import langid, license_scan, ngram_join, packing, pii, quality, repeats, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,11 +28,19 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents")).drop("hits")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs, carry=["doc_id"])
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
@@ -52,7 +60,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
+    "op2_url_filters": op2_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
