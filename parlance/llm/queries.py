@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import langid, license_scan, ngram_join, packing, pii, quality, repeats, url_filter
+from parlance.llm import ann, langid, license_scan, ngram_join, packing, pii, quality, repeats, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -49,6 +49,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "n_links", "n_copies", "n_words", "text_id")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_packing": op10_packing,
 }
