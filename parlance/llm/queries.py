@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parlance.llm import ann, langid, license_scan, ngram_join, packing, pii, quality, repeats, url_filter
+from parlance.llm import ann, langid, license_scan, ngram_join, packing, pii, piece_lattice, quality, repeats, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -32,6 +33,14 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each document, with digests of their ids and whether they decode to the text."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    drawn = piece_lattice.encode(_table(spark, sf_dir, "documents"), model)
+    ids = (F.octet_length("ids") / 4).cast("long")
+    return piece_lattice.decode(drawn, model).select("doc_id", "draw", ids.alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs, carry=["doc_id"])
@@ -65,6 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_url_filters": op2_url_filters,
+    "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
