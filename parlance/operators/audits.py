@@ -30,6 +30,6 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 def transition_matrix(df: DataFrame, before: str, after: str, values: list[str]) -> DataFrame:
     """Counts from one label to another and their share of the row."""
-    wide = df.groupBy(before).pivot(after, values).agg(F.count("*")).na.fill(0)
+    wide = df.groupBy(before).pivot(after, values).agg(F.count(F.lit(1))).na.fill(0)
     total = sum((F.col(v) for v in values), F.lit(0))
     return wide.withColumns({f"share_{v}": F.try_divide(F.col(v), total) for v in values})

@@ -79,7 +79,7 @@ def _beta_inc(a: float, b: float, x: float) -> float:
 def crosstab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
     """Counts of row and column values, missing ones left out, 0 where none."""
     both = df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull())
-    return both.groupBy(rows).pivot(columns, values).agg(F.count("*")).na.fill(0)
+    return both.groupBy(rows).pivot(columns, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def disagreement(df: DataFrame, scores: list[str], text: str, high: float = 0.75, text_at: float = 0.0) -> DataFrame:

@@ -95,6 +95,6 @@ def described(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def ecdf(df: DataFrame, column: str) -> DataFrame:
     """Each value with the share of rows up to it; counted by value before the running sum."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
     run = Window.partitionBy(F.lit(0)).orderBy(column)
-    return counts.select(column, (F.sum("n").over(run) / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("share"))
+    return counts.select(column, (F.sum("__n").over(run) / F.sum("__n").over(Window.partitionBy(F.lit(0)))).alias("share"))
