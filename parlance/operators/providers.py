@@ -67,8 +67,9 @@ def silences(x: np.ndarray, rate: int, top_db: float = 30.0, frame: int = 2048,
     if not len(x):
         return []
     padded = np.pad(x.astype(np.float64), frame // 2)
-    power = np.add.reduceat(np.square(padded), np.arange(0, max(len(padded) - frame, 1), hop))
-    sums = np.convolve(power, np.ones(frame // hop))[: len(power)]
+    total = np.concatenate(([0.0], np.cumsum(np.square(padded))))
+    at = np.arange(0, len(padded) - frame + 1, hop)
+    sums = total[at + frame] - total[at]
     quiet = 10 * np.log10(np.maximum(sums, 1e-20) / max(sums.max(), 1e-20)) < -top_db
     edges = np.flatnonzero(np.diff(np.concatenate(([0], quiet.astype(int), [0]))))
     return [(a * hop / rate, min(b * hop, len(x)) / rate) for a, b in zip(edges[::2], edges[1::2])]
