@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-THRESHOLD = 0.8
+#: Short notices differ in one word, the name of the license, so up to 19 different words all have to be there.
+THRESHOLD = 0.95
 #: Phrases that always count, as consecutive words, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Fixed texts: sentences of public licenses and of the usual notices that name them.

@@ -155,15 +155,19 @@ def expectation_maximisation(counts: dict[str, int], prior: float = 0.8, rounds:
     return post
 
 
+#: The columns of :func:`judged` beside the carried ones.
+OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept")
+
+
 def judged(docs: DataFrame, text_col: str = "text", least: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """The documents with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_good, kept``.
 
     A document fails the base rules under 50 words, or when more than half of its words stand in
     repeated three-word windows; those are not asked in the estimation. Otherwise the posterior decides. Null text counts as empty, which
     fails. Features are written once with the columns of ``carry`` (all, if not given), so texts are
-    read once.
+    read once. A carried column that is named like one of these gives way to it.
     """
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in OUTPUTS]
     found = features(docs, text_col).withColumn("__q_votes", F.concat(*votes()))
     table = materialise(found.select(*carry, *[c for c in found.columns if c.startswith("__q_")]), "votes")
     failed = (F.col("__q_n_words") < 50) | (100 * F.col("__q_n_repeat_words") > 50 * F.col("__q_n_words"))
