@@ -29,7 +29,7 @@ from parlance.llm.textbytes import mix
 LONGEST = 16
 #: Partial paths this far below (in nats) cannot be among the best few: odds under e ** -40.
 FAR = 45.0
-BATCH_CHARS = 120_000
+BATCH_CHARS = 80_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _T1, _T2, _T3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -109,52 +109,95 @@ def pieces(path: str, exponent: float) -> Pieces:
 
 
 class Lattices:
-    """Lattices of the different words of a batch: per place up to LONGEST edges."""
+    """Lattices of the different words of a batch, laid out by distance from the word's end.
+
+    The node at distance ``t`` of word ``w`` is number ``off[t] + w``. Words are sorted by length, longest first,
+    so the nodes at a distance are one stretch and the sums over suffixes are sums of stretches.
+    """
 
     def __init__(self, vocabulary: Pieces, chars: np.ndarray, size: np.ndarray):
         """``chars``: the words one after the other; ``size``: their lengths, longest first."""
-        n, words = len(chars), len(size)
+        words = len(size)
         self.size = size
-        self.base = np.cumsum(size) - size
-        end = np.repeat(self.base + size, size)
-        self.ids = np.full((n, LONGEST), -1, np.int32)
-        score = np.full((n, LONGEST), -np.inf, np.float32)
-        codes = _char_codes(chars)
-        alive, h = np.arange(n), np.zeros(n, np.uint64)
-        for k in range(LONGEST):
-            fits = alive + k < end[alive]
-            alive, h = alive[fits], h[fits]
-            if not len(alive):
+        longest = int(size[0]) if words else 0
+        wide = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # words of at least each length
+        count = np.concatenate(([words], wide))
+        self.off = np.concatenate(([0], np.cumsum(count)))
+        n = int(self.off[-1])
+        word = np.repeat(np.arange(words), size)
+        t = np.repeat(size, size) - (np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size))
+        node = self.off[t] + word
+        after = np.zeros(n, np.int64)
+        after[node] = self.off[t - 1] + word
+        codes = np.zeros(n, np.uint64)
+        codes[node] = _char_codes(chars)
+        ids, score = [], []
+        start, h, at = node, np.zeros(len(node), np.uint64), node
+        for _ in range(LONGEST):
+            if not len(start):
                 break
-            h = h * _B + codes[alive + k]
+            h = h * _B + codes[at]
             got = vocabulary.find(h)
             piece = got >= 0
-            self.ids[alive[piece], k] = got[piece]
-            score[alive[piece], k] = vocabulary.weight[got[piece]]
-            alive, h = alive[got > -2], h[got > -2]
-        wide = self.wide = int(np.flatnonzero((self.ids >= 0).any(0)).max(initial=0)) + 1
-        self.ids = np.ascontiguousarray(self.ids[:, :wide])
-        score = np.ascontiguousarray(score[:, :wide])
-        mass = np.zeros(n + words + wide, np.float32)  # of the suffix from each node; a word has one node more than places
-        ahead = np.lib.stride_tricks.sliding_window_view(mass, wide)
-        last = self.base + self.size + np.arange(words)
-        place = self.base + self.size
-        for t in range(1, int(size[0]) + 1 if words else 1):
-            top = int(np.searchsorted(-size, -t, "right"))
-            at, here = last[:top] - t, place[:top] - t
-            values = score[here]
-            values += ahead[at + 1]
-            best = values.max(1)
-            values -= best[:, None]
+            if piece.any():
+                hit, found = start[piece], got[piece]
+            ids.append(np.full(n, -1, np.int32))
+            score.append(np.full(n, -np.inf, np.float32))
+            if piece.any():
+                ids[-1][hit], score[-1][hit] = found, vocabulary.weight[found]
+            at = after[at]
+            go = (got > -2) & (at >= words)  # nodes before ``words`` are ends
+            start, h, at = start[go], h[go], at[go]
+        while len(ids) > 1 and ids[-1].max(initial=-1) < 0:
+            ids.pop(), score.pop()
+        if not ids:
+            ids, score = [np.full(n, -1, np.int32)], [np.full(n, -np.inf, np.float32)]
+        self.wide = len(ids)
+        self.ids, self.score = np.stack(ids), np.stack(score)
+        score = self.score
+        self.mass = np.zeros(n, np.float32)  # of the suffix from each node
+        up_to = np.zeros((max(self.wide, 8), n), np.float32)
+        for t in range(1, longest + 1):
+            lo, top = int(self.off[t]), int(count[t])
+            k = min(t, self.wide)
+            values = np.empty((k, top), np.float32)
+            for i in range(k):
+                back = int(self.off[t - 1 - i])
+                np.add(score[i][lo : lo + top], self.mass[back : back + top], out=values[i])
+            best = values.max(0)
+            values -= best
             np.exp(values, out=values)
-            mass[at] = best + np.log(values.sum(1))
-        node = np.arange(n) + np.repeat(np.arange(words), size)
-        self.log_p = score
-        self.log_p += ahead[node + 1]
-        self.log_p -= mass[node][:, None]
-        self.up_to = np.cumsum(np.exp(self.log_p), axis=1)
-        final = wide - 1 - np.argmax(self.ids[:, ::-1] >= 0, axis=1)
-        self.up_to[np.arange(wide) >= final[:, None]] = 2.0
+            for i in range(1, k):
+                values[i] += values[i - 1]
+            total = values[-1]
+            self.mass[lo : lo + top] = best + np.log(total)
+            up_to[:k, lo : lo + top] = values / total
+            up_to[k:, lo : lo + top] = 1.0
+        self.near = np.ascontiguousarray(up_to[:8].T)
+        self.more = up_to[8:]
+
+    def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge of each node that a uniform number falls on."""
+        below = self.near[node] < u[:, None]
+        edge = np.bitwise_count(below.view(np.uint64).ravel()).astype(np.int64)
+        far = np.flatnonzero(edge == 8)
+        for row in self.more:
+            edge[far] += row[node[far]] < u[far]
+        return edge
+
+    def log_p(self, word: np.ndarray, t: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """ln P of an edge at a distance, given that its node is passed."""
+        node = self.off[t] + word
+        return self.score[edge, node].astype(np.float64) + self.mass[self.off[t - edge - 1] + word] - self.mass[node]
+
+    def all_log_p(self, word: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The same for all edges of some nodes, a row for each node; -inf where there is none."""
+        node = self.off[t] + word
+        rows = [self.score[k][node] + self.mass[self.off[np.maximum(t - k - 1, 0)] + word] - self.mass[node] for k in range(self.wide)]
+        return np.stack(rows, axis=1).astype(np.float64)
+
+    def piece(self, word: np.ndarray, t: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        return self.ids[edge, self.off[t] + word].astype(np.uint32)
 
 
 def _stream(number: int) -> np.uint64:
@@ -204,21 +247,21 @@ class Batch:
         self.word = np.full(len(start), -1, np.int64)
         self.word[free] = back[which]
 
-    def walk(self, draw: int, occ: np.ndarray, pos: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ancestral samples of the words ``occ`` from place ``pos`` on: (word, step, place, edge) of each piece."""
+    def walk(self, draw: int, occ: np.ndarray, t: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ancestral samples of the words ``occ`` from distance ``t`` on: (word, step, distance, edge) of each piece."""
         lat = self.lattices
         seed = mix(self.keys[self.word_row[occ]] + _stream(2 * draw)) + self.place[occ].astype(np.uint64) * _T2
         got = []
-        base, size = lat.base[self.word[occ]], lat.size[self.word[occ]]
-        live = np.flatnonzero(pos < size)
-        while len(live):
-            u = _uniform(seed[live] + (step[live].astype(np.uint64) + np.uint64(1)) * _T3).astype(np.float32)
-            at = base[live] + pos[live]
-            edge = (lat.up_to[at] < u[:, None]).sum(1)
-            got.append((occ[live], step[live], at, edge))
-            pos[live] += edge + 1
-            step[live] += 1
-            live = live[pos[live] < size[live]]
+        live = np.flatnonzero(t > 0)
+        o, s, w, t, step = occ[live], seed[live], self.word[occ[live]], t[live], step[live]
+        while len(o):
+            u = _uniform(s + (step.astype(np.uint64) + np.uint64(1)) * _T3).astype(np.float32)
+            edge = lat.choose(lat.off[t] + w, u)
+            got.append((o, step, t, edge))
+            t = t - edge - 1
+            step = step + 1
+            live = t > 0
+            o, s, w, t, step = o[live], s[live], w[live], t[live], step[live]
         if not got:
             return (np.zeros(0, np.int64),) * 4
         return tuple(np.concatenate([g[i] for g in got]) for i in range(4))
@@ -232,6 +275,7 @@ class Batch:
         paths: list[tuple] = []
         queue: list[dict] = []
         values: list[np.ndarray] = []
+        totals: list[np.ndarray] = []
         branch: dict | None = None
         for draw in range(k + 1):
             if branch is not None:
@@ -254,27 +298,27 @@ class Batch:
                 values.append(top)
                 branch = {}
             if draw == 0:
-                occ, step, at, edge = self.walk(0, free, np.zeros(len(free), np.int64), np.zeros(len(free), np.int64))
-                after = np.full(rows, -1)
-                live_rows = np.ones(rows, bool)
+                occ, step, at, edge = self.walk(0, free, lat.size[self.word[free]], np.zeros(len(free), np.int64))
             else:
                 live_rows = pick >= 0
-                b_word, b_step, b_at, b_edge, b_from = (np.full(rows, -1, np.int64) for _ in range(5))
-                for name, into in (("word", b_word), ("step", b_step), ("at", b_at), ("edge", b_edge), ("path", b_from)):
+                b_word, b_step, b_at, b_edge, b_from, b_index = (np.full(rows, -1, np.int64) for _ in range(6))
+                for name, into in (("word", b_word), ("step", b_step), ("at", b_at), ("edge", b_edge), ("path", b_from), ("index", b_index)):
                     into[branch["row"]] = branch[name]
                 kept = []
-                for no, (p_occ, p_step, p_at, p_edge) in enumerate(paths):
-                    r = self.word_row[p_occ]
-                    keep = (b_from[r] == no) & ((p_occ < b_word[r]) | ((p_occ == b_word[r]) & (p_step < b_step[r])))
-                    kept.append(tuple(x[keep] for x in (p_occ, p_step, p_at, p_edge)))
+                for no, path in enumerate(paths):  # what comes before the branch, which is near the row's beginning
+                    mine = np.flatnonzero(b_from == no)
+                    first = np.searchsorted(path[0], self.first_word[mine])
+                    many = b_index[mine] - first
+                    keep = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                    kept.append(tuple(x[keep] for x in path))
                 r = np.flatnonzero(live_rows)
                 kept.append((b_word[r], b_step[r], b_at[r], b_edge[r]))
                 later = free[live_rows[self.word_row[free]]]
                 later = later[later > b_word[self.word_row[later]]]
                 start = np.concatenate((b_word[r], later))
-                pos = np.concatenate((b_at[r] - lat.base[self.word[b_word[r]]] + b_edge[r] + 1, np.zeros(len(later), np.int64)))
+                left = np.concatenate((b_at[r] - b_edge[r] - 1, lat.size[self.word[later]]))
                 steps = np.concatenate((b_step[r] + 1, np.zeros(len(later), np.int64)))
-                kept.append(self.walk(draw, start, pos, steps))
+                kept.append(self.walk(draw, start, left, steps))
                 occ, step, at, edge = (np.concatenate([x[i] for x in kept]) for i in range(4))
             count = np.bincount(occ, minlength=words)
             order = np.empty(len(occ), np.int64)
@@ -283,7 +327,9 @@ class Batch:
             paths.append(path)
             occ, step, at, edge = path
             row = self.word_row[occ]
-            log_p = lat.log_p[at, edge].astype(np.float64)
+            word = self.word[occ]
+            log_p = lat.log_p(word, at, edge)
+            totals.append(np.bincount(row, log_p, rows))
             run = np.cumsum(log_p)
             head = np.searchsorted(row, np.arange(rows))
             before = run - log_p  # of the path before each piece, still with other rows' share
@@ -294,17 +340,17 @@ class Batch:
                 tail = (occ > b_word[row]) | ((occ == b_word[row]) & (step > b_step[row]))
                 near &= tail
             i = np.flatnonzero(near)
-            phi = before[i, None] + lat.log_p[at[i]]
+            phi = before[i, None] + lat.all_log_p(word[i], at[i])
             phi[np.arange(len(i)), edge[i]] = -np.inf
             n, e = np.nonzero(np.isfinite(phi))
             p, r = phi[n, e], row[i[n]]
             u = _uniform(mix(self.keys[r] + _stream(2 * draw + 1)) + self.place[occ[i[n]]].astype(np.uint64) * _T1 + (step[i[n]] * LONGEST + e).astype(np.uint64) * _T2 + _T3)
             bound = values[draw][r]
             g = p - np.log(np.exp(np.minimum(p - bound, 700)) - np.log(u))
-            queue.append({"row": r, "g": np.minimum(g, bound), "word": occ[i[n]], "step": step[i[n]], "at": at[i[n]], "edge": e, "path": np.full(len(r), draw)})
-        return self._results(k, paths, values)
+            queue.append({"row": r, "g": np.minimum(g, bound), "word": occ[i[n]], "step": step[i[n]], "at": at[i[n]], "edge": e, "path": np.full(len(r), draw), "index": i[n]})
+        return self._results(k, paths, values, totals)
 
-    def _results(self, k: int, paths: list[tuple], values: list[np.ndarray]) -> list[dict]:
+    def _results(self, k: int, paths: list[tuple], values: list[np.ndarray], totals: list[np.ndarray]) -> list[dict]:
         lat, out = self.lattices, []
         wide = [self.vocabulary.byte_id[list(chr(c).encode("utf-8", "surrogatepass"))] for c in self.fixed_char[self.fixed]]
         fixed_at = np.flatnonzero(self.fixed)
@@ -313,12 +359,12 @@ class Batch:
         kappa = values[k]
         for draw in range(k):
             occ, step, at, edge = paths[draw]
-            log_p = np.bincount(self.word_row[occ], lat.log_p[at, edge], self.rows)
+            log_p = totals[draw]
             count = np.bincount(occ, minlength=len(self.word))
             count[fixed_at] = fixed_n
             base = np.cumsum(count) - count
             ids = np.zeros(int(count.sum()), np.uint32)
-            ids[base[occ] + step] = lat.ids[at, edge]
+            ids[base[occ] + step] = lat.piece(self.word[occ], at, edge)
             ids[np.repeat(base[fixed_at] - (np.cumsum(fixed_n) - fixed_n), fixed_n) + np.arange(len(fixed_ids))] = fixed_ids
             edges = np.concatenate((base, [len(ids)]))[self.first_word]
             there = np.isfinite(values[draw])
