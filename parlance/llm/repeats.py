@@ -118,18 +118,31 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, min_len: int) -> Iterator[tup
                 yield row + i, start + (a - lo), *rest
 
 
-_SPAN_SCHEMA = "doc_id {id}, th long, s int, n int, ahash long, shash long"
+_SPAN_SCHEMA = "doc_id {id}, th long, s int, n int, m int, ahash long, shash long"
+
+
+def _folded(row: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal spans that follow each other in a row as one, with all their windows as a further column.
+
+    Periodic text gives a span for each period; folded, it is as few rows as other text.
+    """
+    if not len(row):
+        return row, start, count, count, anchor, content
+    again = (row[1:] == row[:-1]) & (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1]) & (start[1:] == start[:-1] + count[:-1])
+    head = np.flatnonzero(np.concatenate(([True], ~again)))
+    return row[head], start[head], count[head], np.add.reduceat(count, head), anchor[head], content[head]
 
 
 def _emit_spans(min_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            for row, start, count, anchor, content in _pieces(data, offsets, min_len):
+            for piece in _pieces(data, offsets, min_len):
+                row, start, count, windows, anchor, content = _folded(*piece)
                 keys = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(keys), batch.column("th").take(keys), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
-                    ["doc_id", "th", "s", "n", "ahash", "shash"],
+                    [batch.column("doc_id").take(keys), batch.column("th").take(keys), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
+                    ["doc_id", "th", "s", "n", "m", "ahash", "shash"],
                 )
 
     return run
@@ -384,15 +397,15 @@ def covered_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = (
         spans.withColumn("before", F.lag("shash").over(w))
         .withColumn("after", F.lead("shash").over(w))
-        .filter(F.col("before").isNotNull() | F.col("after").isNotNull())
-        .withColumn("single", ~(F.coalesce(F.col("shash") == F.col("before"), F.lit(False)) | F.coalesce(F.col("shash") == F.col("after"), F.lit(False))))
+        .filter(F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("m") > F.col("n")))
+        .withColumn("single", (F.col("m") == F.col("n")) & ~(F.coalesce(F.col("shash") == F.col("before"), F.lit(False)) | F.coalesce(F.col("shash") == F.col("after"), F.lit(False))))
         .withColumn("head", F.coalesce(F.col("shash") != F.col("before"), F.lit(True)))
         .withColumn("singles", F.sum(F.col("single").cast("long")).over(whole))
         .withColumn("kinds", F.sum(F.col("head").cast("long")).over(whole))
-        .select("doc_id", "th", "s", "n", "ahash", "single", (F.col("head") & (F.col("singles") > 0)).alias("asked"), "kinds")
+        .select("doc_id", "th", "s", "n", "m", "ahash", "single", (F.col("head") & (F.col("singles") > 0)).alias("asked"), "kinds")
     )
     marked = materialise(marked, "spans")
-    full = marked.filter(~F.col("single")).select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("n") + F.lit(min_len - 1)).alias("b"))
+    full = marked.filter(~F.col("single")).select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("m") + F.lit(min_len - 1)).alias("b"))
 
     def texts_asked(which: Column) -> DataFrame:
         ask = marked.filter("asked").filter(which).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "n", "ahash", "single")).alias("ask"))
