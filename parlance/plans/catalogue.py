@@ -14,7 +14,7 @@ from parlance.functions import labels as L
 from parlance.functions import names as N
 from parlance.functions import text as X
 from parlance.functions.vectors import mean_vectors
-from parlance.operators import audits, evaluation, fusion, intervals, keywords, matching, prosody, roles, sentiment, voiceprint
+from parlance.operators import audits, evaluation, fusion, intervals, keywords, matching, prosody, roles, sentiment, summaries, voiceprint
 from parlance.plans import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -843,3 +843,48 @@ def transition_matrix(spark, d):
     order = Window.partitionBy("audio_id").orderBy("start_s", "end_s", "seg_id")
     s = A.segments(spark, d).withColumn("next", F.lead("speaker").over(order))
     return audits.transition_matrix(s, "speaker", "next", ["SPEAKER_00", "SPEAKER_01"])
+
+
+# --- summaries ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_SCORED}, o AS (SELECT audio_id, count(*) AS n_regions, sum(b - a) AS region_s FROM ovl GROUP BY 1), s AS (SELECT audio_id, count(*) AS n_segments, count(DISTINCT speaker) AS n_speakers, max(end_s) AS last_s, count(*) FILTER (len(dr) = 0) AS n_valid_export, count(*) FILTER (len(ar) = 0) AS n_valid_anchor FROM sc GROUP BY 1) SELECT audio_id, n_segments, n_speakers, {R('last_s', 'last_s')}, n_valid_export, n_valid_anchor, coalesce(n_regions, 0) AS n_regions, {R('coalesce(region_s, 0)', 'region_s')}, {R('n_valid_export / n_segments', 'valid_share')}, {R('n_valid_anchor / n_segments', 'anchor_share')} FROM s LEFT JOIN o USING (audio_id)")
+def recording_summary(spark, d):
+    return summaries.quality_table(summaries.recording_summary(_scored(spark, d), intervals.overlap_regions(A.segments(spark, d)), ["audio_id"]))
+
+
+@query(f"WITH {A.TXT}, p AS (SELECT audio_id, count(DISTINCT speaker) AS k FROM txt GROUP BY 1) SELECT k AS n_speakers, count(*) AS n, {R('count(*) / sum(count(*)) OVER ()', 'share')} FROM p GROUP BY k")
+def speakers_per_recording(spark, d):
+    return summaries.speakers_per_recording(A.transcripts(spark, d), ["audio_id"])
+
+
+_DBS = tuple(range(10, 55, 5))
+
+
+@query(f"WITH {A.SEG}, p AS (SELECT audio_id, top_db, avg(CASE WHEN rms < -top_db THEN 1.0 ELSE 0.0 END) AS r FROM seg, (VALUES {', '.join(f'({x})' for x in _DBS)}) t(top_db) GROUP BY ALL) SELECT CAST(top_db AS BIGINT) AS top_db, count(r) AS n, {R('avg(r)', 'mean')}, {R('quantile_cont(r, 0.5)', 'median')}, {R('stddev_samp(r)', 'std')}, {R('min(r)', 'min')}, {R('max(r)', 'max')}, count(*) FILTER (r > 0.6) AS n_high FROM p GROUP BY top_db")
+def silence_threshold_sweep(spark, d):
+    steps = F.broadcast(spark.createDataFrame([(x,) for x in _DBS], "top_db int"))
+    per = A.segments(spark, d).crossJoin(steps).groupBy("audio_id", "top_db").agg(F.avg(F.when(F.col("rms") < -F.col("top_db"), 1.0).otherwise(0.0)).alias("silence_ratio"))
+    return summaries.silence_summary(per)
+
+
+@query(f"WITH {A.VEC}, e AS (SELECT person_id, audio_key, unnest(range(0, 64)) AS i, unnest(v) AS x FROM vec), m AS (SELECT person_id, audio_key, list(x ORDER BY i) AS c FROM (SELECT person_id, audio_key, i, avg(x) AS x FROM e GROUP BY ALL) GROUP BY ALL) SELECT p.audio_key AS a, q.audio_key AS b, {R('max(' + _cos('p.c', 'q.c') + ')', 'similarity')} FROM m p JOIN m q ON p.person_id = q.person_id AND p.audio_key < q.audio_key WHERE p.person_id < 3 GROUP BY ALL")
+def speaker_similarity_between_recordings(spark, d):
+    c = mean_vectors(A.vectors(spark, d).filter("person_id < 3"), ["person_id", "audio_key"], "v").withColumnRenamed("person_id", "group")
+    return summaries.speaker_similarity(c, "audio_key")
+
+
+@query(f"WITH {A.DOC} SELECT CASE WHEN s < 10 THEN 0 WHEN s >= 90 THEN 9 ELSE CAST(floor((s - 10) / 10) AS BIGINT) + 1 END AS bin, count(*) AS n FROM doc GROUP BY 1")
+def score_histogram(spark, d):
+    return summaries.histogram(A.documents(spark, d), "s", 10.0, 90.0, 8)
+
+
+@query("WITH c AS (SELECT c_custkey, c_nationkey || '.0' AS nk, CASE c_custkey % 4 WHEN 0 THEN ' nan ' ELSE c_name END AS nm FROM customer) SELECT c_custkey, regexp_replace(trim(nk), '\\.0$', '') AS nation, CASE WHEN lower(trim(nm)) IN ('', 'nan', 'none', '<na>') THEN NULL ELSE trim(nm) END AS name, CASE WHEN lower(trim(nm)) IN ('', 'nan', 'none', '<na>') THEN NULL ELSE substr(sha256('salt_' || trim(nm)), 1, 16) END AS name_hash FROM c")
+def metadata_preparation(spark, d):
+    c = A.table(spark, d, "customer").select("c_custkey", F.concat(F.col("c_nationkey").cast("string"), F.lit(".0")).alias("nation"), F.when(F.col("c_custkey") % 4 == 0, " nan ").otherwise(F.col("c_name")).alias("name"))
+    return summaries.metadata(c, "salt", {"name": "name_hash"}, ["nation", "name"])
+
+
+@query(f"WITH {_NAMES} SELECT CASE WHEN contains(lower(name), 'baja') THEN 'bajas' WHEN regexp_matches(lower(name), 'comercial|venta|raw_') THEN 'comercial' END AS corpus, count(*) AS n FROM nm GROUP BY 1")
+def corpus_classification(spark, d):
+    return _names(spark, d).groupBy(summaries.corpus_of(F.col("name")).alias("corpus")).agg(F.count("*").alias("n"))
