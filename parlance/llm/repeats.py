@@ -35,6 +35,9 @@ from parlance.llm.textbytes import flat, mix, runs, table
 K = 32
 CHUNK = 1 << 20
 BLOCK = 3 << 20
+#: A row over LARGE bytes is cut into parts of STEP.
+LARGE = 8 << 20
+STEP = 4 << 20
 WIDE = 12_000
 HUGE = 200_000
 _B = 0x9E3779B97F4A7C15
@@ -99,14 +102,14 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, min_len: int) -> tuple[np.nd
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, min_len: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """spans_of over chunks; a row over 8 MB is cut where spans of the parts agree with the whole.
+    """spans_of over chunks; a row over LARGE is cut where spans of the parts agree with the whole.
 
     Parts overlap by min_len - 1 bytes, so each window is in one part, and a window's anchor depends
     on its own bytes only. A span may be cut in two there, which step 2 treats as two spans.
     """
     for i, j in runs(offsets, CHUNK):
         lo, hi = int(offsets[i]), int(offsets[j])
-        if hi - lo <= 8 << 20:
+        if hi - lo <= LARGE:
             row, *rest = spans_of(data[lo:hi], offsets[i : j + 1] - lo, min_len)
             yield row + i, *rest
             continue

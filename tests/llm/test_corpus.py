@@ -318,6 +318,17 @@ def test_removal_against_brute_force(spark, monkeypatch, wide, huge):
     assert [got[i] for i, _ in rows] == want
 
 
+def test_removal_of_large_rows_in_parts(monkeypatch):
+    monkeypatch.setattr(repeats, "LARGE", 2000)
+    monkeypatch.setattr(repeats, "STEP", 700)
+    r = np.random.default_rng(3)
+    body = r.integers(97, 123, 9000, dtype=np.uint8)
+    whole = repeats.spans_of(body, np.array([0, len(body)]), 200)
+    parts = list(repeats._pieces(body, np.array([0, len(body)]), 200))
+    windows = lambda found: {(s + i, a) for row, start, count, anchor, _ in found for s, c, a in zip(start, count, anchor) for i in range(c)}
+    assert windows(parts) == windows([whole]) and len({w for w, _ in windows(parts)}) == 9000 - 199
+
+
 def test_removal_odd_rows(odd_docs, no_docs):
     got = sorted((tuple(r)[1:] for r in repeats.removal_report(odd_docs).collect()), key=str)
     assert got == sorted(plain.removal([r.text for r in odd_docs.collect()], 200), key=str)
