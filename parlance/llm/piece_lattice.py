@@ -27,8 +27,8 @@ from parlance.llm.scratch import ship
 from parlance.llm.textbytes import mix
 
 LONGEST = 16
-#: Partial paths this far below (in nats) cannot be among the best few: odds under e ** -40.
-FAR = 45.0
+#: Partial paths this far below (in nats) cannot be among the best few: odds under e ** -30.
+FAR = 32.0
 BATCH_CHARS = 80_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _T1, _T2, _T3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -60,6 +60,7 @@ class Pieces:
                 normal.append((plain, i))
         rank = {i: r for r, (_, i) in enumerate(sorted(normal, key=lambda x: (-model.get_score(x[1]), x[1])))}
         self.single = np.zeros(0x110000, bool)
+        self.first = np.full(0x110000, -2, np.int32)  # as find() for one character
         nodes: dict[int, int] = {}
         for plain, i in normal:
             if len(plain) == 1:
@@ -83,6 +84,11 @@ class Pieces:
                 k += 1
             self.keys[at], self.ids[at] = h, i
             self.probes = max(self.probes, k)
+        for plain, _ in normal:
+            self.first[ord(plain[0])] = max(self.first[ord(plain[0])], -1)
+        for plain, i in normal:
+            if len(plain) == 1:
+                self.first[ord(plain)] = i
         self.weight = np.full(n, -np.inf)
         for _, i in normal:
             self.weight[i] = -exponent * np.log(rank[i] + 2.7)
@@ -133,11 +139,11 @@ class Lattices:
         codes[node] = _char_codes(chars)
         ids, score = [], []
         start, h, at = node, np.zeros(len(node), np.uint64), node
-        for _ in range(LONGEST):
+        for k in range(LONGEST):
             if not len(start):
                 break
             h = h * _B + codes[at]
-            got = vocabulary.find(h)
+            got = vocabulary.find(h) if k else vocabulary.first[chars]
             piece = got >= 0
             if piece.any():
                 hit, found = start[piece], got[piece]
@@ -269,10 +275,11 @@ class Batch:
     def sample(self, k: int) -> list[dict]:
         """For each row its draws, best first: perturbed value, log-probability, inclusion, ids."""
         rows, lat = self.rows, self.lattices
-        words = len(self.word)
         free = np.flatnonzero(~self.fixed)
+        start_mass = np.bincount(self.word_row[free], lat.mass[lat.off[lat.size[self.word[free]]] + self.word[free]], rows)
         top = -np.log(-np.log(_uniform(self.keys * _T2 + _T1)))  # Gumbel of the whole mass, ln 1
         paths: list[tuple] = []
+        heads: list[tuple] = []
         queue: list[dict] = []
         values: list[np.ndarray] = []
         totals: list[np.ndarray] = []
@@ -280,13 +287,11 @@ class Batch:
         for draw in range(k + 1):
             if branch is not None:
                 g = np.full(rows, -np.inf)
-                pick = np.full(rows, -1)
                 bag = {c: np.concatenate([q[c] for q in queue]) for c in queue[0]}
-                order = np.lexsort((bag["g"], bag["row"]))
-                lasts = np.flatnonzero(np.concatenate((bag["row"][order][1:] != bag["row"][order][:-1], [True]))) if len(order) else order
-                best = order[lasts]
-                pick[bag["row"][best]] = best
-                g[bag["row"][best]] = bag["g"][best]
+                np.maximum.at(g, bag["row"], bag["g"])
+                best = np.flatnonzero(bag["g"] == g[bag["row"]])
+                best = best[np.unique(bag["row"][best], return_index=True)[1]]
+                live_rows = np.isfinite(g)
                 values.append(g)
                 if draw == k:
                     break
@@ -300,12 +305,11 @@ class Batch:
             if draw == 0:
                 occ, step, at, edge = self.walk(0, free, lat.size[self.word[free]], np.zeros(len(free), np.int64))
             else:
-                live_rows = pick >= 0
                 b_word, b_step, b_at, b_edge, b_from, b_index = (np.full(rows, -1, np.int64) for _ in range(6))
                 for name, into in (("word", b_word), ("step", b_step), ("at", b_at), ("edge", b_edge), ("path", b_from), ("index", b_index)):
                     into[branch["row"]] = branch[name]
                 kept = []
-                for no, path in enumerate(paths):  # what comes before the branch, which is near the row's beginning
+                for no, path in enumerate(heads):  # what comes before the branch, which is near the row's beginning
                     mine = np.flatnonzero(b_from == no)
                     first = np.searchsorted(path[0], self.first_word[mine])
                     many = b_index[mine] - first
@@ -320,25 +324,30 @@ class Batch:
                 steps = np.concatenate((b_step[r] + 1, np.zeros(len(later), np.int64)))
                 kept.append(self.walk(draw, start, left, steps))
                 occ, step, at, edge = (np.concatenate([x[i] for x in kept]) for i in range(4))
-            count = np.bincount(occ, minlength=words)
-            order = np.empty(len(occ), np.int64)
-            order[(np.cumsum(count) - count)[occ] + step] = np.arange(len(occ))
-            path = tuple(x[order] for x in (occ, step, at, edge))
-            paths.append(path)
-            occ, step, at, edge = path
-            row = self.word_row[occ]
-            word = self.word[occ]
-            log_p = lat.log_p(word, at, edge)
-            totals.append(np.bincount(row, log_p, rows))
-            run = np.cumsum(log_p)
-            head = np.searchsorted(row, np.arange(rows))
-            before = run - log_p  # of the path before each piece, still with other rows' share
-            zero = np.where(head < len(row), before[np.minimum(head, len(row) - 1)] if len(row) else 0.0, 0.0)
-            before = before - zero[row]
+            paths.append((occ, step, at, edge))
+            word, row = self.word[occ], self.word_row[occ]
+            totals.append(np.bincount(row, lat.score[edge, lat.off[at] + word], rows) - start_mass)
+            most = 48
+            while True:  # the first words of each row, until their mass is far below
+                picked = np.flatnonzero(self.place[occ] < most)
+                picked = picked[np.lexsort((step[picked], occ[picked]))]
+                occ_, step_, at_, edge_ = (x[picked] for x in (occ, step, at, edge))
+                row_, word_ = row[picked], word[picked]
+                log_p = lat.log_p(word_, at_, edge_)
+                run = np.cumsum(log_p)
+                head = np.searchsorted(row_, np.arange(rows + 1))
+                before = run - log_p
+                zero = np.where(head[:-1] < head[1:], np.concatenate((before, [0.0]))[head[:-1]], 0.0)
+                before = before - zero[row_]
+                end = np.where(head[:-1] < head[1:], np.concatenate(([0.0], run))[head[1:]] - zero, 0.0)
+                if ((end < -FAR) | (self.first_word[1:] - self.first_word[:-1] <= most) | (head[:-1] == head[1:])).all():
+                    break
+                most *= 4
+            heads.append((occ_, step_, at_, edge_))
+            occ, step, at, edge, row, word = occ_, step_, at_, edge_, row_, word_
             near = before > -FAR
             if draw:
-                tail = (occ > b_word[row]) | ((occ == b_word[row]) & (step > b_step[row]))
-                near &= tail
+                near &= (occ > b_word[row]) | ((occ == b_word[row]) & (step > b_step[row]))
             i = np.flatnonzero(near)
             phi = before[i, None] + lat.all_log_p(word[i], at[i])
             phi[np.arange(len(i)), edge[i]] = -np.inf
@@ -373,12 +382,12 @@ class Batch:
         return out
 
 
-def _encode(path: str, exponent: float, k: int, seed: int):
+def _encode(path: str, exponent: float, k: int, seed: int, gone: str, verify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(path, exponent)
         for batch in batches:
             keys = mix(np.asarray(batch.column("__key")).astype(np.int64).view(np.uint64) + np.uint64(seed * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
-            carried = [n for n in batch.schema.names if n != "__key"]
+            carried = [n for n in batch.schema.names if n not in ("__key", gone)]
             i = 0
             while i < batch.num_rows:
                 texts: list[str] = []
@@ -391,32 +400,37 @@ def _encode(path: str, exponent: float, k: int, seed: int):
                     rows = np.flatnonzero(got["there"])
                     raw, edges = got["ids"].astype("<u4").tobytes(), 4 * got["edges"]
                     at = pa.array(rows + i)
+                    spelt = [raw[edges[r] : edges[r + 1]] for r in rows.tolist()]
+                    more = {"round_trip": pa.array([decode_ids(vocabulary, x) == texts[r] for r, x in zip(rows.tolist(), spelt)], pa.bool_())} if verify else {}
                     yield pa.RecordBatch.from_arrays(
                         [
                             *[batch.column(c).take(at) for c in carried], pa.array(np.full(len(rows), draw + 1, np.int32)), pa.array(got["log_p"][rows]), pa.array(got["g"][rows]), pa.array(got["inclusion"][rows]),
-                            pa.array([raw[edges[r] : edges[r + 1]] for r in rows], pa.binary()),
+                            pa.array(spelt, pa.binary()), *more.values(),
                         ],
-                        [*carried, "draw", "log_prob", "perturbed", "inclusion", "ids"],
+                        [*carried, "draw", "log_prob", "perturbed", "inclusion", "ids", *more],
                     )
                 i += n
 
     return run
 
 
-def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 42, exponent: float = 1.0) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 42, exponent: float = 1.0, carry_text: bool = True, verify: bool = False) -> DataFrame:
     """Up to ``k`` rows for each document: ``doc_id, text, draw, log_prob, perturbed, inclusion, ids``.
 
     ``ids`` are little-endian unsigned 32-bit piece ids; draws are distinct segmentations in falling
     order of ``perturbed``; ``inclusion`` is the probability that a segmentation is drawn given the
     (k + 1)-th perturbed value. A text with fewer segmentations has as many rows. Null and empty
     text have the empty segmentation. The row's key is its id and text, so repeated rows repeat.
-    Characters without a piece become their bytes.
+    Characters without a piece become their bytes. Without ``carry_text`` a digest of the text
+    (``text_hash``, xxhash64) stands in its column's place; with ``verify`` each draw is decoded at once
+    and ``round_trip`` says whether that gives the text.
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    picked = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("__key"))
+    picked = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.col(id_col).cast("string"), text).alias("__key"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return picked.mapInArrow(_encode(model_file, exponent, k, seed), f"doc_id {kind}, text string, draw int, log_prob double, perturbed double, inclusion double, ids binary")
+    own, gone = ("text string", "text_hash") if carry_text else ("text_hash long", "text")
+    return picked.mapInArrow(_encode(model_file, exponent, k, seed, gone, verify), f"doc_id {kind}, {own}, draw int, log_prob double, perturbed double, inclusion double, ids binary" + ", round_trip boolean" * verify)
 
 
 def decode_ids(vocabulary: Pieces, ids: bytes) -> str:
