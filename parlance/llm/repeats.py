@@ -252,6 +252,23 @@ def repeat_groups(blobs: list[bytes], counts: list[int], min_len: int) -> tuple[
     return blob[order], inner[order], groups, best
 
 
+def promising(blobs: list[bytes], counts: list[int], min_len: int) -> np.ndarray:
+    """Which blobs have a window whose hash is there twice; the others have no repeat and need no suffixes."""
+    size, many = np.array([len(b) for b in blobs], np.int64), np.array(counts, np.int64)
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(table(7)[data] * _powers(_B, len(data))[:-1], out=sums[1:])
+    owner = np.repeat(np.arange(len(blobs)), many)
+    at = np.repeat(np.cumsum(size) - size - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    h = mix((sums[at + min_len] - sums[at]) * _powers(_INV, len(data))[at])
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(blobs), bool)
+    out[owner[order[1:][same]]] = True
+    out[owner[order[:-1][same]]] = True
+    return out
+
+
 def _wide_cover(blobs: list[bytes], counts: list[int], offsets_in: list[int], min_len: int) -> tuple[np.ndarray, np.ndarray]:
     """(blob, place) of repeated windows of one anchor, sorted place by place instead of at once."""
     base = np.concatenate(([0], np.cumsum([len(b) for b in blobs])[:-1]))
@@ -287,6 +304,10 @@ def _scan_blocks(min_len: int):
     """Spans sorted by anchor, to the covered ranges of those that stand alone."""
 
     def solve(rows: list[dict]) -> Iterator[tuple[dict, int, int]]:
+        keep = promising([r["body"] for r in rows], [r["n"] for r in rows], min_len)
+        rows = [r for r, k in zip(rows, keep.tolist()) if k]
+        if not rows:
+            return
         blobs, counts = [r["body"] for r in rows], [r["n"] for r in rows]
         groups = {r["ahash"] for r in rows}
         if len(groups) == 1 and len(rows) > WIDE:
