@@ -6,7 +6,8 @@
    time; a pair goes when the posterior probability of reaching the threshold falls below the
    tolerance. In a bucket over ``SMALL`` texts each text is held against leaders only, at a threshold
    lowered by the triangle inequality of the Jaccard distance, so the work is linear in copies and
-   no pair that reaches the threshold is parted.
+   no pair that reaches the threshold is parted. Buckets over ``PART`` texts are dealt in parts to
+   several tasks, and the parts' leaders meet in a second round.
 3. Survivors give components of candidates. In each component every pair that the sizes and the
    posterior allow is verified on the exact sets, which counts each text's links; components too
    large for a task are verified block against block in many.
@@ -34,6 +35,8 @@ STEP = 32
 SMALL = 256
 LEADER = 0.9
 UNIT = 2048
+#: Buckets over this many texts are dealt in parts, whose leaders meet afterwards.
+PART = 20_000
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[128:] = True
@@ -134,50 +137,83 @@ def survivors(sig: np.ndarray, one: np.ndarray, other: np.ndarray, threshold: fl
     return alive
 
 
-def _bucket_edges(sig: np.ndarray, size: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links (row, row) of one bucket, sorted by size."""
+def _pairs_in(sig: np.ndarray, size: np.ndarray, threshold: float, low: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """All surviving pairs (row, row) of rows sorted by size, in blocks; ``low`` is the bound of sizes too."""
+    got: list[tuple[np.ndarray, np.ndarray]] = []
     n = len(sig)
-    if n <= SMALL:
-        one, other = np.triu_indices(n, 1)
-        fits = size[one] >= threshold * size[other] - 1e-9
+    for a in range(0, n, 512):
+        one, other = np.meshgrid(np.arange(a, min(a + 512, n)), np.arange(a, n), indexing="ij")
+        one, other = one.ravel(), other.ravel()
+        fits = (one < other) & (size[one] >= low * size[other] - 1e-9)
         one, other = one[fits], other[fits]
         stay = survivors(sig, one, other, threshold, tolerance)
-        return one[stay], other[stay]
-    rest = np.arange(n)
+        got.append((one[stay], other[stay]))
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+
+def _by_leaders(sig: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate links (leader, row) and the leaders.
+
+    A row is held against leaders only and leads itself unless it is close to one. If a and b reach
+    the threshold and a is close to its leader, b is within the threshold lowered by the distance of
+    a: such links are kept, so a and b stay in one component.
+    """
+    rest, leaders = np.arange(len(sig)), []
     low = max(2 * threshold - 1, 0.05)
-    got: list[tuple[np.ndarray, np.ndarray]] = []
+    got: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     while len(rest):
         lead, rest = rest[0], rest[1:]
+        leaders.append(lead)
         same = np.full(len(rest), lead)
         stay = survivors(sig, same, rest, low, tolerance)
         got.append((same[stay], rest[stay]))
         close = (sig[rest[stay]] == sig[lead]).sum(1) >= LEADER * HASHES
         rest = np.delete(rest, stay[close])
-    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), np.array(leaders)
 
 
-def _candidates(threshold: float, tolerance: float):
+def _candidates(threshold: float, tolerance: float, final: bool):
+    """Rows (b, part, d1, size, sig, split) sorted by bucket part, to links (u, v).
+
+    Parts of split buckets also give their leaders, as (d1, d1, bucket). ``final`` is the round in
+    which those meet: all pairs of a bucket's leaders, at a threshold lowered by both their distances.
+    """
+
     def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         if not t.num_rows:
             return
-        b, d, size = t["b"].to_numpy(), t["d1"].to_numpy(), t["size"].to_numpy()
+        b, part, d, size, split = (t[c].to_numpy() for c in ("b", "part", "d1", "size", "split"))
         data, _ = flat(t["sig"].chunk(0))
         sig = data.reshape(-1, HASHES)
-        cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
+        cut = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (part[1:] != part[:-1]), [True])))
         u: list[np.ndarray] = []
         v: list[np.ndarray] = []
-        two = cut[:-1][np.diff(cut) == 2]  # most buckets: all at once
-        fits = two[np.minimum(size[two], size[two + 1]) >= threshold * np.maximum(size[two], size[two + 1]) - 1e-9]
-        stay = fits[survivors(sig, fits, fits + 1, threshold, tolerance)]
-        u.append(d[stay])
-        v.append(d[stay + 1])
+        lead_d: list[np.ndarray] = []
+        lead_b: list[np.ndarray] = []
+        whole = cut[:-1][(np.diff(cut) == 2) & ~split[cut[:-1]]]  # most buckets: all at once
+        if not final:
+            fits = whole[np.minimum(size[whole], size[whole + 1]) >= threshold * np.maximum(size[whole], size[whole + 1]) - 1e-9]
+            stay = fits[survivors(sig, fits, fits + 1, threshold, tolerance)]
+            u.append(d[stay])
+            v.append(d[stay + 1])
+        far = max(3 * threshold - 2, 0.05)
         for i, j in zip(cut[:-1], cut[1:]):
-            if j - i > 2:
-                one, other = _bucket_edges(sig[i:j], size[i:j], threshold, tolerance)
-                u.append(d[i:j][one])
-                v.append(d[i:j][other])
-        pairs = np.unique(np.stack((np.concatenate(u), np.concatenate(v))), axis=1)
+            if final:
+                one, other = _pairs_in(sig[i:j], size[i:j], far, far, tolerance)
+            elif split[i]:
+                one, other, leaders = _by_leaders(sig[i:j], threshold, tolerance)
+                lead_d.append(d[i:j][leaders])
+                lead_b.append(np.full(len(leaders), b[i]))
+            elif j - i <= 2:
+                continue
+            elif j - i <= SMALL:
+                one, other = _pairs_in(sig[i:j], size[i:j], threshold, threshold, tolerance)
+            else:
+                one, other, _ = _by_leaders(sig[i:j], threshold, tolerance)
+            u.append(d[i:j][one])
+            v.append(d[i:j][other])
+        pairs = np.unique(np.stack((np.concatenate(u), np.concatenate(v))), axis=1) if u else np.zeros((2, 0), np.int64)
         # a forest of the links is enough
         root: dict[int, int] = {}
 
@@ -192,18 +228,21 @@ def _candidates(threshold: float, tolerance: float):
             p, q = find(x), find(y)
             if p != q:
                 root[max(p, q)] = min(p, q)
-                keep.append((x, y))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64())], ["u", "v"])
+                keep.append((x, y, None))
+        for ds, bs in zip(lead_d, lead_b):
+            keep += [(x, x, y) for x, y in zip(ds.tolist(), bs.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in keep], pa.int64()) for c in range(3)], ["u", "v", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
-        for batch in batches:  # a bucket is held as a whole: some 150 bytes a text
+        for batch in batches:  # a bucket's part is held as a whole: some 150 bytes a text
             if not batch.num_rows:
                 continue
-            b = batch.column("b").to_numpy()
             if held and rows > 50_000:
-                edge = int(np.searchsorted(b, held[-1].column("b")[-1].as_py(), "right"))
+                last = held[-1].slice(held[-1].num_rows - 1)
+                same = (batch.column("b").to_numpy() == last.column("b")[0].as_py()) & (batch.column("part").to_numpy() == last.column("part")[0].as_py())
+                edge = len(same) if same.all() else int(np.argmin(same))
                 held.append(batch.slice(0, edge))
                 batch, rows = batch.slice(edge), rows + edge
                 if not batch.num_rows:
@@ -346,19 +385,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count("*").alias("n_copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
     )
     texts = materialise(texts.select("d1", "d2", "n_copies", F.col("rep.doc_id").alias("text_id"), F.col("rep.th").alias("text_th"), "size", "bands", "sig"), "texts")
-    met = (
-        texts.select(F.explode("bands").alias("b"), "d1", "d2", "size")
-        .withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("size", "d1", "d2")))
-        .withColumn("next", F.lead("d1").over(Window.partitionBy("b").orderBy("size", "d1", "d2")))
-        .filter("rank > 1 OR next IS NOT NULL")
-        .select("b", "d1", "d2")
-    )
-    buckets = met.join(texts.select("d1", "d2", "size", "sig"), ["d1", "d2"]).select("b", "d1", "size", "sig")
-    edges = buckets.repartition("b").sortWithinPartitions("b", "size", "d1").mapInArrow(_candidates(threshold, tolerance), "u long, v long")
+    own = Window.partitionBy("b")
+    met = texts.select(F.explode("bands").alias("b"), "d1", "d2").withColumn("n", F.count("*").over(own)).filter("n > 1")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    met = met.select("b", "d1", "d2", F.pmod(F.xxhash64("d1"), parts).cast("int").alias("part"), (parts > 1).alias("split"))
+    asked = texts.select("d1", "d2", "size", "sig")
+
+    def linked(rows: DataFrame, final: bool) -> DataFrame:
+        dealt = rows.repartition("b", "part").sortWithinPartitions("b", "part", "size", "d1")
+        return dealt.mapInArrow(_candidates(threshold, tolerance, final), "u long, v long, b long")
+
+    met = met.join(asked, ["d1", "d2"]).select("b", "part", "d1", "size", "sig", "split")
+    found = materialise(linked(met, False), "candidates")
+    edges = found.filter("b IS NULL").select("u", "v")
+    leaders = found.filter("b IS NOT NULL")
+    if leaders.limit(1).count():
+        again = leaders.select("b", F.col("u").alias("d1")).join(asked.dropDuplicates(["d1"]), "d1").select("b", F.lit(0).alias("part"), "d1", "size", "sig", F.lit(False).alias("split"))
+        edges = edges.unionByName(linked(again, True).select("u", "v"))
     group = components(edges)
     member = texts.join(group, texts["d1"] == group["node"]).select("root", "d1", "d2", "sig", "size", "text_id", "text_th")
-    asked = keyed.join(member, keyed["doc_id"].eqNullSafe(member["text_id"]) & (keyed["th"] == member["text_th"])).select("root", "d1", "d2", "sig", "text")
-    sets = materialise(asked.mapInArrow(_sets(n), "root long, d1 long, d2 long, sig binary, body binary").dropDuplicates(["d1", "d2"]), "sets")
+    bodies = keyed.join(member, keyed["doc_id"].eqNullSafe(member["text_id"]) & (keyed["th"] == member["text_th"])).select("root", "d1", "d2", "sig", "text")
+    sets = materialise(bodies.mapInArrow(_sets(n), "root long, d1 long, d2 long, sig binary, body binary").dropDuplicates(["d1", "d2"]), "sets")
     blocks = sets.groupBy("root").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("nb"))
     dealt = sets.join(blocks, "root").withColumn("blk", F.pmod(F.xxhash64("d1"), F.col("nb")).cast("int"))
     one = dealt.filter("nb = 1").select(F.struct("root", F.lit(0).alias("x"), F.lit(0).alias("y")).alias("unit"), F.lit(0).alias("side"), "d1", "d2", "sig", "body")

@@ -373,9 +373,10 @@ def test_neighbours_odd_rows(spark):
 # --- 9 ---
 
 
-@pytest.mark.parametrize("small,unit", [(256, 2048), (4, 7)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, small, unit):
+@pytest.mark.parametrize("small,unit,part", [(256, 2048, 20_000), (4, 7, 20_000), (4, 7, 6)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, small, unit, part):
     monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "PART", part)
     monkeypatch.setattr(ngram_join, "UNIT", unit)
     rows = mutated(80, 11) + [(200 + i, t) for i, t in mutated(40, 12)] + [(300, "one two"), (301, "One, two!"), (302, ""), (303, None), (304, "three")]
     got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
