@@ -34,7 +34,7 @@ class WordEncoder:
     beyond Latin-1, control characters or ``<|`` goes through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
