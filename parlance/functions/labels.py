@@ -10,10 +10,13 @@ from parlance.functions.text import fold_accents
 #: Spellings of roles.
 AGENT_NAMES = ("AGENT", "AGENTE", "ASESOR", "ASESORA", "OPERADOR", "OPERADORA", "COMERCIAL")
 CLIENT_NAMES = ("CLIENT", "CLIENTE", "CUSTOMER", "USUARIO", "USUARIA")
-#: Spellings of sentiment labels.
-NEGATIVE = ("negative", "neg", "negativo", "label_0", "1 star", "2 stars")
-NEUTRAL = ("neutral", "neu", "neutro", "label_1", "3 stars")
-POSITIVE = ("positive", "pos", "positivo", "label_2", "4 stars", "5 stars")
+#: Spellings of sentiment labels, and the star ratings that count as well where text and sound meet.
+NEGATIVE = ("neg", "negative", "negativo", "label_0")
+NEUTRAL = ("neu", "neutral", "label_1")
+POSITIVE = ("pos", "positive", "positivo", "label_2")
+NEGATIVE_STARS = ("1 star", "2 stars")
+NEUTRAL_STARS = ("3 stars",)
+POSITIVE_STARS = ("4 stars", "5 stars")
 
 
 def strict_role(c: Column) -> Column:
@@ -34,8 +37,15 @@ def sentiment_label(c: Column) -> Column:
     return F.when(x.isin(*NEGATIVE), "negative").when(x.isin(*NEUTRAL), "neutral").when(x.isin(*POSITIVE), "positive").otherwise(x)
 
 
+def spanish_label(c: Column) -> Column:
+    """negativo, neutral or positivo, of star ratings too; other labels pass in lower case."""
+    x = F.lower(F.trim(c))
+    return F.when(x.isin(*NEGATIVE, *NEGATIVE_STARS), "negativo").when(x.isin(*NEUTRAL, *NEUTRAL_STARS), "neutral").when(x.isin(*POSITIVE, *POSITIVE_STARS), "positivo").otherwise(x)
+
+
 def sentiment_value(c: Column) -> Column:
-    return F.when(c == "negative", -1.0).when(c == "neutral", 0.0).when(c == "positive", 1.0)
+    """-1, 0 or 1 of a normalised label in either language, else null."""
+    return F.when(c.isin("negative", "negativo"), -1.0).when(c == "neutral", 0.0).when(c.isin("positive", "positivo"), 1.0)
 
 
 def mean_sentiment_class(c: Column, edge: float = 0.25) -> Column:

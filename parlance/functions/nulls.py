@@ -49,5 +49,5 @@ def first_text(c: Column) -> Column:
 
 
 def truthy(c: Column) -> Column:
-    """Tolerant boolean of a text: true, 1, yes, y, si, ok."""
-    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "1", "1.0", "yes", "y", "si", "sí", "ok"), F.lit(False))
+    """Tolerant boolean of a text: true, 1, yes or ok in any case."""
+    return F.coalesce(F.lower(c.cast("string")).isin("true", "1", "yes", "ok"), F.lit(False))

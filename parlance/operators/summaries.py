@@ -64,9 +64,10 @@ def metadata(df: DataFrame, salt: str, hashed: dict[str, str], text: list[str])
 
 
 def corpus_of(c: Column) -> Column:
-    """The corpus that a name tells: cancellations, sales or none."""
-    low = F.lower(c)
-    return F.when(F.contains(low, F.lit("baja")), "bajas").when(low.rlike("comercial|venta|raw_"), "comercial")
+    """The corpus that a name tells: Bajas, Comerciales or No identificado."""
+    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    sales = t.rlike("comercial|venta") | t.startswith("raw_") | t.isin("raw", "general")
+    return F.when(F.contains(t, F.lit("baja")), "Bajas").when(sales, "Comerciales").otherwise("No identificado")
 
 
 def interval_labels(start: Column, end: Column) -> tuple[Column, Column]:
@@ -74,16 +75,18 @@ def interval_labels(start: Column, end: Column) -> tuple[Column, Column]:
     return F.concat(clock(start), F.lit(" - "), clock(end)), F.concat(clock_hundredths(start), F.lit(" - "), clock_hundredths(end))
 
 
+#: Terms of anger, then of any negative emotion, in names of probability columns.
+ANGER_TERMS = ("enfado", "anger", "angry", "ira", "rabia")
+NEGATIVE_TERMS = ("enfado", "enojo", "ira", "anger", "angry", "rabia", "tristeza", "sad", "disgust", "asco", "miedo", "fear", "frustrac", "negative", "negativo")
+
+
 def negative_probability(columns: list[str], prefix: str = "ser_prob_") -> str | None:
-    """The probability column of anger, else of another negative emotion; terms are found within names."""
-    anger = ("ang", "anger", "angry", "enfado", "ira")
-    other = ("neg", "sad", "fear", "disgust", "trist", "miedo", "asco", "frustr", "annoy", "stress", "tens")
-    mine = [c for c in columns if c.lower().startswith(prefix)]
-    for terms in (anger, other):
-        for term in terms:
-            found = next((c for c in mine if term in c.lower()[len(prefix) :]), None)
-            if found:
-                return found
+    """The first probability column named after anger, else after a negative emotion; terms are found within names."""
+    mine = [c for c in columns if c.startswith(prefix)]
+    for terms in (ANGER_TERMS, NEGATIVE_TERMS):
+        found = next((c for c in mine if any(t in c.lower() for t in terms)), None)
+        if found:
+            return found
     return None
 
 

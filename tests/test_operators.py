@@ -140,8 +140,9 @@ def test_names(spark):
 
 def test_labels_and_nulls(spark):
     df = spark.createDataFrame([("Négativo",), ("5 stars",), ("odd",), (None,)], "x string")
-    assert [r[0] for r in df.select(labels.sentiment_label(F.col("x"))).collect()] == ["négativo", "positive", "odd", None]
-    one = spark.range(1).select(nulls.changed(F.lit(None), F.lit(1)).alias("a"), nulls.known(F.lit(float("nan"))).alias("b"), nulls.truthy(F.lit(" Yes ")).alias("c"), nulls.first_text(F.lit("<NA>")).alias("d"), labels.call_phase(F.lit(None).cast("double")).alias("e")).first()
+    assert [r[0] for r in df.select(labels.sentiment_label(F.col("x"))).collect()] == ["négativo", "5 stars", "odd", None]
+    assert [r[0] for r in df.select(labels.spanish_label(F.col("x"))).collect()] == ["négativo", "positivo", "odd", None]
+    one = spark.range(1).select(nulls.changed(F.lit(None), F.lit(1)).alias("a"), nulls.known(F.lit(float("nan"))).alias("b"), nulls.truthy(F.lit("Yes")).alias("c"), nulls.first_text(F.lit("<NA>")).alias("d"), labels.call_phase(F.lit(None).cast("double")).alias("e")).first()
     assert (one.a, one.b, one.c, one.d, one.e) == (True, None, True, None, "unknown")
 
 
