@@ -14,6 +14,21 @@ INTENSITY = {"rms_audio_dbfs": 0.60, "energy_dynamic_range": 0.25, "spectral_cen
 SCORES = {"arousal": AROUSAL, "tension": TENSION, "intensity": INTENSITY}
 
 
+def candidates(df: DataFrame, duration: tuple[float, float] = (0.5, 30.0), max_overlap: float = 0.2, min_rms: float = -45.0, need_role: bool = True, stem: str = "audio_id", order: tuple[str, ...] = ("audio_id", "start_s", "end_s", "seg_id")) -> DataFrame:
+    """Segments fit for acoustic features, numbered from 0 in a total order (``prosody_row_id``).
+
+    Unknown overlap counts as none, unknown loudness as silence. Roles that say that there is none, and
+    the collected recordings ``all`` and ``all_...``, are left out.
+    """
+    length = F.col("end_s") - F.col("start_s")
+    ok = length.between(*duration) & (F.coalesce("overlap_ratio", F.lit(0.0)) <= max_overlap) & (F.coalesce("rms", F.lit(-999.0)) >= min_rms)
+    if need_role:
+        ok = ok & F.col("role").isNotNull() & ~F.lower("role").isin("nan", "none", "", "no_textual_proxy")
+    name = F.lower(F.col(stem).cast("string"))
+    ok = ok & F.col(stem).isNotNull() & (name != "all") & ~name.startswith("all_")
+    return df.withColumn("duration_for_prosody", length).filter(truly(ok)).withColumn("prosody_row_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+
+
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` with ``z_`` of each column: 0.6745 (x - median) / MAD.
 

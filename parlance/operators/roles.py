@@ -92,10 +92,13 @@ def evidence_rows(df: DataFrame, keys: list[str], min_words: int = 3, strict_ove
 
     From the segments with hardly any overlap, if they have enough rows, seconds and words, else from
     all; least overlapped, longest in words and time, earliest first, until 10 rows or 25 seconds; the row that
-    crosses the limit stays.
+    crosses the limit stays. Where there is a ``status``, a speaker's ``ok`` segments go alone, if there are any.
     """
     base = df.filter((F.col("n_words") >= min_words) & (F.col("duration_s") > 0))
     whole = Window.partitionBy(*keys)
+    if "status" in df.columns:
+        fine = F.lower(F.coalesce("status", F.lit(""))) == "ok"
+        base = base.withColumn("__any", F.max(fine.cast("int")).over(whole)).filter(fine | (F.col("__any") == 0)).drop("__any")
     strict = F.col("overlap_ratio") <= strict_overlap
     enough = (F.sum(strict.cast("int")).over(whole) >= pool[0]) & (F.sum(F.when(strict, F.col("duration_s")).otherwise(0.0)).over(whole) >= pool[1]) & (F.sum(F.when(strict, F.col("n_words")).otherwise(0)).over(whole) >= pool[2])
     chosen = base.withColumn("strict_pool", enough).filter(~F.col("strict_pool") | strict)
@@ -104,18 +107,20 @@ def evidence_rows(df: DataFrame, keys: list[str], min_words: int = 3, strict_ove
     return chosen.withColumn("rn", F.row_number().over(order)).withColumn("before_s", before).filter((F.col("rn") <= most_rows) & (F.col("before_s") < seconds)).drop("before_s")
 
 
-def evidence(df: DataFrame, keys: list[str], tie: str = "seg_id", **how) -> DataFrame:
-    """One row for each speaker: text in time order, rows, words, seconds, overlap."""
-    rows = evidence_rows(df, keys, tie=tie, **how)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", tie, "text"))), lambda x: x["text"]), " ")
-    return rows.groupBy(*keys).agg(text.alias("evidence_text"), F.count("*").alias("n_rows"), F.sum("n_words").alias("n_words"), F.sum("duration_s").alias("seconds"), F.max("overlap_ratio").alias("max_overlap"), F.avg("overlap_ratio").alias("mean_overlap"))
+def evidence(df: DataFrame, keys: list[str], tie: str = "seg_id", pool: tuple[int, float, int] = (2, 6.0, 15), **how) -> DataFrame:
+    """One row for each speaker: text in the order of choice, rows, words, seconds, overlap, and whether they suffice."""
+    rows = evidence_rows(df, keys, tie=tie, pool=pool, **how)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda x: F.trim(x["text"])), " ")
+    out = rows.groupBy(*keys).agg(text.alias("evidence_text"), F.count("*").alias("n_rows"), F.sum("n_words").alias("n_words"), F.sum("duration_s").alias("seconds"), F.max("overlap_ratio").alias("max_overlap"), F.avg("overlap_ratio").alias("mean_overlap"))
+    status = F.when(F.col("n_rows") < pool[0], "low_segment_count").when(F.col("seconds") < pool[1], "low_duration").when(F.col("n_words") < pool[2], "low_word_count").otherwise("sufficient_evidence")
+    return out.withColumn("evidence_status", status)
 
 
 def role_pairs(scores: DataFrame, key: str, min_score: float = 0.10, min_margin: float = 0.01) -> DataFrame:
     """Two speakers mapped to the two roles by the better of both assignments.
 
     ``scores``: ``key, speaker, role, evidence, score``. The two speakers with the most evidence take
-    part. Gives ``key, agent_speaker, client_speaker, pair_score, pair_margin, status``.
+    part; an assignment scores the sum of its two scores. Gives ``key, agent_speaker, client_speaker, pair_score, pair_margin, status``.
     """
     speakers = scores.groupBy(key, "speaker").agg(F.max("evidence").alias("evidence"), F.max(F.when(F.col("role") == "AGENT", F.col("score"))).alias("a"), F.max(F.when(F.col("role") == "CLIENT", F.col("score"))).alias("c"))
     order = Window.partitionBy(key).orderBy(F.desc("evidence"), "speaker")
@@ -123,8 +128,8 @@ def role_pairs(scores: DataFrame, key: str, min_score: float = 0.10, min_margin:
     z = lambda c, n: F.coalesce(F.max(F.when(F.col("rn") == n, F.col(c))), F.lit(0.0))
     one = two.groupBy(key).agg(F.max(F.when(F.col("rn") == 1, F.col("speaker"))).alias("s1"), F.max(F.when(F.col("rn") == 2, F.col("speaker"))).alias("s2"), (z("a", 1) + z("c", 2)).alias("straight"), (z("c", 1) + z("a", 2)).alias("crossed"))
     first = F.col("straight") >= F.col("crossed")
-    best, other = F.greatest("straight", "crossed") / 2, F.least("straight", "crossed") / 2
-    status = F.when(F.col("s2").isNull(), "one_speaker").when(best < min_score, "low_score").when(best - other < min_margin, "low_margin").otherwise("accepted")
+    best, other = F.greatest("straight", "crossed"), F.least("straight", "crossed")
+    status = F.when(F.col("s2").isNull(), "less_than_two_speakers_with_evidence").when(best < min_score, "rejected_low_aggregate_score").when(best - other < min_margin, "assigned_low_margin_aggregate_text").otherwise("accepted_speaker_role")
     return one.select(key, F.when(first, F.col("s1")).otherwise(F.col("s2")).alias("agent_speaker"), F.when(first, F.col("s2")).otherwise(F.col("s1")).alias("client_speaker"), best.alias("pair_score"), (best - other).alias("pair_margin"), status.alias("status"))
 
 

@@ -491,6 +491,13 @@ def prosodic_state_scores(spark, d):
     return _prosodic(spark, d).select("audio_id", "seg_id", "arousal_proxy_score", "tension_proxy_score", "intensity_proxy_score", "calm_proxy_score", "prosodic_state")
 
 
+@query(f"WITH {_OVER}, c AS (SELECT *, coalesce(overlap_s / nullif(end_s - start_s, 0), 0.0) AS ov, CASE seg_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'none' ELSE speaker END AS role FROM so) SELECT audio_id, seg_id, {R('end_s - start_s', 'duration_for_prosody')}, row_number() OVER (ORDER BY audio_id, start_s, end_s, seg_id) - 1 AS prosody_row_id FROM c WHERE end_s - start_s BETWEEN 600 AND 60000 AND round(ov, 9) <= 0.5 AND rms >= -45 AND role IS NOT NULL AND role <> 'none'")
+def prosody_candidates(spark, d):
+    k = F.col("seg_id") % 4
+    s = intervals.scored(_overlapped(spark, d)).withColumn("overlap_ratio", F.round("overlap_ratio", 9)).withColumn("role", F.when(k == 1, "none").when(k > 1, F.col("speaker")))
+    return prosody.candidates(s, (600.0, 60_000.0), 0.5).select("audio_id", "seg_id", "duration_for_prosody", "prosody_row_id")
+
+
 _KEYSETS = [["audio_id"], ["speaker"], ["audio_id", "speaker"], ["event_type"]]
 
 
@@ -630,7 +637,7 @@ def match_threshold_sensitivity(spark, d):
 _EVID = f"""{A.TXT}, eb AS (SELECT audio_id, seg_id, start_s, text, n_words, CAST(seg_id % 2 AS VARCHAR) AS speaker, end_s - start_s AS dur, CAST(seg_id % 3 AS DOUBLE) / 20 AS ov FROM txt WHERE n_words >= 3 AND end_s - start_s > 0),
 ep AS (SELECT *, sum(CAST(ov <= 0.05 AS INT)) OVER w >= 2 AND sum(CASE WHEN ov <= 0.05 THEN dur ELSE 0 END) OVER w >= 6 AND sum(CASE WHEN ov <= 0.05 THEN n_words ELSE 0 END) OVER w >= 15 AS strict FROM eb WINDOW w AS (PARTITION BY audio_id, speaker)),
 er AS (SELECT *, row_number() OVER w AS rn, coalesce(sum(dur) OVER (PARTITION BY audio_id, speaker ORDER BY ov, n_words DESC, dur DESC, start_s, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM ep WHERE NOT strict OR ov <= 0.05 WINDOW w AS (PARTITION BY audio_id, speaker ORDER BY ov, n_words DESC, dur DESC, start_s, seg_id)),
-ev AS (SELECT audio_id, speaker, string_agg(text, ' ' ORDER BY start_s, seg_id) AS evidence_text, count(*) AS n_rows, CAST(sum(n_words) AS BIGINT) AS n_words, sum(dur) AS seconds FROM er WHERE rn <= 10 AND bef < 25 GROUP BY ALL)"""
+ev AS (SELECT audio_id, speaker, string_agg(trim(text), ' ' ORDER BY rn) AS evidence_text, count(*) AS n_rows, CAST(sum(n_words) AS BIGINT) AS n_words, sum(dur) AS seconds FROM er WHERE rn <= 10 AND bef < 25 GROUP BY ALL)"""
 
 
 def _evidence(spark, d):
@@ -639,16 +646,16 @@ def _evidence(spark, d):
     return roles.evidence(t, ["audio_id", "speaker"])
 
 
-@query(f"WITH {_EVID} SELECT audio_id, speaker, md5(evidence_text) AS text_md5, n_rows, n_words, {R('seconds', 'seconds')} FROM ev")
+@query(f"WITH {_EVID} SELECT audio_id, speaker, md5(evidence_text) AS text_md5, n_rows, n_words, {R('seconds', 'seconds')}, CASE WHEN n_rows < 2 THEN 'low_segment_count' WHEN seconds < 6 THEN 'low_duration' WHEN n_words < 15 THEN 'low_word_count' ELSE 'sufficient_evidence' END AS evidence_status FROM ev")
 def role_evidence_cumulative_stop(spark, d):
-    return _evidence(spark, d).select("audio_id", "speaker", F.md5("evidence_text").alias("text_md5"), "n_rows", "n_words", "seconds")
+    return _evidence(spark, d).select("audio_id", "speaker", F.md5("evidence_text").alias("text_md5"), "n_rows", "n_words", "seconds", "evidence_status")
 
 
 _ASSIGNED = f"""{A.TXT}, s1 AS (SELECT audio_id, CAST(seg_id % 3 AS VARCHAR) AS speaker, sum(n_words) AS evidence, avg(CASE WHEN role = 'AGENT' THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN role = 'CLIENT' THEN 1.0 ELSE 0.0 END) AS c FROM txt GROUP BY ALL),
 s2 AS (SELECT *, row_number() OVER (PARTITION BY audio_id ORDER BY evidence DESC, speaker) AS rn FROM s1), s3 AS (SELECT audio_id, max(CASE WHEN rn = 1 THEN speaker END) AS x, max(CASE WHEN rn = 2 THEN speaker END) AS y, coalesce(max(CASE WHEN rn = 1 THEN a END), 0) + coalesce(max(CASE WHEN rn = 2 THEN c END), 0) AS st, coalesce(max(CASE WHEN rn = 1 THEN c END), 0) + coalesce(max(CASE WHEN rn = 2 THEN a END), 0) AS cr FROM s2 WHERE rn <= 2 GROUP BY audio_id)"""
 
 
-@query(f"WITH {_ASSIGNED} SELECT audio_id, CASE WHEN st >= cr THEN x ELSE y END AS agent_speaker, CASE WHEN st >= cr THEN y ELSE x END AS client_speaker, {R('greatest(st, cr) / 2', 'pair_score')}, {R('greatest(st, cr) / 2 - least(st, cr) / 2', 'pair_margin')}, CASE WHEN y IS NULL THEN 'one_speaker' WHEN greatest(st, cr) / 2 < 0.1 THEN 'low_score' WHEN greatest(st, cr) / 2 - least(st, cr) / 2 < 0.01 THEN 'low_margin' ELSE 'accepted' END AS status FROM s3")
+@query(f"WITH {_ASSIGNED} SELECT audio_id, CASE WHEN st >= cr THEN x ELSE y END AS agent_speaker, CASE WHEN st >= cr THEN y ELSE x END AS client_speaker, {R('greatest(st, cr)', 'pair_score')}, {R('greatest(st, cr) - least(st, cr)', 'pair_margin')}, CASE WHEN y IS NULL THEN 'less_than_two_speakers_with_evidence' WHEN greatest(st, cr) < 0.1 THEN 'rejected_low_aggregate_score' WHEN greatest(st, cr) - least(st, cr) < 0.01 THEN 'assigned_low_margin_aggregate_text' ELSE 'accepted_speaker_role' END AS status FROM s3")
 def speaker_role_assignment(spark, d):
     t = A.transcripts(spark, d).withColumn("speaker", (F.col("seg_id") % 3).cast("string"))
     per = t.groupBy("audio_id", "speaker").agg(F.sum("n_words").alias("evidence"), *[F.avg(F.when(F.col("role") == r, 1.0).otherwise(0.0)).alias(r) for r in ("AGENT", "CLIENT")])

@@ -106,7 +106,7 @@ def test_turns(spark):
 def test_role_pairs(spark):
     s = spark.createDataFrame([(1, "a", "AGENT", 9, 0.2), (1, "a", "CLIENT", 9, 0.8), (1, "b", "AGENT", 5, 0.7), (1, "b", "CLIENT", 5, 0.1), (1, "c", "AGENT", 1, 1.0), (2, "a", "AGENT", 1, 0.5)], "k int, speaker string, role string, evidence int, score double")
     got = {r.k: (r.agent_speaker, r.client_speaker, r.status) for r in roles.role_pairs(s, "k").collect()}
-    assert got == {1: ("b", "a", "accepted"), 2: ("a", None, "one_speaker")}
+    assert got == {1: ("b", "a", "accepted_speaker_role"), 2: ("a", None, "less_than_two_speakers_with_evidence")}
 
 
 def test_gram_weights_are_unit(spark):
