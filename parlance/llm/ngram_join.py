@@ -87,7 +87,7 @@ def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            for i, j in runs(offsets, 4 << 20):
+            for i, j in runs(offsets, 1 << 20):
                 lo = offsets[i]
                 shingles, row, many, digests = shingle_sets(data[lo : offsets[j]], offsets[i : j + 1] - lo, n)
                 sig = signatures(shingles, row, j - i)
@@ -264,7 +264,7 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            for i, j in runs(offsets, 4 << 20):
+            for i, j in runs(offsets, 1 << 20):
                 lo = offsets[i]
                 shingles, row, _, _ = shingle_sets(data[lo : offsets[j]], offsets[i : j + 1] - lo, n)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
@@ -422,6 +422,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("root").agg(F.min("text_id").alias("class_id"))
     per_text = texts.join(linked.join(least, "root").select("d1", "d2", "n_links", "class_id"), ["d1", "d2"], "left")
     per_text = per_text.select("d1", "d2", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "text_id")
+    per_text = materialise(per_text, "classes")  # so that the copies of one text can be split among tasks in the join
     return (
         sketch.select("doc_id", "th", "d1", "d2", "n_words")
         .join(per_text, ["d1", "d2"], "left")
