@@ -137,7 +137,7 @@ class Lattices:
         after[node] = self.off[t - 1] + word
         codes = np.zeros(n, np.uint64)
         codes[node] = _char_codes(chars)
-        ids, score = [], []
+        ids, score, used = np.empty((LONGEST, n), np.int32), np.empty((LONGEST, n), np.float32), 0
         start, h, at = node, np.zeros(len(node), np.uint64), node
         for k in range(LONGEST):
             if not len(start):
@@ -147,19 +147,17 @@ class Lattices:
             piece = got >= 0
             if piece.any():
                 hit, found = start[piece], got[piece]
-            ids.append(np.full(n, -1, np.int32))
-            score.append(np.full(n, -np.inf, np.float32))
+            ids[k], score[k] = -1, -np.inf
             if piece.any():
-                ids[-1][hit], score[-1][hit] = found, vocabulary.weight[found]
+                ids[k, hit], score[k, hit] = found, vocabulary.weight[found]
+                used = k + 1
             at = after[at]
             go = (got > -2) & (at >= words)  # nodes before ``words`` are ends
             start, h, at = start[go], h[go], at[go]
-        while len(ids) > 1 and ids[-1].max(initial=-1) < 0:
-            ids.pop(), score.pop()
-        if not ids:
-            ids, score = [np.full(n, -1, np.int32)], [np.full(n, -np.inf, np.float32)]
-        self.wide = len(ids)
-        self.ids, self.score = np.stack(ids), np.stack(score)
+        if not used:
+            ids[0], score[0], used = -1, -np.inf, 1
+        self.wide = used
+        self.ids, self.score = ids[:used], score[:used]
         score = self.score
         self.mass = np.zeros(n, np.float32)  # of the suffix from each node
         up_to = np.zeros((max(self.wide, 8), n), np.float32)
