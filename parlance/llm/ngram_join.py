@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.components import components
-from parlance.llm.scratch import materialise, ship
+from parlance.llm.scratch import held, materialise, ship
 from parlance.llm.textbytes import flat, mix, runs, table, word_hashes, word_spans
 
 BANDS, ROWS = 24, 4
@@ -85,6 +85,7 @@ def signatures(shingles: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("ngram_join")
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             for i, j in runs(offsets, 1 << 20):
@@ -179,8 +180,8 @@ def _candidates(threshold: float, tolerance: float, final: bool):
     which those meet: all pairs of a bucket's leaders, at a threshold lowered by both their distances.
     """
 
-    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
+    def out(wait: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(wait).combine_chunks()
         if not t.num_rows:
             return
         b, part, d, size, split = (t[c].to_numpy() for c in ("b", "part", "d1", "size", "split"))
@@ -234,25 +235,26 @@ def _candidates(threshold: float, tolerance: float, final: bool):
         yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in keep], pa.int64()) for c in range(3)], ["u", "v", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held("ngram_join")
+        wait: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:  # a bucket's part is held as a whole: some 150 bytes a text
             if not batch.num_rows:
                 continue
-            if held and rows > 50_000:
-                last = held[-1].slice(held[-1].num_rows - 1)
+            if wait and rows > 50_000:
+                last = wait[-1].slice(wait[-1].num_rows - 1)
                 same = (batch.column("b").to_numpy() == last.column("b")[0].as_py()) & (batch.column("part").to_numpy() == last.column("part")[0].as_py())
                 edge = len(same) if same.all() else int(np.argmin(same))
-                held.append(batch.slice(0, edge))
+                wait.append(batch.slice(0, edge))
                 batch, rows = batch.slice(edge), rows + edge
                 if not batch.num_rows:
                     continue
-                yield from out(held)
-                held, rows = [], 0
-            held.append(batch)
+                yield from out(wait)
+                wait, rows = [], 0
+            wait.append(batch)
             rows += batch.num_rows
-        if held:
-            yield from out(held)
+        if wait:
+            yield from out(wait)
 
     return run
 
@@ -262,6 +264,7 @@ def _candidates(threshold: float, tolerance: float, final: bool):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("ngram_join")
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             for i, j in runs(offsets, 1 << 20):
@@ -347,20 +350,21 @@ def _verify(threshold: float, tolerance: float):
         return [(r["d1"], r["d2"], int(links[k]), rows[root[k]]["d1"]) for k, r in enumerate(rows) if links[k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held("ngram_join")
+        wait: list[dict] = []
 
         def out() -> pa.RecordBatch:
-            found = solve(held)
+            found = solve(wait)
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["d1", "d2", "n_links", "v"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if held and held[-1]["unit"] != r["unit"]:
-                    if len(held) > 1:
+                if wait and wait[-1]["unit"] != r["unit"]:
+                    if len(wait) > 1:
                         yield out()
-                    held.clear()
-                held.append(r)
-        if len(held) > 1:
+                    wait.clear()
+                wait.append(r)
+        if len(wait) > 1:
             yield out()
 
     return run

@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.scratch import ship
+from parlance.llm.scratch import held, ship
 
 #: What the fast path may hold: white space and printable characters of Latin-1, in which lower case, composition and classes are those of the tokenizer.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
 _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
-_ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -34,7 +33,7 @@ class WordEncoder:
     beyond Latin-1, control characters or ``<|`` goes through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -84,9 +83,10 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """The process's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    kept = held("packing")
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 class Packer:
@@ -183,12 +183,12 @@ def _pack(path: str, size: int, end_id: int, texts_bytes: int = 4 << 20):
             kind = batch.schema.field("doc_id").type
             i = 0
             while i < batch.num_rows:
-                n, held = 0, 0
+                n, size_ = 0, 0
                 texts = []
-                while i + n < batch.num_rows and held < texts_bytes:
+                while i + n < batch.num_rows and size_ < texts_bytes:
                     t = batch.column("text")[i + n].as_py() or ""
                     texts.append(t)
-                    held += len(t)
+                    size_ += len(t)
                     n += 1
                 keys = batch.column("doc_id").slice(i, n).to_pylist()
                 done = [w for key, ids in zip(keys, enc.encode(texts)) for w in packer.place(key, ids + tail)]

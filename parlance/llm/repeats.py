@@ -29,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.scratch import materialise, ship
+from parlance.llm.scratch import held, materialise, ship
 from parlance.llm.textbytes import flat, mix, runs, table
 
 K = 32
 CHUNK = 1 << 20
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 #: A row over LARGE bytes is cut into parts of STEP.
 LARGE = 8 << 20
 STEP = 4 << 20
-WIDE = 12_000
+WIDE = 4_000
 HUGE = 200_000
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
@@ -138,6 +138,7 @@ def _folded(row: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.nd
 
 def _emit_spans(min_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("repeats")
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             for piece in _pieces(data, offsets, min_len):
@@ -325,8 +326,9 @@ def _scan_blocks(min_len: int):
                     yield r, r["s"] + a, r["s"] + b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size, closed = 0, 0  # rows of held before ``closed`` are of complete groups
+        held("repeats")
+        wait: list[dict] = []
+        size, closed = 0, 0  # rows of wait before ``closed`` are of complete groups
         kind = None
 
         def out(rows: list[dict]) -> pa.RecordBatch:
@@ -339,19 +341,19 @@ def _scan_blocks(min_len: int):
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             for r in batch.to_pylist():
-                if held and held[-1]["ahash"] != r["ahash"]:
-                    closed = len(held)
+                if wait and wait[-1]["ahash"] != r["ahash"]:
+                    closed = len(wait)
                     if size >= BLOCK:
-                        yield out(held)
-                        held, size, closed = [], 0, 0
-                held.append(r)
+                        yield out(wait)
+                        wait, size, closed = [], 0, 0
+                wait.append(r)
                 size += len(r["body"])
                 if size >= BLOCK and closed:
-                    yield out(held[:closed])
-                    held, closed = held[closed:], 0
-                    size = sum(len(x["body"]) for x in held)
-        if held:
-            yield out(held)
+                    yield out(wait[:closed])
+                    wait, closed = wait[closed:], 0
+                    size = sum(len(x["body"]) for x in wait)
+        if wait:
+            yield out(wait)
 
     return run
 
@@ -369,6 +371,7 @@ def _cut_spans(min_len: int, windows: bool):
     """Texts with their requests, to one row for each requested span (or for each of its windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("repeats")
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             raw = data.tobytes()
@@ -493,6 +496,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _rewrite(names: list[str], text: str, count: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("repeats")
         for batch in batches:
             texts = []
             for i, (raw, gone) in enumerate(_each_text(batch, text, "__pl_cover")):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _WRITTEN: list[str] = []
+_HELD: dict[str, dict] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -71,3 +72,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     sc.addPyFile(out)
     _SHIPPED.add(sc.applicationId)
+
+
+def held(owner: str) -> dict:
+    """What a Python worker keeps between the tasks of one operator; what others kept goes.
+
+    Workers live on through the stages of an application, so a large cache of one stage would
+    count against the memory of all later ones.
+    """
+    for name in [n for n in _HELD if n != owner]:
+        del _HELD[name]
+    return _HELD.setdefault(owner, {})

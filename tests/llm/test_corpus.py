@@ -308,7 +308,7 @@ def mutated(n, seed):
     return out + [(n, out[0][1]), (n + 1, None), (n + 2, "a" * 5000)]
 
 
-@pytest.mark.parametrize("wide,huge", [(12_000, 200_000), (3, 200_000), (3, 5)])
+@pytest.mark.parametrize("wide,huge", [(4_000, 200_000), (3, 200_000), (3, 5)])
 def test_removal_against_brute_force(spark, monkeypatch, wide, huge):
     monkeypatch.setattr(repeats, "WIDE", wide)
     monkeypatch.setattr(repeats, "HUGE", huge)
