@@ -21,12 +21,24 @@ _NAME = r"[^\x00-\x24\x26-\x2A\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]"
 _EMAIL = rf"(?<!{_NAME}){_NAME}++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}"
 _SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 _IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
-_DATE = r"(?<![0-9])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9])"
-_IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+_DATE = r"(?<![0-9])(?:[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}|(?:[0-9]{1,2}-[0-9]{1,2}-|[0-9]{1,2}/[0-9]{1,2}/|[0-9]{1,2}\.[0-9]{1,2}\.)[0-9]{4})(?![0-9])"
+_IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 _PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3,4}[ .\-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
 _TAX = r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
-_LONG = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])"
-PATTERN = "|".join((_EMAIL, _SECRET, _IP, _DATE, _TAX, _LONG, _IBAN, _PHONE))
+#: What begins here is no further group of a run: a value of its own, or a telephone number with dots.
+_STOP = rf"(?!{_EMAIL}|{_SECRET}|{_IP}|{_DATE}|[0-9]{{3}}(?:\.[0-9]{{3,4}}[ .\-]|[ \-][0-9]{{3,4}}\.)[0-9]{{4}}(?![0-9]))"
+#: Runs of groups of any length, searched by :func:`_within`: 13 digits or more, or from the head of an IBAN on.
+_LONG = rf"(?:\+|(?<![0-9A-Za-z]))(?=(?:[0-9][ \-]?){{12}}[0-9])[0-9]++(?![A-Za-z])(?:[ \-]{_STOP}[0-9]++(?![A-Za-z]))*+"
+_CODED = rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{8}})[A-Z0-9]++(?![a-z])(?:[ \-]{_STOP}[A-Z0-9]++(?![a-z]))*+"
+PATTERN = "|".join((_EMAIL, _SECRET, _IP, _DATE, _TAX, _LONG, _CODED, _PHONE))
+#: Groupings that cards are printed in.
+_PRINTED = r"^(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,4}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,4}(?:-[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5})$"
+#: Length of an IBAN by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL", 19: "MK SI", 20: "AT BA EE KZ XK LT LU", 21: "CH HR LV LI", 22: "BH BG CR GE DE IE ME RS GB VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MR MC SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
 
 KINDS = ("email", "secret", "ip", "date", "tax", "card", "iban", "phone")
 
@@ -122,31 +134,33 @@ def _ip(key: str, m: Column) -> Column:
 _FIRST, _A, _B = "1800-01-01", 189, 773
 
 
-def _date_parts(m: Column) -> tuple[Column, Column]:
-    """(date or null, its pattern). Of two leading numbers the first is the day if it is over 12 or dots part them."""
-    sep = F.regexp_extract(m, "([-/.])", 1)
+def _date_order(m: Column) -> tuple[Column, Column, Column, Column]:
+    """(parts, separator, year first, day first). Of two leading numbers the first is the day if it is over 12 or dots part them."""
+    parts, sep = F.split(m, "[-/.]"), F.regexp_extract(m, "([-/.])", 1)
     year_first = m.rlike("^[0-9]{4}")
-    day_first = ~year_first & ((F.substring(m, 1, 2).cast("int") > 12) | (sep == "."))
-    pattern = F.when(year_first, F.concat(F.lit("yyyy"), sep, F.lit("MM"), sep, F.lit("dd"))).when(day_first, F.concat(F.lit("dd"), sep, F.lit("MM"), sep, F.lit("yyyy"))).otherwise(F.concat(F.lit("MM"), sep, F.lit("dd"), sep, F.lit("yyyy")))
-    y = F.when(year_first, F.substring(m, 1, 4)).otherwise(F.substring(m, 7, 4))
-    mo = F.when(year_first, F.substring(m, 6, 2)).when(day_first, F.substring(m, 4, 2)).otherwise(F.substring(m, 1, 2))
-    d = F.when(year_first, F.substring(m, 9, 2)).when(day_first, F.substring(m, 1, 2)).otherwise(F.substring(m, 4, 2))
-    date = F.when(y.between("1800", "2199"), F.try_to_date(F.concat_ws("-", y, mo, d), "yyyy-MM-dd"))
-    return date, pattern
+    return parts, sep, year_first, ~year_first & ((F.get(parts, F.lit(0)).cast("int") > 12) | (sep == "."))
+
+
+def _date_value(m: Column) -> Column:
+    """The date, or null."""
+    parts, _, year_first, day_first = _date_order(m)
+    one, two, three = (F.get(parts, F.lit(i)) for i in range(3))
+    y = F.when(year_first, one).otherwise(three)
+    mo = F.lpad(F.when(year_first | day_first, two).otherwise(one), 2, "0")
+    d = F.lpad(F.when(year_first, three).when(day_first, one).otherwise(two), 2, "0")
+    return F.when(y.between("1800", "2199"), F.try_to_date(F.concat_ws("-", y, mo, d), "yyyy-MM-dd"))
 
 
 def _date(key: str, m: Column) -> Column:
-    date, _ = _date_parts(m)
-    day = F.datediff(date, F.lit(_FIRST).cast("date"))
+    day = F.datediff(_date_value(m), F.lit(_FIRST).cast("date"))
     a, b = F.lit(_A).cast("bigint"), F.lit(_B).cast("bigint")
     out = feistel(key, F.lit("date"), F.floor(day / _B), day % _B, a, b)
-    sep = F.regexp_extract(m, "([-/.])", 1)
-    year_first = m.rlike("^[0-9]{4}")
-    day_first = ~year_first & ((F.substring(m, 1, 2).cast("int") > 12) | (sep == "."))
+    parts, sep, year_first, day_first = _date_order(m)
+    short = F.exists(parts, lambda x: F.length(x) == 1)  # written without leading zeros
 
     def shown(x: Column) -> Column:
         new = F.date_add(F.lit(_FIRST).cast("date"), (x["l"] * _B + x["r"]).cast("int"))
-        y, mo, d = (F.date_format(new, p) for p in ("yyyy", "MM", "dd"))
+        y, mo, d = F.date_format(new, "yyyy"), *(F.when(short, F.date_format(new, p)).otherwise(F.date_format(new, 2 * p)) for p in ("M", "d"))
         return F.when(year_first, F.concat(y, sep, mo, sep, d)).when(day_first, F.concat(d, sep, mo, sep, y)).otherwise(F.concat(mo, sep, d, sep, y))
 
     return _let(out, shown)
@@ -162,22 +176,100 @@ def _digest(key: str, what: str, value: Column) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """What a match is, with its check; null for one that fails it, which stays as it is."""
-    digits = _digits(m)
+    """What a match that is no run of groups is, with its check; null for one that fails it, which stays as it is."""
     octets = F.forall(F.split(m, "\\."), lambda x: F.try_to_number(x, F.lit("999")) <= 255)
-    compact = F.replace(m, F.lit(" "), F.lit(""))
     return (
         F.when(F.contains(m, F.lit("@")), "email")
         .when(m.rlike("^[0-9A-Fa-f]{32,64}$"), "secret")
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(octets, F.lit("ip")))
-        .when(m.rlike(r"^([0-9]{4}([-/.])[0-9]{2}\2[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\3[0-9]{4})$"), F.when(_date_parts(m)[0].isNotNull(), F.lit("date")))
+        .when(m.rlike(f"^{_DATE}$"), F.when(_date_value(m).isNotNull(), F.lit("date")))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~m.rlike("^(000|666|9..)|^...-00|0000$"), F.lit("tax")))
-        .when(m.rlike("^[0-9](?:[ \\-]?[0-9]){12,18}$"), F.when(luhn_sum(digits) % 10 == 0, F.lit("card")))
-        .when(m.rlike("^[A-Z]{2}[0-9]{2}"), F.when(_mod97(F.concat(F.substr(compact, F.lit(5)), F.substr(compact, F.lit(1), F.lit(4)))) == 1, F.lit("iban")))
-        .otherwise(F.when(F.length(digits).between(9, 18), F.lit("phone")))
+        .otherwise(F.when(F.length(_digits(m)).between(9, 18), F.lit("phone")))
     )
 
 
+def _grouped(m: Column) -> Column:
+    """Whether a match is a run of groups, to be searched for values on the borders of its groups."""
+    return m.rlike(r"^\+?[0-9A-Z]++(?:[ \-][0-9A-Z]++)*+$") & ~m.rlike(rf"^(?:[0-9A-Fa-f]{{32,64}}|{_DATE}|{_TAX})$")
+
+
+def _checked(s: Column, printed: bool) -> Column:
+    """``card`` or ``iban`` if ``s`` is one (if ``printed``, in the usual groups and its country's length), else null."""
+    digits, compact = _digits(s), F.replace(s, F.lit(" "), F.lit(""))
+    card, iban = s.rlike("^[0-9](?:[ \\-]?[0-9]){12,18}$"), s.rlike(f"^{_IBAN}$")
+    if printed:
+        card = s.rlike(_PRINTED)
+        sizes = F.lit(" ".join(f"{c}{n}" for n, names in _IBAN_LENGTHS.items() for c in names.split()))
+        iban = iban & F.contains(sizes, F.concat(F.substring(s, 1, 2), F.length(compact).cast("string")))
+    sum97 = _mod97(F.concat(F.substr(compact, F.lit(5)), F.substr(compact, F.lit(1), F.lit(4))))
+    return F.when(card, F.when(luhn_sum(digits) % 10 == 0, F.lit("card"))).when(iban, F.when(sum97 == 1, F.lit("iban")))
+
+
+_PARTS = "array<struct<kind:string,text:string>>"
+
+
+def _part(kind: Column | None, text: Column) -> Column:
+    return F.struct((F.lit(None) if kind is None else kind).cast("string").alias("kind"), text.alias("text"))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, "[ \\-]$", "")
+
+
+def _valued(kind: Column, text: Column) -> Column:
+    """Two parts: a value, and the separator after it."""
+    return _let(_bare(text), lambda s: F.array(_part(kind, s), _part(None, F.substr(text, F.length(s) + 1))))
+
+
+def _loose(m: Column) -> Column:
+    """Parts of a run without values in their usual groups: the whole if it passes, else tax and phone numbers, and what :func:`_within` finds between them."""
+    pattern = f"{_TAX}|{_PHONE}"
+    none = F.array().cast(_PARTS)
+
+    def piece(f: Column) -> Callable[[Column, Column], Column]:
+        value = lambda i: _let(F.get(f, i), lambda x: F.array(_part(kind_of(x), x)))
+        return lambda p, i: F.concat(F.when(p != "", _within(p, False)).otherwise(none), F.when(i < F.size(f), value(i)).otherwise(none))
+
+    parts = _let(F.regexp_extract_all(m, F.lit(pattern), F.lit(0)), lambda f: F.flatten(F.transform(F.split(m, pattern, -1), piece(f))))
+    return _let(F.when(F.length(m) <= 48, _checked(_bare(m), False)), lambda k: F.when(k.isNotNull(), _valued(k, m)).otherwise(parts))
+
+
+def _within(m: Column, printed: bool = True) -> Column:
+    """Parts (kind or null, text) of a run of groups, in order.
+
+    Cards and IBANs in their usual groups are taken first, from the left, the longest first; then, between
+    them, numbers of other kinds; then cards and IBANs in any other groups. So no neighbour hides a value.
+    """
+    none = F.array().cast("array<struct<kind:string,i:int,j:int>>")
+
+    def searched(words: Column) -> Column:
+        n = F.size(words)
+        text = lambda i, j: F.array_join(F.transform(F.sequence(i, j), lambda k: F.get(words, k)), "")
+
+        def longest(i: Column) -> Column:
+            ends = F.reverse(F.sequence(i, F.least(i + 18, n - 1)))
+            made = F.transform(ends, lambda j: F.struct(_let(_bare(text(i, j)), lambda s: F.when(F.length(s).between(12, 48), _checked(s, printed))).alias("kind"), i.alias("i"), j.alias("j")))
+            return F.when(F.get(words, i).rlike("^[0-9A-Z]"), F.get(F.filter(made, lambda h: h["kind"].isNotNull()), F.lit(0)))
+
+        def step(acc: Column, i: Column) -> Column:
+            free = F.coalesce(F.get(acc, F.size(acc) - 1)["j"] < i, F.lit(True))
+            return _let(F.when(free, longest(i)), lambda h: F.when(h.isNotNull(), F.concat(acc, F.array(h))).otherwise(acc))
+
+        def cut(hits: Column) -> Column:
+            def piece(x: Column, t: Column) -> Column:
+                start = F.when(t > 0, F.get(hits, t - 1)["j"] + 1).otherwise(F.lit(0))
+                gap = F.when(start < x["i"], _let(text(start, x["i"] - 1), lambda g: _loose(g) if printed else F.array(_part(None, g))))
+                own = F.when(x["kind"].isNotNull(), _let(text(x["i"], x["j"]), lambda w: _valued(x["kind"], w)))
+                return F.concat(*(F.coalesce(y, F.array().cast(_PARTS)) for y in (gap, own)))
+
+            end = F.struct(F.lit(None).cast("string").alias("kind"), n.alias("i"), n.alias("j"))
+            return F.flatten(F.transform(F.concat(hits, F.array(end)), piece))
+
+        return _let(F.aggregate(F.sequence(F.lit(0), n - 1), none, step), cut)
+
+    return _let(F.regexp_extract_all(m, F.lit("[ \\-]?\\+?[0-9A-Z]*+[ \\-]?(?<=.)"), F.lit(0)), searched)
+
+
 def pseudonym(key: str, kind: Column, m: Column) -> Column:
     """What stands for a match of a kind."""
     local = _digest(key, "email", F.lower(m))
@@ -205,12 +297,14 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", into: str |
     asked = F.coalesce(t.rlike("[0-9@]"), F.lit(False))
     matches = F.when(asked, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
     changed = docs.withColumn("__p_m", F.coalesce(matches, F.array().cast("array<string>")))
-    made = F.transform("__p_m", lambda m: _let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(key, k, m).alias("new"))))
+    parts = lambda m: F.when(_grouped(m), _within(m)).otherwise(F.array(_part(kind_of(m), m)))
+    new = lambda p: F.struct(p["kind"].alias("kind"), pseudonym(key, p["kind"], p["text"]).alias("new"))
+    made = F.transform("__p_m", lambda m: F.transform(parts(m), new))
     changed = changed.withColumn("__p_new", F.when(F.size("__p_m") > 0, made))
     pieces = F.split(t, PATTERN, -1)
-    zipped = _let(pieces, lambda s: F.array_join(F.transform(s, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__p_new"), i)["new"], F.lit("")))), ""))
+    zipped = _let(pieces, lambda s: F.array_join(F.transform(s, lambda p, i: F.concat(p, F.coalesce(F.array_join(F.get(F.col("__p_new"), i)["new"], ""), F.lit("")))), ""))
     text = F.when(F.size("__p_m") > 0, zipped).otherwise(t)
-    kinds = F.filter(F.coalesce(F.transform("__p_new", lambda x: x["kind"]), F.array().cast("array<string>")), lambda k: k.isNotNull())
+    kinds = F.filter(F.coalesce(F.flatten(F.transform("__p_new", lambda x: x["kind"])), F.array().cast("array<string>")), lambda k: k.isNotNull())
     return changed.withColumn(found_col, kinds).withColumn(into or text_col, text).drop("__p_m", "__p_new")
 
 

@@ -259,6 +259,29 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_pseudonyms_beside_other_groups(spark):
+    """(text, its values by kind, what must not stay in clear)."""
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    cases = [
+        (f"pay {card} 12/25", ["card"], [card]), ("card 4111111111111111 123", ["card"], ["4111111111111111"]), ("1 4111-1111-1111-1111", ["card"], ["4111-1111-1111-1111"]),
+        ("555-123-4567 555-987-6543", ["phone", "phone"], ["123-4567", "987-6543"]), (f"{iban} EUR", ["iban"], [iban]), ("IBAN BE68539007547034 EUR 20", ["iban"], ["BE68539007547034"]),
+        (f"5551 {card}", ["card"], [card]), (f"{card} 12/25/2024", ["card", "date"], [card, "12/25/2024"]), (f"{card} 10.20.30.40", ["card", "ip"], [card, "10.20.30.40"]),
+        (f"{iban} GB82 WEST 1234 5698 7654 32", ["iban", "iban"], [iban, "1234 5698 7654 32"]), (f"{iban} {card} 555-123-4567", ["iban", "card", "phone"], [iban, card, "123-4567"]),
+        (f"+44 20 7946 0958 {card}", ["phone", "card"], ["7946 0958", card]), (f"{iban} BOB.SMITH@EXAMPLE.COM", ["iban", "email"], [iban, "BOB"]), (f"{card} 555-12-3456", ["card", "tax"], [card, "12-3456"]),
+        (f"{card} 555.123.4567", ["card", "phone"], [card, "123.4567"]), ("41 11111111111111 12", ["card"], ["41 11111111111111"]), ("born 1/2/1984, 3.4.1985 and 1986-5-6", ["date"] * 3, ["1/2/1984", "3.4.1985", "1986-5-6"]),
+        ("4111 1111 1111 1112", [], []), ("AB12 SOME WORDS IN CAPITALS 2024", [], []), ("7 " * 5_000, None, []),
+    ]
+    rows = pii.pseudonymised(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string"), "key").collect()
+    for r in rows:
+        text, kinds, gone = cases[r.doc_id]
+        assert kinds is None or list(r["__p_found"]) == kinds, text
+        assert not [g for g in gone if g in r.text], (text, r.text)
+        if kinds == []:
+            assert r.text == text
+    new = {r.doc_id: r.text for r in rows}
+    assert new[0][4:23].replace(" ", "") == new[1].split()[1] == new[2][2:].replace("-", "") and new[0].endswith(" 12/25") and new[4].endswith(" EUR")
+
+
 def test_pseudonyms_odd_rows(odd_docs, no_docs):
     out = pii.replaced(odd_docs, "key", count_col="n_chars")
     assert out.columns == odd_docs.columns and out.count() == 12 and pii.replaced(no_docs, "key").count() == 0
