@@ -6,8 +6,9 @@ The code length of a text is exact: a byte unseen in its context escapes to the
 language with the shortest code wins.
 
 Statistics come from a bounded sample: whole texts, chosen by a hash of their content so that a language
-gives about ``SAMPLE`` texts whatever its share. The contexts kept are the ``NODES`` most frequent of
-the sample; others are coded from the longest kept suffix. Every text is scored whole.
+gives about ``SAMPLE`` texts whatever its share. The contexts kept are, for each language, the ``NODES`` most
+frequent of its sample; others are coded from the longest kept suffix. Every text is scored whole, under
+every label there is. Tables hold ``GROUP`` languages each, and a task has one table in memory at a time.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.scratch import ship
+from parlance.llm.scratch import materialise, ship
 from parlance.llm.textbytes import flat, runs
 
 DEPTH = 3
 SAMPLE = 1500
 NODES = 12_000
-LANGUAGES = 200
+GROUP = 4
 #: Contexts under this count in the sample have no node of their own.
 LEAST = 8
 
@@ -83,13 +84,15 @@ class ByteTrees:
             contexts.append(contexts[-1] + sym(k) * s ** (k - 1))
         self.node = np.zeros(s**DEPTH, np.int32)  # of the three bytes before: the longest kept context
         keep: list[tuple[int, int]] = [(0, 0)]
-        ranked = []
-        for k in range(1, DEPTH + 1):
-            values, at = np.unique(contexts[k], return_inverse=True)
-            total = np.bincount(at, n) if len(values) else np.zeros(0)
-            ranked += [(-int(t), k, int(v)) for v, t in zip(values, total) if t >= LEAST]
-        ranked.sort()
-        chosen = {(k, v) for _, k, v in ranked[: nodes - 1]}
+        chosen: set[tuple[int, int]] = set()
+        for c in range(count):
+            ranked, own = [], lang == c
+            for k in range(1, DEPTH + 1):
+                values, at = np.unique(contexts[k][own], return_inverse=True)
+                total = np.bincount(at, n[own]) if len(values) else np.zeros(0)
+                ranked += [(-int(t), k, int(v)) for v, t in zip(values, total) if t >= LEAST]
+            ranked.sort()
+            chosen |= {(k, v) for _, k, v in ranked[: nodes - 1]}
         keep += sorted(x for x in chosen if x[0] == 1 or (x[0] - 1, x[1] % s ** (x[0] - 1)) in chosen)
         number = {x: i for i, x in enumerate(keep)}
         parent = np.zeros(len(keep), np.int64)
@@ -165,36 +168,53 @@ class ByteTrees:
         return out
 
 
-def _label(trees):
+def _label(groups):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trees.value
         for batch in batches:
             known = np.asarray(batch.column("letters"))
-            names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            if model.names:
-                bits = model.lengths(batch.column("text"))
-                best = bits.argmin(1)
-                scores = 1 / np.exp2(np.minimum(0, bits.min(1, keepdims=True) - bits)).sum(1)
-                names = [model.names[b] if k else "und" for b, k in zip(best, known)]
-                scores = np.where(known, scores, 0.0)
+            names = np.full(batch.num_rows, "und", object)
+            least, mass = np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows)
+            for trees in groups:
+                model = trees.value
+                if model.names and batch.num_rows:
+                    bits = model.lengths(batch.column("text"))
+                    now = np.minimum(least, bits.min(1))
+                    mass = mass * np.exp2(now - least) + np.exp2(now[:, None] - bits).sum(1)
+                    names = np.where(now < least, np.array(model.names, object)[bits.argmin(1)], names)
+                    least = now
+                if len(groups) > 1:  # the next use reads it from disk again
+                    del model
+                    trees.__dict__.pop("_value", None)
+            scores = np.where(known & (mass > 0), 1 / np.maximum(mass, 1), 0.0)
+            names = np.where(known, names, "und")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> ByteTrees:
-    """Trees of the languages in ``labelled`` (text, lang; lang not null), at most LANGUAGES of them."""
+def learned(labelled: DataFrame, sample: int = SAMPLE, nodes: int = NODES, group: int | None = GROUP) -> Iterator[ByteTrees]:
+    """Trees of all languages in ``labelled`` (text, lang; lang not null), ``group`` languages a table, in the order of names."""
     spark = labelled.sparkSession
-    sizes = labelled.filter(F.length("text") > 0).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in sizes)
+    sizes = {r["lang"]: r["count"] for r in labelled.filter(F.length("text") > 0).groupBy("lang").count().collect()}
+    names = sorted(sizes)
     if not names:
         none = np.zeros(0, np.int64)
-        return ByteTrees(none, none, none, [])
-    share = spark.createDataFrame([(r["lang"], names.index(r["lang"]), min(1.0, sample / r["count"])) for r in sizes], "lang string, lang_no int, share double")
+        yield ByteTrees(none, none, none, [])
+        return
+    share = spark.createDataFrame([(name, i, min(1.0, sample / sizes[name])) for i, name in enumerate(names)], "lang string, lang_no int, share double")
     drawn = labelled.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     grams = drawn.select("text", "lang_no").mapInArrow(_grams, "lang_no int, gram long, n long").groupBy("lang_no", "gram").agg(F.sum("n").alias("n"))
-    got = grams.toPandas()  # of the bounded sample
-    return ByteTrees(got["lang_no"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy(), names, nodes)
+    group = group or len(names)
+    if len(names) > group:
+        grams = materialise(grams, "grams")
+    for lo in range(0, len(names), group):
+        got = grams.filter(F.col("lang_no").between(lo, lo + group - 1)).toPandas()  # of the bounded sample
+        yield ByteTrees(got["lang_no"].to_numpy() - lo, got["gram"].to_numpy(), got["n"].to_numpy(), names[lo : lo + group], nodes)
+
+
+def learn(labelled: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> ByteTrees:
+    """Trees of all languages in ``labelled`` as one table."""
+    return next(learned(labelled, sample, nodes, None))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -208,6 +228,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ship(spark)
     out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"), out.alias("held_out"))
-    trees = spark.sparkContext.broadcast(learn(base.filter("NOT held_out AND lang IS NOT NULL").select("text", "lang")))
+    trees = [spark.sparkContext.broadcast(t) for t in learned(base.filter("NOT held_out AND lang IS NOT NULL").select("text", "lang"))]
     asked = base.select("doc_id", "held_out", "text", F.col("text").rlike("\\p{L}").alias("letters"))
     return asked.mapInArrow(_label(trees), f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")

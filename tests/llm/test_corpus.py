@@ -220,6 +220,25 @@ def test_language_accuracy_and_odd_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_language_every_label_is_learned(spark):
+    """More labels than a table holds, or than the 200 that were the bound; each has words of its own."""
+    many = [(f"l{k:03d}", " ".join([chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k)] * 12)) for k in range(203)]
+    rows = [(4 * k + j, text, name) for k, (name, text) in enumerate(many) for j in range(4)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)).collect()
+    true = {i: name for i, _, name in rows}
+    learned = {true[r.doc_id] for r in got if not r.held_out}
+    assert len(learned) > 200 and all(r.lang_pred == true[r.doc_id] for r in got if true[r.doc_id] in learned)
+
+
+def test_language_contexts_do_not_depend_on_others(spark):
+    small, large = [("abcabcabd" * 4, "x")], [("qrstuvwqrstuvx" * 50, "y")]
+    one, two = (langid.learn(spark.createDataFrame(rows, "text string, lang string"), nodes=8) for rows in (small, small + large))
+    import pyarrow as pa
+
+    asked = pa.array(["abcabd"])
+    assert one.lengths(asked)[0, 0] >= two.lengths(asked)[0, 0] - 1e-3
+
+
 # --- 6 ---
 
 
