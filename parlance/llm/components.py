@@ -26,7 +26,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v longs); root is the component's least node.
 
     Edges stay linear in number: each step keeps a star for each node. A round is written to the
-    shared folder, and the loop ends when a round changes nothing.
+    shared folder, and the loop ends when a round changes nothing; not to settle in ``most_rounds`` is an error.
     """
     now = materialise(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
@@ -36,4 +36,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         mark = seen
         now = materialise(_star(_star(now, True), False), "edges")
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -454,6 +454,12 @@ def test_components_chain_and_star(spark):
     assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 140)}
 
 
+def test_components_unsettled_is_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components.components(edges, most_rounds=1)
+
+
 # --- 10 ---
 
 
