@@ -27,7 +27,7 @@ from parlance.llm.scratch import ship
 from parlance.llm.textbytes import mix
 
 LONGEST = 16
-#: Partial paths this far below (in nats) cannot be among the best few: odds under e ** -30.
+#: Partial paths this far below (in nats), and log(k) further for k draws, are left out: odds of about e ** -30 for any k.
 FAR = 32.0
 BATCH_CHARS = 80_000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -38,6 +38,11 @@ def _char_codes(chars: np.ndarray) -> np.ndarray:
     return mix(chars.astype(np.uint64) * _T1 + _T2)
 
 
+def far(k: int) -> float:
+    """How far below (in nats) a partial path is left out when ``k`` segmentations are drawn."""
+    return FAR + float(np.log(max(k, 1)))
+
+
 class Pieces:
     """A vocabulary: pieces by hash of each prefix, their weights, and the byte pieces."""
 
@@ -338,12 +343,12 @@ class Batch:
                 zero = np.where(head[:-1] < head[1:], np.concatenate((before, [0.0]))[head[:-1]], 0.0)
                 before = before - zero[row_]
                 end = np.where(head[:-1] < head[1:], np.concatenate(([0.0], run))[head[1:]] - zero, 0.0)
-                if ((end < -FAR) | (self.first_word[1:] - self.first_word[:-1] <= most) | (head[:-1] == head[1:])).all():
+                if ((end < -far(k)) | (self.first_word[1:] - self.first_word[:-1] <= most) | (head[:-1] == head[1:])).all():
                     break
                 most *= 4
             heads.append((occ_, step_, at_, edge_))
             occ, step, at, edge, row, word = occ_, step_, at_, edge_, row_, word_
-            near = before > -FAR
+            near = before > -far(k)
             if draw:
                 near &= (occ > b_word[row]) | ((occ == b_word[row]) & (step > b_step[row]))
             i = np.flatnonzero(near)

@@ -116,6 +116,10 @@ def test_sampler_draws_without_replacement(vocabulary):
     assert abs((weight * p).sum() - 1) < 0.1  # the inclusion scores make the estimate of 1 unbiased
 
 
+def test_sampler_cut_widens_with_draws():
+    assert piece_lattice.far(1) == piece_lattice.FAR and piece_lattice.far(1000) == pytest.approx(piece_lattice.FAR + math.log(1000))
+
+
 def test_sampler_rows(odd_docs, no_docs):
     model = queries.tokenizer_file("piece_bpe_32k.model")
     out = piece_lattice.decode(piece_lattice.encode(odd_docs, model, k=3), model)
