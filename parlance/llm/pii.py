@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: ASCII that ends the name of a mailbox is left out; everything beyond ASCII may stand in one.
 _NAME = r"[^\x00-\x24\x26-\x2A\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]"
-_EMAIL = rf"(?<!{_NAME}){_NAME}++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}"
+#: The host is one run of a class, so that no length of it deepens the matcher's stack.
+_EMAIL = rf"(?<!{_NAME}){_NAME}++@(?!\.)[A-Za-z0-9.\-]*(?<!\.)\.[A-Za-z]{{2,}}"
 _SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 _IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9])(?:[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}|(?:[0-9]{1,2}-[0-9]{1,2}-|[0-9]{1,2}/[0-9]{1,2}/|[0-9]{1,2}\.[0-9]{1,2}\.)[0-9]{4})(?![0-9])"
@@ -30,6 +31,10 @@ _STOP = rf"(?!{_EMAIL}|{_SECRET}|{_IP}|{_DATE}|[0-9]{{3}}(?:\.[0-9]{{3,4}}[ .\-]
 #: Runs of groups of any length, searched by :func:`_within`: 13 digits or more, or from the head of an IBAN on.
 _LONG = rf"(?:\+|(?<![0-9A-Za-z]))(?=(?:[0-9][ \-]?){{12}}[0-9])[0-9]++(?![A-Za-z])(?:[ \-]{_STOP}[0-9]++(?![A-Za-z]))*+"
 _CODED = rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{8}})[A-Z0-9]++(?![a-z])(?:[ \-]{_STOP}[A-Z0-9]++(?![a-z]))*+"
+#: Every value has a digit, a sign of a mailbox or 32 letters in a row; texts without any of them are passed on unread.
+_ANY = r"[0-9@]|[A-Fa-f]{32}"
+#: Calling codes of one and two digits (fixed values); all others have three.
+_CALLING = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PATTERN = "|".join((_EMAIL, _SECRET, _IP, _DATE, _TAX, _LONG, _CODED, _PHONE))
 #: Groupings that cards are printed in.
 _PRINTED = r"^(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,4}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,4}(?:-[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5})$"
@@ -167,7 +172,8 @@ def _date(key: str, m: Column) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
-    kept = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[^0-9])", 1))
+    """The national number permuted whatever its groups, so that all spellings of it stay linked; the calling code stays."""
+    kept = F.length(F.regexp_extract(m, _CALLING, 1))
     return _refilled(m, permuted_digits(key, "phone", F.substr(_digits(m), kept + 1)), kept)
 
 
@@ -272,10 +278,10 @@ def _within(m: Column, printed: bool = True) -> Column:
 
 def pseudonym(key: str, kind: Column, m: Column) -> Column:
     """What stands for a match of a kind."""
-    local = _digest(key, "email", F.lower(m))
+    letters = lambda what, x, n: F.translate(F.substring(_digest(key, what, F.lower(x)), 1, n), "0123456789", "ghijklmnop")  # noqa: E731  (digits might look like a number)
     secret = F.substr(_digest(key, "secret", F.lower(m)), F.lit(1), F.length(m))
     return (
-        F.when(kind == "email", F.concat(F.lit("u"), F.substring(local, 1, 12), F.lit("@d"), F.substring(_digest(key, "host", F.lower(F.substring_index(m, "@", -1))), 1, 8), F.lit(".invalid")))
+        F.when(kind == "email", F.concat(F.lit("u"), letters("email", m, 24), F.lit("@d"), letters("host", F.substring_index(m, "@", -1), 16), F.lit(".invalid")))
         .when(kind == "secret", F.when(m.rlike("[a-f]"), secret).otherwise(F.upper(secret)))
         .when(kind == "ip", _ip(key, m))
         .when(kind == "date", _date(key, m))
@@ -290,11 +296,12 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", into: str | None = None, found_col: str = "__p_found") -> DataFrame:
     """``docs`` with the text's values replaced (in ``into``, or in place) and ``found_col``: array of (kind, place in the text).
 
-    Null text stays null with no values; texts without digits or ``@`` are passed on unread. Each
-    row is worked on alone, so no key is hot, and repeated rows get equal results.
+    Null text stays null with no values, and an empty or very long text is treated like any other. Each
+    row is worked on alone, so no key is hot, repeated rows get equal results, and an empty table gives an
+    empty one. Columns whose names begin with ``__p_`` are the operator's own.
     """
     t = F.col(text_col)
-    asked = F.coalesce(t.rlike("[0-9@]"), F.lit(False))
+    asked = F.coalesce(t.rlike(_ANY), F.lit(False))
     matches = F.when(asked, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
     changed = docs.withColumn("__p_m", F.coalesce(matches, F.array().cast("array<string>")))
     parts = lambda m: F.when(_grouped(m), _within(m)).otherwise(F.array(_part(kind_of(m), m)))

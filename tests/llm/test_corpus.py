@@ -305,6 +305,33 @@ def test_pseudonyms_beside_other_groups(spark):
     assert new[0][4:23].replace(" ", "") == new[1].split()[1] == new[2][2:].replace("-", "") and new[0].endswith(" 12/25") and new[4].endswith(" EUR")
 
 
+def test_pseudonyms_equal_plain_version(docs):
+    """The whole query: kinds and new text of every document."""
+    got = pii.pseudonymised(docs.select("doc_id", "text"), "key", into="new").collect()
+    for r in got:
+        assert plain.pseudonymised(r.text or "", "key") == (list(r["__p_found"]), r.new or ""), r.doc_id
+    assert sum(len(r["__p_found"]) for r in got) > 20
+
+
+def test_pseudonyms_of_one_number_are_linked(spark):
+    """A number gives one pseudonym in all its spellings, with or without its country."""
+    spelt = [["+34 911 555 123", "+34911555123", "+34-911-555-123", "+34 91 155 51 23", "+34.911.555.123"], ["(911) 555-1234", "911-555-1234", "+1 911 555 1234", "+1 (911) 555-1234", "+19115551234"]]
+    for group, code in zip(spelt, ("34", "1")):
+        rows = pii.pseudonymised(spark.createDataFrame([(i, t) for i, t in enumerate(group)], "doc_id long, text string"), "key").collect()
+        digits = {"".join(c for c in r.text if c.isdigit()) for r in rows}
+        assert all(list(r["__p_found"]) == ["phone"] for r in rows)
+        national = {d[len(code) :] if r.text.startswith("+") else d for r in rows for d in ["".join(c for c in r.text if c.isdigit())]}
+        assert len(national) == 1 and all(d.startswith(code) for r in rows for d in ["".join(c for c in r.text if c.isdigit())] if r.text.startswith("+")) and len(digits) <= 2
+
+
+def test_pseudonyms_of_extreme_texts(spark):
+    """Nothing deepens the matcher's stack, and a token without digits is found in a text without any."""
+    token = "abcdef" * 5 + "ab"
+    texts = ["x@" + "a." * 100_000 + "1", "x@" + "ab." * 100_000 + "1", "@" * 300_000, "a@" * 100_000, "1" * 300_000, "-" * 300_000, "1.1." * 80_000, "A" * 300_000, "+1 " * 80_000, f"a token {token} alone"]
+    rows = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    assert [r.n_values for r in rows] == [0, 1, 0, 0, 0, 0, 0, 0, 0, 1] and token not in rows[-1].text and rows[0].text == texts[0]
+
+
 def test_pseudonyms_odd_rows(odd_docs, no_docs):
     out = pii.replaced(odd_docs, "key", count_col="n_chars")
     assert out.columns == odd_docs.columns and out.count() == 12 and pii.replaced(no_docs, "key").count() == 0
