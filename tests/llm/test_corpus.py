@@ -37,10 +37,33 @@ def test_license_scan_odd_rows(odd_docs, no_docs):
 
 
 def test_license_scan_finds_by_containment(spark):
+    wrapped = "\n".join(license_scan.TEMPLATES[5].text.split(" the ")).replace("software", "Software", 3)  # the full text over many lines, without its articles
+    scattered = " ".join(f"w{i}" if i % 40 else ["licensed", "under", "the", "mit", "license"][i // 40 % 5] for i in range(300))
     rows = [(1, "x\nThis is released, today, under the MIT license!\ny"), (2, "cc by cc by"), (3, "Licensed under the Apache License, Version 2.0."), (4, "license under apache")]
+    rows += [(5, "before " * 70 + wrapped + " after" * 70), (6, scattered), (7, "Licensed under\nthe MIT\nlicense"), (8, "licensed under the bsd license"), (9, "Licenced under the Apache License, Version 2.0")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == "mit" and got[1].score == 1.0 and got[3].labels == "apache-2.0" and got[4].labels == ""
     assert (got[2].n_base, got[2].first_word, got[2].last_word) == (2, 0, 2)
+    assert got[5].labels == "mit" and min(h.share for h in got[5].hits) < 1 and got[6].labels == got[8].labels == "" and got[7].labels == "mit" and got[9].labels == "apache-2.0"
+
+
+def test_license_scan_filters_each_drop_some(spark):
+    """Length, prefix and positional filter: each passes what the count passes, and drops some that the others let through."""
+    t = license_scan.Template("x", "a b c d e f g h i j")
+    rank = {w: i for i, w in enumerate("abcdefghijklmnopqrst")}
+    blocks = ["abcdefghij", "abcdefgh", "abcdefg", "cdefghij", "defghijk", "bdefghijklm", "abcklmnopqrst", "klmnopqrst", "cdefghijklm", "cklmnopqrst", "acdefghijkl"]
+    df = spark.createDataFrame([(b, sorted(rank[c] for c in b)) for b in blocks], "b string, own array<int>")
+    one = F.get(license_scan.template_rows((t,), rank, 0.8), F.lit(0))
+    got = df.select("b", *[f.alias(n) for f, n in zip(license_scan.filtered(F.col("own"), one), ("length", "prefix", "place", "count"))]).collect()
+    for r in got:
+        assert r["count"] == (len(set(r.b) & set("abcdefghij")) >= 8)
+        assert not r["count"] or (r.length and r.prefix and r.place)
+    assert [r for r in got if not r.length] and [r for r in got if r.length and not r.prefix] and [r for r in got if r.length and r.prefix and not r.place]
+
+
+def test_license_scan_lowers_ascii_only(spark):
+    got = license_scan.scan(spark.createDataFrame([(1, "CC BY, \u212aind"), (2, "ALL RIGHTS RESERVED")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_words for r in got] == [3, 3] and [r.base_labels for r in got] == ["cc-by", "reserved"]
 
 
 # --- 2 ---
