@@ -7,9 +7,9 @@ least ``THRESHOLD`` of the template's different words are in it, and all of thos
 license. Words of the templates are ordered by how often they are in the whole corpus, rarest first,
 and a block is reduced to its words of that vocabulary in that order, which changes no overlap. Then
 
-* prefix filter: overlap of at least ``need`` out of ``n`` words means that one of the template's
-  ``n - need + 1`` rarest words is in the block's own prefix,
 * length filter: the reduced block has at least ``need`` words,
+* prefix filter: overlap of at least ``need`` out of ``n`` words means that one of the template's
+  ``n - need + 1`` rarest words is in the block,
 * positional filter: with the first common word at places i and j, no more than
   ``1 + min(n - i - 1, m - j - 1)`` can be common,
 
@@ -148,7 +148,7 @@ def rare_words(template: Template, rank: dict[str, int], threshold: float) -> li
 def filtered(own: Column, t: Column) -> tuple[Column, Column, Column, Column]:
     """Whether template ``t`` passes the length, prefix and positional filter and the exact count against the ordered words ``own``."""
     n, m, need = F.size(t["ids"]), F.size(own), t["need"]
-    first = F.get(F.array_intersect(t["prefix"], F.slice(own, F.lit(1), F.greatest(m - need + 1, F.lit(0)))), F.lit(0))
+    first = F.get(F.array_intersect(t["prefix"], own), F.lit(0))
     room = 1 + F.least(n - F.array_position(t["ids"], first), m - F.array_position(own, first))
     return m >= need, first.isNotNull(), room >= need, F.size(F.array_intersect(own, t["ids"])) >= need
 
