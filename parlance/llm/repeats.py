@@ -4,19 +4,23 @@ Every ``min_len``-byte window picks an anchor: the leftmost smallest hash of the
 in it. Equal windows pick equal anchors at equal places, so windows that repeat always meet under
 one anchor hash. Consecutive windows of one anchor form a *span*. The steps:
 
-1. Each document gives one small row for each span (key, place, anchor hash, content hash).
-2. Spans are grouped by anchor hash. A span whose content is there twice repeats as a whole; a span
-   whose anchor is alone repeats nowhere. Only the rest is contested.
-3. One text of each contested span goes to a block; the block builds a suffix array with LCP values
+1. Each document gives one small row for each span (key, place, anchor hash, content hash). Those whose
+   anchor is nowhere else repeat nowhere and go.
+2. Spans are counted by anchor and content, the copies of one content summed before they are sent. A
+   content that is there twice repeats as a whole. An anchor with several contents, some there once, is
+   contested.
+3. One text of each contested content goes to a block; the block builds a suffix array with LCP values
    and a stack scan finds the common-prefix intervals of at least ``min_len`` bytes. Intervals whose
    occurrences have different bytes to the left (or reach a span's border) are maximal repeat
    groups; each covers all of its occurrences, not only neighbours.
-4. A document's covered ranges are joined back to it.
+4. A document's covered ranges are joined back to it. :func:`groups` instead joins the intervals of
+   neighbouring spans with the same occurrences into groups of any length, with all their occurrences.
 
 No step brings the copies of a text together as text: copies meet as hashes, and one of them is
-compared. Anchors with more than ``WIDE`` different spans are sorted by place in the window instead
-of in one suffix array, within the same memory; those with more than ``HUGE`` are counted by a
-grouped aggregate over window digests, which Spark splits among tasks.
+compared. No key has to fit in a task: counts are partial sums, joins on anchors and contents are
+between tables that Spark can split at a hot key, and a task's suffix array holds at most ``WIDE``
+contents of an anchor. The windows of anchors with more are counted by digest in a grouped aggregate,
+which finds the same repeats.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.components import components
 from parlance.llm.scratch import held, materialise, ship
 from parlance.llm.textbytes import flat, mix, runs, table
 
@@ -38,8 +43,8 @@ BLOCK = 1 << 20
 #: A row over LARGE bytes is cut into parts of STEP.
 LARGE = 8 << 20
 STEP = 4 << 20
-WIDE = 4_000
-HUGE = 200_000
+#: Contents of one anchor that a suffix array may hold.
+WIDE = 1_000
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
 
@@ -113,9 +118,8 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, min_len: int) -> Iterator[tup
             row, *rest = spans_of(data[lo:hi], offsets[i : j + 1] - lo, min_len)
             yield row + i, *rest
             continue
-        step = 4 << 20
-        for a in range(lo, hi, step):
-            b = min(hi, a + step + min_len - 1)
+        for a in range(lo, hi, STEP):
+            b = min(hi, a + STEP + min_len - 1)
             if b - a >= min_len:
                 row, start, *rest = spans_of(data[a:b], np.array([0, b - a]), min_len)
                 yield row + i, start + (a - lo), *rest
@@ -170,20 +174,23 @@ def _ranks(symbols: np.ndarray, top: int) -> dict[int, np.ndarray]:
     return out
 
 
-def suffix_array(symbols: np.ndarray, starts: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(symbols: np.ndarray, starts: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts`` and the common prefix of each with its predecessor.
 
     Symbols are bytes plus 1, spans are followed by a 0, so a suffix that ends sorts before those
-    that go on. 368 symbols are compared, more than a span has. A common prefix is capped by the
-    ``room`` of either (bytes to the end of its span); lcp[0] is 0.
+    that go on. ``depth`` symbols are compared, as many as the longest span has. A common prefix
+    is capped by the ``room`` of either (bytes to the end of its span); lcp[0] is 0.
     """
-    ranks = _ranks(symbols, 256)
-    n = len(symbols)
-    last = np.concatenate((ranks[256], np.zeros(112, np.int32))).astype(np.int64)
-    order = np.argsort((last[starts] << 32) | last[starts + 112], kind="stable")
+    top = 4
+    while 2 * top <= depth:
+        top *= 2
+    ranks = _ranks(symbols, top)
+    n, rest = len(symbols), max(depth - top, 0)
+    last = np.concatenate((ranks[top], np.zeros(rest, np.int32))).astype(np.int64)
+    order = np.argsort((last[starts] << 32) | last[starts + rest], kind="stable")
     p, q = starts[order[:-1]], starts[order[1:]]
     lcp = np.zeros(len(p), np.int64)
-    for size in (256, 128, 64, 32, 16, 8, 4):
+    for size in sorted(ranks, reverse=True):
         a, b = p + lcp, q + lcp
         fits = (a < n) & (b < n)
         r = ranks[size]
@@ -237,7 +244,7 @@ def repeat_groups(blobs: list[bytes], counts: list[int], min_len: int) -> tuple[
     blob = np.repeat(np.arange(len(blobs)), many)
     inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     starts = base[blob] + inner
-    order, lcp = suffix_array(symbols, starts, size[blob] - inner)
+    order, lcp = suffix_array(symbols, starts, size[blob] - inner, int(size.max()))
     best = np.zeros(len(order), np.int64)
     groups: list[tuple[int, int, int]] = []
     near = lcp >= min_len
@@ -270,28 +277,6 @@ def promising(blobs: list[bytes], counts: list[int], min_len: int) -> np.ndarray
     return out
 
 
-def _wide_cover(blobs: list[bytes], counts: list[int], offsets_in: list[int], min_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """(blob, place) of repeated windows of one anchor, sorted place by place instead of at once."""
-    base = np.concatenate(([0], np.cumsum([len(b) for b in blobs])[:-1]))
-    data = np.frombuffer(b"".join(blobs), np.uint8)
-    off, many = np.array(offsets_in), np.array(counts)
-    got: list[tuple[np.ndarray, np.ndarray]] = []
-    for o in range(int(off.max()) + 1):  # the anchor stands o bytes into the window
-        place = off - o
-        rows = np.flatnonzero((place >= 0) & (place < many))
-        if len(rows) < 2:
-            continue
-        at = base[rows] + place[rows]
-        windows = np.ascontiguousarray(data[at[:, None] + np.arange(min_len)]).view(f"V{min_len}").ravel()
-        order = np.argsort(windows)
-        same = windows[order[1:]] == windows[order[:-1]]
-        hit = np.zeros(len(rows), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        got.append((rows[hit], place[rows[hit]]))
-    return (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (np.zeros(0, np.int64),) * 2
-
-
 def _ranges(place: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
     """Union of [place, place + length)."""
     order = np.argsort(place, kind="stable")
@@ -301,22 +286,25 @@ def _ranges(place: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[cut].tolist(), b[np.concatenate((cut[1:] - 1, [len(b) - 1]))].tolist()))
 
 
-def _scan_blocks(min_len: int):
-    """Spans sorted by anchor, to the covered ranges of those that stand alone."""
+_MEMBERS = "ahash long, shash long, place int, length int, gid long"
+
+
+def _digest_of(raw: bytes) -> int:
+    """64-bit name of a string."""
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+def _scan_blocks(min_len: int, members: bool):
+    """Spans sorted by anchor, to the covered ranges of those that stand alone, or to the groups with their members."""
 
     def solve(rows: list[dict]) -> Iterator[tuple[dict, int, int]]:
+        """(span, first byte, end) in the document."""
         keep = promising([r["body"] for r in rows], [r["n"] for r in rows], min_len)
         rows = [r for r, k in zip(rows, keep.tolist()) if k]
         if not rows:
             return
-        blobs, counts = [r["body"] for r in rows], [r["n"] for r in rows]
-        groups = {r["ahash"] for r in rows}
-        if len(groups) == 1 and len(rows) > WIDE:
-            blob, place = _wide_cover(blobs, counts, _anchor_places(blobs, counts, min_len), min_len)
-            length = np.full(len(blob), min_len)
-        else:
-            blob, place, _, best = repeat_groups(blobs, counts, min_len)
-            blob, place, length = blob[best > 0], place[best > 0], best[best > 0]
+        blob, place, _, best = repeat_groups([r["body"] for r in rows], [r["n"] for r in rows], min_len)
+        blob, place, length = blob[best > 0], place[best > 0], best[best > 0]
         order = np.argsort(blob, kind="stable")
         blob, place, length = blob[order], place[order], length[order]
         cut = np.searchsorted(blob, np.arange(len(rows) + 1))
@@ -325,6 +313,19 @@ def _scan_blocks(min_len: int):
                 for a, b in _ranges(place[cut[i] : cut[i + 1]], length[cut[i] : cut[i + 1]]):
                     yield r, r["s"] + a, r["s"] + b
 
+    def grouped(rows: list[dict]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(anchor, content, place in the span, length, group); a content that repeats as a whole is a group too."""
+        blob, place, groups, _ = repeat_groups([r["body"] for r in rows], [r["n"] for r in rows], min_len)
+        whole = {i for i, r in enumerate(rows) if not r["single"]}
+        for a, b, length in groups:
+            name = _digest_of(rows[blob[a]]["body"][place[a] : place[a] + length])
+            for i, at in zip(blob[a : b + 1].tolist(), place[a : b + 1].tolist()):
+                if length == len(rows[i]["body"]):
+                    whole.discard(i)
+                yield rows[i]["ahash"], rows[i]["shash"], at, length, name
+        for i in whole:
+            yield rows[i]["ahash"], rows[i]["shash"], 0, len(rows[i]["body"]), _digest_of(rows[i]["body"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("repeats")
         wait: list[dict] = []
@@ -332,6 +333,9 @@ def _scan_blocks(min_len: int):
         kind = None
 
         def out(rows: list[dict]) -> pa.RecordBatch:
+            if members:
+                found = list(grouped(rows))
+                return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int32() if i in (2, 3) else pa.int64()) for i in range(5)], ["ahash", "shash", "place", "length", "gid"])
             found = list(solve(rows)) if rows else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([r["doc_id"] for r, _, _ in found], kind), pa.array([r["th"] for r, _, _ in found], pa.int64()), pa.array([a for _, a, _ in found], pa.int32()), pa.array([b for _, _, b in found], pa.int32())],
@@ -358,15 +362,6 @@ def _scan_blocks(min_len: int):
     return run
 
 
-def _anchor_places(blobs: list[bytes], counts: list[int], min_len: int) -> list[int]:
-    """Where the anchor stands in each span: the leftmost smallest gram of its first window."""
-    out = []
-    for body in blobs:
-        head = _gram_hashes(np.frombuffer(body[:min_len], np.uint8))
-        out.append(int(np.argmin((head & ~np.uint64((1 << 24) - 1)) | np.arange(len(head), dtype=np.uint64))))
-    return out
-
-
 def _cut_spans(min_len: int, windows: bool):
     """Texts with their requests, to one row for each requested span (or for each of its windows)."""
 
@@ -388,12 +383,13 @@ def _cut_spans(min_len: int, windows: bool):
                 piece = inner.slice(i, len(keys))
                 if not windows:
                     body = pa.array([raw[a : a + k + min_len - 1] for a, k in zip(lo.tolist(), many.tolist())], pa.binary())
-                    yield pa.RecordBatch.from_arrays([piece.field("ahash"), piece.field("single"), ids, th, piece.field("s"), piece.field("n"), body], ["ahash", "single", "doc_id", "th", "s", "n", "body"])
+                    yield pa.RecordBatch.from_arrays([piece.field("ahash"), piece.field("shash"), piece.field("single"), ids, th, piece.field("s"), piece.field("n"), body], ["ahash", "shash", "single", "doc_id", "th", "s", "n", "body"])
                     continue
                 for k, (a, c) in enumerate(zip(lo.tolist(), many.tolist())):
                     digest = pa.array([hashlib.blake2b(raw[a + t : a + t + min_len], digest_size=16).digest() for t in range(c)], pa.binary())
                     same = pa.array(np.full(c, k))
-                    yield pa.RecordBatch.from_arrays([digest, piece.field("single").take(same), ids.take(same), th.take(same), pa.array(np.arange(c, dtype=np.int32) + np.int32(s[i + k]))], ["window", "single", "doc_id", "th", "p"])
+                    kept = [piece.field(f).take(same) for f in ("ahash", "shash", "single")]
+                    yield pa.RecordBatch.from_arrays([digest, *kept, ids.take(same), th.take(same), pa.array(np.arange(c, dtype=np.int32)), pa.array(np.full(c, s[i + k], np.int32))], ["window", "ahash", "shash", "single", "doc_id", "th", "place", "s"])
 
     return run
 
@@ -407,48 +403,104 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
+def _spans(docs: DataFrame, id_col: str, text_col: str, min_len: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans whose anchor is there twice, their contents with counts, one row each, anchors with several contents and whether some are there once)."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    every = materialise(_keyed(docs, id_col, text_col).mapInArrow(_emit_spans(min_len), _SPAN_SCHEMA.format(id=id_type)), "spans")
+    # what is joined with a table of counts is written first: Spark splits hot keys between plain tables only
+    twice = every.groupBy("ahash").agg(F.count("*").alias("c"), F.max(F.col("m") > F.col("n")).alias("folded")).filter("c > 1 OR folded").select("ahash")
+    met = materialise(every.join(materialise(twice, "anchors"), "ahash", "left_semi"), "met")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "s"))
+    kinds = met.groupBy("ahash", "shash").agg(F.count("*").alias("c"), F.max(F.col("m") > F.col("n")).alias("folded"), F.first("n").alias("n"), least.alias("rep"))
+    kinds = kinds.select("ahash", "shash", "n", ((F.col("c") == 1) & ~F.col("folded")).alias("single"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), F.col("rep.s").alias("s"))
+    kinds = materialise(kinds, "kinds")
+    contested = kinds.groupBy("ahash").agg(F.count("*").alias("kinds"), F.max("single").alias("some")).filter("kinds > 1")
+    return met, kinds, materialise(contested, "contested")
+
+
+def _asked(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_len: int, windows: bool) -> DataFrame:
+    """The text of each span in ``asked`` (or the digests of its windows), cut from its document."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    keyed = _keyed(docs, id_col, text_col)
+    ask = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "n", "ahash", "shash", "single")).alias("ask"))  # of one text
+    texts = keyed.join(ask, same_key(keyed, ask)).select(keyed["doc_id"], keyed["th"], keyed["text"], ask["ask"])
+    own = "window binary, ahash long, shash long, single boolean, doc_id {0}, th long, place int, s int" if windows else "ahash long, shash long, single boolean, doc_id {0}, th long, s int, n int, body binary"
+    return texts.mapInArrow(_cut_spans(min_len, windows), own.format(id_type))
+
+
+def _checked(min_len: int) -> None:
+    if not 2 * K <= min_len <= 1 << 20:
+        raise ValueError(f"min_len must be from {2 * K} to {1 << 20}")
+
+
 def covered_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200) -> DataFrame:
-    """Byte ranges of each text that a repeated string of ``min_len`` bytes covers.
+    """Byte ranges of each text that a repeated string of ``min_len`` bytes (64 to 2 ** 20) covers.
 
     One row for each text with any: ``doc_id``, ``th`` (xxhash64 of the text, null as empty),
     ``cover`` (array of a, b: bytes [a, b), unordered, may overlap). Equal texts under different ids
     cover each other. Null and short texts have no row; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    _checked(min_len)
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    keyed = _keyed(docs, id_col, text_col)
-    spans = keyed.mapInArrow(_emit_spans(min_len), _SPAN_SCHEMA.format(id=id_type))
-    w = Window.partitionBy("ahash").orderBy("shash")
-    whole = Window.partitionBy("ahash")
-    marked = (
-        spans.withColumn("before", F.lag("shash").over(w))
-        .withColumn("after", F.lead("shash").over(w))
-        .filter(F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("m") > F.col("n")))
-        .withColumn("single", (F.col("m") == F.col("n")) & ~(F.coalesce(F.col("shash") == F.col("before"), F.lit(False)) | F.coalesce(F.col("shash") == F.col("after"), F.lit(False))))
-        .withColumn("head", F.coalesce(F.col("shash") != F.col("before"), F.lit(True)))
-        .withColumn("singles", F.sum(F.col("single").cast("long")).over(whole))
-        .withColumn("kinds", F.sum(F.col("head").cast("long")).over(whole))
-        .select("doc_id", "th", "s", "n", "m", "ahash", "single", (F.col("head") & (F.col("singles") > 0)).alias("asked"), "kinds")
-    )
-    marked = materialise(marked, "spans")
-    full = marked.filter(~F.col("single")).select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("m") + F.lit(min_len - 1)).alias("b"))
-
-    def texts_asked(which: Column) -> DataFrame:
-        ask = marked.filter("asked").filter(which).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "n", "ahash", "single")).alias("ask"))
-        return keyed.join(ask, same_key(keyed, ask)).select(keyed["doc_id"], keyed["th"], keyed["text"], ask["ask"])
-
-    bodies = texts_asked(F.col("kinds") <= HUGE).mapInArrow(_cut_spans(min_len, False), f"ahash long, single boolean, doc_id {id_type}, th long, s int, n int, body binary")
-    found = bodies.repartition("ahash").sortWithinPartitions("ahash").mapInArrow(_scan_blocks(min_len), f"doc_id {id_type}, th long, a int, b int")
-    cover = full.unionByName(found)
-    if marked.filter(F.col("kinds") > HUGE).limit(1).count():
-        windows = texts_asked(F.col("kinds") > HUGE).mapInArrow(_cut_spans(min_len, True), f"window binary, single boolean, doc_id {id_type}, th long, p int")
-        twice = windows.groupBy("window").count().filter("count > 1").select("window")
-        hit = windows.filter("single").join(twice, "window", "left_semi")
-        cover = cover.unionByName(hit.select("doc_id", "th", F.col("p").alias("a"), (F.col("p") + min_len).alias("b")))
+    met, kinds, contested = _spans(docs, id_col, text_col, min_len)
+    whole = met.join(kinds.filter(~F.col("single")).select("ahash", "shash"), ["ahash", "shash"], "left_semi")
+    cover = whole.select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("m") + F.lit(min_len - 1)).alias("b"))
+    contested = contested.filter("some")  # contents that are there twice are covered as they are
+    asked = kinds.join(contested, "ahash")
+    bodies = _asked(docs, asked.filter(F.col("kinds") <= WIDE), id_col, text_col, min_len, False)
+    found = bodies.repartition("ahash").sortWithinPartitions("ahash").mapInArrow(_scan_blocks(min_len, False), f"doc_id {id_type}, th long, a int, b int")
+    cover = cover.unionByName(found)
+    if contested.filter(F.col("kinds") > WIDE).limit(1).count():
+        windows = _asked(docs, asked.filter(F.col("kinds") > WIDE), id_col, text_col, min_len, True)
+        twice = materialise(windows.groupBy("window").count().filter("count > 1").select("window"), "windows")
+        hit = windows.filter("single").join(twice, "window", "left_semi").withColumn("a", F.col("s") + F.col("place"))
+        cover = cover.unionByName(hit.select("doc_id", "th", "a", (F.col("a") + min_len).alias("b")))
     return cover.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("cover"))
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200) -> DataFrame:
+    """Repeat groups with all their occurrences: ``group, length, n_occurrences, doc_id, th, start``, one row each.
+
+    A group is a string of at least ``min_len`` bytes; its rows are all places of the input where it
+    stands (``start`` in bytes, ``th`` the xxhash64 of the text there). Strings that always stand in the
+    same place of a longer one are joined into it, so neighbouring spans with the same occurrences are
+    one group. The union of all rows is what :func:`covered_ranges` covers.
+    """
+    _checked(min_len)
+    ship(docs.sparkSession)
+    met, kinds, contested = _spans(docs, id_col, text_col, min_len)
+    asked = kinds.join(contested, "ahash")
+    bodies = _asked(docs, asked.filter(F.col("kinds") <= WIDE), id_col, text_col, min_len, False)
+    members = bodies.repartition("ahash").sortWithinPartitions("ahash").mapInArrow(_scan_blocks(min_len, True), _MEMBERS)
+    alone = kinds.filter(~F.col("single")).join(contested, "ahash", "left_anti")
+    members = members.unionByName(alone.select("ahash", "shash", F.lit(0).alias("place"), (F.col("n") + F.lit(min_len - 1)).alias("length"), F.xxhash64("ahash", "shash").alias("gid")))
+    if contested.filter(F.col("kinds") > WIDE).limit(1).count():
+        windows = _asked(docs, asked.filter(F.col("kinds") > WIDE), id_col, text_col, min_len, True)
+        copies = windows.groupBy("window").agg(F.count("*").alias("c"), F.max(~F.col("single")).alias("more")).filter("c > 1 OR more").select("window")
+        hit = windows.join(materialise(copies, "windows"), "window", "left_semi")
+        members = members.unionByName(hit.select("ahash", "shash", "place", F.lit(min_len).alias("length"), F.xxhash64("window").alias("gid")))
+    members = materialise(members, "members")
+    turns = met.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("m") - 1, F.col("n"))))  # folded spans stand several times
+    spots = turns.join(members, ["ahash", "shash"]).select("gid", "length", "doc_id", "th", (F.col("s") + F.col("turn") + F.col("place")).alias("a")).distinct()
+    spots = materialise(spots, "spots")
+    total = materialise(spots.groupBy("gid").agg(F.count("*").alias("total"), F.first("length").alias("length")), "totals")
+    known = spots.join(total.select("gid", "total"), "gid")
+    longest = known.groupBy("doc_id", "th", "a").agg(F.max(F.struct("length", "gid", "total")).alias("x")).select("doc_id", "th", "a", "x.*")
+    ends = longest.select("gid", "total", F.struct("doc_id", "th", (F.col("a") + F.col("length") - F.lit(min_len - 1)).alias("a")).alias("at"))
+    begins = longest.select(F.col("gid").alias("to"), F.col("total").alias("total2"), F.struct("doc_id", "th", "a").alias("at2"))
+    step = ends.join(begins, ends["at"].eqNullSafe(begins["at2"]) & (ends["total"] == begins["total2"]))
+    links = step.groupBy("gid", "to", "total").count().filter("count = total").select(F.col("gid").alias("u"), F.col("to").alias("v"))
+    links = materialise(links, "links")
+    chains = materialise(components(links), "chains")  # a chain ends in every text, so none is a ring
+    own = F.lit(min_len - 1)
+    sizes = chains.join(total, chains["node"] == total["gid"]).groupBy("root").agg((F.sum(F.col("length") - own) + own).alias("whole"))
+    firsts = chains.join(links, chains["node"] == links["v"], "left_anti").join(sizes, "root").select(F.col("node").alias("gid"), "whole")
+    named = total.join(chains, total["gid"] == chains["node"], "left_anti").select("gid", "total", "length").unionByName(total.join(firsts, "gid").select("gid", "total", F.col("whole").alias("length")))
+    out = spots.drop("length").join(named, "gid")
+    return out.select(F.col("gid").alias("group"), F.col("length").cast("long").alias("length"), F.col("total").alias("n_occurrences"), "doc_id", "th", F.col("a").cast("long").alias("start"))
+
+
 def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return _ranges(a.astype(np.int64), (b - a).astype(np.int64)) if len(a) else []
 

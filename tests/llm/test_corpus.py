@@ -404,16 +404,58 @@ def mutated(n, seed):
     return out + [(n, out[0][1]), (n + 1, None), (n + 2, "a" * 5000)]
 
 
-@pytest.mark.parametrize("wide,huge", [(4_000, 200_000), (3, 200_000), (3, 5)])
-def test_removal_against_brute_force(spark, monkeypatch, wide, huge):
+@pytest.mark.parametrize("wide", [1_000, 3])
+def test_removal_against_brute_force(spark, monkeypatch, wide):
     monkeypatch.setattr(repeats, "WIDE", wide)
-    monkeypatch.setattr(repeats, "HUGE", huge)
     rows = mutated(60, 7)
     got = {r.doc_id: tuple(r)[1:] for r in repeats.removal_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     want = plain.removal([t for _, t in rows], 200)
     assert [got[i] for i, _ in rows] == want
 
 
+@pytest.mark.parametrize("length", [64, 333, 600])
+def test_removal_of_other_lengths(spark, length):
+    rows = mutated(24, 11)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.removal_report(spark.createDataFrame(rows, "doc_id long, text string"), min_len=length).collect()}
+    assert [got[i] for i, _ in rows] == plain.removal([t for _, t in rows], length)
+    with pytest.raises(ValueError):
+        repeats.covered_ranges(spark.createDataFrame(rows, "doc_id long, text string"), min_len=63)
+
+
+@pytest.mark.parametrize("wide", [1_000, 3])
+def test_groups_have_all_occurrences(spark, monkeypatch, wide):
+    """Each group is one string with every place where it stands; together they cover what is removed; long copies are one group."""
+    monkeypatch.setattr(repeats, "WIDE", wide)
+    rows = [(i, t) for i, t in mutated(28, 5) if t is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = {i: t.encode() for i, t in rows}
+    found = {}
+    for r in repeats.groups(df).collect():
+        found.setdefault(r.group, []).append(r)
+    gone = {i: np.zeros(len(b), bool) for i, b in raw.items()}
+    for g in found.values():
+        n = g[0].length
+        text = raw[g[0].doc_id][g[0].start : g[0].start + n]
+        everywhere = sorted((i, p) for i, b in raw.items() for p in range(len(b) - n + 1) if b.startswith(text, p))
+        assert len(text) == n >= 200 and len(everywhere) >= 2 == len({2, g[0].n_occurrences > 1})
+        assert everywhere == sorted((r.doc_id, r.start) for r in g) and g[0].n_occurrences == len(g)
+        for i, p in everywhere:
+            gone[i][p : p + n] = True
+    removed = {i: r[1] for (i, _), r in zip(rows, plain.removal([t for _, t in rows], 200))}
+    assert {i: int(x.sum()) for i, x in gone.items()} == removed
+
+
+def test_groups_join_spans(spark):
+    """A passage of many spans in two documents is one group."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    passage = " ".join(word() for _ in range(400))
+    rows = [(i, " ".join(word() for _ in range(80)) + f" {i} {passage} {i} " + " ".join(word() for _ in range(80))) for i in range(2)]
+    got = repeats.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    longest = max(r.length for r in got)
+    assert longest >= len(passage) - 400 and len({r.group for r in got}) <= 4
+
+
 def test_removal_of_large_rows_in_parts(monkeypatch):
     monkeypatch.setattr(repeats, "LARGE", 2000)
     monkeypatch.setattr(repeats, "STEP", 700)
@@ -421,6 +463,7 @@ def test_removal_of_large_rows_in_parts(monkeypatch):
     body = r.integers(97, 123, 9000, dtype=np.uint8)
     whole = repeats.spans_of(body, np.array([0, len(body)]), 200)
     parts = list(repeats._pieces(body, np.array([0, len(body)]), 200))
+    assert len(parts) == 13
     windows = lambda found: {(s + i, a) for row, start, count, anchor, _ in found for s, c, a in zip(start, count, anchor) for i in range(c)}
     assert windows(parts) == windows([whole]) and len({w for w, _ in windows(parts)}) == 9000 - 199
 
