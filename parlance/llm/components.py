@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from parlance.llm.scratch import materialise
 
 
+#: Parts that a node's edges are dealt in, so that a hub is not one task's work.
+PARTS = 16
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's (larger, or smaller and own) neighbours linked to its smallest neighbour."""
+    """Each node's (larger, or smaller and own) neighbours linked to its smallest neighbour.
+
+    The smallest neighbour is found over the node's parts, and sent back to each part there is.
+    """
     both = edges.select(F.col("u").alias("n"), F.col("v").alias("m"))
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
-    least = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"))
-    linked = both.join(least, "n")
+    both = both.withColumn("part", F.pmod(F.xxhash64("m"), F.lit(PARTS)).cast("int"))
+    parts = both.groupBy("n", "part").agg(F.min("m").alias("low"))
+    least = parts.groupBy("n").agg(F.least(F.min("low"), F.first("n")).alias("least"))
+    low = parts.select("n", "part").join(least, "n").select("n", "part", F.col("least").alias("low"))
+    linked = both.join(low, ["n", "part"])
     if large:
         out = linked.filter(F.col("m") > F.col("n")).select(F.col("m").alias("u"), F.col("low").alias("v"))
     else:
-        out = linked.select(F.col("m").alias("u"), F.col("low").alias("v")).unionByName(least.select(F.col("n").alias("u"), F.col("low").alias("v")))
+        out = linked.select(F.col("m").alias("u"), F.col("low").alias("v")).unionByName(least.select(F.col("n").alias("u"), F.col("least").alias("v")))
     return out.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

@@ -22,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.components import components
@@ -177,7 +177,8 @@ def _candidates(threshold: float, tolerance: float, final: bool):
     """Rows (b, part, d1, size, sig, split) sorted by bucket part, to links (u, v).
 
     Parts of split buckets also give their leaders, as (d1, d1, bucket). ``final`` is the round in
-    which those meet: all pairs of a bucket's leaders, at a threshold lowered by both their distances.
+    which those meet: all pairs of a bucket's leaders, two blocks of them at a time, at a threshold lowered
+    by both their distances.
     """
 
     def out(wait: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,12 +372,12 @@ def _verify(threshold: float, tolerance: float):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-4) -> DataFrame:
-    """One row for each document: ``doc_id, th, class_id, n_links, n_copies, n_words, text_id``.
+    """One row for each document: ``doc_id, th, class_id, class_th, n_links, n_copies, n_words, text_id``.
 
     ``class_id`` is the least id of the documents that links join (its own, if none), ``n_links`` the
     number of different texts it is linked to at ``threshold``, ``n_copies`` the rows with the same
     words (itself included; case of letters and what stands between words don't count), ``text_id`` the least
-    id of those. ``th`` is xxhash64 of the text. Documents without words (null, empty) are alone.
+    id of those. ``th`` is xxhash64 of the text, ``class_th`` that of the class's least document. Documents without words (null, empty) are alone.
     Documents under ``n`` words count as one shingle. Null ids stand after all others.
     """
     spark = docs.sparkSession
@@ -389,8 +390,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count("*").alias("n_copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
     )
     texts = materialise(texts.select("d1", "d2", "n_copies", F.col("rep.doc_id").alias("text_id"), F.col("rep.th").alias("text_th"), "size", "bands", "sig"), "texts")
-    own = Window.partitionBy("b")
-    met = texts.select(F.explode("bands").alias("b"), "d1", "d2").withColumn("n", F.count("*").over(own)).filter("n > 1")
+    buckets = texts.select(F.explode("bands").alias("b")).groupBy("b").agg(F.count("*").alias("n")).filter("n > 1")
+    met = texts.select(F.explode("bands").alias("b"), "d1", "d2").join(materialise(buckets, "buckets"), "b")  # plain tables, so that Spark can split a hot bucket
     parts = F.ceil(F.col("n") / PART).cast("int")
     met = met.select("b", "d1", "d2", F.pmod(F.xxhash64("d1"), parts).cast("int").alias("part"), (parts > 1).alias("split"))
     asked = texts.select("d1", "d2", "size", "sig")
@@ -404,7 +405,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = found.filter("b IS NULL").select("u", "v")
     leaders = found.filter("b IS NOT NULL")
     if leaders.limit(1).count():
-        again = leaders.select("b", F.col("u").alias("d1")).join(asked.dropDuplicates(["d1"]), "d1").select("b", F.lit(0).alias("part"), "d1", "size", "sig", F.lit(False).alias("split"))
+        blocks = leaders.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("nb"))
+        dealt = leaders.select("b", F.col("u").alias("d1")).join(blocks, "b").withColumn("blk", F.pmod(F.xxhash64("d1"), F.col("nb")).cast("int"))
+        dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))  # each two blocks meet in a task
+        dealt = dealt.select("b", "d1", (F.least("blk", "to") * F.col("nb") + F.greatest("blk", "to")).alias("part"))
+        again = dealt.join(asked.dropDuplicates(["d1"]), "d1").select("b", "part", "d1", "size", "sig", F.lit(False).alias("split"))
         edges = edges.unionByName(linked(again, True).select("u", "v"))
     group = components(edges)
     member = texts.join(group, texts["d1"] == group["node"]).select("root", "d1", "d2", "sig", "size", "text_id", "text_th")
@@ -423,26 +428,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = found.groupBy("d1", "d2").agg(F.sum("n_links").alias("n_links"))
     root = components(found.select(F.col("d1").alias("u"), "v"))
     linked = texts.join(total, ["d1", "d2"]).join(root, F.col("d1") == F.col("node"))
-    least = linked.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    per_text = texts.join(linked.join(least, "root").select("d1", "d2", "n_links", "class_id"), ["d1", "d2"], "left")
-    per_text = per_text.select("d1", "d2", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "text_id")
+    first = F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "text_th"))
+    least = linked.groupBy("root").agg(first.alias("first")).select("root", F.col("first.text_id").alias("class_id"), F.col("first.text_th").alias("class_th"))
+    per_text = texts.join(linked.join(least, "root").select("d1", "d2", "n_links", "class_id", "class_th"), ["d1", "d2"], "left")
+    per_text = per_text.select("d1", "d2", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("class_th", "text_th").alias("class_th"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "text_id")
     per_text = materialise(per_text, "classes")  # so that the copies of one text can be split among tasks in the join
     return (
         sketch.select("doc_id", "th", "d1", "d2", "n_words")
         .join(per_text, ["d1", "d2"], "left")
-        .select("doc_id", "th", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "n_words", F.coalesce("text_id", "doc_id").alias("text_id"))
+        .select("doc_id", "th", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_th", "th").alias("class_th"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "n_words", F.coalesce("text_id", "doc_id").alias("text_id"))
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents that stand for their class: those whose id is the class's least.
+    """One document of each class: the one with the class's least id, of several under it the one with the least hash of its text.
 
-    Of repeated rows (same id, same text) one stays. All columns stay, under any names but
-    ``__pl_th``, ``__pl_id`` and ``__pl_rank``.
+    Of repeated rows (same id, same text) the one whose columns have the least hash stays. All columns
+    stay, under any names but ``__pl_th``, ``__pl_id``, ``__pl_th2``, ``__pl_gone`` and ``__pl_row``.
     """
     found = near_duplicates(docs, id_col, text_col, n, threshold)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__pl_id"), F.col("th").alias("__pl_th2")).distinct()
-    again = found.groupBy("doc_id", "th").count().filter("count > 1").select(F.col("doc_id").alias("__pl_id"), F.col("th").alias("__pl_th2"))
+    here = (F.col("doc_id").alias("__pl_id"), F.col("th").alias("__pl_th2"))
+    gone = found.filter(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th")))).select(*here).distinct()
+    again = found.groupBy("doc_id", "th").count().filter("count > 1").select(*here)
     marks = gone.withColumn("__pl_gone", F.lit(True)).unionByName(again.withColumn("__pl_gone", F.lit(False))).groupBy("__pl_id", "__pl_th2").agg(F.max("__pl_gone").alias("__pl_gone"))
     marks = materialise(marks, "marks")
     mine = docs.withColumn("__pl_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
@@ -450,6 +457,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     once = joined.filter("__pl_gone IS NULL").select(docs.columns)
     if not marks.filter("NOT __pl_gone").limit(1).count():
         return once
-    rank = F.row_number().over(Window.partitionBy(id_col, "__pl_th").orderBy("__pl_th"))
-    twice = joined.filter("NOT __pl_gone").withColumn("__pl_rank", rank).filter("__pl_rank = 1").select(docs.columns)
+    hashed = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])  # maps have no hash
+    least = F.min_by(F.struct(*docs.columns), hashed).alias("__pl_row")  # a partial aggregate, however often the row is there
+    twice = joined.filter("NOT __pl_gone").groupBy(id_col, "__pl_th").agg(least).select("__pl_row.*")
     return once.unionByName(twice)
+
+
+def oracle_sql(table: str = "documents", n: int = 5, threshold: float = 0.8) -> str:
+    """The columns of the query by brute force in DuckDB: all texts that share a shingle, counted exactly; classes by walking the links."""
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    return f"""
+    WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM {table}),
+    txt AS (SELECT w, min(doc_id) AS text_id, count(*) AS n_copies FROM t WHERE len(w) > 0 GROUP BY w),
+    sh AS (SELECT DISTINCT text_id, unnest(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' ')) END) AS s FROM txt),
+    sz AS (SELECT text_id, count(*) AS n FROM sh GROUP BY text_id),
+    common AS (SELECT a.text_id AS a, b.text_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.text_id < b.text_id GROUP BY ALL),
+    link AS (SELECT a, b FROM common JOIN sz x ON x.text_id = a JOIN sz y ON y.text_id = b WHERE c >= {threshold} * (x.n + y.n - c) - 1e-9),
+    pair AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    walk(a, r) AS (SELECT text_id, text_id FROM txt UNION SELECT pair.a, walk.r FROM walk JOIN pair ON pair.b = walk.a),
+    root AS (SELECT a AS text_id, min(r) AS class_id FROM walk GROUP BY a),
+    links AS (SELECT a AS text_id, count(*) AS n_links FROM pair GROUP BY a)
+    SELECT doc_id, coalesce(class_id, doc_id)::BIGINT AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 1)::BIGINT AS n_copies, len(t.w)::BIGINT AS n_words, coalesce(text_id, doc_id)::BIGINT AS text_id
+    FROM t LEFT JOIN txt ON t.w = txt.w AND len(t.w) > 0 LEFT JOIN root USING (text_id) LEFT JOIN links USING (text_id)"""

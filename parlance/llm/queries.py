@@ -86,4 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scans": license_scan.oracle_sql(),
+    "op7_suffix_array_dedup": repeats.oracle_sql(),
+    "op9_ngram_jaccard_join": ngram_join.oracle_sql(),
 }

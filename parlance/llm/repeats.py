@@ -572,3 +572,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     theirs = cover.select(F.col("doc_id").alias("__pl_id"), F.col("th").alias("__pl_th2"), F.col("cover").alias("__pl_cover"))
     joined = mine.join(theirs, mine[id_col].eqNullSafe(theirs["__pl_id"]) & (mine["__pl_th"] == theirs["__pl_th2"]), "left").drop("__pl_id", "__pl_th2", "__pl_th")
     return joined.mapInArrow(_rewrite(docs.columns, text_col, count_col), docs.schema)
+
+
+def oracle_sql(table: str = "documents", min_len: int = 200) -> str:
+    """:func:`removal_report` by brute force in DuckDB: each byte a row, windows hashed by doubling, every window counted."""
+    steps, size = [], 1
+    while 2 * size <= min_len:
+        steps.append((2 * size, size))
+        size *= 2
+    steps.append((min_len, min_len - size))
+    lead = lambda c, n: f"lead({c}, {n}) OVER (PARTITION BY r ORDER BY i)"
+    passes, last = "", "b1"
+    for k, (to, by) in enumerate(steps):
+        passes += f"b{k + 2} AS (SELECT r, i, c, hash(h, {lead('h', by)}) AS h, {lead('i', to - 1)} AS e FROM {last}),\n    "
+        last = f"b{k + 2}"
+    return f"""
+    WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM {table}),
+    b1 AS (SELECT r, i, c, hash(c) AS h, i AS e FROM (SELECT r, unnest(regexp_extract_all(x, '..')) AS c, unnest(range(length(x) // 2)) AS i FROM t)),
+    {passes}
+    w AS (SELECT r, i, c, CASE WHEN e IS NULL THEN 0 ELSE (count(*) OVER (PARTITION BY h, e IS NULL) > 1)::INT END AS f FROM {last}),
+    v AS (SELECT r, i, c, max(f) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {min_len - 1} PRECEDING AND CURRENT ROW) AS g FROM w),
+    u AS (SELECT *, coalesce(lag(g) OVER (PARTITION BY r ORDER BY i), 0) AS before FROM v),
+    s AS (SELECT r, sum(g) AS n_removed, sum((g = 1 AND before = 0)::INT) AS n_spans, coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE g = 0), '') AS kept FROM u GROUP BY r)
+    SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+    FROM t LEFT JOIN s USING (r)"""

@@ -535,6 +535,22 @@ def test_keep_one_odd_rows(odd_docs, no_docs):
     assert ngram_join.keep_one(no_docs).count() == 0 and ngram_join.near_duplicates(no_docs).count() == 0
 
 
+def test_keep_one_of_one_id(spark):
+    """Near copies under one id leave one row; of repeated rows the choice depends on their columns alone."""
+    a, b = ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * 3 + end for end in ("fifteen", "sixteen"))
+    rows = [(6, a, "x"), (6, b, "x"), (7, b, "x"), (8, "other words alone", "q"), (8, "other words alone", "p"), (None, "no id", "x"), (None, "no id", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, v string")
+    one = sorted(map(str, ngram_join.keep_one(df).collect()))
+    assert len(one) == 3 and one == sorted(map(str, ngram_join.keep_one(df.repartition(3).orderBy(F.desc("v"))).collect()))
+
+
+@pytest.mark.parametrize("name", ["op7_suffix_array_dedup", "op9_ngram_jaccard_join"])
+def test_query_matches_sql(spark, duck, name):
+    got, rel = queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLE_SQL[name])
+    assert sorted(rel.columns) == sorted(got.columns)
+    assert sorted(tuple(r[c] for c in rel.columns) for r in got.collect()) == sorted(rel.fetchall())
+
+
 def test_pruning_bound():
     from math import comb
 
