@@ -19,8 +19,10 @@ one anchor hash. Consecutive windows of one anchor form a *span*. The steps:
 No step brings the copies of a text together as text: copies meet as hashes, and one of them is
 compared. No key has to fit in a task: counts are partial sums, joins on anchors and contents are
 between tables that Spark can split at a hot key, and a task's suffix array holds at most ``WIDE``
-contents of an anchor. The windows of anchors with more are counted by digest in a grouped aggregate,
-which finds the same repeats.
+contents of an anchor. Spans of anchors with more are cut into parts by where the anchor stands in the
+window, and a part is dealt by the hash of the bytes that all its windows share, which parts the unlike
+ones; parts that more than ``WIDE`` still share are compared place by place in the same memory. The windows of
+anchors with over ``HUGE`` contents are counted by digest in a grouped aggregate. All find the same repeats.
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ LARGE = 8 << 20
 STEP = 4 << 20
 #: Contents of one anchor that a suffix array may hold.
 WIDE = 1_000
+#: Contents of one anchor up to which its spans are cut in PARTS parts; beyond, windows are counted.
+HUGE = 200_000
+PARTS = 8
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
 
@@ -277,6 +282,47 @@ def promising(blobs: list[bytes], counts: list[int], min_len: int) -> np.ndarray
     return out
 
 
+def _anchor_place(body: bytes, min_len: int) -> int:
+    """Where the anchor stands in a span: the leftmost smallest gram of its first window."""
+    head = _gram_hashes(np.frombuffer(body[:min_len], np.uint8))
+    return int(np.argmin((head & ~np.uint64((1 << 24) - 1)) | np.arange(len(head), dtype=np.uint64)))
+
+
+def parts_of(ahash: int, body: bytes, windows: int, min_len: int) -> list[tuple[int, int, int, int]]:
+    """(key, first window, windows, anchor's place) of the parts of a span; equal windows are in parts of one key."""
+    anchor = _anchor_place(body, min_len)
+    width = -(-(min_len - K + 1) // PARTS)
+    out = []
+    for c in range(PARTS):
+        lo, hi = c * width, (c + 1) * width - 1  # the anchor stands lo to hi bytes into these windows
+        first, last = max(anchor - hi, 0), min(anchor - lo, windows - 1)
+        if first <= last:
+            shared = body[anchor - lo : anchor - hi + min_len]
+            key = hashlib.blake2b(shared, digest_size=8, salt=ahash.to_bytes(8, "little", signed=True), person=c.to_bytes(4, "little")).digest()
+            out.append((int.from_bytes(key, "little", signed=True), first, last - first + 1, anchor - first))
+    return out
+
+
+def place_by_place(blobs: list[bytes], counts: list[int], anchors: list[int], min_len: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(blob, place) of the members of each group of equal windows, for spans that share an anchor."""
+    base = np.concatenate(([0], np.cumsum([len(b) for b in blobs])[:-1]))
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    off, many = np.array(anchors), np.array(counts)
+    for o in range(int(off.max()) + 1):  # the anchor stands o bytes into the window
+        place = off - o
+        rows = np.flatnonzero((place >= 0) & (place < many))
+        if len(rows) < 2:
+            continue
+        at = base[rows] + place[rows]
+        windows = np.ascontiguousarray(data[at[:, None] + np.arange(min_len)]).view(f"V{min_len}").ravel()
+        order = np.argsort(windows)
+        same = windows[order[1:]] == windows[order[:-1]]
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            mine = rows[order[a : b + 1]]
+            yield mine, place[mine]
+
+
 def _ranges(place: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
     """Union of [place, place + length)."""
     order = np.argsort(place, kind="stable")
@@ -295,7 +341,10 @@ def _digest_of(raw: bytes) -> int:
 
 
 def _scan_blocks(min_len: int, members: bool):
-    """Spans sorted by anchor, to the covered ranges of those that stand alone, or to the groups with their members."""
+    """Spans or parts sorted by key, to the covered ranges of those that stand alone, or to the groups with their members."""
+
+    def crowded(rows: list[dict]) -> bool:
+        return len(rows) > WIDE and rows[0]["key"] == rows[-1]["key"]
 
     def solve(rows: list[dict]) -> Iterator[tuple[dict, int, int]]:
         """(span, first byte, end) in the document."""
@@ -303,28 +352,40 @@ def _scan_blocks(min_len: int, members: bool):
         rows = [r for r, k in zip(rows, keep.tolist()) if k]
         if not rows:
             return
-        blob, place, _, best = repeat_groups([r["body"] for r in rows], [r["n"] for r in rows], min_len)
-        blob, place, length = blob[best > 0], place[best > 0], best[best > 0]
+        if crowded(rows):
+            hits = list(place_by_place([r["body"] for r in rows], [r["n"] for r in rows], [r["anchor"] for r in rows], min_len))
+            if not hits:
+                return
+            blob, place = (np.concatenate([h[i] for h in hits]) for i in (0, 1))
+            length = np.full(len(blob), min_len)
+        else:
+            blob, place, _, best = repeat_groups([r["body"] for r in rows], [r["n"] for r in rows], min_len)
+            blob, place, length = blob[best > 0], place[best > 0], best[best > 0]
         order = np.argsort(blob, kind="stable")
         blob, place, length = blob[order], place[order], length[order]
         cut = np.searchsorted(blob, np.arange(len(rows) + 1))
         for i, r in enumerate(rows):
             if r["single"] and cut[i] < cut[i + 1]:
                 for a, b in _ranges(place[cut[i] : cut[i + 1]], length[cut[i] : cut[i + 1]]):
-                    yield r, r["s"] + a, r["s"] + b
+                    yield r, r["s"] + r["first"] + a, r["s"] + r["first"] + b
 
     def grouped(rows: list[dict]) -> Iterator[tuple[int, int, int, int, int]]:
         """(anchor, content, place in the span, length, group); a content that repeats as a whole is a group too."""
-        blob, place, groups, _ = repeat_groups([r["body"] for r in rows], [r["n"] for r in rows], min_len)
+        bodies = [r["body"] for r in rows]
         whole = {i for i, r in enumerate(rows) if not r["single"]}
-        for a, b, length in groups:
-            name = _digest_of(rows[blob[a]]["body"][place[a] : place[a] + length])
-            for i, at in zip(blob[a : b + 1].tolist(), place[a : b + 1].tolist()):
-                if length == len(rows[i]["body"]):
+        if crowded(rows):
+            found = ((blob, place, min_len) for blob, place in place_by_place(bodies, [r["n"] for r in rows], [r["anchor"] for r in rows], min_len))
+        else:
+            every, at_, ranges, _ = repeat_groups(bodies, [r["n"] for r in rows], min_len)
+            found = ((every[a : b + 1], at_[a : b + 1], length) for a, b, length in ranges)
+        for blob, place, length in found:
+            name = _digest_of(bodies[blob[0]][place[0] : place[0] + length])
+            for i, at in zip(blob.tolist(), place.tolist()):
+                if length == len(bodies[i]):
                     whole.discard(i)
-                yield rows[i]["ahash"], rows[i]["shash"], at, length, name
+                yield rows[i]["ahash"], rows[i]["shash"], rows[i]["first"] + at, length, name
         for i in whole:
-            yield rows[i]["ahash"], rows[i]["shash"], 0, len(rows[i]["body"]), _digest_of(rows[i]["body"])
+            yield rows[i]["ahash"], rows[i]["shash"], rows[i]["first"], len(bodies[i]), _digest_of(bodies[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("repeats")
@@ -345,7 +406,7 @@ def _scan_blocks(min_len: int, members: bool):
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             for r in batch.to_pylist():
-                if wait and wait[-1]["ahash"] != r["ahash"]:
+                if wait and wait[-1]["key"] != r["key"]:
                     closed = len(wait)
                     if size >= BLOCK:
                         yield out(wait)
@@ -362,8 +423,8 @@ def _scan_blocks(min_len: int, members: bool):
     return run
 
 
-def _cut_spans(min_len: int, windows: bool):
-    """Texts with their requests, to one row for each requested span (or for each of its windows)."""
+def _cut_spans(min_len: int, into: str):
+    """Texts with their requests, to one row for each requested span, for each of its parts, or for each of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("repeats")
@@ -381,9 +442,18 @@ def _cut_spans(min_len: int, windows: bool):
                 keys = pa.array(row[part])
                 ids, th = batch.column("doc_id").take(keys), batch.column("th").take(keys)
                 piece = inner.slice(i, len(keys))
-                if not windows:
-                    body = pa.array([raw[a : a + k + min_len - 1] for a, k in zip(lo.tolist(), many.tolist())], pa.binary())
-                    yield pa.RecordBatch.from_arrays([piece.field("ahash"), piece.field("shash"), piece.field("single"), ids, th, piece.field("s"), piece.field("n"), body], ["ahash", "shash", "single", "doc_id", "th", "s", "n", "body"])
+                if into != "windows":
+                    cut = [(raw[a : a + c + min_len - 1], c) for a, c in zip(lo.tolist(), many.tolist())]
+                    if into == "spans":
+                        rows = [(h, 0, c, 0, body) for h, (body, c) in zip(piece.field("ahash").to_pylist(), cut)]
+                        same = pa.array(np.arange(len(cut)))
+                    else:
+                        each = [parts_of(h, body, c, min_len) for h, (body, c) in zip(piece.field("ahash").to_pylist(), cut)]
+                        same = pa.array(np.repeat(np.arange(len(cut)), [len(x) for x in each]))
+                        rows = [(key, f, c, at, body[f : f + c + min_len - 1]) for x, (body, _) in zip(each, cut) for key, f, c, at in x]
+                    kept = [piece.field(f).take(same) for f in ("ahash", "shash", "single", "s")]
+                    made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([*made, *kept, ids.take(same), th.take(same)], ["key", "first", "n", "anchor", "body", "ahash", "shash", "single", "s", "doc_id", "th"])
                     continue
                 for k, (a, c) in enumerate(zip(lo.tolist(), many.tolist())):
                     digest = pa.array([hashlib.blake2b(raw[a + t : a + t + min_len], digest_size=16).digest() for t in range(c)], pa.binary())
@@ -418,14 +488,23 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, min_len: int) -> tuple[D
     return met, kinds, materialise(contested, "contested")
 
 
-def _asked(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_len: int, windows: bool) -> DataFrame:
-    """The text of each span in ``asked`` (or the digests of its windows), cut from its document."""
+def _asked(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_len: int, into: str) -> DataFrame:
+    """The text of each span in ``asked`` (or its parts, or the digests of its windows), cut from its document."""
     id_type = docs.schema[id_col].dataType.simpleString()
     keyed = _keyed(docs, id_col, text_col)
     ask = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "n", "ahash", "shash", "single")).alias("ask"))  # of one text
     texts = keyed.join(ask, same_key(keyed, ask)).select(keyed["doc_id"], keyed["th"], keyed["text"], ask["ask"])
-    own = "window binary, ahash long, shash long, single boolean, doc_id {0}, th long, place int, s int" if windows else "ahash long, shash long, single boolean, doc_id {0}, th long, s int, n int, body binary"
-    return texts.mapInArrow(_cut_spans(min_len, windows), own.format(id_type))
+    own = "window binary, ahash long, shash long, single boolean, doc_id {0}, th long, place int, s int" if into == "windows" else "key long, first int, n int, anchor int, body binary, ahash long, shash long, single boolean, s int, doc_id {0}, th long"
+    return texts.mapInArrow(_cut_spans(min_len, into), own.format(id_type))
+
+
+def _bodies(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_len: int) -> DataFrame:
+    """Contested spans, and parts of those of crowded anchors, dealt and sorted by what has to meet."""
+    few = _asked(docs, asked.filter(F.col("kinds") <= WIDE), id_col, text_col, min_len, "spans").withColumn("key", F.col("ahash"))
+    crowds = asked.filter((F.col("kinds") > WIDE) & (F.col("kinds") <= HUGE))
+    if crowds.limit(1).count():
+        few = few.unionByName(_asked(docs, crowds, id_col, text_col, min_len, "parts"))
+    return few.repartition("key").sortWithinPartitions("key")
 
 
 def _checked(min_len: int) -> None:
@@ -448,11 +527,10 @@ def covered_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cover = whole.select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("m") + F.lit(min_len - 1)).alias("b"))
     contested = contested.filter("some")  # contents that are there twice are covered as they are
     asked = kinds.join(contested, "ahash")
-    bodies = _asked(docs, asked.filter(F.col("kinds") <= WIDE), id_col, text_col, min_len, False)
-    found = bodies.repartition("ahash").sortWithinPartitions("ahash").mapInArrow(_scan_blocks(min_len, False), f"doc_id {id_type}, th long, a int, b int")
+    found = _bodies(docs, asked, id_col, text_col, min_len).mapInArrow(_scan_blocks(min_len, False), f"doc_id {id_type}, th long, a int, b int")
     cover = cover.unionByName(found)
-    if contested.filter(F.col("kinds") > WIDE).limit(1).count():
-        windows = _asked(docs, asked.filter(F.col("kinds") > WIDE), id_col, text_col, min_len, True)
+    if contested.filter(F.col("kinds") > HUGE).limit(1).count():
+        windows = _asked(docs, asked.filter(F.col("kinds") > HUGE), id_col, text_col, min_len, "windows")
         twice = materialise(windows.groupBy("window").count().filter("count > 1").select("window"), "windows")
         hit = windows.filter("single").join(twice, "window", "left_semi").withColumn("a", F.col("s") + F.col("place"))
         cover = cover.unionByName(hit.select("doc_id", "th", "a", (F.col("a") + min_len).alias("b")))
@@ -471,12 +549,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     ship(docs.sparkSession)
     met, kinds, contested = _spans(docs, id_col, text_col, min_len)
     asked = kinds.join(contested, "ahash")
-    bodies = _asked(docs, asked.filter(F.col("kinds") <= WIDE), id_col, text_col, min_len, False)
-    members = bodies.repartition("ahash").sortWithinPartitions("ahash").mapInArrow(_scan_blocks(min_len, True), _MEMBERS)
+    members = _bodies(docs, asked, id_col, text_col, min_len).mapInArrow(_scan_blocks(min_len, True), _MEMBERS)
     alone = kinds.filter(~F.col("single")).join(contested, "ahash", "left_anti")
     members = members.unionByName(alone.select("ahash", "shash", F.lit(0).alias("place"), (F.col("n") + F.lit(min_len - 1)).alias("length"), F.xxhash64("ahash", "shash").alias("gid")))
-    if contested.filter(F.col("kinds") > WIDE).limit(1).count():
-        windows = _asked(docs, asked.filter(F.col("kinds") > WIDE), id_col, text_col, min_len, True)
+    if contested.filter(F.col("kinds") > HUGE).limit(1).count():
+        windows = _asked(docs, asked.filter(F.col("kinds") > HUGE), id_col, text_col, min_len, "windows")
         copies = windows.groupBy("window").agg(F.count("*").alias("c"), F.max(~F.col("single")).alias("more")).filter("c > 1 OR more").select("window")
         hit = windows.join(materialise(copies, "windows"), "window", "left_semi")
         members = members.unionByName(hit.select("ahash", "shash", "place", F.lit(min_len).alias("length"), F.xxhash64("window").alias("gid")))

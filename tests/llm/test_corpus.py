@@ -404,9 +404,10 @@ def mutated(n, seed):
     return out + [(n, out[0][1]), (n + 1, None), (n + 2, "a" * 5000)]
 
 
-@pytest.mark.parametrize("wide", [1_000, 3])
-def test_removal_against_brute_force(spark, monkeypatch, wide):
+@pytest.mark.parametrize("wide,huge", [(1_000, 200_000), (3, 200_000), (1, 2)])
+def test_removal_against_brute_force(spark, monkeypatch, wide, huge):
     monkeypatch.setattr(repeats, "WIDE", wide)
+    monkeypatch.setattr(repeats, "HUGE", huge)
     rows = mutated(60, 7)
     got = {r.doc_id: tuple(r)[1:] for r in repeats.removal_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     want = plain.removal([t for _, t in rows], 200)
@@ -422,10 +423,11 @@ def test_removal_of_other_lengths(spark, length):
         repeats.covered_ranges(spark.createDataFrame(rows, "doc_id long, text string"), min_len=63)
 
 
-@pytest.mark.parametrize("wide", [1_000, 3])
-def test_groups_have_all_occurrences(spark, monkeypatch, wide):
+@pytest.mark.parametrize("wide,huge", [(1_000, 200_000), (3, 200_000), (1, 2)])
+def test_groups_have_all_occurrences(spark, monkeypatch, wide, huge):
     """Each group is one string with every place where it stands; together they cover what is removed; long copies are one group."""
     monkeypatch.setattr(repeats, "WIDE", wide)
+    monkeypatch.setattr(repeats, "HUGE", huge)
     rows = [(i, t) for i, t in mutated(28, 5) if t is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     raw = {i: t.encode() for i, t in rows}
