@@ -610,6 +610,36 @@ def test_packing_is_whole(docs, tokenizer):
     assert sum(s < 4096 for s in sizes) <= 1
 
 
+def test_packing_goes_on_in_rounds(docs, tokenizer, monkeypatch):
+    """Many small tasks, three rounds: still one padded window, and most windows are closed before the last pouring."""
+    monkeypatch.setattr(packing, "TASKS", 2)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = packing.pack(docs.repartition(7), queries.tokenizer_file("word_bpe_49k.json")).collect()
+    assert sum(s < 4096 for s in check_packed(rows, texts, tokenizer)) <= 1
+    assert {r.sequence_id >> 58 for r in rows} >= {0, 3}
+
+
+def test_packer_over_its_bound():
+    p = packing.Packer(64, most_open=5)
+    windows = [w for i in range(200) for w in p.place(i, b"\0\0\0\0" * 40)] + list(p.flush())
+    assert sum(len(x[2]) for w in windows for x in w) == 200 * 160 and sum(sum(len(x[2]) for x in w) < 256 for w in windows) <= 1
+
+
+def test_other_tokenizer_goes_whole(tmp_path, tokenizer):
+    """A file that parts words in another way is not taken for the one the fast path knows."""
+    import json
+
+    told = json.loads(tokenizer.to_str())
+    told["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told))
+    from tokenizers import Tokenizer
+
+    enc, own = packing.WordEncoder(str(path)), Tokenizer.from_file(str(path))
+    assert not enc.fast and packing.WordEncoder(queries.tokenizer_file("word_bpe_49k.json")).fast
+    assert enc.encode(["Hello World's 12"]) == [np.array(own.encode("Hello World's 12", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_packing_odd_rows(odd_docs, no_docs, tokenizer):
     path = queries.tokenizer_file("word_bpe_49k.json")
     once = odd_docs.filter("doc_id IS NULL OR doc_id <> 6")
