@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
 the next stage's ``docs``. All stages but the last return the columns of ``documents``. A stage
-deletes the working tables of the one before it, whose result is written by then.
+deletes the working tables of the one before it, whose result is written by then; those that its own
+``docs`` still read are left.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ _WORKING: list[str] = []
 def _stage(f: Stage) -> Stage:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _WORKING)
+        read = docs.inputFiles()
+        release(spark, [p for p in _WORKING if not any(p.rsplit("/", 1)[-1] in f for f in read)])
         before = set(written())
         out = f(spark, docs, sf_dir)
         _WORKING[:] = [p for p in written() if p not in before]

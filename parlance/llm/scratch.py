@@ -1,7 +1,9 @@
 """Tables that cut lineage, kept in the folder the cluster shares.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, a laptop)
-a temporary one is made. A lost executor recomputes nothing that was written here.
+The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and the session runs on
+one machine (tests, a laptop) a temporary one is made; on a cluster that is an error, as each executor
+would write to its own disk. A lost executor recomputes nothing that was written here. The tables of a
+query are read until its result is written: :func:`working` deletes them afterwards.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +31,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="parlance-")
@@ -58,6 +64,16 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             _WRITTEN.remove(path)
 
 
+@contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Within it queries are run and their results written; tables they materialised are deleted at its end."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        release(spark, [p for p in _WRITTEN if p not in before])
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, so that Python workers import it wherever they start."""
     sc = spark.sparkContext

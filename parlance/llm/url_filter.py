@@ -24,8 +24,8 @@ from parlance.llm.textbytes import flat, runs
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CLASSES = 41
 DEPTH = 3
-#: Bins of the calibration histogram, over scores of -4 to 4 nats a character.
-BINS, SPAN = 4000, 4.0
+#: Bins of the calibration histogram, over scores of -16 to 16 nats a character; scores beyond are in the outer ones.
+BINS, SPAN = 16_000, 16.0
 
 _CLASS = np.full(256, 40, np.uint8)  # 0: before the beginning
 for _i, _c in enumerate(_LOWER):
@@ -134,7 +134,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     ``score`` is the difference of log-likelihoods per byte, accepted less rejected; from ``cut`` up
     it means allow. Where the rules give no example of one of the sides, scores and the cut are 0
     and the method allows. Null and malformed URLs have empty host and path and are judged by the
-    text there is. Repeated rows give repeated results.
+    text there is; a URL of any length is read whole. Repeated rows give repeated results, an empty
+    table an empty one, and other columns play no part. Of equal cuts the nearest to 0 is taken.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -150,9 +151,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     ratio = np.zeros(CLASSES ** (DEPTH + 1), np.float32)
     if cells.sum(1).all():
         ratio = (log_probabilities(cells[1]) - log_probabilities(cells[0])).astype(np.float32)
-    ratio = np.clip(ratio, -SPAN, SPAN)
     aside = known.filter("aside").select("url", "allowed").mapInArrow(_score(ratio), "allowed boolean, score double")
-    bins = aside.groupBy("allowed", F.floor((F.col("score") + SPAN) / (2 * SPAN) * BINS).cast("int").alias("bin")).count().collect()  # at most 2 * (BINS + 1) rows
+    bins = aside.groupBy("allowed", F.least(F.greatest(F.floor((F.col("score") + SPAN) / (2 * SPAN) * BINS), F.lit(0)), F.lit(BINS)).cast("int").alias("bin")).count().collect()  # at most 2 * (BINS + 1) rows
     hist = np.zeros((2, BINS + 2))
     for r in bins:
         hist[int(r["allowed"]), r["bin"]] += r["count"]

@@ -226,3 +226,64 @@ def pseudonymised(text, key):
             kinds += [kind] if kind else []
         at = hit.end()
     return kinds, out + text[at:]
+
+
+# --- URL filter ---
+
+
+def url_verdicts(urls, rules):
+    """(rule, verdict, score) of each URL and the cut, with dictionaries of counts."""
+    import math
+    import zlib
+
+    low = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+
+    def parts(url):
+        if "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest).group()
+        return low(host), re.match(r"[^?#]*", rest[len(host) :]).group()
+
+    def fold(b):
+        c = chr(b)
+        if c.isascii() and c.isalpha():
+            return 1 + ord(c.lower()) - 97
+        return 27 if c.isascii() and c.isdigit() else 28 + "-./?=&_%#:+~".index(c) if c in "-./?=&_%#:+~" else 40
+
+    def steps(url):
+        s = (0, 0, 0, *map(fold, url.encode()))
+        return [(s[i - 3 : i], s[i]) for i in range(3, len(s))]
+
+    ruled, aside, learn = [], [], {True: [], False: []}
+    for url in urls:
+        host, path = parts(url)
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: len(r.host + r.path), default=None)
+        ruled.append((host, path, best))
+        if best:
+            (aside.append((url, best.verdict == "allow")) if zlib.crc32(host.encode()) % 4 == 3 else learn[best.verdict == "allow"].append(url))
+    count = {side: {} for side in learn}
+    for side, own in learn.items():
+        for url in own:
+            for before, c in steps(url):
+                for k in range(4):
+                    cell = count[side].setdefault(before[3 - k :], {})
+                    cell[c] = cell.get(c, 0) + 1
+
+    def p(side, before, c):
+        out = 1 / 41
+        for k in range(4):
+            cell = count[side].get(before[3 - k :])
+            if not cell:
+                break
+            out = (cell.get(c, 0) + len(cell) * out) / (sum(cell.values()) + len(cell))
+        return out
+
+    def score(url):
+        if not (learn[True] and learn[False] and url):
+            return 0.0
+        got = [math.log(p(True, b, c)) - math.log(p(False, b, c)) for b, c in steps(url)]
+        return sum(got) / len(got)
+
+    return [(h, x, b.name if b else None, b.verdict if b else None, score(u)) for u, (h, x, b) in zip(urls, ruled)], [(score(u), side) for u, side in aside]

@@ -92,6 +92,38 @@ def test_url_model_learns(spark):
     assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in got)
 
 
+def test_url_filter_against_plain_version(spark):
+    """Scores, rules and verdicts of the whole bundled table; the cut parts the rows set aside as well as any cut can."""
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    got = url_filter.judge(table).orderBy("page_id").collect()
+    urls = {r.page_id: r.url or "" for r in table.collect()}
+    want, aside = plain.url_verdicts([urls[r.page_id] for r in got], url_filter.RULES)
+    cut = got[0].cut
+    for r, (host, path, rule, verdict, score) in zip(got, want):
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.score == pytest.approx(score, abs=1e-4)
+        assert r.verdict == (verdict or ("allow" if r.score >= cut else "block"))
+    sides = {s: sorted(x for x, side in aside if side == s) for s in (True, False)}
+    if all(sides.values()):
+        gain = lambda c: sum(x < c for x in sides[False]) / len(sides[False]) - sum(x < c for x in sides[True]) / len(sides[True])
+        assert gain(cut) >= max(gain(c) for c, _ in aside) - 0.02
+
+
+def test_url_filter_odd_rows(spark):
+    """Repeats, ties, a URL of a million characters, columns named like those inside, nothing to learn from, an empty table."""
+    long = "http://a.info/" + "x" * 1_000_000
+    rows = [(1, "http://a.net/x"), (1, "http://a.net/x"), (2, None), (None, "http://b.org/fr/1"), (3, long), (4, ""), (5, "http://ñandú.example.net/en/é")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    for c in ("host", "path", "rule", "verdict", "score", "cut", "allowed", "code", "n", "ruled", "bin", "count"):
+        df = df.withColumn(c, F.lit(c))
+    got = url_filter.judge(df).collect()
+    assert len(got) == 7 and len({str(r) for r in got if r.page_id == 1}) == 1
+    by = {r.page_id: r for r in got}
+    assert by[2].host == by[4].host == "" and by[3].path == "/" + "x" * 1_000_000 and by[5].rule == "example.net/en/"
+    assert by[None].rule == "org/fr/" and url_filter.judge(df.limit(0)).count() == 0
+    one = url_filter.judge(df.filter("page_id = 3")).first()
+    assert (one.score, one.cut, one.verdict) == (0.0, 0.0, "allow")
+
+
 # --- 3 ---
 
 
@@ -185,6 +217,60 @@ def test_posteriors_follow_votes():
     assert post["ggg"] > 0.9 > 0.5 > post["bbg"] and quality.expectation_maximisation({}) == {}
 
 
+def test_posteriors_against_plain_version():
+    """Estimation by single documents in place of pattern counts, with the same start and smoothing."""
+    r = random.Random(4)
+    docs_ = ["".join(r.choice("ggggb-") if r.random() < 0.8 else r.choice("bb-") for _ in range(4)) for _ in range(300)]
+    from collections import Counter
+
+    got = quality.expectation_maximisation(dict(Counter(docs_)), rounds=30)
+    good, bad = ([dict(x) for _ in range(4)] for x in (quality._GOOD, quality._BAD))
+    share = 0.8
+    for k in range(30):
+        post = []
+        for d in docs_:
+            a, b = share, 1 - share
+            for i, v in enumerate(d):
+                a *= good[i][v]
+                b *= bad[i][v]
+            post.append(a / (a + b))
+        if k == 29:
+            break
+        share = (sum(post) + 8) / (len(docs_) + 10)
+        for i in range(4):
+            for v in "gb-":
+                mine = [q for d, q in zip(docs_, post) if d[i] == v]
+                good[i][v] = (sum(mine) + 4 * quality._GOOD[v]) / (sum(post) + 4)
+                bad[i][v] = (sum(1 - q for q in mine) + 4 * quality._BAD[v]) / (len(docs_) - sum(post) + 4)
+    assert all(got[d] == pytest.approx(q, abs=1e-6) for d, q in zip(docs_, post))
+
+
+def test_quality_verdicts_follow_posteriors(docs):
+    """kept is the posterior's verdict of the document's own votes, but for the base rules."""
+    voted = quality.features(docs.select("doc_id", "text"), "text").withColumn("votes", F.concat(*quality.votes()))
+    votes = {r.doc_id: r.votes for r in voted.select("doc_id", "votes").collect()}
+    rows = quality.judged(docs.select("doc_id", "text"), carry=["doc_id"]).collect()
+    from collections import Counter
+
+    post = quality.expectation_maximisation(dict(Counter(votes[r.doc_id] for r in rows if not r.base_failed)))
+    for r in rows:
+        assert r.kept == (not r.base_failed and post[votes[r.doc_id]] >= 0.5)
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from parlance.llm import scratch
+
+    context = SimpleNamespace(master="spark://host:7077", applicationId="x", getConf=lambda: SimpleNamespace(get=lambda k: None))
+    with pytest.raises(RuntimeError):
+        scratch.shared_root(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=context))
+    before = scratch.written()
+    with scratch.working(spark):
+        assert scratch.materialise(spark.range(3), "test").count() == 3 and len(scratch.written()) == len(before) + 1
+    assert scratch.written() == before
+
+
 # --- 5 ---
 
 
