@@ -423,8 +423,8 @@ def _scan_blocks(min_len: int, members: bool):
     return run
 
 
-def _cut_spans(min_len: int, into: str):
-    """Texts with their requests, to one row for each requested span, for each of its parts, or for each of its windows."""
+def _cut_spans(min_len: int, windows: bool):
+    """Texts with their requests, to one row for each requested span or (of crowded anchors) part, or for each of a span's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("repeats")
@@ -442,15 +442,15 @@ def _cut_spans(min_len: int, into: str):
                 keys = pa.array(row[part])
                 ids, th = batch.column("doc_id").take(keys), batch.column("th").take(keys)
                 piece = inner.slice(i, len(keys))
-                if into != "windows":
-                    cut = [(raw[a : a + c + min_len - 1], c) for a, c in zip(lo.tolist(), many.tolist())]
-                    if into == "spans":
-                        rows = [(h, 0, c, 0, body) for h, (body, c) in zip(piece.field("ahash").to_pylist(), cut)]
-                        same = pa.array(np.arange(len(cut)))
-                    else:
-                        each = [parts_of(h, body, c, min_len) for h, (body, c) in zip(piece.field("ahash").to_pylist(), cut)]
-                        same = pa.array(np.repeat(np.arange(len(cut)), [len(x) for x in each]))
-                        rows = [(key, f, c, at, body[f : f + c + min_len - 1]) for x, (body, _) in zip(each, cut) for key, f, c, at in x]
+                if not windows:
+                    rows, owner = [], []
+                    asked = zip(piece.field("ahash").to_pylist(), piece.field("crowd").to_pylist(), lo.tolist(), many.tolist())
+                    for k, (h, crowd, a, c) in enumerate(asked):
+                        body = raw[a : a + c + min_len - 1]
+                        own = [(key, f, w, at, body[f : f + w + min_len - 1]) for key, f, w, at in parts_of(h, body, c, min_len)] if crowd else [(h, 0, c, 0, body)]
+                        rows += own
+                        owner += [k] * len(own)
+                    same = pa.array(owner, pa.int64())
                     kept = [piece.field(f).take(same) for f in ("ahash", "shash", "single", "s")]
                     made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
                     yield pa.RecordBatch.from_arrays([*made, *kept, ids.take(same), th.take(same)], ["key", "first", "n", "anchor", "body", "ahash", "shash", "single", "s", "doc_id", "th"])
@@ -488,23 +488,19 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, min_len: int) -> tuple[D
     return met, kinds, materialise(contested, "contested")
 
 
-def _asked(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_len: int, into: str) -> DataFrame:
-    """The text of each span in ``asked`` (or its parts, or the digests of its windows), cut from its document."""
+def _asked(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_len: int, windows: bool) -> DataFrame:
+    """The text of each span in ``asked`` (of its parts, for crowded anchors; or the digests of its windows), cut from its document."""
     id_type = docs.schema[id_col].dataType.simpleString()
     keyed = _keyed(docs, id_col, text_col)
-    ask = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "n", "ahash", "shash", "single")).alias("ask"))  # of one text
+    ask = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "n", "ahash", "shash", "single", (F.col("kinds") > WIDE).alias("crowd"))).alias("ask"))  # of one text
     texts = keyed.join(ask, same_key(keyed, ask)).select(keyed["doc_id"], keyed["th"], keyed["text"], ask["ask"])
-    own = "window binary, ahash long, shash long, single boolean, doc_id {0}, th long, place int, s int" if into == "windows" else "key long, first int, n int, anchor int, body binary, ahash long, shash long, single boolean, s int, doc_id {0}, th long"
-    return texts.mapInArrow(_cut_spans(min_len, into), own.format(id_type))
+    own = "window binary, ahash long, shash long, single boolean, doc_id {0}, th long, place int, s int" if windows else "key long, first int, n int, anchor int, body binary, ahash long, shash long, single boolean, s int, doc_id {0}, th long"
+    return texts.mapInArrow(_cut_spans(min_len, windows), own.format(id_type))
 
 
 def _bodies(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_len: int) -> DataFrame:
     """Contested spans, and parts of those of crowded anchors, dealt and sorted by what has to meet."""
-    few = _asked(docs, asked.filter(F.col("kinds") <= WIDE), id_col, text_col, min_len, "spans").withColumn("key", F.col("ahash"))
-    crowds = asked.filter((F.col("kinds") > WIDE) & (F.col("kinds") <= HUGE))
-    if crowds.limit(1).count():
-        few = few.unionByName(_asked(docs, crowds, id_col, text_col, min_len, "parts"))
-    return few.repartition("key").sortWithinPartitions("key")
+    return _asked(docs, asked.filter(F.col("kinds") <= HUGE), id_col, text_col, min_len, False).repartition("key").sortWithinPartitions("key")
 
 
 def _checked(min_len: int) -> None:
@@ -530,7 +526,7 @@ def covered_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = _bodies(docs, asked, id_col, text_col, min_len).mapInArrow(_scan_blocks(min_len, False), f"doc_id {id_type}, th long, a int, b int")
     cover = cover.unionByName(found)
     if contested.filter(F.col("kinds") > HUGE).limit(1).count():
-        windows = _asked(docs, asked.filter(F.col("kinds") > HUGE), id_col, text_col, min_len, "windows")
+        windows = _asked(docs, asked.filter(F.col("kinds") > HUGE), id_col, text_col, min_len, True)
         twice = materialise(windows.groupBy("window").count().filter("count > 1").select("window"), "windows")
         hit = windows.filter("single").join(twice, "window", "left_semi").withColumn("a", F.col("s") + F.col("place"))
         cover = cover.unionByName(hit.select("doc_id", "th", "a", (F.col("a") + min_len).alias("b")))
@@ -553,7 +549,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     alone = kinds.filter(~F.col("single")).join(contested, "ahash", "left_anti")
     members = members.unionByName(alone.select("ahash", "shash", F.lit(0).alias("place"), (F.col("n") + F.lit(min_len - 1)).alias("length"), F.xxhash64("ahash", "shash").alias("gid")))
     if contested.filter(F.col("kinds") > HUGE).limit(1).count():
-        windows = _asked(docs, asked.filter(F.col("kinds") > HUGE), id_col, text_col, min_len, "windows")
+        windows = _asked(docs, asked.filter(F.col("kinds") > HUGE), id_col, text_col, min_len, True)
         copies = windows.groupBy("window").agg(F.count("*").alias("c"), F.max(~F.col("single")).alias("more")).filter("c > 1 OR more").select("window")
         hit = windows.join(materialise(copies, "windows"), "window", "left_semi")
         members = members.unionByName(hit.select("ahash", "shash", "place", F.lit(min_len).alias("length"), F.xxhash64("window").alias("gid")))
