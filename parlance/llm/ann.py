@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-* Centroids come of a bounded sample that is halved at the median along the line between two means
-  until parts hold ``PART`` vectors, so lists are balanced. There are at most ``CENTROIDS``.
+* Centroids come of a sample that is halved at the median along the line between two means
+  until parts hold ``PART`` vectors, so lists are balanced. The sample, and with it the number of centroids, grows
+  with the table from ``SAMPLE`` to ``MOST`` vectors (a ``GROWTH``-th of it), which bounds what the driver holds.
 * Every vector is in the list of its nearest centroid and, near a boundary, in up to ``COPIES`` lists
   whose centroids are within ``CLOSURE`` times that distance.
 * Centroids are searched through a neighbour graph held in memory. A query reads the lists whose
@@ -24,9 +25,8 @@ from pyspark.sql import functions as F
 
 from parlance.llm.scratch import materialise, ship
 
-SAMPLE = 16_384
+SAMPLE, MOST, GROWTH = 16_384, 65_536, 64
 PART = 64
-CENTROIDS = SAMPLE // PART * 2
 COPIES = 8
 CLOSURE = 1.08
 AIM = 0.985
@@ -79,6 +79,7 @@ class Index:
             near[a : a + 512, :degree] = np.argsort(d, axis=1, kind="stable")[:, :degree]
         near[:, degree], near[:, degree + 1] = (np.arange(n) + 1) % n, (np.arange(n) - 1) % n  # a ring keeps it connected
         index = cls(centroids, near, np.unique(np.linspace(0, n - 1, min(n, 64)).astype(int)))
+        sample = sample[:SAMPLE]
         asked = sample[:: max(1, len(sample) // 256)][:256]
         lists = index.search(sample, CLOSURE, COPIES)
         d = _distances(asked, sample)
@@ -148,10 +149,11 @@ def _best(k: int):
             return pd.DataFrame({"qid": [], "qh": [], "vh": [], "d": [], "ids": []}).astype({"qid": "int64", "qh": "int64", "vh": "int64", "d": "float64"})
         x = np.stack(entries["v"].to_numpy()).astype(np.float64)
         q = np.stack(asked["v"].to_numpy()).astype(np.float64)
-        rough = _distances(q, x)
+        norms = (q * q).sum(1)[:, None] + (x * x).sum(1)[None]
+        rough = norms - 2 * (q @ x.T)
         m = min(len(x), k + 8)
         top = np.argpartition(rough, m - 1, axis=1)
-        limit = np.take_along_axis(rough, top[:, m - 1 : m], 1) + 1e-7  # ties with the last one stay
+        limit = np.take_along_axis(rough, top[:, m - 1 : m], 1) + 1e-12 * norms.max(1, keepdims=True)  # what ties with the last one within rounding stays
         out = []
         for i in range(len(q)):
             at = np.flatnonzero(rough[i] <= limit[i])
@@ -186,12 +188,13 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     entries = materialise(entries.withColumn("vh", F.xxhash64("v")), "entries")
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
     asked = queries.groupBy("v").agg(F.min("vec_id").alias("qid")).withColumn("qh", F.xxhash64("v"))
-    sample = entries.select("v", F.xxhash64("v", F.lit(7)).alias("o")).orderBy("o").limit(SAMPLE).select("v").toPandas()
+    most = min(max(SAMPLE, sizes["count"] // GROWTH), MOST)
+    sample = entries.select("v", F.xxhash64("v", F.lit(7)).alias("o")).orderBy("o").limit(most).select("v").toPandas()
     index = spark.sparkContext.broadcast(Index.build(np.stack(sample["v"].to_numpy()), neighbours=k))
     held = materialise(entries.mapInArrow(_deal(index, False), "list int, v array<double>, ids array<long>, vh long"), "lists")
     probes = materialise(asked.mapInArrow(_deal(index, True), "list int, v array<double>, qid long, qh long"), "probes")
     dealt = held.groupBy("list").agg(F.ceil(F.count("*") / LIST).cast("int").alias("ns")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "list")
-    dealt = F.broadcast(dealt)  # one row for each of at most CENTROIDS lists
+    dealt = F.broadcast(dealt)  # one row for each list, at most 2 * MOST / PART
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = held.join(dealt, "list").withColumn("s", F.pmod("vh", F.col("ns")).cast("int")).withColumn("q", upto("nq"))
     right = probes.join(dealt, "list").withColumn("q", F.pmod("qh", F.col("nq")).cast("int")).withColumn("s", upto("ns"))

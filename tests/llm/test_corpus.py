@@ -584,6 +584,34 @@ def test_neighbours_recall_and_scores(spark):
     assert hit / len(asked) / 10 > 0.9
 
 
+def test_neighbours_read_little_of_clustered_vectors():
+    """Of 20,000 clustered vectors a query reads under a tenth and finds over 95 % of its neighbours."""
+    r = np.random.default_rng(0)
+    x = (r.normal(size=(300, 32)) * 3)[r.integers(0, 300, 20_000)] + r.normal(size=(20_000, 32))
+    index = ann.Index.build(x[r.permutation(len(x))[: ann.SAMPLE]])
+    members = [[] for _ in index.centroids]
+    for i, lists in enumerate(index.search(x, ann.CLOSURE, ann.COPIES)):
+        for c in lists:
+            members[c].append(i)
+    hit, read = [], []
+    for q, lists in zip(x[::200], index.search(x[::200], index.ratio)):
+        got = np.unique(np.concatenate([members[c] for c in lists]))
+        best = np.argsort(((x - q) ** 2).sum(1), kind="stable")[1:11]
+        hit.append(np.isin(best, got).mean())
+        read.append(len(got) / len(x))
+    assert np.mean(hit) >= 0.95 and np.mean(read) < 0.1
+
+
+def test_neighbours_ties_of_long_vectors(spark):
+    """Equal distances of vectors far from the origin go by id, and columns named like those inside play no part."""
+    rows = [(i, [1e8 + (1.0 if i % 2 else -1.0) * (i > 0), 1e8]) for i in range(41)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("v", "ids", "vh", "list", "qid", "qh", "d", "r", "s", "q", "ns", "nq", "top", "own", "rank", "score", "query_id"):
+        df = df.withColumn(c, F.lit(c))
+    got = ann.neighbours(df, every=100).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in range(1, 11)]
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [0.0, 1.0]), (9, [0.0, 1.0])]
