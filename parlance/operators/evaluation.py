@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.ranks import number_bucket, running
+
 
 def roc(df: DataFrame, y: str = "y", s: str = "s") -> DataFrame:
     """``threshold, tpr, fpr`` at each distinct score, falling. Rows are counted by score first."""
     levels = df.groupBy(F.col(s).cast("double").alias("threshold")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) == 0).cast("long")).alias("n"))
-    every = Window.partitionBy(F.lit(0))
-    down = every.orderBy(F.desc("threshold"))
-    out = levels.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
-    return out.select("threshold", F.try_divide("tp", F.sum("p").over(every)).alias("tpr"), F.try_divide("fp", F.sum("n").over(every)).alias("fpr"))
+    out = running(levels, -number_bucket(F.col("threshold")), [F.desc("threshold")], {"tp": "p", "fp": "n"})
+    return out.select("threshold", F.try_divide(F.col("tp") + F.col("p"), F.col("tp_all")).alias("tpr"), F.try_divide(F.col("fp") + F.col("n"), F.col("fp_all")).alias("fpr"))
 
 
 def thresholds(df: DataFrame, y: str = "y", s: str = "s") -> DataFrame:
@@ -28,8 +28,7 @@ def thresholds(df: DataFrame, y: str = "y", s: str = "s") -> DataFrame:
 def auc(df: DataFrame, y: str = "y", s: str = "s") -> DataFrame:
     """One row: positives, negatives and the area under the curve by average ranks; null with one class."""
     levels = df.groupBy(F.col(s).cast("double").alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.count("*").alias("k"))
-    below = F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("s")) - F.col("k")
-    ranked = levels.withColumn("r", (below + (F.col("k") + 1) / 2.0) * F.col("p"))
+    ranked = running(levels, number_bucket(F.col("s")), [F.col("s")], {"below": "k"}).withColumn("r", (F.col("below") + (F.col("k") + 1) / 2.0) * F.col("p"))
     one = ranked.agg(F.sum("p").alias("n_pos"), (F.sum("k") - F.sum("p")).alias("n_neg"), F.sum("r").alias("r"))
     area = F.try_divide(F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0, F.col("n_pos") * F.col("n_neg"))
     return one.select("n_pos", "n_neg", area.alias("auc"))

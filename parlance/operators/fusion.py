@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from math import exp, lgamma, log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.nulls import average_rank, truly
+from parlance.functions.nulls import truly
+from parlance.operators.ranks import average_ranks, quantiles
 
 
 def modalities(df: DataFrame, audio: list[str], text: list[str]) -> DataFrame:
@@ -36,12 +37,7 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]], least: int = 5) ->
     out = None
     for x, y in pairs:
         both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b"))
-        every = Window.partitionBy(F.lit(0))
-        ranks = {}
-        for c in "ab":
-            counts = both.groupBy(c).agg(F.count("*").alias("k"))
-            below = F.sum("k").over(every.orderBy(c)) - F.col("k")
-            ranks[c] = counts.select(c, (below + (F.col("k") + 1) / 2.0).alias(f"r{c}"))
+        ranks = {c: average_ranks(both, c, f"r{c}").drop("n_rows") for c in "ab"}
         ranked = both.join(ranks["a"], "a").join(ranks["b"], "b")
         one = ranked.agg(F.count("*").alias("n"), F.corr("a", "b").alias("p"), F.corr("ra", "rb").alias("s"))
         row = one.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", F.when(F.col("n") >= least, F.col("p")).alias("pearson"), F.when(F.col("n") >= least, F.col("s")).alias("spearman"))
@@ -84,7 +80,7 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataF
 
 def disagreement(df: DataFrame, scores: list[str], text: str, high: float = 0.75, text_at: float = 0.0) -> DataFrame:
     """``df`` with ``audio_negative`` (a score at or over its percentile), ``masked_frustration`` and ``contained_negativity``."""
-    ends = df.agg(*[F.percentile(c, F.lit(high)).alias(f"__p_{c}") for c in scores])
+    ends = quantiles(df, {c: [high] for c in scores}, {(c, high): f"__p_{c}" for c in scores})
     neg = F.lit(False)
     for c in scores:
         neg = neg | truly(F.col(c) >= F.col(f"__p_{c}"))
@@ -103,6 +99,6 @@ def fused(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
 
 
 def percentile_rank(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with the average-tie rank of a column over the number of rows."""
-    every = Window.partitionBy(F.lit(0))
-    return df.withColumn("pct_rank", average_rank(every.orderBy(column), Window.partitionBy(column)) / F.count("*").over(every))
+    """``df`` with the average-tie rank of a column over the number of rows; null without a value."""
+    ranks = average_ranks(df, column, "__r").select(F.col(column).alias("__v"), (F.col("__r") / F.col("n_rows")).alias("pct_rank"))
+    return df.join(ranks, df[column] == ranks["__v"], "left").drop("__v")

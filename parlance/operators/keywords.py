@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.nulls import average_rank
 from parlance.functions.text import count_words, normalize_text
+from parlance.operators.ranks import average_ranks
 
 Lexicon = dict[str, list[str]]
 
@@ -33,14 +33,15 @@ def prepared(df: DataFrame, text: str = "text", start: str = "start_s", end: str
 
 
 def matches(normal: Column, words: list[str]) -> Column:
-    """Sorted distinct keywords that are in the normalised text, also within words."""
-    return F.filter(F.array(*[F.lit(w) for w in sorted(set(words))]), lambda k: F.contains(normal, k))
+    """Sorted distinct keywords, as normalised as the text, that are in it, also within words; keywords of nothing but marks match nothing."""
+    listed = F.array_sort(F.array_distinct(F.array(*[normalize_text(F.lit(w)) for w in words]))) if words else F.array().cast("array<string>")
+    return F.filter(listed, lambda k: (k != "") & F.contains(normal, k))
 
 
 def spotted(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """``df`` with the matches, count and flag of each theme, their sums, and the themes found in lexicon order.
 
-    Keywords are normalised like the text (``normalize_text``) by the caller or by :func:`normalized`.
+    Keywords are normalised like the text, once, as constants of the plan.
     """
     out = df.withColumn("text_norm", normalize_text(F.col(text)))
     out = out.withColumns({f"kw_{t}_matched": matches(F.col("text_norm"), ks) for t, ks in lexicon.items()})
@@ -63,9 +64,8 @@ def by_call(df: DataFrame, lexicon: Lexicon, keys: list[str]) -> DataFrame:
     themes = F.array_compact(F.array(*[F.when(F.col(f"__{t}") == 1, F.lit(t)) for t in lexicon]))
     out = out.withColumn("pct_critical", F.round(F.col("n_critical") / F.col("n_segments"), 4)).withColumn("themes", themes).withColumn("n_themes", F.size("themes"))
     out = out.withColumn("score", 3 * F.col("pct_critical") + F.log1p(F.col("total_matches")) + 0.5 * F.col("n_themes")).drop(*[f"__{t}" for t in lexicon])
-    every, ties = Window.partitionBy(F.lit(0)), Window.partitionBy("score")
-    rank = average_rank(every.orderBy("score"), ties)
-    return out.withColumn("percentile", F.round(rank / F.count("*").over(every), 4))
+    ranks = average_ranks(out, "score", "__rank").select(F.col("score").alias("__score"), F.round(F.col("__rank") / F.col("n_rows"), 4).alias("percentile"))
+    return out.join(ranks, out["score"] == ranks["__score"]).drop("__score")
 
 
 def top_calls(calls: DataFrame, n: int = 30, tie: str = "audio_id") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.nulls import truly
+from parlance.operators.ranks import number_bucket, numbered, quantiles, running
 
 #: Weights of the scaled features in each score.
 AROUSAL = {"rms_audio_dbfs": 0.35, "energy_dynamic_range": 0.20, "pitch_range_p90_p10": 0.20, "spectral_centroid_mean": 0.15, "zcr_mean": 0.10}
@@ -26,7 +27,7 @@ def candidates(df: DataFrame, duration: tuple[float, float] = (0.5, 30.0), max_o
         ok = ok & F.col("role").isNotNull() & ~F.lower("role").isin("nan", "none", "", "no_textual_proxy")
     name = F.lower(F.col(stem).cast("string"))
     ok = ok & F.col(stem).isNotNull() & (name != "all") & ~name.startswith("all_")
-    return df.withColumn("duration_for_prosody", length).filter(truly(ok)).withColumn("prosody_row_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    return numbered(df.withColumn("duration_for_prosody", length).filter(truly(ok)), list(order), "prosody_row_id")
 
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,10 +36,12 @@ def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     Where the MAD is 0 the sample deviation about the mean serves; where that is 0 too, z is 0. Two
     passes give one row of medians and deviations each, which is joined to all rows.
     """
-    first = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__med_{c}") for c in columns], *[F.avg(c).alias(f"__avg_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__std_{c}") for c in columns])
-    one = df.crossJoin(F.broadcast(first))
-    second = one.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"__med_{c}")), F.lit(0.5)).alias(f"__mad_{c}") for c in columns])
-    out = one.crossJoin(F.broadcast(second))
+    half = {c: [0.5] for c in columns}
+    first = df.agg(*[F.avg(c).alias(f"__avg_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__std_{c}") for c in columns])
+    middle = quantiles(df, half, {(c, 0.5): f"__med_{c}" for c in columns})
+    one = df.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(middle))  # one row each
+    away = one.select(*[F.abs(F.col(c) - F.col(f"__med_{c}")).alias(c) for c in columns])
+    out = one.crossJoin(F.broadcast(quantiles(away, half, {(c, 0.5): f"__mad_{c}" for c in columns})))
 
     def z(c: str) -> Column:
         mad, std = F.col(f"__mad_{c}"), F.coalesce(F.col(f"__std_{c}"), F.lit(0.0))
@@ -51,7 +54,7 @@ def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def scaled_01(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` with each column clipped to its 1st and 99th percentile and scaled to 0..1; null if those meet."""
-    ends = df.agg(*[F.percentile(c, F.lit(q)).alias(f"__{n}_{c}") for c in columns for n, q in (("lo", 0.01), ("hi", 0.99))])
+    ends = quantiles(df, {c: [0.01, 0.99] for c in columns}, {(c, q): f"__{n}_{c}" for c in columns for n, q in (("lo", 0.01), ("hi", 0.99))})
 
     def scale(c: str) -> Column:
         lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
@@ -92,7 +95,7 @@ def aggregates(df: DataFrame, key_sets: list[list[str]], measures: list[str]) ->
 
 def iqr_outliers(df: DataFrame, column: str, times: float = 1.5) -> DataFrame:
     """``df`` with ``is_outlier``: outside the quartiles by ``times`` their distance."""
-    q = df.agg(F.percentile(column, F.lit(0.25)).alias("__q1"), F.percentile(column, F.lit(0.75)).alias("__q3"))
+    q = quantiles(df, {column: [0.25, 0.75]}, {(column, 0.25): "__q1", (column, 0.75): "__q3"})
     span = times * (F.col("__q3") - F.col("__q1"))
     out = (F.col(column) < F.col("__q1") - span) | (F.col(column) > F.col("__q3") + span)
     return df.crossJoin(F.broadcast(q)).withColumn("is_outlier", truly(out)).drop("__q1", "__q3")
@@ -111,5 +114,5 @@ def described(df: DataFrame, columns: list[str]) -> DataFrame:
 def ecdf(df: DataFrame, column: str) -> DataFrame:
     """Each value with the share of rows up to it; counted by value before the running sum."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    run = Window.partitionBy(F.lit(0)).orderBy(column)
-    return counts.select(column, (F.sum("__n").over(run) / F.sum("__n").over(Window.partitionBy(F.lit(0)))).alias("share"))
+    out = running(counts, number_bucket(F.col(column)), [F.col(column)], {"__below": "__n"})
+    return out.select(column, ((F.col("__below") + F.col("__n")) / F.col("__below_all")).alias("share"))

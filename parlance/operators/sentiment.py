@@ -25,7 +25,12 @@ def by_speaker(df: DataFrame, keys: list[str], speaker: str = "speaker", role: s
     """By speaker, with the most frequent role (ties by name)."""
     counts = df.filter(F.col(role).isNotNull()).groupBy(*keys, speaker, role).agg(F.count("*").alias("__n"))
     top = counts.groupBy(*keys, speaker).agg(F.min_by(role, F.struct(-F.col("__n"), role)).alias("dominant_role"))
-    return grouped(df, [*keys, speaker]).join(top, [*keys, speaker], "left")
+    base = grouped(df, [*keys, speaker])
+    theirs = top.select(*[F.col(k).alias(f"__k_{k}") for k in (*keys, speaker)], "dominant_role")
+    on = F.lit(True)
+    for k in (*keys, speaker):
+        on = on & base[k].eqNullSafe(theirs[f"__k_{k}"])
+    return base.join(theirs, on, "left").select(*base.columns, "dominant_role")
 
 
 def with_phase(df: DataFrame, keys: list[str]) -> DataFrame:
