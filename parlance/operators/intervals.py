@@ -105,25 +105,42 @@ def anchors(df: DataFrame, keys: list[str] = K, speaker: str = "speaker", n: int
     return df.filter("valid_anchor").withColumn("anchor_rank", F.row_number().over(order)).filter(F.col("anchor_rank") <= n)
 
 
-def assign_points(words: DataFrame, segments: DataFrame, keys: list[str] = K, word_id: str = "word_id", seg_id: str = "seg_id", tolerance: float | None = 0.4) -> DataFrame:
+def assign_points(words: DataFrame, segments: DataFrame, keys: list[str] = K, word_id: str = "word_id", seg_id: str = "seg_id", tolerance: float | None = 0.4, bin_s: float = 30.0) -> DataFrame:
     """For each word (``w_start``, ``w_end``) its segment: of the largest overlap, else the nearest to its middle.
 
     Gives ``word_id, seg_id, overlap_s, distance_s, how`` (overlap, nearest or none). Ties go to the
-    earlier segment. With a ``tolerance`` the nearest must be within it.
+    earlier segment. With a ``tolerance`` the nearest must be within it. Words and segments that touch
+    meet in time bins of ``bin_s``; for the other words the last segment before and the first one after
+    their middle are found in one sweep of the recording, so no word meets all segments.
     """
-    middle = (F.col("w_start") + F.col("w_end")) / 2
-    s = segments.select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col(seg_id), F.col("start_s").alias("__a"), F.col("end_s").alias("__b"))
-    on = [F.col(k) == F.col(f"__s_{k}") for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
+    own = [F.col(k).alias(f"__s_{k}") for k in keys]
+    s = segments.select(*own, F.col(seg_id), F.col("start_s").alias("__a"), F.col("end_s").alias("__b"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__s_{k}"))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_s), F.greatest(F.floor(F.col(b) / bin_s), F.floor(F.col(a) / bin_s))))
+    w = words.withColumn("__m", (F.col("w_start") + F.col("w_end")) / 2)
     overlap = F.greatest(F.least("w_end", "__b") - F.greatest("w_start", "__a"), F.lit(0.0))
-    away = F.when(middle < F.col("__a"), F.col("__a") - middle).when(middle > F.col("__b"), middle - F.col("__b")).otherwise(0.0)
-    pairs = words.join(s, cond, "left").withColumn("overlap_s", overlap).withColumn("distance_s", away)
-    best = F.struct((-F.col("overlap_s")).alias("o"), F.when(F.col("overlap_s") > 0, 0.0).otherwise(F.col("distance_s")).alias("d"), F.col("__a"), F.col("__b"), F.col(seg_id))
-    picked = pairs.groupBy(*keys, word_id).agg(F.min_by(F.struct(seg_id, "overlap_s", "distance_s"), F.when(F.col(seg_id).isNotNull(), best)).alias("x"))
-    near = F.lit(True) if tolerance is None else F.col("x.distance_s") <= tolerance
-    how = F.when(F.col("x.overlap_s") > 0, "overlap").when(truly(near) & F.col(f"x.{seg_id}").isNotNull(), "nearest").otherwise("none")
+    inside = (F.col("__m") >= F.col("__a")) & (F.col("__m") <= F.col("__b"))
+    met = w.withColumn("__bin", bins("w_start", "w_end")).join(s.withColumn("__obin", bins("__a", "__b")), same & (F.col("__bin") == F.col("__obin"))).withColumn("overlap_s", overlap).filter((F.col("overlap_s") > 0) | inside)
+    away = F.when(F.col("__m") < F.col("__a"), F.col("__a") - F.col("__m")).when(F.col("__m") > F.col("__b"), F.col("__m") - F.col("__b")).otherwise(0.0)
+    best = F.struct((-F.col("overlap_s")).alias("o"), F.when(F.col("overlap_s") > 0, 0.0).otherwise(away).alias("d"), F.col("__a"), F.col("__b"), F.col(seg_id))
+    touched = met.groupBy(*keys, word_id).agg(F.min_by(F.struct(seg_id, "overlap_s", away.alias("distance_s")), best).alias("x"))
+    rest = w.join(touched.select(*keys, word_id), [*keys, word_id], "left_anti")
+    segment, none = F.struct(F.col("__a").alias("a"), F.col("__b").alias("b"), F.col(seg_id).alias("id")), F.lit(None)
+    points = rest.select(*keys, F.col("__m").alias("t"), F.col(word_id), none.cast(segments.select(F.struct(F.col("start_s").alias("a"), F.col("end_s").alias("b"), F.col(seg_id).alias("id")).alias("z")).schema["z"].dataType).alias("z"))
+    events = points.unionByName(s.select(*[F.col(f"__s_{k}").alias(k) for k in keys], F.col("__a").alias("t"), none.cast(words.schema[word_id].dataType).alias(word_id), segment.alias("z")))
+    line = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    back = F.max_by("z", F.when(F.col("z").isNotNull(), F.struct(F.col("z.b"), (-F.col("z.a")).alias("na")))).over(line)
+    near = events.withColumn("p", back).withColumn("q", F.min("z").over(ahead)).filter(F.col("z").isNull())
+    gap = lambda z: F.when(F.col("t") < F.col(f"{z}.a"), F.col(f"{z}.a") - F.col("t")).when(F.col("t") > F.col(f"{z}.b"), F.col("t") - F.col(f"{z}.b")).otherwise(0.0)
+    sides = F.array_sort(F.array_compact(F.array(*[F.when(F.col(z).isNotNull(), F.struct(gap(z).alias("d"), F.col(f"{z}.a").alias("a"), F.col(f"{z}.b").alias("b"), F.col(f"{z}.id").alias("id"))) for z in "pq"])))
+    nearest = near.withColumn("one", F.get(sides, F.lit(0)))
+    nearest = nearest.select(*keys, word_id, F.when(F.col("one").isNotNull(), F.struct(F.col("one.id").alias(seg_id), F.lit(0.0).alias("overlap_s"), F.col("one.d").alias("distance_s"))).alias("x"))
+    picked = touched.unionByName(nearest)
+    close = F.lit(True) if tolerance is None else F.col("x.distance_s") <= tolerance
+    how = F.when(F.col("x.overlap_s") > 0, "overlap").when(truly(close) & F.col(f"x.{seg_id}").isNotNull(), "nearest").otherwise("none")
     out = picked.withColumn("how", how)
     return out.select(*keys, word_id, F.when(F.col("how") != "none", F.col(f"x.{seg_id}")).alias(seg_id), F.col("x.overlap_s").alias("overlap_s"), F.col("x.distance_s").alias("distance_s"), "how")
 

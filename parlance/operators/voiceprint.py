@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.nulls import truly, truthy
 from parlance.functions.vectors import cosine, dot, mean_vectors, unit
+from parlance.operators.ranks import by_digest, numbered
 
 
 def spread(c: Column, salt: str) -> Column:
@@ -31,8 +32,8 @@ def person_samples(df: DataFrame, keys: list[str], vector: str = "v") -> DataFra
     base = df.withColumn("__u", unit(F.col(vector)))
     facts = base.groupBy(*keys).agg(F.count("*").alias("n_segments"), F.sum("duration_s").alias("seconds"), F.avg("duration_s").alias("mean_s"))
     centre = mean_vectors(base, keys, "__u", "__c").select(*keys, unit(F.col("__c")).alias("sample_vector"))
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)) - 1
-    return facts.join(centre, keys).withColumn("sample_id", F.format_string("S%06d", number))
+    named = numbered(facts, keys, "__no").withColumn("sample_id", F.format_string("S%06d", F.col("__no"))).drop("__no")
+    return named.join(centre, keys).select(*facts.columns, "sample_vector", "sample_id")
 
 
 def eligible(samples: DataFrame, person: str = "person_id", min_samples: int = 2, min_seconds: float = 10.0) -> DataFrame:
@@ -43,54 +44,55 @@ def eligible(samples: DataFrame, person: str = "person_id", min_samples: int = 2
 
 def identity_split(persons: DataFrame, person: str = "person_id", test: float = 0.3, salt: str = "pairs") -> DataFrame:
     """Persons dealt into train and test, ceil(test * n) of them to test, by a digest's order."""
-    every = Window.partitionBy(F.lit(0))
-    n = F.count("*").over(every)
-    rank = F.row_number().over(every.orderBy(spread(F.col(person), salt), person))
-    return persons.withColumn("part", F.when(rank <= F.ceil(test * n), "test").otherwise("train"))
+    ranked = by_digest(persons, spread(F.col(person), salt), person, "__r", "__n")
+    return ranked.select(*persons.columns, F.when(F.col("__r") <= F.ceil(test * F.col("__n")), "test").otherwise("train").alias("part"))
 
 
 def open_set_split(persons: DataFrame, person: str = "person_id", unknown: float = 0.2, test: float = 0.3, salt: str = "open") -> DataFrame:
     """Persons dealt into unknown, known_test and calibration (at least one each of the first two)."""
-    every = Window.partitionBy(F.lit(0))
-    n = F.count("*").over(every)
-    rank = F.row_number().over(every.orderBy(spread(F.col(person), salt), person))
+    ranked = by_digest(persons, spread(F.col(person), salt), person, "__r", "__n")
+    rank, n = F.col("__r"), F.col("__n")
     n_unknown = F.greatest(F.lit(1), F.round(unknown * n).cast("long"))
     n_test = F.greatest(F.lit(1), F.round(test * (n - n_unknown)).cast("long"))
-    return persons.withColumn("part", F.when(rank <= n_unknown, "unknown").when(rank <= n_unknown + n_test, "known_test").otherwise("calibration"))
+    return ranked.select(*persons.columns, F.when(rank <= n_unknown, "unknown").when(rank <= n_unknown + n_test, "known_test").otherwise("calibration").alias("part"))
 
 
 def call_split(samples: DataFrame, person: str = "person_id", sample: str = "sample_id", query: float = 0.3, least: int = 2, salt: str = "calls") -> DataFrame:
     """Samples of each person dealt into query and enrolment (at least ``least`` enrolled)."""
-    own = Window.partitionBy(person)
-    n = F.count("*").over(own)
-    rank = F.row_number().over(own.orderBy(spread(F.col(sample), salt), sample))
-    asked = F.least(F.greatest(F.lit(1), F.round(query * n).cast("long")), F.greatest(n - least, F.lit(0)))
-    return samples.withColumn("use", F.when(rank <= asked, "query").otherwise("enrolment"))
+    ranked = by_digest(samples, spread(F.col(sample), salt), sample, "__r", "__n", [person])
+    asked = F.least(F.greatest(F.lit(1), F.round(query * F.col("__n")).cast("long")), F.greatest(F.col("__n") - least, F.lit(0)))
+    return ranked.select(*samples.columns, F.when(F.col("__r") <= asked, "query").otherwise("enrolment").alias("use"))
 
 
-def verification_pairs(samples: DataFrame, person: str = "person_id", sample: str = "sample_id", vector: str = "v", most_genuine: int = 500, ratio: int = 3, most_impostor: int = 200_000, salt: str = "pairs") -> DataFrame:
+def verification_pairs(samples: DataFrame, person: str = "person_id", sample: str = "sample_id", vector: str = "v", recording: str | None = None, most_genuine: int = 500, pool: int = 64, ratio: int = 3, most_impostor: int = 200_000, salt: str = "pairs") -> DataFrame:
     """Genuine and impostor pairs with their cosine: ``a, b, same, cosine``.
 
-    Genuine pairs are the first ``most_genuine`` of each person by a digest's order, impostor pairs
-    ``ratio`` for each genuine one. Impostors come from each sample's next samples of other persons in a
-    digest's order, so no cross product is formed; none is there twice.
+    Genuine pairs are made among a person's first ``pool`` samples, which are taken in turn from its
+    recordings in a digest's order; pairs of different recordings go first, those of one recording fill
+    up, and ``most_genuine`` of a person stay. Impostor pairs are ``ratio`` for each genuine one, at most
+    ``most_impostor``: a sample with its next ones of other persons in a digest's order. No cross product is
+    formed, keys alone are paired, and none is there twice.
     """
-    s = samples.select(F.col(person).alias("p"), F.col(sample).alias("s"), F.col(vector).alias("v"))
-    a, b = s.select("p", F.col("s").alias("a"), F.col("v").alias("va")), s.select("p", F.col("s").alias("b"), F.col("v").alias("vb"))
-    both = a.join(b, "p").filter("a < b").withColumn("o", spread(F.concat_ws("/", "a", "b"), salt))
-    genuine = both.withColumn("rn", F.row_number().over(Window.partitionBy("p").orderBy("o", "a", "b"))).filter(F.col("rn") <= most_genuine).select("a", "b", "va", "vb", F.lit(1).alias("same"))
-    ring = Window.partitionBy(F.lit(0)).orderBy(spread(F.col("s"), salt), "s")
-    placed = s.withColumn("i", F.row_number().over(ring)).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    rec = F.col(recording) if recording else F.lit(None)
+    s = samples.select(F.col(person).alias("p"), F.col(sample).alias("s"), rec.cast("string").alias("c")).withColumn("o", spread(F.col("s"), salt))
+    turn = by_digest(s, F.col("o"), "s", "turn", keys=["p", "c"]).filter(F.col("turn") <= pool)
+    few = turn.withColumn("rn", F.row_number().over(Window.partitionBy("p").orderBy("turn", "o", "s"))).filter(F.col("rn") <= pool)
+    a, b = few.select("p", F.col("s").alias("a"), F.col("c").alias("ca")), few.select(F.col("p").alias("p2"), F.col("s").alias("b"), F.col("c").alias("cb"))
+    both = a.join(b, (F.col("p") == F.col("p2")) & (F.col("a") < F.col("b")))
+    order = Window.partitionBy("p").orderBy(truly(F.col("ca") == F.col("cb")), spread(F.concat_ws("/", "a", "b"), salt), "a", "b")
+    genuine = both.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most_genuine).select("a", "b", F.lit(1).alias("same"))
+    placed = by_digest(s.select("p", "s", "o"), F.col("o"), "s", "i", "n")
     wanted = F.least(genuine.agg(F.count("*").alias("g")).select("g").scalar() * ratio, F.lit(most_impostor))
-    step = placed.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.ceil(wanted / F.col("n")).cast("int") * 2 + 2, (F.col("n") - 1).cast("int")))))
-    left = step.select(F.col("p").alias("p1"), F.col("s").alias("s1"), F.col("v").alias("v1"), "i", "k", ((F.col("i") + F.col("k") - 1) % F.col("n") + 1).alias("j"))
-    right = placed.select(F.col("p").alias("p2"), F.col("s").alias("s2"), F.col("v").alias("v2"), F.col("i").alias("j"))
-    mixed = left.join(right, "j").filter("p1 <> p2")
-    low = F.col("s1") < F.col("s2")
-    pairs = mixed.select(F.when(low, F.col("s1")).otherwise(F.col("s2")).alias("a"), F.when(low, F.col("s2")).otherwise(F.col("s1")).alias("b"), F.when(low, F.col("v1")).otherwise(F.col("v2")).alias("va"), F.when(low, F.col("v2")).otherwise(F.col("v1")).alias("vb")).dropDuplicates(["a", "b"])
-    order = Window.partitionBy(F.lit(0)).orderBy(spread(F.concat_ws("/", "a", "b"), salt), "a", "b")
-    impostor = pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= wanted).select("a", "b", "va", "vb", F.lit(0).alias("same"))
-    return genuine.unionByName(impostor).select("a", "b", "same", cosine(F.col("va"), F.col("vb")).alias("cosine"))
+    steps = F.least(F.ceil(wanted / F.col("n")).cast("int") * 2 + 2, (F.col("n") - 1).cast("int"))
+    step = placed.filter((F.col("i") <= wanted) & (F.col("n") > 1)).withColumn("k", F.explode(F.sequence(F.lit(1), steps)))
+    left = step.select(F.col("p").alias("p1"), F.col("s").alias("s1"), ((F.col("i") + F.col("k") - 1) % F.col("n") + 1).alias("j"))
+    right = placed.select(F.col("p").alias("p2"), F.col("s").alias("s2"), F.col("i").alias("j"))
+    mixed = left.join(right, "j").filter("p1 <> p2").select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
+    chosen = mixed.withColumn("o", spread(F.concat_ws("/", "a", "b"), salt))
+    impostor = by_digest(chosen, F.col("o"), "a", "rn").filter(F.col("rn") <= wanted).select("a", "b", F.lit(0).alias("same"))
+    va, vb = (samples.select(F.col(sample).alias(k), F.col(vector).alias(f"v{k}")) for k in "ab")
+    pairs = genuine.unionByName(impostor).join(va, "a").join(vb, "b")
+    return pairs.select("a", "b", "same", cosine(F.col("va"), F.col("vb")).alias("cosine"))
 
 
 def profiles(samples: DataFrame, person: str = "person_id", vector: str = "v") -> DataFrame:
@@ -110,6 +112,7 @@ def identified(queries: DataFrame, profile: DataFrame, sample: str = "sample_id"
     """
     q = queries.select(F.col(sample), F.col(person).alias("truth"), unit(F.col(vector)).alias("__q"))
     p = profile.select(F.col(person).alias("best"), F.col("profile").alias("__p"))
+    p = p.persist()  # counted and then read: the profiles are made once
     n = p.limit(most_broadcast + 1).count()
     if n <= most_broadcast:
         scored = q.crossJoin(F.broadcast(p))

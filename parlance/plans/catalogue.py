@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parlance.functions import labels as L
 from parlance.functions import names as N
 from parlance.functions import text as X
-from parlance.functions.vectors import mean_vectors
+from parlance.functions.vectors import mean_vectors, unit
 from parlance.operators import audits, evaluation, fusion, intervals, keywords, matching, prosody, roles, sentiment, summaries, voiceprint
 from parlance.plans import adapters as A
 
@@ -592,14 +592,12 @@ def both_roles_filter(spark, d):
     return roles.with_both_roles(_turns(spark, d), "audio_id").select("audio_id", "turn", "role")
 
 
-_PAIRS = f"pr AS (SELECT d.doc_id, b.item_id, {A.tokens_sql('d.text', X.STOPWORDS)} AS x, {A.tokens_sql('b.text', X.STOPWORDS)} AS y FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40), sc AS (SELECT *, len(list_intersect(x, y)) AS k FROM pr)"
+_PAIRS = f"dt AS (SELECT doc_id, {A.tokens_sql('text', X.STOPWORDS)} AS x FROM documents), bt AS (SELECT item_id, {A.tokens_sql('text', X.STOPWORDS)} AS y FROM benchmark), pr AS (SELECT *, len(list_intersect(x, y)) AS k FROM dt, bt), sc AS (SELECT doc_id, item_id, k / least(len(x), len(y)) AS c, k / (len(x) + len(y) - k) AS j FROM pr WHERE k > 0), bs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, j DESC, item_id) AS rn FROM sc)"
 
 
-@query(f"WITH {_PAIRS} SELECT doc_id, item_id, {R('CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE k / least(len(x), len(y)) END', 'containment')}, {R('CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE k / (len(x) + len(y) - k) END', 'jaccard')} FROM sc")
+@query(f"WITH {_PAIRS} SELECT doc_id, item_id, {R('c', 'containment')}, {R('j', 'jaccard')} FROM bs WHERE rn = 1")
 def token_containment_jaccard(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    items = A.table(spark, d, "benchmark").select("item_id", F.col("text").alias("item_text"))
-    return roles.token_scores(docs.join(items, "item_id"), "text", "item_text").select("doc_id", "item_id", "containment", "jaccard")
+    return roles.best_items(A.table(spark, d, "documents"), A.table(spark, d, "benchmark"))
 
 
 _TFIDF = rf"""{A.TXT}, tt AS (SELECT audio_id, 't' || seg_id AS id, text FROM txt WHERE role = 'CLIENT'), wt AS (SELECT audio_id, 'w' || seg_id AS id, text FROM txt WHERE role = 'AGENT'), ids AS (SELECT * FROM tt UNION ALL SELECT * FROM wt),
@@ -754,19 +752,30 @@ def _cos(a: str, b: str) -> str:
     return f"{_dot(a, b)} / (sqrt({_dot(a, a)}) * sqrt({_dot(b, b)}))"
 
 
-_GENUINE = f"{A.VEC}, g AS (SELECT a.person_id, a.sample_id AS a, b.sample_id AS b, a.v AS va, b.v AS vb, row_number() OVER (PARTITION BY a.person_id ORDER BY sha256('pairs|' || a.sample_id || '/' || b.sample_id), a.sample_id, b.sample_id) AS rn FROM vec a JOIN vec b ON a.person_id = b.person_id AND a.sample_id < b.sample_id)"
+_GENUINE = f"""{A.VEC}, so AS (SELECT *, sha256('pairs|' || sample_id) AS o FROM vec), tn AS (SELECT *, row_number() OVER (PARTITION BY person_id, audio_key ORDER BY o, sample_id) AS turn FROM so),
+fw AS (SELECT * FROM tn QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY turn, o, sample_id) <= 64),
+g AS (SELECT a.sample_id AS a, b.sample_id AS b, a.v AS va, b.v AS vb FROM fw a JOIN fw b ON a.person_id = b.person_id AND a.sample_id < b.sample_id QUALIFY row_number() OVER (PARTITION BY a.person_id ORDER BY a.audio_key = b.audio_key, sha256('pairs|' || a.sample_id || '/' || b.sample_id), a.sample_id, b.sample_id) <= 500)"""
+_IMPOSTOR = f"""{_GENUINE}, wt AS (SELECT least(3 * count(*), 200000) AS w FROM g), pl AS (SELECT person_id, sample_id, v, row_number() OVER (ORDER BY o, sample_id) AS i, count(*) OVER () AS n FROM so),
+st AS (SELECT pl.*, w, unnest(range(1, least(CAST(ceil(w / n) AS BIGINT) * 2 + 2, n - 1) + 1)) AS k FROM pl, wt WHERE i <= w AND n > 1),
+mx AS (SELECT DISTINCT least(st.sample_id, q.sample_id) AS a, greatest(st.sample_id, q.sample_id) AS b, w FROM st JOIN pl q ON q.i = (st.i + k - 1) % st.n + 1 WHERE st.person_id <> q.person_id),
+im AS (SELECT a, b FROM mx QUALIFY row_number() OVER (ORDER BY sha256('pairs|' || a || '/' || b), a) <= w)"""
 
 
 def _pairs(spark, d):
-    return voiceprint.verification_pairs(A.vectors(spark, d), most_genuine=40)
+    return voiceprint.verification_pairs(A.vectors(spark, d), recording="audio_key")
 
 
-@query(f"WITH {_GENUINE} SELECT a, b, {R(_cos('va', 'vb'), 'cosine')} FROM g WHERE rn <= 40")
+@query(f"WITH {_GENUINE} SELECT a, b, {R(_cos('va', 'vb'), 'cosine')} FROM g")
 def verification_genuine_pairs(spark, d):
     return _pairs(spark, d).filter("same = 1").select("a", "b", "cosine")
 
 
-@query(f"WITH {_GENUINE}, k AS (SELECT count(*) AS n FROM g WHERE rn <= 40), x(same, per) AS (VALUES (0, 3), (1, 1)) SELECT CAST(same AS BIGINT) AS same, CAST(per * n AS BIGINT) AS n, true AS distinct_persons_hold FROM k, x")
+@query(f"WITH {_IMPOSTOR} SELECT a, b, {R(_cos('x.v', 'y.v'), 'cosine')} FROM im JOIN vec x ON x.sample_id = a JOIN vec y ON y.sample_id = b")
+def verification_impostor_pairs(spark, d):
+    return _pairs(spark, d).filter("same = 0").select("a", "b", "cosine")
+
+
+@query(f"WITH {_IMPOSTOR}, k(same, n) AS (SELECT 1, count(*) FROM g UNION ALL SELECT 0, count(*) FROM im) SELECT CAST(same AS BIGINT) AS same, CAST(n AS BIGINT) AS n, true AS distinct_persons_hold FROM k WHERE n > 0")
 def verification_pair_counts(spark, d):
     v = A.vectors(spark, d).select("sample_id", "person_id")
     p = _pairs(spark, d).join(v.select(F.col("sample_id").alias("a"), F.col("person_id").alias("pa")), "a").join(v.select(F.col("sample_id").alias("b"), F.col("person_id").alias("pb")), "b")
@@ -793,12 +802,32 @@ def pair_score_summary(spark, d):
     return evaluation.pair_summary(A.documents(spark, d))
 
 
-_ENROL = "CASE WHEN sample_id % 5 = 0 THEN 1 ELSE 0 END"
-_PROF = f"{A.VEC}, {_UNIT}, en AS (SELECT * FROM u WHERE sample_id % 5 <> 0 AND person_id < 8), e AS (SELECT person_id, unnest(range(0, 64)) AS i, unnest(un) AS x FROM en), m AS (SELECT person_id, i, avg(x) AS x FROM e GROUP BY ALL), n AS (SELECT person_id, sqrt(sum(x * x)) AS n FROM m GROUP BY ALL), pf AS (SELECT m.person_id, list(x / n ORDER BY i) AS profile FROM m JOIN n USING (person_id) GROUP BY ALL)"
+_PARTS = f"""{A.VEC}, {_UNIT}, cn AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY sha256('calls|' || sample_id), sample_id) AS cr, count(*) OVER (PARTITION BY person_id) AS pn FROM u),
+us AS (SELECT * EXCLUDE (cr, pn), cr <= least(greatest(1, CAST(round(0.3 * pn) AS BIGINT)), greatest(pn - 2, 0)) AS asked FROM cn),
+ps AS (SELECT person_id, row_number() OVER (ORDER BY sha256('open|' || person_id), person_id) > greatest(1, CAST(round(0.2 * count(*) OVER ()) AS BIGINT)) AS known FROM (SELECT DISTINCT person_id FROM vec)),
+en AS (SELECT * FROM us WHERE NOT asked)"""
+
+
+def _centre(keys: str, rows: str) -> str:
+    """Unit centroids of ``rows`` by ``keys`` as ``pf``."""
+    return f"e AS (SELECT {keys}, unnest(range(0, 64)) AS i, unnest(un) AS x FROM {rows}), m AS (SELECT {keys}, i, avg(x) AS x FROM e GROUP BY ALL), n AS (SELECT {keys}, sqrt(sum(x * x)) AS n FROM m GROUP BY ALL), pf AS (SELECT {keys}, list(x / n ORDER BY i) AS profile FROM m JOIN n USING ({keys}) GROUP BY ALL)"
+
+
+_PROF = f"{_PARTS}, {_centre('person_id', 'en')}"
+
+
+def _uses(spark, d):
+    """All samples, dealt within each person into enrolment and queries."""
+    return voiceprint.call_split(A.vectors(spark, d))
+
+
+def _known(spark, d):
+    """Persons who are enrolled; the others are unknown."""
+    return voiceprint.open_set_split(A.vectors(spark, d).select("person_id").distinct()).filter("part <> 'unknown'").select("person_id")
 
 
 def _profiles(spark, d):
-    return voiceprint.profiles(A.vectors(spark, d).filter("sample_id % 5 <> 0 AND person_id < 8"))
+    return voiceprint.profiles(_uses(spark, d).filter("use = 'enrolment'"))
 
 
 @query(f"WITH {_PROF}, w AS (SELECT en.person_id, {_dot('un', 'profile')} AS s FROM en JOIN pf USING (person_id)) SELECT person_id, count(*) AS n_vectors, {R('avg(s)', 'within_mean')}, {R('stddev_pop(s)', 'within_std')}, {R('min(s)', 'within_min')}, {R('max(s)', 'within_max')} FROM w GROUP BY person_id")
@@ -806,11 +835,11 @@ def speaker_profiles(spark, d):
     return _profiles(spark, d).select("person_id", "n_vectors", "within_mean", "within_std", "within_min", "within_max")
 
 
-_FOUND = f"{_PROF}, q AS (SELECT * FROM u WHERE sample_id % 5 = 0), sc AS (SELECT sample_id, q.person_id AS truth, pf.person_id AS best, {_dot('un', 'profile')} AS s FROM q, pf), rk AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, best) AS rn, lead(s) OVER (PARTITION BY sample_id ORDER BY s DESC, best) AS second FROM sc), fd AS (SELECT * FROM rk WHERE rn = 1)"
+_FOUND = f"{_PROF}, q AS (SELECT * FROM us WHERE asked), sc AS (SELECT sample_id, q.person_id AS truth, pf.person_id AS best, {_dot('un', 'profile')} AS s FROM q, pf WHERE pf.person_id IN (SELECT person_id FROM ps WHERE known)), rk AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, best) AS rn, lead(s) OVER (PARTITION BY sample_id ORDER BY s DESC, best) AS second FROM sc), fd AS (SELECT rk.*, known FROM rk JOIN ps ON person_id = truth WHERE rn = 1)"
 
 
 def _found(spark, d):
-    return voiceprint.identified(A.vectors(spark, d).filter("sample_id % 5 = 0"), _profiles(spark, d))
+    return voiceprint.identified(_uses(spark, d).filter("use = 'query'"), _profiles(spark, d).join(_known(spark, d), "person_id", "left_semi"))
 
 
 @query(f"WITH {_FOUND} SELECT sample_id, CAST(truth AS BIGINT) AS truth, CAST(best AS BIGINT) AS best, {R('s', 'best_score')}, {R('second', 'second_score')}, {R('s - second', 'margin')} FROM fd")
@@ -818,17 +847,17 @@ def open_set_top1_top2(spark, d):
     return _found(spark, d)
 
 
-@query(f"WITH {_FOUND}, de AS (SELECT *, truth < 8 AS known, s >= 0.3 AS yes, CASE WHEN truth < 8 THEN s >= 0.3 AND best = truth ELSE s < 0.3 END AS ok FROM fd) SELECT count(*) FILTER (known) AS n_known, count(*) FILTER (NOT known) AS n_unknown, {R('count(*) FILTER (known AND ok) / count(*) FILTER (known)', 'identification_rate')}, {R('count(*) FILTER (known AND NOT yes) / count(*) FILTER (known)', 'false_rejection_rate')}, {R('count(*) FILTER (NOT known AND yes) / count(*) FILTER (NOT known)', 'false_acceptance_rate')}, {R('count(*) FILTER (ok) / count(*)', 'overall_accuracy')} FROM de")
+@query(f"WITH {_FOUND}, de AS (SELECT *, s >= 0.3 AS yes, CASE WHEN known THEN s >= 0.3 AND best = truth ELSE s < 0.3 END AS ok FROM fd) SELECT count(*) FILTER (known) AS n_known, count(*) FILTER (NOT known) AS n_unknown, {R('count(*) FILTER (known AND ok) / count(*) FILTER (known)', 'identification_rate')}, {R('count(*) FILTER (known AND NOT yes) / count(*) FILTER (known)', 'false_rejection_rate')}, {R('count(*) FILTER (NOT known AND yes) / count(*) FILTER (NOT known)', 'false_acceptance_rate')}, {R('count(*) FILTER (ok) / count(*)', 'overall_accuracy')} FROM de")
 def open_set_decision_metrics(spark, d):
-    known = A.vectors(spark, d).filter("person_id < 8").select("person_id").distinct()
-    return evaluation.open_set_metrics(voiceprint.open_set_decisions(_found(spark, d), known, 0.3))
+    return evaluation.open_set_metrics(voiceprint.open_set_decisions(_found(spark, d), _known(spark, d), 0.3))
 
 
-@query(f"WITH {_PROF}, q AS (SELECT sample_id, audio_key, person_id, v FROM vec WHERE person_id < 8), ce AS (SELECT person_id AS name, profile AS c FROM pf), di AS (SELECT sample_id, person_id, name, 1 - {_cos('v', 'c')} AS d FROM q, ce), rk AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d, name) AS rn, lead(d) OVER (PARTITION BY sample_id ORDER BY d, name) AS d2 FROM di) SELECT sample_id, {R('d', 'distance')}, {R('d2 - d', 'margin')}, CAST(CASE WHEN d2 - d >= 0.01 THEN name ELSE person_id END AS BIGINT) AS speaker_final FROM rk WHERE rn = 1")
+@query(f"WITH {_PARTS}, {_centre('audio_key, person_id', 'en')}, di AS (SELECT sample_id, u.person_id, pf.person_id AS name, 1 - {_cos('v', 'profile')} AS d FROM u JOIN pf ON u.audio_key = pf.audio_key), rk AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d, name) AS rn, lead(d) OVER (PARTITION BY sample_id ORDER BY d, name) AS d2 FROM di) SELECT sample_id, {R('d', 'distance')}, {R('d2 - d', 'margin')}, CAST(CASE WHEN d IS NULL OR d2 - d < 0.01 THEN u.person_id ELSE name END AS BIGINT) AS speaker_final FROM u LEFT JOIN rk USING (sample_id) WHERE rn IS NULL OR rn = 1")
 def nearest_centroid_relabel(spark, d):
-    c = _profiles(spark, d).select(F.lit(1).alias("grp"), F.col("person_id").alias("speaker"), F.col("profile").alias("centroid"))
-    q = A.vectors(spark, d).filter("person_id < 8").select(F.lit(1).alias("grp"), "sample_id", F.col("person_id").alias("speaker"), "v")
-    return voiceprint.nearest_centroid(q, c, ["grp"], tie="sample_id").select("sample_id", "distance", "margin", "speaker_final")
+    """All samples against the centroids of their own recording's speakers."""
+    c = mean_vectors(_uses(spark, d).filter("use = 'enrolment'").withColumn("u", unit(F.col("v"))), ["audio_key", "person_id"], "u").withColumnRenamed("person_id", "speaker")
+    q = A.vectors(spark, d).select("audio_key", "sample_id", F.col("person_id").alias("speaker"), "v")
+    return voiceprint.nearest_centroid(q, c, ["audio_key"], tie="sample_id").select("sample_id", "distance", "margin", "speaker_final")
 
 
 # --- audits ---------------------------------------------------------------------------------------
