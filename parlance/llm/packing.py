@@ -51,7 +51,7 @@ class WordEncoder:
     text if the file normalises or parts words in another way than the fast path (``fast`` is false then).
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
