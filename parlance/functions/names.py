@@ -74,3 +74,15 @@ def segment_uid(audio: Column, start: Column, end: Column, speaker: Column) -> C
 def set_fingerprint(uid: Column) -> Column:
     """Digest of a set of ids, whatever their order."""
     return F.sha2(F.array_join(F.array_sort(F.collect_list(uid)), "|"), 256)
+
+
+#: What transcription appends to a name, in the order in which it is taken off.
+TRANSCRIPTION_SUFFIXES = ("_final_merged", "_transcribed_segments", "_whisper_words", "_whisper_asr_segments", "_clean")
+
+
+def transcription_id(c: Column) -> Column:
+    """Base id in any case of letters: without table or sound extension, each suffix once, and source prefixes as often as they stand there."""
+    x = F.regexp_replace(basename(c), "(?i)\\.(csv|wav|mp3|flac)$", "")
+    for s in TRANSCRIPTION_SUFFIXES:
+        x = F.regexp_replace(x, f"(?i){s}$", "")
+    return F.regexp_replace(x, f"^({'|'.join(ALL_PREFIXES)})+", "")

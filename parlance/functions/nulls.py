@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 
 def known(c: Column) -> Column:
@@ -37,9 +36,9 @@ def share_of(cond: Column) -> Column:
     return F.avg(F.when(cond, 1.0).otherwise(0.0))
 
 
-def average_rank(over: WindowSpec, ties: WindowSpec) -> Column:
-    """Rank with ties sharing their mean; ``ties`` is partitioned by the value as well."""
-    return F.rank().over(over) + (F.count("*").over(ties) - 1) / 2.0
+def safe_float(c: Column, default: float | None = None) -> Column:
+    """A text as a number; ``default`` where it is none."""
+    return F.coalesce(known(c.try_cast("double")), F.lit(default).cast("double"))
 
 
 def first_text(c: Column) -> Column:

@@ -924,3 +924,6 @@ def metadata_preparation(spark, d):
 @query(f"WITH {_NAMES} SELECT CASE WHEN contains(lower(name), 'baja') THEN 'Bajas' WHEN regexp_matches(lower(name), 'comercial|venta') OR lower(name) LIKE 'raw\\_%' ESCAPE '\\' OR lower(name) IN ('raw', 'general') THEN 'Comerciales' ELSE 'No identificado' END AS corpus, count(*) AS n FROM nm GROUP BY 1")
 def corpus_classification(spark, d):
     return _names(spark, d).groupBy(summaries.corpus_of(F.col("name")).alias("corpus")).agg(F.count("*").alias("n"))
+
+
+from parlance.plans import reports  # noqa: E402,F401  (registers its queries)
