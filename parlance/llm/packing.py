@@ -193,13 +193,23 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 _COLUMNS = "doc_id {0}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Ids as 16-bit words if all of them fit, for the way to the next round."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if int(wide.max()) < 1 << 16 else ids
+
+
+def _wide(ids: bytes, length: int) -> bytes:
+    return ids if len(ids) == 4 * length else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def _rows(windows: Iterable[list], first: int, kind: pa.DataType, task: int, opened: bool) -> tuple[pa.RecordBatch, int]:
     """The pieces of windows numbered from ``first``; those of open windows with their ids."""
     flat: list[tuple] = []
     for window in windows:
         at = 0
         for key, start, ids, total in window:
-            flat.append((key, start, len(ids) // 4, zlib.crc32(ids), total, first, at, ids if opened else None))
+            flat.append((key, start, len(ids) // 4, zlib.crc32(ids), total, first, at, _narrow(ids) if opened else None))
             at += len(ids) // 4
         first += 1
     cols = list(zip(*flat)) if flat else [[]] * 8
@@ -284,7 +294,7 @@ def _go_on(size: int, level: int, last: bool):
                             yield from finish()
                         packer, task, first, number = Packer(size), r["to"], r["task"], (level << 58) + (r["to"] << 36)
                     now = at
-                window.append((r["doc_id"], r["start"], r["ids"], r["doc_tokens"]))
+                window.append((r["doc_id"], r["start"], _wide(r["ids"], r["length"]), r["doc_tokens"]))
             out, number = _rows(done, number, kind, task or 0, False)
             yield out
         if task is not None:

@@ -40,7 +40,7 @@ from parlance.llm.scratch import held, materialise, ship
 from parlance.llm.textbytes import flat, mix, runs, table
 
 K = 32
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BLOCK = 1 << 20
 #: A row over LARGE bytes is cut into parts of STEP.
 LARGE = 8 << 20
