@@ -101,7 +101,7 @@ def features(docs: DataFrame, text_col: str) -> DataFrame:
         "n_repeat_words": F.when(F.size(F.array_distinct(F.col("__q_hashes"))) < F.size("__q_hashes"), _covered(_repeated_places(words, F.col("__q_hashes")))).otherwise(0),
         "n_distinct": F.size(F.array_distinct(words)),
         "n_upper": F.length(t) - F.length(F.regexp_replace(t, "\\p{Lu}", "")),
-        "n_letters": F.length(t) - F.length(F.regexp_replace(t, "\\p{L}+", "")),
+        "n_letters": F.length(t) - F.length(F.regexp_replace(t, "[\\p{L}\\p{M}]+", "")),
         "n_shouts": F.length(t) - bare(t, "!?"),
     }
     return second.select(*[F.col(c) for c in docs.columns], *[v.cast("long").alias(f"__q_{k}") for k, v in out.items()])
@@ -164,7 +164,8 @@ def judged(docs: DataFrame, text_col: str = "text", least: float = 0.5, carry: l
 
     A document fails the base rules under 50 words, or when more than half of its words stand in
     repeated three-word windows; those are not asked in the estimation. Otherwise the posterior decides. Null text counts as empty, which
-    fails. Features are written once with the columns of ``carry`` (all, if not given), so texts are
+    fails; marks of vowels and tones count as letters. Repeated rows get equal verdicts; a posterior of exactly
+    ``least`` keeps. Features are written once with the columns of ``carry`` (all, if not given), so texts are
     read once. A carried column that is named like one of these gives way to it.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in OUTPUTS]

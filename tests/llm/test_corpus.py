@@ -212,6 +212,13 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert all(got[i] for i, _ in clean) and not any(got[i] for i, _ in junk)
 
 
+def test_quality_letters_with_marks(spark):
+    """Vowel signs and tones are letters: the rule votes good on Devanagari, Thai and vowelled Arabic."""
+    texts = ["कि यह हिन्दी का एक वाक्य है " * 12, "นี่คือประโยคภาษาไทย ที่มีวรรณยุกต์ " * 12, "هٰذِهِ جُمْلَةٌ عَرَبِيَّةٌ مُشَكَّلَةٌ " * 12]
+    got = quality.features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text").collect()
+    assert all(100 * r["__q_n_letters"] >= 93 * r["__q_word_chars"] for r in got)
+
+
 def test_posteriors_follow_votes():
     post = quality.expectation_maximisation({"ggg": 900, "bbg": 60, "bb-": 30, "g--": 10})
     assert post["ggg"] > 0.9 > 0.5 > post["bbg"] and quality.expectation_maximisation({}) == {}
