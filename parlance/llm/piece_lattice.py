@@ -27,6 +27,8 @@ from parlance.llm.scratch import ship
 from parlance.llm.textbytes import mix
 
 LONGEST = 16
+#: Words over this length are cut where no piece that stands in them crosses; the parts' lattices are independent, so draws keep their odds.
+LONG = 512
 #: Partial paths this far below (in nats), and log(k) further for k draws, are left out: odds of about e ** -30 for any k.
 FAR = 32.0
 BATCH_CHARS = 80_000
@@ -114,6 +116,23 @@ class Pieces:
         return out
 
 
+    def crossings(self, chars: np.ndarray) -> np.ndarray:
+        """Places within ``chars`` that no piece standing there crosses."""
+        n = len(chars)
+        codes = _char_codes(chars)
+        reach = np.arange(1, n + 1)
+        start, h = np.arange(n), np.zeros(n, np.uint64)
+        for k in range(LONGEST):
+            h = h * _B + codes[start + k]
+            got = self.find(h) if k else self.first[chars]
+            reach[start[got >= 0]] = start[got >= 0] + k + 1
+            go = (got > -2) & (start + k + 1 < n)
+            start, h = start[go], h[go]
+            if not len(start):
+                break
+        return np.flatnonzero(np.maximum.accumulate(reach)[:-1] <= np.arange(1, n)) + 1
+
+
 @cache
 def pieces(path: str, exponent: float) -> Pieces:
     return Pieces(path, exponent)
@@ -235,8 +254,14 @@ class Batch:
             first[0] = True
             first[1:] = (row_of[1:] != row_of[:-1]) | odd[1:] | odd[:-1] | (blank[1:] & ~blank[:-1])
         start = np.flatnonzero(first)
-        self.word_row = row_of[start]
         length = np.diff(np.concatenate((start, [len(chars)])))
+        long = np.flatnonzero(length > LONG)
+        for a, n in zip(start[long].tolist(), length[long].tolist()):
+            first[a + vocabulary.crossings(chars[a : a + n])] = True
+        if len(long):
+            start = np.flatnonzero(first)
+            length = np.diff(np.concatenate((start, [len(chars)])))
+        self.word_row = row_of[start]
         self.fixed = odd[start]  # a character without a piece: its bytes
         self.fixed_char = np.where(self.fixed, chars[start], 0)
         self.first_word = np.searchsorted(self.word_row, np.arange(self.rows + 1))
@@ -422,7 +447,8 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
     ``ids`` are little-endian unsigned 32-bit piece ids; draws are distinct segmentations in falling
     order of ``perturbed``; ``inclusion`` is the probability that a segmentation is drawn given the
-    (k + 1)-th perturbed value. A text with fewer segmentations has as many rows. Null and empty
+    (k + 1)-th perturbed value. A text of any length is read whole; some 600 bytes a character are held for the longest
+    stretch in which pieces cross every place (a run of one letter, not prose of a script without blanks). A text with fewer segmentations has as many rows. Null and empty
     text have the empty segmentation. The row's key is its id and text, so repeated rows repeat.
     Characters without a piece become their bytes. Without ``carry_text`` a digest of the text
     (``text_hash``, xxhash64) stands in its column's place; with ``verify`` each draw is decoded at once

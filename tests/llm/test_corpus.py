@@ -175,6 +175,23 @@ def test_sampler_cut_widens_with_draws():
     assert piece_lattice.far(1) == piece_lattice.FAR and piece_lattice.far(1000) == pytest.approx(piece_lattice.FAR + math.log(1000))
 
 
+def test_sampler_cuts_long_words(vocabulary, monkeypatch):
+    """Cut words have the same log-probabilities of their segmentations as whole ones, and decode to the text."""
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(3000))
+    keys = np.arange(4, dtype=np.uint64)
+    one = piece_lattice.Batch(vocabulary, [text] * 4, keys)
+    assert one.lattices.size.max() < 600 < len(text)
+    monkeypatch.setattr(piece_lattice, "LONG", 10**9)
+    two = piece_lattice.Batch(vocabulary, [text] * 4, keys)
+    assert two.lattices.size.max() > 2000
+    whole = lambda b: sum(float(b.lattices.mass[b.lattices.off[b.lattices.size[w]] + w]) for w, row in zip(b.word.tolist(), b.word_row.tolist()) if w >= 0 and row == 0)
+    assert whole(one) == pytest.approx(whole(two), rel=1e-4)
+    for b in (one, two):
+        got = b.sample(2)[0]
+        assert piece_lattice.decode_ids(vocabulary, got["ids"][got["edges"][0] : got["edges"][1]].astype("<u4").tobytes()) == text
+
+
 def test_sampler_rows(odd_docs, no_docs):
     model = queries.tokenizer_file("piece_bpe_32k.model")
     out = piece_lattice.decode(piece_lattice.encode(odd_docs, model, k=3), model)
