@@ -6,7 +6,7 @@ The code length of a text is exact: a byte unseen in its context escapes to the
 language with the shortest code wins.
 
 Statistics come from a bounded sample: whole texts, chosen by a hash of their content so that a language
-gives about ``SAMPLE`` texts whatever its share. The contexts kept are, for each language, the ``NODES`` most
+gives about ``SAMPLE`` texts whatever its share, and no more than about ``SAMPLE_BYTES`` bytes where they are long. The contexts kept are, for each language, the ``NODES`` most
 frequent of its sample; others are coded from the longest kept suffix. Every text is scored whole, under
 every label there is. Tables hold ``GROUP`` languages each, and a task has one table in memory at a time.
 """
@@ -24,7 +24,7 @@ from parlance.llm.scratch import materialise, ship
 from parlance.llm.textbytes import flat, runs
 
 DEPTH = 3
-SAMPLE = 1500
+SAMPLE, SAMPLE_BYTES = 1500, 16 << 20
 NODES = 12_000
 GROUP = 4
 #: Contexts under this count in the sample have no node of their own.
@@ -195,13 +195,14 @@ def _label(groups):
 def learned(labelled: DataFrame, sample: int = SAMPLE, nodes: int = NODES, group: int | None = GROUP) -> Iterator[ByteTrees]:
     """Trees of all languages in ``labelled`` (text, lang; lang not null), ``group`` languages a table, in the order of names."""
     spark = labelled.sparkSession
-    sizes = {r["lang"]: r["count"] for r in labelled.filter(F.length("text") > 0).groupBy("lang").count().collect()}
+    found = labelled.filter(F.length("text") > 0).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()  # one row for each label
+    sizes = {r["lang"]: max(r["n"] / sample, r["b"] / SAMPLE_BYTES, 1.0) for r in found}
     names = sorted(sizes)
     if not names:
         none = np.zeros(0, np.int64)
         yield ByteTrees(none, none, none, [])
         return
-    share = spark.createDataFrame([(name, i, min(1.0, sample / sizes[name])) for i, name in enumerate(names)], "lang string, lang_no int, share double")
+    share = spark.createDataFrame([(name, i, 1 / sizes[name]) for i, name in enumerate(names)], "lang string, lang_no int, share double")
     drawn = labelled.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     grams = drawn.select("text", "lang_no").mapInArrow(_grams, "lang_no int, gram long, n long").groupBy("lang_no", "gram").agg(F.sum("n").alias("n"))
     group = group or len(names)
