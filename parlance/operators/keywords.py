@@ -34,7 +34,7 @@ def prepared(df: DataFrame, text: str = "text", start: str = "start_s", end: str
 
 def matches(normal: Column, words: list[str]) -> Column:
     """Sorted distinct keywords, as normalised as the text, that are in it, also within words; keywords of nothing but marks match nothing."""
-    listed = F.array_sort(F.array_distinct(F.array(*[normalize_text(F.lit(w)) for w in words]))) if words else F.array().cast("array<string>")
+    listed = F.sort_array(F.array_distinct(F.array(*[normalize_text(F.lit(w)) for w in words]))) if words else F.array().cast("array<string>")
     return F.filter(listed, lambda k: (k != "") & F.contains(normal, k))
 
 

@@ -9,6 +9,7 @@ from parlance.functions.labels import AGENT_NAMES, CLIENT_NAMES, strict_role
 from parlance.functions.nulls import truly
 from parlance.functions.text import char_grams, containment, count_word_runs, jaccard, match_tokens
 
+#: Fixed format: what may stand between a role's name and what is said.
 TURN = rf"(?i)^\s*({'|'.join(sorted((*AGENT_NAMES, *CLIENT_NAMES), key=len, reverse=True))})\s*[#\d_\-. ]*\s*[:\-]\s*(.*)$"
 
 
@@ -58,17 +59,16 @@ def best_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
 def gram_weights(texts: DataFrame, group: list[str], text_id: str, text: str) -> DataFrame:
     """Unit-length TF-IDF weights of character 3- to 5-grams within each group: ``group, text_id, gram, w``.
 
-    idf = ln((1 + n) / (1 + df)) + 1 over the group's texts.
+    idf = ln((1 + n) / (1 + df)) + 1 over the group's texts. With a group, texts are dealt by it once and all
+    counts are made there.
     """
-    grams = texts.select(*group, text_id, F.explode(char_grams(F.col(text))).alias("gram"))
-    tf = grams.groupBy(*group, text_id, "gram").agg(F.count("*").alias("tf"))
-    n = texts.groupBy(*group).agg(F.count("*").alias("n")) if group else texts.agg(F.count("*").alias("n"))
-    df = tf.groupBy(*group, "gram").agg(F.count("*").alias("df"))
-    w = tf.join(df, [*group, "gram"])
-    w = w.join(n, group) if group else w.crossJoin(F.broadcast(n))
-    w = w.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    length = w.groupBy(*group, text_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return w.join(length, [*group, text_id]).select(*group, text_id, "gram", (F.col("w") / F.col("len")).alias("w"))
+    among = Window.partitionBy(*(group or [F.lit(0)]))
+    grams = texts.select(*group, text_id, text, F.count("*").over(among).alias("n")).select(*group, text_id, "n", F.explode(char_grams(F.col(text))).alias("gram"))
+    tf = grams.groupBy(*group, text_id, "gram").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    df = F.count("*").over(Window.partitionBy(*group, "gram"))
+    w = tf.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + df)) + 1))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*group, text_id)))
+    return w.withColumn("w", F.col("w") / length).select(*group, text_id, "gram", "w")
 
 
 def aligned(turns: DataFrame, windows: DataFrame, key: str, turn_id: str = "turn", window_id: str = "window", cos_weight: float = 0.65, accept: tuple[float, float, float, float] = (0.70, 0.50, 0.35, 0.03)) -> DataFrame:
@@ -76,12 +76,14 @@ def aligned(turns: DataFrame, windows: DataFrame, key: str, turn_id: str = "turn
 
     ``turns`` has ``turn_text``, ``windows`` has ``window_text``. ``accepted`` needs the combined
     score, the cosine, the containment and the margin at their limits. Only windows that share a gram are pairs.
+    The texts of a call are dealt to one task once; weights and cosines are made there.
     """
     ids = turns.select(key, F.concat(F.lit("t"), F.col(turn_id)).alias("id"), F.col("turn_text").alias("t")).unionByName(windows.select(key, F.concat(F.lit("w"), F.col(window_id)).alias("id"), F.col("window_text").alias("t")))
     w = gram_weights(ids, [key], "id", "t")
-    a = w.filter(F.col("id").startswith("t")).select(key, "gram", F.col("id").alias("ta"), F.col("w").alias("wa"))
-    b = w.filter(F.col("id").startswith("w")).select(key, "gram", F.col("id").alias("tb"), F.col("w").alias("wb"))
-    cos = a.join(b, [key, "gram"]).groupBy(key, "ta", "tb").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    side = lambda s: F.collect_list(F.when(F.startswith(F.col("id"), F.lit(s)), F.struct("id", "w")))
+    met = w.groupBy(key, "gram").agg(side("t").alias("ts"), side("w").alias("ws")).filter((F.size("ts") > 0) & (F.size("ws") > 0))
+    pairs = met.select(key, F.explode("ts").alias("a"), "ws").select(key, "a", F.explode("ws").alias("b"))
+    cos = pairs.groupBy(key, F.col("a.id").alias("ta"), F.col("b.id").alias("tb")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("cosine"))
     t = turns.withColumn("ta", F.concat(F.lit("t"), F.col(turn_id)))
     v = windows.withColumn("tb", F.concat(F.lit("w"), F.col(window_id)))
     pairs = token_scores(cos.join(t, [key, "ta"]).join(v, [key, "tb"]), "turn_text", "window_text")
@@ -134,11 +136,12 @@ def evidence(df: DataFrame, keys: list[str], tie: str = "seg_id", pool: tuple[in
 def role_pairs(scores: DataFrame, key: str, min_score: float = 0.10, min_margin: float = 0.01) -> DataFrame:
     """Two speakers mapped to the two roles by the better of both assignments.
 
-    ``scores``: ``key, speaker, role, evidence, score``. The two speakers with the most evidence take
-    part; an assignment scores the sum of its two scores. Gives ``key, agent_speaker, client_speaker, pair_score, pair_margin, status``.
+    ``scores``: ``key, speaker, role, evidence, score`` and, where known, ``seconds`` and ``n_rows``. The two speakers with the
+    most evidence (then seconds, rows, least name) take part; an assignment scores the sum of its two scores. Gives ``key, agent_speaker, client_speaker, pair_score, pair_margin, status``.
     """
-    speakers = scores.groupBy(key, "speaker").agg(F.max("evidence").alias("evidence"), F.max(F.when(F.col("role") == "AGENT", F.col("score"))).alias("a"), F.max(F.when(F.col("role") == "CLIENT", F.col("score"))).alias("c"))
-    order = Window.partitionBy(key).orderBy(F.desc("evidence"), "speaker")
+    more = [c for c in ("seconds", "n_rows") if c in scores.columns]
+    speakers = scores.groupBy(key, "speaker").agg(F.max("evidence").alias("evidence"), *[F.max(c).alias(c) for c in more], F.max(F.when(F.col("role") == "AGENT", F.col("score"))).alias("a"), F.max(F.when(F.col("role") == "CLIENT", F.col("score"))).alias("c"))
+    order = Window.partitionBy(key).orderBy(F.desc("evidence"), *[F.desc(c) for c in more], "speaker")
     two = speakers.withColumn("rn", F.row_number().over(order)).filter("rn <= 2")
     z = lambda c, n: F.coalesce(F.max(F.when(F.col("rn") == n, F.col(c))), F.lit(0.0))
     one = two.groupBy(key).agg(F.max(F.when(F.col("rn") == 1, F.col("speaker"))).alias("s1"), F.max(F.when(F.col("rn") == 2, F.col("speaker"))).alias("s2"), (z("a", 1) + z("c", 2)).alias("straight"), (z("c", 1) + z("a", 2)).alias("crossed"))
@@ -175,7 +178,8 @@ def holdout_part(key: Column, salt: str = "split") -> Column:
 
 def role_scores(evidence_table: DataFrame, official: DataFrame, key: str) -> DataFrame:
     """``0.55 cosine + 0.45 containment`` of each speaker's evidence with each role's official text."""
-    e = evidence_table.select(key, "speaker", F.col("evidence_text").alias("a"), F.col("n_words").alias("evidence"))
+    more = [c for c in ("seconds", "n_rows") if c in evidence_table.columns]
+    e = evidence_table.select(key, "speaker", F.col("evidence_text").alias("a"), F.col("n_words").alias("evidence"), *more)
     pairs = e.join(official.select(key, "role", F.col("role_text").alias("b")), key).withColumn("pair", F.concat_ws("|", F.col(key).cast("string"), "speaker", "role"))
     sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col("a").alias("t")), F.struct(F.lit("b").alias("s"), F.col("b").alias("t")))).alias("x")).select("pair", "x.s", "x.t")
     w = gram_weights(sides, ["pair"], "s", "t")
@@ -183,4 +187,23 @@ def role_scores(evidence_table: DataFrame, official: DataFrame, key: str) -> Dat
     both = token_scores(pairs, "a", "b").join(cos, "pair", "left")
     blank = truly(F.trim("a") == "") | truly(F.trim("b") == "")
     score = 0.55 * F.coalesce("cosine", F.lit(0.0)) + 0.45 * F.col("containment")
-    return both.withColumn("score", F.when(blank, 0.0).otherwise(score)).select(key, "speaker", "role", "evidence", "score")
+    return both.withColumn("score", F.when(blank, 0.0).otherwise(score)).select(key, "speaker", "role", "evidence", *more, "score")
+
+
+def role_audit(evidence_table: DataFrame, turns: DataFrame, key: str, order: str = "turn", min_score: float = 0.10, min_margin: float = 0.01) -> DataFrame:
+    """The mapping of each call with evidence and why there is none: the columns of :func:`role_pairs`.
+
+    ``turns``: ``key, role, turn_text`` and their order. Calls without official turns of both roles are
+    ``missing_both_official_roles``, those in which a role says nothing ``empty_official_role_text``.
+    """
+    said = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "turn_text"))), lambda x: F.trim(F.coalesce(x["turn_text"], F.lit("")))), " "))
+    official = turns.filter(F.col("role").isin("AGENT", "CLIENT")).groupBy(key, "role").agg(said.alias("role_text"))
+    facts = official.groupBy(key).agg(F.count("*").alias("__roles"), F.min(F.length("role_text")).alias("__least"))
+    calls = evidence_table.select(key).distinct().join(facts, key, "left")
+    both = F.coalesce(F.col("__roles"), F.lit(0)) == 2
+    status = F.when(~both, "missing_both_official_roles").when(F.col("__least") == 0, "empty_official_role_text")
+    left_out = calls.withColumn("status", status)
+    fit = left_out.filter("status IS NULL").select(key)
+    pairs = role_pairs(role_scores(evidence_table.join(fit, key, "left_semi"), official, key), key, min_score, min_margin)
+    none = left_out.filter("status IS NOT NULL").select(key, *[F.lit(None).cast(t).alias(c) for c, t in pairs.dtypes if c not in (key, "status")], "status")
+    return pairs.unionByName(none)

@@ -8,7 +8,7 @@ from parlance.functions import names as N
 from parlance.functions import nulls
 from parlance.functions import text as X
 from parlance.functions.vectors import mean_vectors, unit
-from parlance.operators import evaluation, fusion, intervals, matching, prosody, reports, sentiment, summaries, voiceprint
+from parlance.operators import evaluation, fusion, intervals, matching, prosody, reports, roles, sentiment, summaries, voiceprint
 from parlance.plans import adapters as A
 from parlance.plans import catalogue as C
 from parlance.plans.catalogue import R, query
@@ -176,6 +176,28 @@ def text_pair_score(spark, d):
     return reports.text_pair_scores(t.groupBy("audio_id").agg(text("CLIENT").alias("a"), text("AGENT").alias("b")), "audio_id", "a", "b")
 
 
+_PAIRED = f"""{C._EVID}, ot AS (SELECT audio_id, role, trim(string_agg(trim(text), ' ' ORDER BY seg_id)) AS rt FROM txt WHERE role IS NOT NULL AND audio_id % 7 > 0 GROUP BY ALL), oc AS (SELECT audio_id, count(*) AS k, min(length(rt)) AS least FROM ot GROUP BY 1),
+pr AS (SELECT ev.audio_id, speaker, role, ev.audio_id || '|' || speaker || '|' || role AS pair, evidence_text AS a, rt AS b, n_words, seconds, n_rows FROM ev JOIN ot USING (audio_id) JOIN oc USING (audio_id) WHERE k = 2 AND least > 0),
+ids AS (SELECT pair, 'a' AS id, a AS text FROM pr UNION ALL SELECT pair, 'b', b FROM pr),
+wd AS (SELECT pair, id, ' ' || w || ' ' AS w FROM (SELECT pair, id, unnest(string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS w FROM ids) WHERE w <> ''),
+gr AS (SELECT pair, id, substr(w, i, n) AS gram FROM (SELECT pair, id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM wd, (VALUES (3), (4), (5)) v(n) WHERE length(w) >= n)),
+tf AS (SELECT pair, id, gram, count(*) AS tf FROM gr GROUP BY ALL), df AS (SELECT pair, gram, count(*) AS df FROM tf GROUP BY ALL), w1 AS (SELECT tf.*, tf * (ln(3 / (1 + df)) + 1) AS w FROM tf JOIN df USING (pair, gram)),
+l AS (SELECT pair, id, sqrt(sum(w * w)) AS len FROM w1 GROUP BY ALL), ww AS (SELECT w1.pair, w1.id, gram, w / len AS w FROM w1 JOIN l USING (pair, id)), co AS (SELECT x.pair, sum(x.w * y.w) AS c FROM ww x JOIN ww y ON x.pair = y.pair AND x.gram = y.gram AND x.id = 'a' AND y.id = 'b' GROUP BY 1),
+tk AS (SELECT pr.*, {A.tokens_sql('a', X.STOPWORDS)} AS x, {A.tokens_sql('b', X.STOPWORDS)} AS y FROM pr),
+sc AS (SELECT tk.*, CASE WHEN trim(a) = '' OR trim(b) = '' THEN 0.0 ELSE CAST(0.55 AS DOUBLE) * coalesce(c, 0.0) + CAST(0.45 AS DOUBLE) * CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / least(len(x), len(y)) END END AS s FROM tk LEFT JOIN co USING (pair)),
+s1 AS (SELECT audio_id, speaker, n_words, seconds, n_rows, max(CASE WHEN role = 'AGENT' THEN s END) AS a, max(CASE WHEN role = 'CLIENT' THEN s END) AS c FROM sc GROUP BY ALL),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY audio_id ORDER BY n_words DESC, seconds DESC, n_rows DESC, speaker) AS rn FROM s1),
+s3 AS (SELECT audio_id, max(CASE WHEN rn = 1 THEN speaker END) AS x, max(CASE WHEN rn = 2 THEN speaker END) AS y, coalesce(max(CASE WHEN rn = 1 THEN a END), 0) + coalesce(max(CASE WHEN rn = 2 THEN c END), 0) AS st, coalesce(max(CASE WHEN rn = 1 THEN c END), 0) + coalesce(max(CASE WHEN rn = 2 THEN a END), 0) AS cr FROM s2 WHERE rn <= 2 GROUP BY audio_id)"""
+
+
+@query(f"WITH {_PAIRED} SELECT audio_id, CASE WHEN round(st - cr, 9) >= 0 THEN x ELSE y END AS agent_speaker, {R('greatest(st, cr)', 'pair_score')}, {R('greatest(st, cr) - least(st, cr)', 'pair_margin')}, CASE WHEN y IS NULL THEN 'less_than_two_speakers_with_evidence' WHEN greatest(st, cr) < 0.1 THEN 'rejected_low_aggregate_score' WHEN greatest(st, cr) - least(st, cr) < 0.01 THEN 'assigned_low_margin_aggregate_text' ELSE 'accepted_speaker_role' END AS status FROM s3 UNION ALL SELECT audio_id, NULL, NULL, NULL, CASE WHEN coalesce(k, 0) < 2 THEN 'missing_both_official_roles' ELSE 'empty_official_role_text' END FROM (SELECT DISTINCT audio_id FROM ev) LEFT JOIN oc USING (audio_id) WHERE coalesce(k, 0) < 2 OR least = 0")
+def role_audit_by_text(spark, d):
+    """Speakers mapped by the texts of their evidence; a seventh of the calls counts as without official turns, so that all statuses are there."""
+    t = A.transcripts(spark, d)
+    turns = t.filter("role IS NOT NULL AND audio_id % 7 > 0").select("audio_id", "role", F.col("seg_id").alias("turn"), F.col("text").alias("turn_text"))
+    return roles.role_audit(C._evidence(spark, d), turns, "audio_id").select("audio_id", "agent_speaker", "pair_score", "pair_margin", "status")
+
+
 _LONG_NAMES = f"{C._NAMES}, n2 AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN name WHEN 1 THEN 'raw_bajas_raw_' || page_id || '_WHISPER_words.CSV' ELSE 'comercial_' || page_id || '_clean_whisper_asr_segments.mp3' END AS name FROM nm)"
 
 
