@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import exp, lgamma, log
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,16 @@ def p_value(r: float, n: int) -> float:
     return _beta_inc(df / 2, 0.5, df / (df + r * r * df / (1 - r * r)))
 
 
+def with_p_values(correlations: DataFrame, measures: tuple[str, ...] = ("pearson", "spearman")) -> DataFrame:
+    """Correlations (one row a pair) with ``p_`` of each measure by :func:`p_value`; null where there is none."""
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if x != x or x is None else p_value(float(x), int(k)) for x, k in zip(r, n)], dtype="float64")
+
+    return correlations.withColumns({f"p_{m}": F.when(F.col(m).isNotNull(), p(F.col(m), F.col("n"))) for m in measures})
+
+
 def _beta_inc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:

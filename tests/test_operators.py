@@ -181,6 +181,12 @@ def test_p_value_known():
     assert fusion.p_value(0.0, 20) == pytest.approx(1.0, abs=1e-9)
 
 
+def test_p_values_as_columns(spark):
+    rows = spark.createDataFrame([("a", "b", 20, 0.5, None), ("a", "c", 20, 0.0, 1.0)], "x string, y string, n long, pearson double, spearman double")
+    one, two = fusion.with_p_values(rows).orderBy("y").collect()
+    assert abs(one.p_pearson - fusion.p_value(0.5, 20)) < 1e-12 and one.p_spearman is None and two.p_pearson > 0.99 and two.p_spearman == 0.0
+
+
 def test_correlations_with_few_rows(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, None)], "a double, b double")
     one = fusion.correlations(df, [("a", "b")]).first()
