@@ -104,21 +104,25 @@ class ByteTrees:
                 grid = self.node.reshape(-1, s**k)
                 grid[:, [v for v, _ in mine]] = [i for _, i in mine]
         depth = np.array([d for d, _ in keep])
-        counts = np.zeros((count, len(keep), s), np.float32)
+        places: list[tuple[np.ndarray, np.ndarray]] = []  # by context length: grams whose context is kept, and its node
         for k in range(DEPTH + 1):
-            values = np.array([v for d, v in keep if d == k])
-            ids = np.array([number[k, v] for v in values.tolist()])
+            values = np.array([v for d, v in keep if d == k], np.int64)
+            ids = np.array([number[k, v] for v in values.tolist()], np.int64)
             if not len(values):
                 continue
             order = np.argsort(values)
             at = np.minimum(np.searchsorted(values[order], contexts[k]), len(values) - 1)
-            hit = values[order][at] == contexts[k]
-            np.add.at(counts, (lang[hit], ids[order][at[hit]], last[hit]), n[hit])
+            hit = np.flatnonzero(values[order][at] == contexts[k])
+            places.append((hit, ids[order][at[hit]]))
         bits = np.zeros((len(keep), s, count), np.float32)
-        for c in range(count):
+        for c in range(count):  # one language's counts at a time
+            counts = np.zeros((len(keep), s), np.float32)
+            for hit, node in places:
+                own = lang[hit] == c
+                np.add.at(counts, (node[own], last[hit[own]]), n[hit[own]])
             for lo in range(0, len(keep), 2048):
                 rows = np.arange(lo, min(lo + 2048, len(keep)))
-                bits[rows, :, c] = self._lengths(counts[c], parent, depth, rows)
+                bits[rows, :, c] = self._lengths(counts, parent, depth, rows)
         self.bits = bits
 
     def _lengths(self, counts: np.ndarray, parent: np.ndarray, depth: np.ndarray, rows: np.ndarray) -> np.ndarray:
