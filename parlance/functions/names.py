@@ -86,3 +86,33 @@ def transcription_id(c: Column) -> Column:
     for s in TRANSCRIPTION_SUFFIXES:
         x = F.regexp_replace(x, f"(?i){s}$", "")
     return F.regexp_replace(x, f"^({'|'.join(ALL_PREFIXES)})+", "")
+
+
+def metadata_stem(c: Column) -> Column:
+    """Trimmed base name without ``.wav`` and one ``_clean``, in any case of letters."""
+    return F.regexp_replace(F.regexp_replace(basename(F.trim(c)), "(?i)\\.wav$", ""), "(?i)_clean$", "")
+
+
+def metadata_source(c: Column) -> Column:
+    """raw_bajas or raw, by how the stem begins; null otherwise."""
+    s = metadata_stem(c)
+    return F.when(F.startswith(s, F.lit("raw_bajas_")), "raw_bajas").when(F.startswith(s, F.lit("raw_")), "raw")
+
+
+def without_source(stem: Column) -> Column:
+    """A stem without one source prefix, the longer one first."""
+    return F.regexp_replace(F.trim(stem), "^(raw_bajas_|raw_)", "")
+
+
+def metadata_variants(c: Column, source: Column) -> Column:
+    """Sorted distinct keys of a recording across tables: the stem, the bare id, and the id under its source's prefix."""
+    stem = metadata_stem(c)
+    base = without_source(stem)
+    named = F.when(source.isin("raw", "raw_bajas"), F.concat(source, F.lit("_"), base))
+    return F.array_sort(F.filter(F.array_distinct(F.array_compact(F.array(stem, base, named))), lambda v: F.trim(v) != ""))
+
+
+def file_key(c: Column) -> Column:
+    """Trimmed base name without its last extension; blank as null."""
+    t = F.trim(c)
+    return F.when(t != "", F.regexp_replace(basename(t), "(?<=.)\\.[^.]*$", ""))

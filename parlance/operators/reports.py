@@ -226,3 +226,15 @@ def sample_sets(samples: DataFrame, parts: DataFrame, person: str = "person_id")
     return samples.join(parts.select(person, "part"), person)
 
 
+def anchor_centroids(anchors: DataFrame, vectors: DataFrame, keys: list[str], speaker: str = "speaker", seg_id: str = "seg_id", vector: str = "v") -> DataFrame:
+    """Unit mean of the unit vectors of each speaker's anchors, and their number; anchors without a vector count for nothing."""
+    from parlance.functions.vectors import mean_vectors, unit
+
+    own = anchors.select(*keys, speaker, seg_id).join(vectors.select(F.col(seg_id), unit(F.col(vector)).alias("__u")), seg_id)
+    return mean_vectors(own, [*keys, speaker], "__u", "__c").select(*keys, speaker, "n_vectors", unit(F.col("__c")).alias("centroid"))
+
+
+def run_totals(summary: DataFrame) -> DataFrame:
+    """One row over all recordings: how many, their segments, valid ones, anchors, overlap regions and overlapped seconds."""
+    names = [c for c in ("n_segments", "n_valid_export", "n_valid_anchor", "n_regions", "region_s") if c in summary.columns]
+    return summary.agg(F.count("*").alias("n_recordings"), *[F.sum(c).alias(c) for c in names])

@@ -303,3 +303,34 @@ def normalised_transcripts(spark, d):
 def renamed_key_join(spark, d):
     c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("audio_key"), "c_name")
     return matching.null_safe_join(A.vectors(spark, d).select("sample_id", "audio_key"), c, ["audio_key"])
+
+
+_STEM2 = C._nested("regexp_extract(trim(name), '([^/]*)$', 1)", r"(?i)\.wav$", "(?i)_clean$")
+
+
+@query(f"WITH {C._NAMES}, s AS (SELECT page_id, {_STEM2} AS stem FROM nm), b AS (SELECT *, CASE WHEN starts_with(stem, 'raw_bajas_') THEN 'raw_bajas' WHEN starts_with(stem, 'raw_') THEN 'raw' END AS source, regexp_replace(trim(stem), '^(raw_bajas_|raw_)', '') AS base FROM s) SELECT page_id, stem, source, base, array_to_string(list_sort(list_distinct(list_filter([stem, base, source || '_' || base], lambda v: v IS NOT NULL AND trim(v) <> ''))), '|') AS variants FROM b")
+def metadata_keys(spark, d):
+    name = F.col("name")
+    source = N.metadata_source(name)
+    stem = N.metadata_stem(name)
+    return C._names(spark, d).select("page_id", stem.alias("stem"), source.alias("source"), N.without_source(stem).alias("base"), F.array_join(N.metadata_variants(name, source), "|").alias("variants"))
+
+
+@query(f"WITH {C._NAMES}, x AS (SELECT page_id, name, CASE page_id % 5 WHEN 0 THEN ' NaN ' WHEN 1 THEN '  ' WHEN 2 THEN '<NA>' ELSE ' ' || page_id || '.0 ' END AS raw FROM nm) SELECT page_id, regexp_replace(regexp_extract(trim(name), '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS file_key, CASE WHEN lower(trim(raw)) IN ('', 'nan', 'none', '<na>') THEN NULL ELSE trim(raw) END AS identifier, regexp_replace(trim(raw), '\\.0$', '') AS normal FROM x")
+def identifier_keys(spark, d):
+    k = F.col("page_id") % 5
+    raw = F.when(k == 0, " NaN ").when(k == 1, "  ").when(k == 2, "<NA>").otherwise(F.concat(F.lit(" "), F.col("page_id").cast("string"), F.lit(".0 ")))
+    x = C._names(spark, d).withColumn("raw", raw)
+    return x.select("page_id", N.file_key(F.col("name")).alias("file_key"), nulls.first_text(F.col("raw")).alias("identifier"), F.regexp_replace(F.trim("raw"), "\\.0$", "").alias("normal"))
+
+
+@query(f"WITH {C._SCORED}, rk AS (SELECT *, row_number() OVER (PARTITION BY audio_id, speaker ORDER BY len_s DESC, rms DESC, overlap_ratio, start_s, seg_id) AS anchor_rank FROM sc WHERE len(ar) = 0), {A.VEC}, {C._UNIT}, an AS (SELECT audio_id, speaker, un FROM rk JOIN u ON u.sample_id = seg_id WHERE anchor_rank <= 3), {C._centre('audio_id, speaker', 'an')}, cn AS (SELECT audio_id, speaker, count(*) AS n_vectors FROM an GROUP BY ALL) SELECT audio_id, speaker, n_vectors, {R('profile[1]', 'first_component')}, {R('profile[64]', 'last_component')} FROM pf JOIN cn USING (audio_id, speaker)")
+def anchor_centroids(spark, d):
+    v = A.vectors(spark, d).select(F.col("sample_id").alias("seg_id"), "v")
+    c = reports.anchor_centroids(intervals.anchors(C._scored(spark, d)), v, ["audio_id"])
+    return c.select("audio_id", "speaker", "n_vectors", F.get("centroid", F.lit(0)).alias("first_component"), F.get("centroid", F.lit(63)).alias("last_component"))
+
+
+@query(f"WITH {C._SCORED}, o AS (SELECT count(*) AS n, sum(b - a) AS s FROM ovl) SELECT (SELECT count(DISTINCT audio_id) FROM sc) AS n_recordings, (SELECT count(*) FROM sc) AS n_segments, (SELECT count(*) FROM sc WHERE len(dr) = 0) AS n_valid_export, (SELECT count(*) FROM sc WHERE len(ar) = 0) AS n_valid_anchor, (SELECT n FROM o) AS n_regions, {R('(SELECT coalesce(s, 0) FROM o)', 'region_s')}")
+def diarization_run_totals(spark, d):
+    return reports.run_totals(summaries.recording_summary(C._scored(spark, d), intervals.overlap_regions(A.segments(spark, d)), ["audio_id"]))
