@@ -20,6 +20,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group of a working table, which a writing task holds in memory.
+ROW_GROUP = 32 << 20
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _WRITTEN: list[str] = []
@@ -44,7 +46,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back; later reads start from the files."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/parlance-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
