@@ -104,13 +104,3 @@ def test_ranks_and_quantiles_against_numpy(spark):
     assert [r_.n for r_ in named] == list(range(len(x) + 1)) and [(r_.g, r_.i) for r_ in named] == sorted((r_.g, r_.i) for r_ in named)
     order = [r_.n for r_ in ranks.by_digest(df, F.sha2(F.col("i").cast("string"), 256), "i", "n", "all").collect()]
     assert sorted(order) == list(range(1, len(x) + 2))
-
-
-def test_reports_have_rows(spark):
-    from parlance.plans import reports as more
-    from parlance.plans.catalogue import QUERIES
-
-    names = [n for n in QUERIES if hasattr(more, n)]
-    assert len(names) >= 32
-    for name in names:
-        assert QUERIES[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1, name
