@@ -131,7 +131,7 @@ def assign_points(words: DataFrame, segments: DataFrame, keys: list[str] = K, wo
     points = rest.select(*keys, F.col("__m").alias("t"), F.col(word_id), none.cast(segments.select(F.struct(F.col("start_s").alias("a"), F.col("end_s").alias("b"), F.col(seg_id).alias("id")).alias("z")).schema["z"].dataType).alias("z"))
     events = points.unionByName(s.select(*[F.col(f"__s_{k}").alias(k) for k in keys], F.col("__a").alias("t"), none.cast(words.schema[word_id].dataType).alias(word_id), segment.alias("z")))
     line = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # a frame to the end is quadratic
     back = F.max_by("z", F.when(F.col("z").isNotNull(), F.struct(F.col("z.b"), (-F.col("z.a")).alias("na")))).over(line)
     near = events.withColumn("p", back).withColumn("q", F.min("z").over(ahead)).filter(F.col("z").isNull())
     gap = lambda z: F.when(F.col("t") < F.col(f"{z}.a"), F.col(f"{z}.a") - F.col("t")).when(F.col("t") > F.col(f"{z}.b"), F.col("t") - F.col(f"{z}.b")).otherwise(0.0)
