@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a row group of a working table, which a writing task holds in memory.
 ROW_GROUP = 32 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _WRITTEN: list[str] = []
@@ -43,10 +44,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back; later reads start from the files."""
+    """Write ``df`` to the shared folder once and read it back; later reads start from the files.
+
+    The shuffle files of the writing job are deleted at its end, as nothing else reads them.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/parlance-{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
