@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.components import components
-from parlance.llm.scratch import held, materialise, ship
+from parlance.llm.scratch import held, materialise, ship, tidied
 from parlance.llm.textbytes import flat, mix, runs, table, word_hashes, word_spans
 
 BANDS, ROWS = 24, 4
@@ -385,7 +385,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     raw = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(raw).alias("th"), F.lower(raw).alias("text"))
-    sketch = materialise(keyed.mapInArrow(_sketch(n), f"doc_id {kind}, th long, d1 long, d2 long, n_words long, size int, bands array<long>, sig binary"), "sketches")
+    sketch = materialise(keyed.mapInArrow(tidied(_sketch(n)), f"doc_id {kind}, th long, d1 long, d2 long, n_words long, size int, bands array<long>, sig binary"), "sketches")
     texts = sketch.filter("n_words > 0").groupBy("d1", "d2").agg(
         F.count("*").alias("n_copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
     )
@@ -398,7 +398,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(rows: DataFrame, final: bool) -> DataFrame:
         dealt = rows.repartition("b", "part").sortWithinPartitions("b", "part", "size", "d1")
-        return dealt.mapInArrow(_candidates(threshold, tolerance, final), "u long, v long, b long")
+        return dealt.mapInArrow(tidied(_candidates(threshold, tolerance, final)), "u long, v long, b long")
 
     met = met.join(asked, ["d1", "d2"]).select("b", "part", "d1", "size", "sig", "split")
     found = materialise(linked(met, False), "candidates")
@@ -414,7 +414,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = components(edges)
     member = texts.join(group, texts["d1"] == group["node"]).select("root", "d1", "d2", "sig", "size", "text_id", "text_th")
     bodies = keyed.join(member, keyed["doc_id"].eqNullSafe(member["text_id"]) & (keyed["th"] == member["text_th"])).select("root", "d1", "d2", "sig", "text")
-    sets = materialise(bodies.mapInArrow(_sets(n), "root long, d1 long, d2 long, sig binary, body binary").dropDuplicates(["d1", "d2"]), "sets")
+    sets = materialise(bodies.mapInArrow(tidied(_sets(n)), "root long, d1 long, d2 long, sig binary, body binary").dropDuplicates(["d1", "d2"]), "sets")
     blocks = sets.groupBy("root").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("nb"))
     dealt = sets.join(blocks, "root").withColumn("blk", F.pmod(F.xxhash64("d1"), F.col("nb")).cast("int"))
     one = dealt.filter("nb = 1").select(F.struct("root", F.lit(0).alias("x"), F.lit(0).alias("y")).alias("unit"), F.lit(0).alias("side"), "d1", "d2", "sig", "body")
@@ -423,7 +423,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.struct("root", F.least("blk", "to").alias("x"), F.greatest("blk", "to").alias("y")).alias("unit"), F.when(F.col("blk") > F.col("to"), 1).otherwise(0).alias("side"), "d1", "d2", "sig", "body"
     )
     units = one.unionByName(wide).withColumn("unit", F.concat_ws("/", F.col("unit.root").cast("string"), F.col("unit.x").cast("string"), F.col("unit.y").cast("string")))
-    found = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_verify(threshold, tolerance), "d1 long, d2 long, n_links long, v long")
+    found = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(tidied(_verify(threshold, tolerance)), "d1 long, d2 long, n_links long, v long")
     found = materialise(found, "links")
     total = found.groupBy("d1", "d2").agg(F.sum("n_links").alias("n_links"))
     root = components(found.select(F.col("d1").alias("u"), "v"))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.components import components
-from parlance.llm.scratch import held, materialise, ship
+from parlance.llm.scratch import held, materialise, release, ship, tidied, written
 from parlance.llm.textbytes import flat, mix, runs, table
 
 K = 32
@@ -476,10 +476,11 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
 def _spans(docs: DataFrame, id_col: str, text_col: str, min_len: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans whose anchor is there twice, their contents with counts, one row each, anchors with several contents and whether some are there once)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    every = materialise(_keyed(docs, id_col, text_col).mapInArrow(_emit_spans(min_len), _SPAN_SCHEMA.format(id=id_type)), "spans")
+    every = materialise(_keyed(docs, id_col, text_col).mapInArrow(tidied(_emit_spans(min_len)), _SPAN_SCHEMA.format(id=id_type)), "spans")
     # what is joined with a table of counts is written first: Spark splits hot keys between plain tables only
     twice = every.groupBy("ahash").agg(F.count("*").alias("c"), F.max(F.col("m") > F.col("n")).alias("folded")).filter("c > 1 OR folded").select("ahash")
     met = materialise(every.join(materialise(twice, "anchors"), "ahash", "left_semi"), "met")
+    release(docs.sparkSession, [p for p in written() if "/parlance-spans-" in p][-1:])  # all that is read later is in ``met``
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "s"))
     kinds = met.groupBy("ahash", "shash").agg(F.count("*").alias("c"), F.max(F.col("m") > F.col("n")).alias("folded"), F.first("n").alias("n"), least.alias("rep"))
     kinds = kinds.select("ahash", "shash", "n", ((F.col("c") == 1) & ~F.col("folded")).alias("single"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), F.col("rep.s").alias("s"))
@@ -495,7 +496,7 @@ def _asked(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_le
     ask = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "n", "ahash", "shash", "single", (F.col("kinds") > WIDE).alias("crowd"))).alias("ask"))  # of one text
     texts = keyed.join(ask, same_key(keyed, ask)).select(keyed["doc_id"], keyed["th"], keyed["text"], ask["ask"])
     own = "window binary, ahash long, shash long, single boolean, doc_id {0}, th long, place int, s int" if windows else "key long, first int, n int, anchor int, body binary, ahash long, shash long, single boolean, s int, doc_id {0}, th long"
-    return texts.mapInArrow(_cut_spans(min_len, windows), own.format(id_type))
+    return texts.mapInArrow(tidied(_cut_spans(min_len, windows)), own.format(id_type))
 
 
 def _bodies(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, min_len: int) -> DataFrame:
@@ -523,14 +524,14 @@ def covered_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cover = whole.select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("m") + F.lit(min_len - 1)).alias("b"))
     contested = contested.filter("some")  # contents that are there twice are covered as they are
     asked = kinds.join(contested, "ahash")
-    found = _bodies(docs, asked, id_col, text_col, min_len).mapInArrow(_scan_blocks(min_len, False), f"doc_id {id_type}, th long, a int, b int")
+    found = _bodies(docs, asked, id_col, text_col, min_len).mapInArrow(tidied(_scan_blocks(min_len, False)), f"doc_id {id_type}, th long, a int, b int")
     cover = cover.unionByName(found)
     if contested.filter(F.col("kinds") > HUGE).limit(1).count():
         windows = _asked(docs, asked.filter(F.col("kinds") > HUGE), id_col, text_col, min_len, True)
         twice = materialise(windows.groupBy("window").count().filter("count > 1").select("window"), "windows")
         hit = windows.filter("single").join(twice, "window", "left_semi").withColumn("a", F.col("s") + F.col("place"))
         cover = cover.unionByName(hit.select("doc_id", "th", "a", (F.col("a") + min_len).alias("b")))
-    return cover.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("cover"))
+    return materialise(cover.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("cover")), "cover")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200) -> DataFrame:
@@ -545,7 +546,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     ship(docs.sparkSession)
     met, kinds, contested = _spans(docs, id_col, text_col, min_len)
     asked = kinds.join(contested, "ahash")
-    members = _bodies(docs, asked, id_col, text_col, min_len).mapInArrow(_scan_blocks(min_len, True), _MEMBERS)
+    members = _bodies(docs, asked, id_col, text_col, min_len).mapInArrow(tidied(_scan_blocks(min_len, True)), _MEMBERS)
     alone = kinds.filter(~F.col("single")).join(contested, "ahash", "left_anti")
     members = members.unionByName(alone.select("ahash", "shash", F.lit(0).alias("place"), (F.col("n") + F.lit(min_len - 1)).alias("length"), F.xxhash64("ahash", "shash").alias("gid")))
     if contested.filter(F.col("kinds") > HUGE).limit(1).count():
@@ -616,7 +617,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cover = covered_ranges(docs, id_col, text_col, min_len)
     keyed = _keyed(docs, id_col, text_col)
     joined = keyed.join(cover, same_key(keyed, cover), "left").select(keyed["doc_id"], keyed["text"], cover["cover"])
-    return joined.mapInArrow(_digest, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidied(_digest), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _rewrite(names: list[str], text: str, count: str | None):
@@ -644,7 +645,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mine = docs.withColumn("__pl_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     theirs = cover.select(F.col("doc_id").alias("__pl_id"), F.col("th").alias("__pl_th2"), F.col("cover").alias("__pl_cover"))
     joined = mine.join(theirs, mine[id_col].eqNullSafe(theirs["__pl_id"]) & (mine["__pl_th"] == theirs["__pl_th2"]), "left").drop("__pl_id", "__pl_th2", "__pl_th")
-    return joined.mapInArrow(_rewrite(docs.columns, text_col, count_col), docs.schema)
+    return joined.mapInArrow(tidied(_rewrite(docs.columns, text_col, count_col)), docs.schema)
 
 
 def oracle_sql(table: str = "documents", min_len: int = 200) -> str:
