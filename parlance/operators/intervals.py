@@ -105,12 +105,12 @@ def anchors(df: DataFrame, keys: list[str] = K, speaker: str = "speaker", n: int
     return df.filter("valid_anchor").withColumn("anchor_rank", F.row_number().over(order)).filter(F.col("anchor_rank") <= n)
 
 
-def assign_points(words: DataFrame, segments: DataFrame, keys: list[str] = K, word_id: str = "word_id", seg_id: str = "seg_id", tolerance: float | None = 0.4, bin_s: float = 30.0) -> DataFrame:
+def assign_points(words: DataFrame, segments: DataFrame, keys: list[str] = K, word_id: str = "word_id", seg_id: str = "seg_id", tolerance: float | None = 0.4, bin_s: float = 600.0) -> DataFrame:
     """For each word (``w_start``, ``w_end``) its segment: of the largest overlap, else the nearest to its middle.
 
     Gives ``word_id, seg_id, overlap_s, distance_s, how`` (overlap, nearest or none). Ties go to the
     earlier segment. With a ``tolerance`` the nearest must be within it. Words and segments that touch
-    meet in time bins of ``bin_s``; for the other words the last segment before and the first one after
+    meet in time bins of ``bin_s``, which should be longer than most segments, as a segment is in every bin it touches; for the other words the last segment before and the first one after
     their middle are found in one sweep of the recording, so no word meets all segments.
     """
     own = [F.col(k).alias(f"__s_{k}") for k in keys]

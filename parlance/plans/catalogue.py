@@ -253,7 +253,7 @@ asg AS (SELECT audio_id, word_id, CASE WHEN o > 0 OR away <= 3600 THEN seg_id EN
 
 def _assigned(spark, d):
     words, segs = _words_and_segments(spark, d)
-    return intervals.assign_points(words, segs, tolerance=3600.0)
+    return intervals.assign_points(words, segs, tolerance=3600.0, bin_s=86_400.0)
 
 
 @query(f"WITH {_ASSIGN} SELECT audio_id, word_id, seg_id, how, {R('o', 'overlap_s')}, {R('away', 'distance_s')} FROM asg")

@@ -63,7 +63,7 @@ def proxy_centroid_pairs(spark, d):
 @query(f"WITH {C._ASSIGN} SELECT audio_id, word_id, seg_id, CASE WHEN o > 0 THEN 'overlap' WHEN seg_id IS NOT NULL THEN 'nearest' ELSE 'none' END AS how FROM pk")
 def asr_fallback_assignment(spark, d):
     words, segs = C._words_and_segments(spark, d)
-    return intervals.assign_points(words, segs, tolerance=None).select("audio_id", "word_id", "seg_id", "how")
+    return intervals.assign_points(words, segs, tolerance=None, bin_s=86_400.0).select("audio_id", "word_id", "seg_id", "how")
 
 
 @query(f"WITH {C._FUSE} SELECT count(*) > 0 AS usable FROM fu WHERE a1 IS NOT NULL AND t1 IS NOT NULL")
