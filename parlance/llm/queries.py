@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import ann, langid, license_scan, ngram_join, packing, pii, piece_lattice, quality, repeats, url_filter
+from parlance.llm import ann, divergence, fill_middle, langid, license_scan, ngram_join, packing, pii, piece_lattice, quality, repeats, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -71,6 +71,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the outputs and of the texts rebuilt from them; ``fill_middle.transformed`` gives the outputs as well."""
+    return fill_middle.transformed(_table(spark, sf_dir, "documents"), carry_output=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_url_filters": op2_url_filters,
@@ -82,10 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_packing": op10_packing,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scans": license_scan.oracle_sql(),
     "op7_suffix_array_dedup": repeats.oracle_sql(),
     "op9_ngram_jaccard_join": ngram_join.oracle_sql(),
+    "op11_source_divergence": divergence.oracle_sql(),
+    "op13_fill_in_middle": fill_middle.oracle_sql(),
 }
