@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import ann, divergence, fill_middle, langid, license_scan, ngram_join, packing, pii, piece_lattice, quality, repeats, url_filter
+from parlance.llm import ann, divergence, fill_middle, langid, license_scan, ngram_join, packing, pii, piece_lattice, pivot_index, quality, repeats, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -75,6 +75,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.linked(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the outputs and of the texts rebuilt from them; ``fill_middle.transformed`` gives the outputs as well."""
     return fill_middle.transformed(_table(spark, sf_dir, "documents"), carry_output=False)
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_packing": op10_packing,
     "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -100,5 +105,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_array_dedup": repeats.oracle_sql(),
     "op9_ngram_jaccard_join": ngram_join.oracle_sql(),
     "op11_source_divergence": divergence.oracle_sql(),
+    "op12_embedding_near_dedup": pivot_index.oracle_sql(),
     "op13_fill_in_middle": fill_middle.oracle_sql(),
 }
