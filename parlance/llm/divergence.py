@@ -28,7 +28,7 @@ from parlance.llm.textbytes import flat, runs, word_spans
 
 UNIT = 1_000_000_000
 #: Bytes of text counted at once.
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 _TERM_BYTE = np.zeros(256, bool)
 _TERM_BYTE[128:] = True
