@@ -17,7 +17,8 @@ def norm(a: Column) -> Column:
 def unit(a: Column, tiny: float = 1e-12) -> Column:
     """Unit vector; one of a norm up to ``tiny`` stays as it is."""
     n = norm(a)
-    return F.transform(a.cast("array<double>"), lambda x: x / F.when(n <= tiny, F.lit(1.0)).otherwise(n))
+    whole = F.array(F.struct(a.cast("array<double>").alias("v"), F.when(n <= tiny, F.lit(1.0)).otherwise(n).alias("n")))
+    return F.get(F.transform(whole, lambda s: F.transform(s["v"], lambda x: x / s["n"])), F.lit(0))  # the norm once, not for each number
 
 
 def cosine(a: Column, b: Column, floor: float = 1e-10) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from parlance.functions.nulls import truly, truthy
 from parlance.functions.vectors import cosine, dot, mean_vectors, unit
@@ -95,36 +100,107 @@ def verification_pairs(samples: DataFrame, person: str = "person_id", sample: st
     return pairs.select("a", "b", "same", cosine(F.col("va"), F.col("vb")).alias("cosine"))
 
 
+def centres(samples: DataFrame, person: str = "person_id", vector: str = "v") -> DataFrame:
+    """Unit centroid of each person's unit vectors: ``person, n_vectors, profile``."""
+    return mean_vectors(samples.withColumn("__u", unit(F.col(vector))), [person], "__u", "__c").select(person, "n_vectors", unit(F.col("__c")).alias("profile"))
+
+
 def profiles(samples: DataFrame, person: str = "person_id", vector: str = "v") -> DataFrame:
-    """Unit centroid of each person's unit vectors, with mean, deviation and extremes of the cosines to it."""
+    """:func:`centres` with mean, deviation and extremes of the cosines to them."""
     base = samples.withColumn("__u", unit(F.col(vector)))
-    centre = mean_vectors(base, [person], "__u", "__c").select(person, "n_vectors", unit(F.col("__c")).alias("profile"))
+    centre = centres(samples, person, vector)
     within = base.join(centre, person).withColumn("__s", dot(F.col("__u"), F.col("profile")))
     facts = within.groupBy(person).agg(F.avg("__s").alias("within_mean"), F.stddev_pop("__s").alias("within_std"), F.min("__s").alias("within_min"), F.max("__s").alias("within_max"))
     return centre.join(facts, person)
 
 
-def identified(queries: DataFrame, profile: DataFrame, sample: str = "sample_id", person: str = "person_id", vector: str = "v", most_broadcast: int = 20_000) -> DataFrame:
-    """Best and second profile of each query by cosine, with the margin: ``sample, truth, best, best_score, second_score, margin``.
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _away(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to points."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (points * points).sum(1)[None] - 2 * x @ points.T, 0))
+
+
+def cells(points: np.ndarray, ring: float):
+    """Arrow batches of profiles with their cell: the nearest pivot and the ring around it."""
 
-    Profiles are one for each enrolled person. They are broadcast up to ``most_broadcast`` rows; beyond
-    that queries and profiles meet in a grid of blocks, and each block keeps its two best.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _away(_rows(batch.column("__p"), points.shape[1]), points)
+            b = d.argmin(1) if len(d) else np.zeros(0, np.int64)
+            r = np.floor(d[np.arange(len(d)), b] / ring)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b.astype(np.int32)), pa.array(r.astype(np.int32))], [*batch.schema.names, "__b", "__r"])
+
+    return run
+
+
+def visits(points: np.ndarray, ring: float):
+    """Arrow batches of queries with the cells (a pivot and a range of its rings) that can hold one of their two nearest profiles.
+
+    Pivots are profiles, so the second nearest profile is no farther than the second nearest pivot, at ``u``. A cell is left out
+    if its ring lies wholly nearer or farther than ``u`` around the query's distance to its pivot, or if the plane between
+    its pivot and one of the query's nearest pivots is farther than ``u``.
     """
+    between = _away(points, points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = np.flatnonzero(np.asarray(batch.column("__q").is_valid()))
+            lists: list[list[dict] | None] = [None] * batch.num_rows
+            for a in range(0, len(known), 256):
+                at = known[a : a + 256]
+                d = _away(_rows(batch.column("__q").take(pa.array(at)), points.shape[1]), points)
+                order = np.argsort(d, axis=1, kind="stable")
+                u = (np.take_along_axis(d, order[:, 1:2], 1) if len(points) > 1 else np.full((len(d), 1), 5.0)) + 1e-6
+                plane = np.full(d.shape, -np.inf)
+                for j in order[:, :8].T:
+                    gap = between[j]
+                    here = d**2 - np.take_along_axis(d, j[:, None], 1) ** 2
+                    plane = np.maximum(plane, np.divide(here, 2 * gap, out=np.full(d.shape, -np.inf), where=gap > 1e-9))
+                low, high = np.maximum(np.floor((d - u) / ring), 0).astype(int), np.floor((d + u) / ring).astype(int)
+                for i, row, lo, hi in zip(at, plane <= u, low, high):
+                    lists[i] = [{"b": int(b), "lo": int(lo[b]), "hi": int(hi[b])} for b in np.flatnonzero(row)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.struct([("b", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])))], [*batch.schema.names, "__cells"])
+
+    return run
+
+
+def probes(queries: DataFrame, profile: DataFrame, sample: str = "sample_id", person: str = "person_id", vector: str = "v", pivots: int = 256, part: int = 128, ring: float = 0.1) -> DataFrame:
+    """What :func:`identified` compares: ``sample, truth, __q`` with ``__held``, the profiles of one block of a cell that the bounds leave."""
     q = queries.select(F.col(sample), F.col(person).alias("truth"), unit(F.col(vector)).alias("__q"))
-    p = profile.select(F.col(person).alias("best"), F.col("profile").alias("__p"))
-    p = p.persist()  # counted and then read: the profiles are made once
-    n = p.limit(most_broadcast + 1).count()
-    if n <= most_broadcast:
-        scored = q.crossJoin(F.broadcast(p))
-    else:
-        blocks = 64
-        grid = p.withColumn("__b", F.pmod(F.xxhash64("best"), F.lit(blocks)))
-        scored = q.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(grid, "__b").drop("__b")
-    scored = scored.withColumn("score", dot(F.col("__q"), F.col("__p"))).select(sample, "truth", "best", "score")
-    order = Window.partitionBy(sample, "truth").orderBy(F.desc("score"), "best")
-    two = scored.withColumn("rn", F.row_number().over(order)).filter("rn <= 2")
-    out = two.groupBy(sample, "truth").agg(F.max(F.when(F.col("rn") == 1, F.col("best"))).alias("best"), F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("best_score"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second_score"))
-    return out.withColumn("margin", F.col("best_score") - F.col("second_score"))
+    p = profile.select(F.col(person).alias("best"), F.col("profile").alias("__p")).filter("__p IS NOT NULL")
+    some = p.orderBy(F.xxhash64("best"), "best").limit(pivots).select("__p").toArrow()  # at most ``pivots`` rows
+    if not some.num_rows:
+        return q.select("*", F.lit(None).cast(ArrayType(StructType(p.schema.fields))).alias("__held"))
+    column = some.column("__p").combine_chunks()
+    points = _rows(column, len(column[0]))
+    placed = p.mapInArrow(cells(points, ring), StructType([*p.schema.fields, StructField("__b", IntegerType()), StructField("__r", IntegerType())]))
+    sizes = placed.groupBy("__b", "__r").agg(F.ceil(F.count("*") / part).alias("__n"))
+    held = placed.join(sizes, ["__b", "__r"]).withColumn("__k", F.pmod(F.xxhash64("best"), F.col("__n")))
+    held = held.groupBy("__b", "__r", "__k").agg(F.collect_list(F.struct("best", "__p")).alias("__held"))  # some ``part`` profiles
+    cell = ArrayType(StructType([StructField("b", IntegerType()), StructField("lo", IntegerType()), StructField("hi", IntegerType())]))
+    asked = q.mapInArrow(visits(points, ring), StructType([*q.schema.fields, StructField("__cells", cell)])).select(*q.columns, F.explode_outer("__cells").alias("__c"))
+    met = asked.join(held, (F.col("__c.b") == F.col("__b")) & F.col("__r").between(F.col("__c.lo"), F.col("__c.hi")), "left")
+    return met.filter("__held IS NOT NULL OR __c IS NULL").select(sample, "truth", "__q", "__held")
+
+
+def identified(queries: DataFrame, profile: DataFrame, sample: str = "sample_id", person: str = "person_id", vector: str = "v", pivots: int = 256, part: int = 128, ring: float = 0.1) -> DataFrame:
+    """Best and second profile of each query by cosine, with the margin: ``sample, truth, best, best_score, second_score, margin``.
+
+    Exact at any number of profiles, by bounds instead of comparing all: profiles of unit length lie in cells, the nearest of ``pivots`` profiles and a ring of
+    width ``ring`` around it, dealt in blocks of some ``part``; a query visits the cells that the triangle inequality leaves
+    (:func:`visits`), and each block gives its two best. About the root of the number of profiles is a good number of pivots; they are
+    collected and go to every task. Ties go to the lesser person. A query without a vector, or where there are no profiles, has a row without a best one; with one profile there is no second.
+    """
+    found = probes(queries, profile, sample, person, vector, pivots, part, ring)
+    scores = F.transform("__held", lambda x: F.struct((-dot(F.col("__q"), x["__p"])).alias("s"), x["best"].alias("best")))
+    two = found.select(sample, "truth", F.slice(F.array_sort(scores), 1, 2).alias("__two"))
+    best = F.array_sort(F.array_distinct(F.flatten(F.collect_list("__two"))))
+    out = two.groupBy(sample, "truth").agg(best.alias("__two"))
+    one, other = F.get("__two", F.lit(0)), F.get("__two", F.lit(1))
+    return out.select(sample, "truth", one["best"].alias("best"), (-one["s"]).alias("best_score"), (-other["s"]).alias("second_score"), (other["s"] - one["s"]).alias("margin"))
 
 
 def open_set_decisions(found: DataFrame, known: DataFrame, threshold: float, sample: str = "sample_id", person: str = "person_id") -> DataFrame:

@@ -839,7 +839,7 @@ _FOUND = f"{_PROF}, q AS (SELECT * FROM us WHERE asked), sc AS (SELECT sample_id
 
 
 def _found(spark, d):
-    return voiceprint.identified(_uses(spark, d).filter("use = 'query'"), _profiles(spark, d).join(_known(spark, d), "person_id", "left_semi"))
+    return voiceprint.identified(_uses(spark, d).filter("use = 'query'"), voiceprint.centres(_uses(spark, d).filter("use = 'enrolment'").join(_known(spark, d), "person_id", "left_semi")))
 
 
 @query(f"WITH {_FOUND} SELECT sample_id, CAST(truth AS BIGINT) AS truth, CAST(best AS BIGINT) AS best, {R('s', 'best_score')}, {R('second', 'second_score')}, {R('s - second', 'margin')} FROM fd")

@@ -214,8 +214,8 @@ def test_voice_splits_and_identification(spark):
     assert parts == {"unknown": 2, "known_test": 2, "calibration": 4}
     use = voiceprint.call_split(v)
     assert {tuple(r) for r in use.groupBy("person_id", "use").count().select("use", "count").collect()} == {("query", 1), ("enrolment", 3)}
-    for limit in (20_000, 2):
-        found = voiceprint.identified(v, voiceprint.profiles(v), most_broadcast=limit)
+    for pivots in (256, 3):
+        found = voiceprint.identified(v, voiceprint.profiles(v), pivots=pivots)
         assert found.filter("best <> truth").count() == 0 and found.count() == 32
     pairs = voiceprint.verification_pairs(v)
     assert {r.same: r["count"] for r in pairs.groupBy("same").count().collect()} == {0: 144, 1: 48}
