@@ -23,8 +23,13 @@ def _folding() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: Combining marks: what is without a counterpart in a translation goes.
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
 def fold_accents(c: Column) -> Column:
-    return F.translate(F.regexp_replace(c, "[\\u0300-\\u036f]", ""), *_folding())
+    accented, bare = _folding()
+    return F.translate(c, accented + _MARKS, bare)
 
 
 def normalize_text(c: Column) -> Column:
@@ -40,8 +45,8 @@ def normalize_for_match(c: Column) -> Column:
 
 
 def match_tokens(c: Column) -> Column:
-    """Tokens of the normalised text but for the stop words."""
-    words = F.split(normalize_for_match(c), " ")
+    """Tokens of the text, normalised for matching, but for the stop words."""
+    words = F.split(fold_accents(F.lower(F.coalesce(c, F.lit("")))), "[^a-z0-9]+")
     return F.filter(words, lambda w: (w != "") & ~w.isin(*STOPWORDS))
 
 

@@ -41,21 +41,6 @@ def token_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("__a", match_tokens(F.col(a))).withColumn("__b", match_tokens(F.col(b))).withColumn("containment", containment(F.col("__a"), F.col("__b"))).withColumn("jaccard", jaccard(F.col("__a"), F.col("__b"))).drop("__a", "__b")
 
 
-def best_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """For each document the item it shares most tokens with: ``doc_id, item_id, containment, jaccard``.
-
-    Documents and items meet on their match tokens, all of both tables; the best is by containment, then
-    Jaccard, then the least item. A document that shares no token with any has no row.
-    """
-    tokens = lambda df, key: df.select(key, F.array_distinct(match_tokens(F.col(text))).alias("w")).withColumn("n", F.size("w"))
-    a, b = tokens(docs, doc_id), tokens(items, item_id)
-    ours, theirs = a.select(doc_id, F.col("n").alias("na"), F.explode("w").alias("t")), b.select(item_id, F.col("n").alias("nb"), F.explode("w").alias("t"))
-    both = ours.join(theirs, "t").groupBy(doc_id, item_id, "na", "nb").agg(F.count("*").alias("k"))
-    scored = both.withColumn("containment", F.col("k") / F.least("na", "nb")).withColumn("jaccard", F.col("k") / (F.col("na") + F.col("nb") - F.col("k")))
-    best = scored.groupBy(doc_id).agg(F.min_by(F.struct(item_id, "containment", "jaccard"), F.struct((-F.col("containment")).alias("c"), (-F.col("jaccard")).alias("j"), item_id)).alias("x"))
-    return best.select(doc_id, "x.*")
-
-
 def gram_weights(texts: DataFrame, group: list[str], text_id: str, text: str) -> DataFrame:
     """Unit-length TF-IDF weights of character 3- to 5-grams within each group: ``group, text_id, gram, w``.
 

@@ -14,7 +14,7 @@ from parlance.functions import labels as L
 from parlance.functions import names as N
 from parlance.functions import text as X
 from parlance.functions.vectors import mean_vectors, unit
-from parlance.operators import audits, evaluation, fusion, intervals, keywords, matching, prosody, roles, sentiment, summaries, voiceprint
+from parlance.operators import audits, evaluation, fusion, intervals, keywords, matching, prosody, roles, sentiment, summaries, textjoin, voiceprint
 from parlance.plans import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -597,7 +597,7 @@ _PAIRS = f"dt AS (SELECT doc_id, {A.tokens_sql('text', X.STOPWORDS)} AS x FROM d
 
 @query(f"WITH {_PAIRS} SELECT doc_id, item_id, {R('c', 'containment')}, {R('j', 'jaccard')} FROM bs WHERE rn = 1")
 def token_containment_jaccard(spark, d):
-    return roles.best_items(A.table(spark, d, "documents"), A.table(spark, d, "benchmark"))
+    return textjoin.best_items(A.table(spark, d, "documents"), A.table(spark, d, "benchmark"))
 
 
 _TFIDF = rf"""{A.TXT}, tt AS (SELECT audio_id, 't' || seg_id AS id, text FROM txt WHERE role = 'CLIENT'), wt AS (SELECT audio_id, 'w' || seg_id AS id, text FROM txt WHERE role = 'AGENT'), ids AS (SELECT * FROM tt UNION ALL SELECT * FROM wt),
