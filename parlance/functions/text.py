@@ -73,28 +73,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def _slide(word: Column, n: int):
-    return lambda i: F.substr(word, i, F.lit(n))
-
-
 def char_grams(c: Column, shortest: int = 3, longest: int = 5) -> Column:
     """Character n-grams within words padded by a blank on either side.
 
-    A padded word no longer than n gives itself once, at the first such n.
+    A padded word no longer than n gives itself once, at the first such n. One pass of a regular expression for each n, over
+    words that stand two blanks apart: a gram begins anywhere and holds a blank at its ends alone.
     """
+    words = F.regexp_replace(F.concat(F.lit(" "), fold_accents(F.lower(F.coalesce(c, F.lit("")))), F.lit(" ")), "[^a-z0-9]+", "  ")
+
+    def pattern(n: int) -> str:
+        whole = f" [^ ]{{{1 if n == shortest else n - 2},{n - 2}}} "
+        return f"(?=([^ ]{{{n}}}| [^ ]{{{n - 1}}}|[^ ]{{{n - 1}}} |{whole}))"
 
-    def grams(word: Column) -> Column:
-        w = F.concat(F.lit(" "), word, F.lit(" "))
-        parts = []
-        for n in range(shortest, longest + 1):
-            slide = F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), _slide(w, n))
-            none = F.array().cast("array<string>")
-            whole = F.array(w) if n == shortest else F.when(F.length(w) == n, F.array(w)).otherwise(none)
-            parts.append(F.when(F.length(w) > n, slide).otherwise(whole))
-        return F.concat(*parts)
-
-    words = F.filter(F.split(normalize_for_match(c), " "), lambda w: w != "")
-    return F.flatten(F.transform(words, grams))
+    return F.concat(*[F.regexp_extract_all(words, F.lit(pattern(n)), 1) for n in range(shortest, longest + 1)])
 
 
 def joined_words(words: Column) -> Column:

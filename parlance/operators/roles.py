@@ -41,33 +41,49 @@ def token_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("__a", match_tokens(F.col(a))).withColumn("__b", match_tokens(F.col(b))).withColumn("containment", containment(F.col("__a"), F.col("__b"))).withColumn("jaccard", jaccard(F.col("__a"), F.col("__b"))).drop("__a", "__b")
 
 
-def gram_weights(texts: DataFrame, group: list[str], text_id: str, text: str) -> DataFrame:
-    """Unit-length TF-IDF weights of character 3- to 5-grams within each group: ``group, text_id, gram, w``.
+def _raw_weights(texts: DataFrame, group: list[str], text_id: str, text: str) -> DataFrame:
+    """TF-IDF weights of character 3- to 5-grams before they are brought to unit length: ``group, text_id, gram, raw``.
 
-    idf = ln((1 + n) / (1 + df)) + 1 over the group's texts.
+    Grams are 64-bit hashes. A group's gram is in one task from here on, so rows of two texts can meet without a further shuffle.
     """
-    grams = texts.select(*group, text_id, F.explode(char_grams(F.col(text))).alias("gram"))
+    hashed = F.transform(char_grams(F.col(text)), lambda g: F.xxhash64(g))
+    dealt = texts.select(*group, text_id, text).repartition(*group, text_id)  # texts travel, a fifteenth of their grams; these are then counted where they are made
+    grams = dealt.select(*group, text_id, F.explode_outer(hashed).alias("gram")).filter("gram IS NOT NULL")  # the inner form makes the grams twice
     tf = grams.groupBy(*group, text_id, "gram").agg(F.count("*").alias("tf"))
     n = texts.groupBy(*group).agg(F.count("*").alias("n")) if group else texts.agg(F.count("*").alias("n"))
-    df = tf.groupBy(*group, "gram").agg(F.count("*").alias("df"))
-    w = tf.join(df, [*group, "gram"])
+    w = tf.withColumn("df", F.count("*").over(Window.partitionBy(*group, "gram")))
     w = w.join(n, group) if group else w.crossJoin(F.broadcast(n))
-    w = w.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    length = w.groupBy(*group, text_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return w.join(length, [*group, text_id]).select(*group, text_id, "gram", (F.col("w") / F.col("len")).alias("w"))
+    return w.select(*group, text_id, "gram", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
+
+
+def _lengths(raw: DataFrame, group: list[str], text_id: str) -> DataFrame:
+    return raw.groupBy(*group, text_id).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("len"))
+
+
+def gram_weights(texts: DataFrame, group: list[str], text_id: str, text: str) -> DataFrame:
+    """Unit-length TF-IDF weights of character 3- to 5-grams (as 64-bit hashes) within each group: ``group, text_id, gram, w``.
+
+    idf = ln((1 + n) / (1 + df)) + 1 over the group's texts.
+    """
+    raw = _raw_weights(texts, group, text_id, text)
+    return raw.join(_lengths(raw, group, text_id), [*group, text_id]).select(*group, text_id, "gram", (F.col("raw") / F.col("len")).alias("w"))
 
 
 def aligned(turns: DataFrame, windows: DataFrame, key: str, turn_id: str = "turn", window_id: str = "window", cos_weight: float = 0.65, accept: tuple[float, float, float, float] = (0.70, 0.50, 0.35, 0.03)) -> DataFrame:
     """For each turn the best window of its call by ``0.65 cosine + 0.35 containment``, with the margin to the second.
 
     ``turns`` has ``turn_text``, ``windows`` has ``window_text``. ``accepted`` needs the combined
-    score, the cosine, the containment and the margin at their limits. Only windows that share a gram are pairs.
+    score, the cosine, the containment and the margin at their limits. Only windows that share a gram are pairs. Products are summed before
+    they are divided by the texts' lengths, so weights travel once.
     """
     ids = turns.select(key, F.concat(F.lit("t"), F.col(turn_id)).alias("id"), F.col("turn_text").alias("t")).unionByName(windows.select(key, F.concat(F.lit("w"), F.col(window_id)).alias("id"), F.col("window_text").alias("t")))
-    w = gram_weights(ids, [key], "id", "t")
-    a = w.filter(F.col("id").startswith("t")).select(key, "gram", F.col("id").alias("ta"), F.col("w").alias("wa"))
-    b = w.filter(F.col("id").startswith("w")).select(key, "gram", F.col("id").alias("tb"), F.col("w").alias("wb"))
-    cos = a.join(b, [key, "gram"]).groupBy(key, "ta", "tb").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    raw = _raw_weights(ids, [key], "id", "t")
+    a = raw.filter(F.col("id").startswith("t")).select(key, "gram", F.col("id").alias("ta"), F.col("raw").alias("wa"))
+    b = raw.filter(F.col("id").startswith("w")).select(key, "gram", F.col("id").alias("tb"), F.col("raw").alias("wb"))
+    products = a.join(b, [key, "gram"]).groupBy(key, "ta", "tb").agg(F.sum(F.col("wa") * F.col("wb")).alias("product"))
+    length = _lengths(raw, [key], "id")
+    la, lb = length.select(key, F.col("id").alias("ta"), F.col("len").alias("la")), length.select(key, F.col("id").alias("tb"), F.col("len").alias("lb"))
+    cos = products.join(la, [key, "ta"]).join(lb, [key, "tb"]).select(key, "ta", "tb", (F.col("product") / (F.col("la") * F.col("lb"))).alias("cosine"))
     t = turns.withColumn("ta", F.concat(F.lit("t"), F.col(turn_id)))
     v = windows.withColumn("tb", F.concat(F.lit("w"), F.col(window_id)))
     pairs = token_scores(cos.join(t, [key, "ta"]).join(v, [key, "tb"]), "turn_text", "window_text")
