@@ -90,15 +90,18 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataF
 
 
 def disagreement(df: DataFrame, scores: list[str], text: str, high: float = 0.75, text_at: float = 0.0) -> DataFrame:
-    """``df`` with ``audio_negative`` (a score at or over its percentile), ``masked_frustration`` and ``contained_negativity``."""
-    ends = quantiles(df, {c: [high] for c in scores}, {(c, high): f"__p_{c}" for c in scores})
+    """``df`` with ``audio_negative`` (a score at or over its percentile), ``masked_frustration`` and ``contained_negativity``.
+
+    The percentiles are one row, read before the plan goes on.
+    """
+    ends = quantiles(df, {c: [high] for c in scores}, {(c, high): c for c in scores}).first()
     neg = F.lit(False)
     for c in scores:
-        neg = neg | truly(F.col(c) >= F.col(f"__p_{c}"))
-    out = df.crossJoin(F.broadcast(ends)).withColumn("audio_negative", neg)
+        neg = neg | truly(F.col(c) >= F.lit(ends[c]).cast("double"))
+    out = df.withColumn("audio_negative", neg)
     fine = truly(F.col(text) >= text_at)
     low = truly(F.col(text) < text_at)
-    return out.withColumn("masked_frustration", fine & F.col("audio_negative")).withColumn("contained_negativity", low & ~F.col("audio_negative")).drop(*[f"__p_{c}" for c in scores])
+    return out.withColumn("masked_frustration", fine & F.col("audio_negative")).withColumn("contained_negativity", low & ~F.col("audio_negative"))
 
 
 def fused(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:

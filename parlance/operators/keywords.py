@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from parlance.functions.text import count_words, normalize_text
 from parlance.operators.ranks import average_ranks
@@ -38,13 +41,67 @@ def matches(normal: Column, words: list[str]) -> Column:
     return F.filter(listed, lambda k: (k != "") & F.contains(normal, k))
 
 
-def spotted(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+def normal_lexicon(spark: SparkSession, lexicon: Lexicon) -> dict[str, list[str]]:
+    """Each theme's keywords, normalised like the texts, sorted and distinct; those of nothing but marks are left out. One small job."""
+    rows = [(i, t, k) for i, (t, ks) in enumerate(lexicon.items()) for k in ks]
+    found = spark.createDataFrame(rows, "i int, theme string, word string").select("theme", normalize_text(F.col("word")).alias("word")).filter("word <> ''").distinct().collect() if rows else []
+    return {t: sorted(r.word for r in found if r.theme == t) for t in lexicon}
+
+
+def automaton(words: dict[str, list[str]], bounded: bool):
+    """An Aho-Corasick automaton over all themes' keywords: each end gives the keyword and the themes that have it. ``bounded`` keywords carry their blanks."""
+    import ahocorasick
+
+    themes: dict[str, list[str]] = {}
+    for t, ks in words.items():
+        for k in ks:
+            themes.setdefault(k, []).append(t)
+    built = ahocorasick.Automaton()
+    for k, ts in themes.items():
+        built.add_word(f" {k} " if bounded else k, (k, tuple(ts)))
+    if themes:
+        built.make_automaton()
+    return built
+
+
+def matched_by_automaton(df: DataFrame, lexicon: Lexicon, normal: str, bounded: bool = False) -> DataFrame:
+    """``df`` with ``kw_<theme>_matched`` of each theme, found in one pass over each text whatever the number of keywords.
+
+    The automaton goes to the executors once, as a broadcast of the size of the lexicon. A normalised text has single blanks, so a keyword ``bounded`` by
+    words is one with a blank on either side of it in the text between two blanks.
+    """
+    words = normal_lexicon(df.sparkSession, lexicon)
+    shared = df.sparkSession.sparkContext.broadcast(automaton(words, bounded))
+    names = list(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        for batch in batches:
+            lists: dict[str, list[list[str]]] = {t: [] for t in names}
+            for text in batch.column(normal).to_pylist():
+                hits: dict[str, set[str]] = {}
+                if text and len(found):
+                    for _, (k, ts) in found.iter(f" {text} " if bounded else text):
+                        for t in ts:
+                            hits.setdefault(t, set()).add(k)
+                for t in names:
+                    lists[t].append(sorted(hits[t], key=str.encode) if t in hits else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(lists[t], pa.list_(pa.string())) for t in names]], [*batch.schema.names, *[f"kw_{t}_matched" for t in names]])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *[StructField(f"kw_{t}_matched", ArrayType(StringType())) for t in names]]))
+
+
+def spotted(df: DataFrame, lexicon: Lexicon, text: str = "text", bounded: bool = False, few: int = 64) -> DataFrame:
     """``df`` with the matches, count and flag of each theme, their sums, and the themes found in lexicon order.
 
-    Keywords are normalised like the text, once, as constants of the plan.
+    Keywords are normalised like the text. They match anywhere, also within words, or as whole words if ``bounded``. Up to ``few`` of them
+    are constants of the plan, each looked for in each text; more go through one automaton (:func:`matched_by_automaton`), with the same matches.
     """
     out = df.withColumn("text_norm", normalize_text(F.col(text)))
-    out = out.withColumns({f"kw_{t}_matched": matches(F.col("text_norm"), ks) for t, ks in lexicon.items()})
+    if bounded or sum(map(len, lexicon.values())) > few:
+        out = matched_by_automaton(out, lexicon, "text_norm", bounded)
+    else:
+        out = out.withColumns({f"kw_{t}_matched": matches(F.col("text_norm"), ks) for t, ks in lexicon.items()})
     out = out.withColumns({f"kw_{t}_count": F.size(f"kw_{t}_matched") for t in lexicon})
     out = out.withColumns({f"kw_{t}_flag": F.col(f"kw_{t}_count") > 0 for t in lexicon})
     found = F.array_compact(F.array(*[F.when(F.col(f"kw_{t}_flag"), F.lit(t)) for t in lexicon]))

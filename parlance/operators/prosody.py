@@ -33,34 +33,34 @@ def candidates(df: DataFrame, duration: tuple[float, float] = (0.5, 30.0), max_o
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` with ``z_`` of each column: 0.6745 (x - median) / MAD.
 
-    Where the MAD is 0 the sample deviation about the mean serves; where that is 0 too, z is 0. Two
-    passes give one row of medians and deviations each, which is joined to all rows.
+    Where the MAD is 0 the sample deviation about the mean serves; where that is 0 too, z is 0. Means and medians
+    are one row, read before the plan goes on, and so are the MADs: as constants they do not have ``df`` made anew at each use.
     """
     half = {c: [0.5] for c in columns}
-    first = df.agg(*[F.avg(c).alias(f"__avg_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__std_{c}") for c in columns])
-    middle = quantiles(df, half, {(c, 0.5): f"__med_{c}" for c in columns})
-    one = df.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(middle))  # one row each
-    away = one.select(*[F.abs(F.col(c) - F.col(f"__med_{c}")).alias(c) for c in columns])
-    out = one.crossJoin(F.broadcast(quantiles(away, half, {(c, 0.5): f"__mad_{c}" for c in columns})))
+    first = df.agg(*[F.avg(c).cast("double").alias(f"avg_{c}") for c in columns], *[F.stddev_samp(c).alias(f"std_{c}") for c in columns])
+    one = first.crossJoin(quantiles(df, half, {(c, 0.5): f"med_{c}" for c in columns})).first().asDict()
+    known = lambda v: F.lit(v).cast("double")
+    away = df.select(*[F.abs(F.col(c) - known(one[f"med_{c}"])).alias(c) for c in columns])
+    mads = quantiles(away, half, {(c, 0.5): c for c in columns}).first()
 
     def z(c: str) -> Column:
-        mad, std = F.col(f"__mad_{c}"), F.coalesce(F.col(f"__std_{c}"), F.lit(0.0))
-        by_mad = 0.6745 * (F.col(c) - F.col(f"__med_{c}")) / mad
-        by_std = F.when(std > 0, (F.col(c) - F.col(f"__avg_{c}")) / std).otherwise(F.col(c) * 0)
+        mad, std = known(mads[c]), F.coalesce(known(one[f"std_{c}"]), F.lit(0.0))
+        by_mad = 0.6745 * (F.col(c) - known(one[f"med_{c}"])) / F.when(mad > 0, mad)
+        by_std = F.when(std > 0, (F.col(c) - known(one[f"avg_{c}"])) / F.when(std > 0, std)).otherwise(F.col(c) * 0)
         return F.when(mad > 0, by_mad).otherwise(by_std)
 
-    return out.select(*df.columns, *[z(c).alias(f"z_{c}") for c in columns])
+    return df.select("*", *[z(c).alias(f"z_{c}") for c in columns])
 
 
 def scaled_01(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with each column clipped to its 1st and 99th percentile and scaled to 0..1; null if those meet."""
-    ends = quantiles(df, {c: [0.01, 0.99] for c in columns}, {(c, q): f"__{n}_{c}" for c in columns for n, q in (("lo", 0.01), ("hi", 0.99))})
+    """``df`` with each column clipped to its 1st and 99th percentile and scaled to 0..1; null if those meet. The percentiles are read before the plan goes on."""
+    ends = quantiles(df, {c: [0.01, 0.99] for c in columns}, {(c, q): f"{n}_{c}" for c in columns for n, q in (("lo", 0.01), ("hi", 0.99))}).first()
 
     def scale(c: str) -> Column:
-        lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
-        return F.when(hi > lo, (F.least(F.greatest(F.col(c), lo), hi) - lo) / (hi - lo))
+        lo, hi = F.lit(ends[f"lo_{c}"]).cast("double"), F.lit(ends[f"hi_{c}"]).cast("double")
+        return F.when(hi > lo, (F.least(F.greatest(F.col(c), lo), hi) - lo) / F.when(hi > lo, hi - lo))
 
-    return df.crossJoin(F.broadcast(ends)).select(*[c for c in df.columns if c not in columns], *[F.when(F.col(c).isNotNull(), scale(c)).alias(c) for c in columns])
+    return df.select(*[c for c in df.columns if c not in columns], *[F.when(F.col(c).isNotNull(), scale(c)).alias(c) for c in columns])
 
 
 def prosodic_scores(df: DataFrame, ok: Column, high: float = 0.75) -> DataFrame:

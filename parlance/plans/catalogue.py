@@ -121,6 +121,26 @@ def keyword_final_summary(spark, d):
     return keywords.final_summary(_spotted(spark, d), _calls(spark, d), keywords.theme_summary(_spotted(spark, d), LEXICON), "audio_id")
 
 
+#: Some two hundred keywords, as a full lexicon has: short fragments made by a rule, dealt over the themes.
+WIDE_LEXICON: keywords.Lexicon = {t: [a + b for a in "abcdefghijklmnopqrst" for b in "aeinorstu" if (ord(a) * 7 + ord(b)) % 12 == i] + LEXICON[t] for i, t in enumerate(LEXICON)}
+WORD_LEXICON: keywords.Lexicon = {"articulos": ["the", "la", "le", "der", "die", "el", "les"], "enlaces": ["and", "y", "et", "und", "of the", "de la"], "nada": ["...", ""]}
+
+
+def _wide(lexicon: keywords.Lexicon, found: str) -> str:
+    one = " UNION ALL ".join(f"SELECT '{t}' AS theme, list_filter({sorted({k.strip() for k in ks} - {'', '...'})!r}, lambda k: {found}) AS m FROM n" for t, ks in lexicon.items())
+    return f"WITH {A.TXT}, n AS (SELECT {A.normal_sql('text')} AS norm FROM txt), o AS ({one}) SELECT theme, count(*) AS n_segments, count(*) FILTER (len(m) > 0) AS n_hits, CAST(sum(len(m)) AS BIGINT) AS n_matches, {R('round(100 * count(*) FILTER (len(m) > 0) / count(*), 2)', 'pct')} FROM o GROUP BY theme"
+
+
+@query(_wide(WIDE_LEXICON, "contains(norm, k)"))
+def theme_summary_wide_lexicon(spark, d):
+    return keywords.theme_summary(keywords.spotted(A.transcripts(spark, d), WIDE_LEXICON), WIDE_LEXICON)
+
+
+@query(_wide(WORD_LEXICON, "contains(' ' || norm || ' ', ' ' || k || ' ')"))
+def theme_summary_whole_words(spark, d):
+    return keywords.theme_summary(keywords.spotted(A.transcripts(spark, d), WORD_LEXICON, bounded=True), WORD_LEXICON)
+
+
 # --- intervals ------------------------------------------------------------------------------------
 
 _ISLES = f"""{A.SEG}, o1 AS (SELECT *, CASE WHEN lag(speaker) OVER w IS NULL OR lag(speaker) OVER w <> speaker THEN 1 ELSE 0 END AS turn FROM seg WINDOW w AS (PARTITION BY audio_id ORDER BY start_s, end_s, seg_id)),
