@@ -12,7 +12,10 @@ from parlance.functions.names import consolidation_id
 
 
 def write_text_atomic(spark: SparkSession, text: str, path: str, encoding: str = "utf-8") -> None:
-    """Write a text under another name in the same folder and rename it, on any file system of the session."""
+    """Write a text under another name in the same folder and rename it over the target, on any file system of the session.
+
+    Whoever reads meanwhile, or after a crash, finds the old text or the new one.
+    """
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -22,9 +25,29 @@ def write_text_atomic(spark: SparkSession, text: str, path: str, encoding: str =
         out.write(bytearray(text.encode(encoding)))
     finally:
         out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"could not rename to {path}")
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(part, target, over)
+
+
+def read_json(spark: SparkSession, path: str):
+    """The data of a JSON file; None if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def write_json_atomic(spark: SparkSession, data, path: str) -> None:

@@ -68,6 +68,38 @@ def test_files_and_stages(spark, tmp_path):
     assert stages.pending(spark.range(3), spark.range(1), ["id"]).count() == 2
 
 
+def test_a_set_is_stored_whole_or_not_at_all(spark, tmp_path):
+    root = str(tmp_path)
+    stage = stages.StageSet("t", {"a": ["x"], "b": ["x"]}, {"more": []})
+    one, two = (spark.range(n).withColumn("x", F.lit(n)) for n in (1, 2))
+    first = stage.save(spark, root, {"a": one, "b": one, "more": one})
+    opened = stage.load(spark, root)
+    dies = two.withColumn("x", F.raise_error(F.lit("out of order")).cast("int"))
+    with pytest.raises(Exception, match="out of order"):
+        stage.save(spark, root, {"a": two, "b": dies})
+    assert stage.manifest(spark, root)["version"] == first and stage.complete(spark, root)
+    assert {t: df.count() for t, df in stage.load(spark, root).items()} == {"a": 1, "b": 1, "more": 1}
+    assert len(stage.swept(spark, root)) == 1 and stage.swept(spark, root) == []
+    second = stage.save(spark, root, {"a": two, "b": two})
+    assert {t: df.count() for t, df in stage.load(spark, root).items()} == {"a": 2, "b": 2}  # without the optional table of the older run
+    assert opened["a"].count() == 1  # who has opened the old set still reads it
+    third = stage.save(spark, root, {"a": one}, keep=True)
+    assert stage.manifest(spark, root)["tables"] == {"a": third, "b": second} and stage.complete(spark, root)
+    assert stage.swept(spark, root) == [first]
+
+
+def test_an_incomplete_set_is_not_loaded(spark, tmp_path):
+    root = str(tmp_path)
+    stage = stages.StageSet("t", {"a": ["x"], "b": ["x"]})
+    stage.save(spark, root, {"a": spark.range(3).withColumn("x", F.lit(1))})
+    assert stage.manifest(spark, root)["missing"] == ["b"] and not stage.complete(spark, root)
+    with pytest.raises(ValueError, match="incomplete"):
+        stage.load(spark, root)
+    assert set(stage.load(spark, root, partial=True)) == {"a"}
+    made = stage.reused(spark, root, lambda: {t: spark.range(2).withColumn("x", F.lit(1)) for t in "ab"})
+    assert set(made) == {"a", "b"} and stage.complete(spark, root)
+
+
 def test_warehouse_union(spark, tmp_path):
     spark.createDataFrame([("raw_1.wav", "7.0", " ana ")], "audio_name string, customer string, agent string").write.parquet(f"{tmp_path}/a")
     spark.createDataFrame([("raw_bajas_2_clean.wav", "hola")], "audio_name string, transcripcion string").write.json(f"{tmp_path}/b")
