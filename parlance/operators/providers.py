@@ -30,30 +30,54 @@ class RowsProvider(Protocol):
 
 
 def decoded(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in -1..1 and rate of a PCM WAV file."""
+    """Mono samples in -1..1 and rate of a PCM WAV file of 8, 16, 24 or 32 bits."""
     with wave.open(io.BytesIO(content)) as w:
         rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
         raw = w.readframes(w.getnframes())
+    if width == 3:  # the three bytes are the upper ones of 32 bits
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        raw, width = wide.tobytes(), 4
     kind = {1: np.uint8, 2: np.int16, 4: np.int32}[width]
     x = np.frombuffer(raw, kind).astype(np.float32)
     x = (x - 128) / 128 if width == 1 else x / float(2 ** (8 * width - 1))
     return x.reshape(-1, channels).mean(1), rate
 
 
-def applied(files: DataFrame, make: Callable[[], RowsProvider], schema: str) -> DataFrame:
-    """A provider's rows of each WAV file (``path``, ``content``); errors become rows of :func:`failures`."""
+def per_recording(files: DataFrame, make: Callable[[], RowsProvider], schema: str, rows: Callable[[RowsProvider, str, bytes], list[tuple]], errors: bool) -> DataFrame:
+    """``rows`` of each file (``path``, ``content``) with a provider made once a task.
+
+    With ``errors`` there are two columns more, ``path`` and ``error``, and a recording that fails gives one row of them alone; without, it ends the job.
+    """
+    names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = None
-        names = [c.strip().split()[0] for c in schema.split(",")]
         for pdf in batches:
             provider = provider or make()
-            out = []
+            out: list[tuple] = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                out += provider.rows(path.rsplit("/", 1)[-1], *decoded(content))
-            yield pd.DataFrame(out, columns=names)
+                try:
+                    found = rows(provider, path, content)
+                except Exception as e:  # noqa: BLE001
+                    if not errors:
+                        raise
+                    out.append((*[None] * len(names), path, f"{type(e).__name__}: {e}"))
+                else:
+                    out += [(*r, path, None) for r in found] if errors else found
+            yield pd.DataFrame(out, columns=[*names, "path", "error"] if errors else names, dtype=object)
+
+    return files.select("path", "content").mapInPandas(run, f"{schema}, path string, error string" if errors else schema)
+
+
+def applied(files: DataFrame, make: Callable[[], RowsProvider], schema: str, errors: bool = False) -> DataFrame:
+    """A provider's rows of each WAV file (``path``, ``content``). With ``errors`` unreadable files are rows of :func:`failures`."""
+    return per_recording(files, make, schema, lambda p, path, content: p.rows(path.rsplit("/", 1)[-1], *decoded(content)), errors)
+
 
-    return files.select("path", "content").mapInPandas(run, schema)
+def failures(rows: DataFrame) -> DataFrame:
+    """``path, error`` of the recordings that failed, of rows made with ``errors``."""
+    return rows.filter("error IS NOT NULL").select("path", "error")
 
 
 def rms_dbfs(x: np.ndarray, floor: float = -120.0) -> float:

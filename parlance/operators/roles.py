@@ -41,14 +41,14 @@ def token_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("__a", match_tokens(F.col(a))).withColumn("__b", match_tokens(F.col(b))).withColumn("containment", containment(F.col("__a"), F.col("__b"))).withColumn("jaccard", jaccard(F.col("__a"), F.col("__b"))).drop("__a", "__b")
 
 
-def _raw_weights(texts: DataFrame, group: list[str], text_id: str, text: str) -> DataFrame:
+def _raw_weights(texts: DataFrame, group: list[str], text_id: str, text: str, hashed: bool = False) -> DataFrame:
     """TF-IDF weights of character 3- to 5-grams before they are brought to unit length: ``group, text_id, gram, raw``.
 
-    Grams are 64-bit hashes. A group's gram is in one task from here on, so rows of two texts can meet without a further shuffle.
+    Grams are strings, or 64-bit hashes if ``hashed``. A group's gram is in one task from here on, so rows of two texts can meet without a further shuffle.
     """
-    hashed = F.transform(char_grams(F.col(text)), lambda g: F.xxhash64(g))
+    listed = F.transform(char_grams(F.col(text)), lambda g: F.xxhash64(g)) if hashed else char_grams(F.col(text))
     dealt = texts.select(*group, text_id, text).repartition(*group, text_id)  # texts travel, a fifteenth of their grams; these are then counted where they are made
-    grams = dealt.select(*group, text_id, F.explode_outer(hashed).alias("gram")).filter("gram IS NOT NULL")  # the inner form makes the grams twice
+    grams = dealt.select(*group, text_id, F.explode_outer(listed).alias("gram")).filter("gram IS NOT NULL")  # the inner form makes the grams twice
     tf = grams.groupBy(*group, text_id, "gram").agg(F.count("*").alias("tf"))
     n = texts.groupBy(*group).agg(F.count("*").alias("n")) if group else texts.agg(F.count("*").alias("n"))
     w = tf.withColumn("df", F.count("*").over(Window.partitionBy(*group, "gram")))
@@ -61,7 +61,7 @@ def _lengths(raw: DataFrame, group: list[str], text_id: str) -> DataFrame:
 
 
 def gram_weights(texts: DataFrame, group: list[str], text_id: str, text: str) -> DataFrame:
-    """Unit-length TF-IDF weights of character 3- to 5-grams (as 64-bit hashes) within each group: ``group, text_id, gram, w``.
+    """Unit-length TF-IDF weights of character 3- to 5-grams within each group: ``group, text_id, gram, w``.
 
     idf = ln((1 + n) / (1 + df)) + 1 over the group's texts.
     """
@@ -77,7 +77,7 @@ def aligned(turns: DataFrame, windows: DataFrame, key: str, turn_id: str = "turn
     they are divided by the texts' lengths, so weights travel once.
     """
     ids = turns.select(key, F.concat(F.lit("t"), F.col(turn_id)).alias("id"), F.col("turn_text").alias("t")).unionByName(windows.select(key, F.concat(F.lit("w"), F.col(window_id)).alias("id"), F.col("window_text").alias("t")))
-    raw = _raw_weights(ids, [key], "id", "t")
+    raw = _raw_weights(ids, [key], "id", "t", hashed=True)
     a = raw.filter(F.col("id").startswith("t")).select(key, "gram", F.col("id").alias("ta"), F.col("raw").alias("wa"))
     b = raw.filter(F.col("id").startswith("w")).select(key, "gram", F.col("id").alias("tb"), F.col("raw").alias("wb"))
     products = a.join(b, [key, "gram"]).groupBy(key, "ta", "tb").agg(F.sum(F.col("wa") * F.col("wb")).alias("product"))

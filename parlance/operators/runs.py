@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from parlance.operators.providers import RowsProvider, decoded, rms_dbfs, shortened
+from parlance.operators.providers import RowsProvider, decoded, per_recording, rms_dbfs, shortened
 from parlance.operators.summaries import signature
 
 CLEANED = "path string, original_s double, clean_s double, removed_s double, removed_ratio double, rms_before double, rms_after double, valid boolean, error string"
@@ -69,26 +69,18 @@ def with_gain(x: np.ndarray, target_rms: float = 0.08, most: float = 10.0) -> tu
     return np.clip(x * gain, -1, 1).astype(np.float32), gain
 
 
-def transcribed(files: DataFrame, make: Callable[[], RowsProvider], run: TranscriptionRun) -> DataFrame:
-    """A provider's rows of each recording; one without any is tried again louder, where the run says so."""
-    schema = make().schema
-    names = [c.strip().split()[0] for c in schema.split(",")]
+def transcribed(files: DataFrame, make: Callable[[], RowsProvider], run: TranscriptionRun, errors: bool = False) -> DataFrame:
+    """A provider's rows of each recording; one without any is tried again louder, where the run says so. ``errors`` as in ``providers.applied``."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = None
-        for pdf in batches:
-            provider = provider or make()
-            out: list[tuple] = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                samples, rate = decoded(content)
-                name = path.rsplit("/", 1)[-1]
-                rows = provider.rows(name, samples, rate)
-                if not rows and run.retry_with_gain:
-                    rows = provider.rows(name, with_gain(samples, run.target_retry_rms, run.most_gain)[0], rate)
-                out += rows
-            yield pd.DataFrame(out, columns=names)
+    def work(provider: RowsProvider, path: str, content: bytes) -> list[tuple]:
+        samples, rate = decoded(content)
+        name = path.rsplit("/", 1)[-1]
+        rows = provider.rows(name, samples, rate)
+        if not rows and run.retry_with_gain:
+            rows = provider.rows(name, with_gain(samples, run.target_retry_rms, run.most_gain)[0], rate)
+        return rows
 
-    return files.select("path", "content").mapInPandas(work, schema)
+    return per_recording(files, make, make().schema, work, errors)
 
 
 class Classifier(Protocol):

@@ -49,6 +49,33 @@ def test_retry_with_gain(spark):
     assert runs.with_gain(np.full(10, 0.5, np.float32))[1] < 1 and runs.with_gain(np.zeros(3))[1] == 1.0
 
 
+def test_unreadable_recordings_become_rows(spark):
+    rows = [("x/good.wav", wav(np.full(8000, 0.5))), ("x/bad.wav", b"broken"), ("x/none.wav", wav(np.zeros(8000)))]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    for out in (runs.transcribed(files, quiet(), runs.TranscriptionRun("small"), errors=True), providers.applied(files, quiet(), providers.WORD_SCHEMA, errors=True)):
+        assert [(r.path, r.error.split(":")[0][-5:]) for r in providers.failures(out).collect()] == [("x/bad.wav", "Error")]
+        assert [(r.audio_id, r.path) for r in out.filter("error IS NULL").collect()] == [("good.wav", "x/good.wav")]
+    with pytest.raises(Exception, match="RIFF|EOF|Error"):
+        providers.applied(files, quiet(), providers.WORD_SCHEMA).collect()
+
+
+def test_widths_of_samples():
+    import io
+    import wave
+
+    x = np.array([0.0, 0.5, -0.5, 0.999, -1.0])
+    for width, scale in ((2, 1 << 15), (3, 1 << 23), (4, 1 << 31)):
+        raw = b"".join(int(np.clip(v * scale, -scale, scale - 1)).to_bytes(width, "little", signed=True) for v in x)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(width)
+            w.setframerate(8000)
+            w.writeframes(raw)
+        got, rate = providers.decoded(out.getvalue())
+        assert rate == 8000 and np.allclose(got, x, atol=1e-3 if width == 2 else 1e-6)
+
+
 def test_classified_keeps_failed_batches_pending(spark):
     df = spark.createDataFrame([(i, "bad" if i == 5 else "x" * i) for i in range(12)], "uid long, text string").coalesce(1)
     got = {r.uid: r.label for r in runs.classified(df, by_length(), "uid", batch=4).collect()}
