@@ -51,6 +51,24 @@ def holdout(df: DataFrame, key: list[str], truth: str, predicted: str) -> DataFr
     return per.agg(F.sum("n").alias("n"), (F.sum("k") / F.sum("n")).alias("accuracy"), F.avg(F.col("k") / F.col("n")).alias("balanced_accuracy"), F.count("*").alias("n_classes"))
 
 
+def confusion(df: DataFrame, truth: str, predicted: str, classes: tuple[str, ...] = ("AGENT", "CLIENT")) -> DataFrame:
+    """``truth, predicted, n`` for every pair of classes, 0 where none; rows of other or missing classes are left out."""
+    every = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes], "truth string, predicted string")
+    counts = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    return F.broadcast(every).join(counts, ["truth", "predicted"], "left").select("truth", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def by_class(df: DataFrame, truth: str, predicted: str, classes: tuple[str, ...] = ("AGENT", "CLIENT")) -> DataFrame:
+    """``role, precision, recall, f1, support`` of each class, in one pass over the rows that have a prediction; 0 where a share has no rows."""
+    known = df.filter(F.col(predicted).isNotNull())
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+    t, p = F.col(truth), F.col(predicted)
+    one = known.agg(*[F.struct(F.lit(c).alias("role"), n((t == c) & (p == c)).alias("hit"), n(p == c).alias("said"), n(t == c).alias("support")).alias(f"__{i}") for i, c in enumerate(classes)])
+    rows = one.select(F.explode(F.array(*[f"__{i}" for i in range(len(classes))])).alias("x")).select("x.*")
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return rows.select("role", share(F.col("hit"), F.col("said")).alias("precision"), share(F.col("hit"), F.col("support")).alias("recall"), share(2 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"), "support")
+
+
 def open_set_metrics(df: DataFrame) -> DataFrame:
     """One row of identification, false rejection, false acceptance and overall rates of open-set decisions."""
     known, yes = F.col("truth_known"), F.col("decision") == "KNOWN"

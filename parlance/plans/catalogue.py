@@ -704,12 +704,33 @@ def propagate_roles(spark, d):
 _PART = "CASE WHEN CAST('0x' || substr(sha256('split|' || audio_id), 1, 8) AS BIGINT) % 100 < 70 THEN 'train' ELSE 'test' END"
 
 
-@query(f"WITH {A.TXT}, x AS (SELECT *, {_PART} AS part, CAST(seg_id % 2 AS VARCHAR) AS speaker2 FROM txt WHERE role IS NOT NULL), l AS (SELECT speaker2, role AS predicted FROM (SELECT speaker2, role, row_number() OVER (PARTITION BY speaker2 ORDER BY count(*) DESC, role) AS rn FROM x WHERE part = 'train' GROUP BY speaker2, role) WHERE rn = 1), t AS (SELECT x.role, predicted FROM x JOIN l USING (speaker2) WHERE part = 'test'), p AS (SELECT role, count(*) AS n, count(*) FILTER (role = predicted) AS k FROM t GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, {R('sum(k) / sum(n)', 'accuracy')}, {R('avg(k / n)', 'balanced_accuracy')}, count(*) AS n_classes FROM p")
-def holdout_metrics(spark, d):
+_HOLD = f"{A.TXT}, x AS (SELECT *, {_PART} AS part, CAST(seg_id % 2 AS VARCHAR) AS speaker2 FROM txt WHERE role IS NOT NULL), l AS (SELECT speaker2, role AS predicted FROM (SELECT speaker2, role, row_number() OVER (PARTITION BY speaker2 ORDER BY count(*) DESC, role) AS rn FROM x WHERE part = 'train' GROUP BY speaker2, role) WHERE rn = 1), t AS (SELECT x.role, predicted FROM x JOIN l USING (speaker2) WHERE part = 'test')"
+
+
+def _held_out(spark, d):
+    """Held-out turns with the role that their speaker has most often in the others."""
     t = A.transcripts(spark, d).filter("role IS NOT NULL").withColumn("speaker2", (F.col("seg_id") % 2).cast("string")).withColumn("part", roles.holdout_part(F.col("audio_id")))
     counts = t.filter("part = 'train'").groupBy("speaker2", "role").agg(F.count("*").alias("n"))
     learnt = counts.groupBy("speaker2").agg(F.min_by("role", F.struct(-F.col("n"), "role")).alias("predicted"))
-    return evaluation.holdout(t.filter("part = 'test'").join(learnt, "speaker2"), ["audio_id"], "role", "predicted")
+    return t.filter("part = 'test'").join(learnt, "speaker2")
+
+
+@query(f"WITH {_HOLD}, p AS (SELECT role, count(*) AS n, count(*) FILTER (role = predicted) AS k FROM t GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, {R('sum(k) / sum(n)', 'accuracy')}, {R('avg(k / n)', 'balanced_accuracy')}, count(*) AS n_classes FROM p")
+def holdout_metrics(spark, d):
+    return evaluation.holdout(_held_out(spark, d), ["audio_id"], "role", "predicted")
+
+
+_OF = "count(*) FILTER (role = c AND predicted = c) AS hit, count(*) FILTER (predicted = c) AS said, count(*) FILTER (role = c) AS support"
+
+
+@query(f"WITH {_HOLD}, k AS (SELECT c, {_OF} FROM t, (VALUES ('AGENT'), ('CLIENT')) v(c) GROUP BY c) SELECT c AS role, {R('coalesce(hit / nullif(said, 0), 0)', 'precision')}, {R('coalesce(hit / nullif(support, 0), 0)', 'recall')}, {R('coalesce(2 * hit / nullif(said + support, 0), 0)', 'f1')}, support FROM k")
+def holdout_by_role(spark, d):
+    return evaluation.by_class(_held_out(spark, d), "role", "predicted")
+
+
+@query(f"WITH {_HOLD}, v(c) AS (VALUES ('AGENT'), ('CLIENT')) SELECT a.c AS truth, b.c AS predicted, (SELECT count(*) FROM t WHERE t.role = a.c AND t.predicted = b.c) AS n FROM v a, v b")
+def holdout_confusion(spark, d):
+    return evaluation.confusion(_held_out(spark, d), "role", "predicted")
 
 
 @query(f"WITH {A.TXT} SELECT audio_id, seg_id, CASE WHEN regexp_matches(speaker, '^user$') THEN 'CLIENT' ELSE NULL END AS strict_role, CASE WHEN upper(trim(role)) IN ('AGENT', 'CLIENT') THEN upper(trim(role)) ELSE 'UNKNOWN' END AS plain_role, printf('%02d:%02d', CAST(floor(start_s / 60) AS INT), CAST(start_s % 60 AS INT)) AS clock FROM (SELECT * FROM txt)")
