@@ -137,7 +137,9 @@ def pseudonym(key, kind, m):
         y, mo, d = f"{new.year:04d}", f"{new.month:0{w}d}", f"{new.day:0{w}d}"
         return sep.join((y, mo, d) if year_first else (d, mo, y) if day_first else (mo, d, y))
     if kind == "tax":
-        return _refill(m, permuted(key, "tax", digits))
+        areas = [a for a in range(1, 900) if a != 666]
+        left, right = feistel(key, "tax", areas.index(int(digits[:3])) * 99 + int(digits[3:5]) - 1, int(digits[5:]) - 1, 898 * 99, 9999)
+        return f"{areas[left // 99]:03d}-{left % 99 + 1:02d}-{right + 1:04d}"
     if kind == "card":
         body = permuted(key, "card", digits[:-1])
         return _refill(m, body + str(-_luhn(body + "0") % 10))

@@ -457,6 +457,29 @@ def test_pseudonyms_of_one_number_are_linked(spark):
         assert len(national) == 1 and all(d.startswith(code) for r in rows for d in ["".join(c for c in r.text if c.isdigit())] if r.text.startswith("+")) and len(digits) <= 2
 
 
+def test_tax_numbers_stay_valid(spark):
+    """Every pseudonym passes the check that its original passed, whatever the number; none is given twice."""
+    n = F.col("id") * 222_199  # over all areas, with the borders below
+    area = n % 899 + 1
+    made = spark.range(4_000).select(F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.floor(n / 899) % 99 + 1).cast("string"), 2, "0"), F.lpad((n % 9999 + 1).cast("string"), 4, "0")).alias("m")).filter("m NOT LIKE '666%'")
+    edges = spark.createDataFrame([(m,) for m in ("001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999")], "m string")
+    rows = made.union(edges).distinct().withColumn("new", pii.pseudonym("key", F.lit("tax"), F.col("m"))).withColumn("kind", pii.kind_of(F.col("new"))).collect()
+    assert len(rows) > 3_900 and {r.kind for r in rows} == {"tax"} and len({r.new for r in rows}) == len(rows)
+    assert all(r.new == plain.pseudonym("key", "tax", r.m) for r in rows)
+    assert any(not r.new.startswith(r.m[:3]) for r in rows)
+
+
+def test_mailboxes_of_hosts_in_other_letters(spark):
+    """Hosts with letters beyond ASCII are found whole; signs after a host end it, and an ASCII host ends as before."""
+    cases = [("иван@пример.рф", ""), ("<ana@bücher.example>", "<>"), ("mail a@例え.テスト。 next", "mail 。 next"), ("b@host.com和", "和"), ("b@host.com—end", "—end"), ("c@münchen.de, d@host.org", ", "), ("x@y @ пример", None)]
+    rows = pii.pseudonymised(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    import re
+
+    for r, (text, left) in zip(rows, cases):
+        assert r.text == text if left is None else re.sub(r"u[a-p]{24}@d[a-p]{16}\.invalid", "", r.text) == left, (text, r.text)
+        assert plain.pseudonymised(text, "key") == (list(r["__p_found"]), r.text)
+
+
 def test_pseudonyms_of_extreme_texts(spark):
     """Nothing deepens the matcher's stack, and a token without digits is found in a text without any."""
     token = "abcdef" * 5 + "ab"
