@@ -10,15 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.nulls import changed, truly, zero_sum
+from parlance.operators import ranks
 
 K = ["audio_id"]
 
 
-def islands(df: DataFrame, keys: list[str] = K, speaker: str = "speaker", start: str = "start_s", end: str = "end_s", tie: str = "seg_id", max_gap: float = 0.5) -> DataFrame:
+def time_bin(t: Column, bin_s: float) -> Column:
+    """Number of the bin of a time: grows with it in Spark's order (null before all, NaN after all)."""
+    return F.when(F.isnan(t), F.lit((1 << 63) - 1)).otherwise(F.floor(t / bin_s))
+
+
+def islands(df: DataFrame, keys: list[str] = K, speaker: str = "speaker", start: str = "start_s", end: str = "end_s", tie: str = "seg_id", max_gap: float = 0.5, bin_s: float | None = None) -> DataFrame:
     """``df`` with ``run`` (turns of one speaker) and ``island`` (parts of a run with gaps up to ``max_gap``).
 
-    The running end need not restart at a new island: after a break the next start lies beyond it.
+    The running end need not restart at a new island: after a break the next start lies beyond it. ``bin_s``
+    deals a long recording over time bins (:func:`_binned_islands`), with the same result.
     """
+    if bin_s:
+        return _binned_islands(df, keys, speaker, start, end, tie, max_gap, bin_s)
     order = Window.partitionBy(*keys).orderBy(start, end, tie)
     before = Window.partitionBy(*keys, "run").orderBy(start, end, tie).rowsBetween(Window.unboundedPreceding, -1)
     turn = F.when(F.row_number().over(order) == 1, 1).otherwise(changed(F.col(speaker), F.lag(speaker).over(order)).cast("int"))
@@ -28,12 +37,57 @@ def islands(df: DataFrame, keys: list[str] = K, speaker: str = "speaker", start:
     return runs.withColumn("__new", new).withColumn("island", F.sum("__new").over(Window.partitionBy(*keys, "run").orderBy(start, end, tie))).drop("__new")
 
 
-def merge_adjacent(df: DataFrame, keys: list[str] = K, speaker: str = "speaker", start: str = "start_s", end: str = "end_s", tie: str = "seg_id", max_gap: float = 0.5) -> DataFrame:
+def _binned_islands(df: DataFrame, keys: list[str], speaker: str, start: str, end: str, tie: str, max_gap: float, bin_s: float) -> DataFrame:
+    """:func:`islands` with no window longer than a time bin of a recording.
+
+    A bin is scanned alone; what it passes on is one row: its first and last speaker, its turns, and the end that
+    its last run reaches. Those rows, one a bin, are chained in the recording, so that each bin learns the run that
+    is open at its border and that run's reach. With it the breaks of the bin's first run are known, and the
+    islands of open runs are counted over the bins in the same way. Rows of one start are in one bin.
+    """
+    at = [*keys, "__bin"]
+    order, chain = Window.partitionBy(*at).orderBy(start, end, tie), Window.partitionBy(*keys).orderBy("__bin")
+    place = F.struct(F.col(start), F.col(end), F.col(tie))
+    turn = F.when(F.row_number().over(order) == 1, 0).otherwise(changed(F.col(speaker), F.lag(speaker).over(order)).cast("int"))
+    before = Window.partitionBy(*at, "__own").orderBy(start, end, tie).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("__bin", time_bin(F.col(start), bin_s)).withColumn("__turn", turn).withColumn("__own", F.sum("__turn").over(order)).withColumn("__reach", F.max(end).over(before))
+
+    one = F.struct(F.col(speaker).alias("s"))
+    state = rows.groupBy(*at).agg(F.min_by(one, place).alias("first"), F.max_by(one, place).alias("last"), F.sum("__turn").alias("turns"), F.max(F.struct("__own", F.col(end).alias("e")))["e"].alias("tail"))
+    head = F.lag("last").over(chain)
+    state = state.withColumn("__new_run", F.when(head.isNull(), 1).otherwise(changed(F.col("first.s"), head["s"]).cast("int")))
+    state = state.withColumn("__run_end", F.sum(F.col("turns") + F.col("__new_run")).over(chain))
+    among = Window.partitionBy(*keys, "__run_end").orderBy("__bin")  # the bins at whose end one run is open
+    state = state.withColumn("__open", F.max("tail").over(among)).withColumn("__carried", F.when(F.col("__new_run") == 0, F.lag("__open").over(chain)))
+    state = state.select(*at, (F.col("__run_end") - F.col("turns")).alias("__base"), "__carried", "__new_run", "__run_end")
+
+    known = _with_state(rows, state, at)
+    reach = F.when(F.col("__own") == 0, F.greatest("__reach", "__carried")).otherwise(F.col("__reach"))
+    known = known.withColumn("__new", (reach.isNull() | (F.col(start) - reach > max_gap)).cast("int"))
+    known = known.withColumn("__isle", F.coalesce(F.sum("__new").over(Window.partitionBy(*at, "__own").orderBy(start, end, tie)), F.lit(0)))
+    counted = known.groupBy(*at, "__new_run", "__run_end").agg(F.max(F.struct("__own", "__isle"))["__isle"].alias("isles"))
+    counted = counted.withColumn("__open", F.sum("isles").over(among)).withColumn("__before", F.when(F.col("__new_run") == 0, F.lag("__open").over(chain)))
+
+    out = _with_state(known, counted.select(*at, "__before"), at)
+    more = F.when(F.col("__own") == 0, F.coalesce("__before", F.lit(0))).otherwise(0)
+    return out.select(*df.columns, (F.col("__base") + F.col("__own")).alias("run"), (F.col("__isle") + more).alias("island"))
+
+
+def _with_state(rows: DataFrame, state: DataFrame, at: list[str]) -> DataFrame:
+    """Rows with the other columns of their bin's row; null keys and bins meet."""
+    s = state.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(at)], *[c for c in state.columns if c not in at])
+    on = F.lit(True)
+    for i, k in enumerate(at):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(s, on).drop(*[f"__k{i}" for i in range(len(at))])
+
+
+def merge_adjacent(df: DataFrame, keys: list[str] = K, speaker: str = "speaker", start: str = "start_s", end: str = "end_s", tie: str = "seg_id", max_gap: float = 0.5, bin_s: float | None = None) -> DataFrame:
     """One row for each island: its first row's columns with the end reached, ``n_merged`` and ``merged_ids``.
 
-    ``duration_s`` is given anew only where rows were merged, as the ends of a single row stay its own.
+    ``duration_s`` is given anew only where rows were merged, as the ends of a single row stay its own. ``bin_s`` as in :func:`islands`.
     """
-    marked = islands(df, keys, speaker, start, end, tie, max_gap)
+    marked = islands(df, keys, speaker, start, end, tie, max_gap, bin_s)
     place = F.struct(F.col(start), F.col(end), F.col(tie))
     first = [F.min_by(c, place).alias(c) for c in df.columns if c not in (*keys, end, "duration_s")]
     out = marked.groupBy(*keys, "run", "island").agg(
@@ -47,14 +101,22 @@ def count_islands(df: DataFrame, keys: list[str] = K, **how) -> DataFrame:
     return islands(df, keys, **how).groupBy(*keys).agg(F.count("*").alias("n_segments"), F.count_distinct("run", "island").alias("n_islands"))
 
 
-def overlap_regions(df: DataFrame, keys: list[str] = K, start: str = "start_s", end: str = "end_s") -> DataFrame:
+def overlap_regions(df: DataFrame, keys: list[str] = K, start: str = "start_s", end: str = "end_s", bin_s: float | None = None) -> DataFrame:
     """Stretches in which more than one interval is open (``start``, ``end``); touching ones are one.
 
     A sweep over the ends: +1 at a start, -1 at an end, summed by time so that ends meet starts.
-    Intervals without length are left out.
+    Intervals without length are left out. ``bin_s`` deals a long recording over time bins: what is open at a
+    bin's border is summed over one row a bin, and the times at which a stretch begins or ends are numbered likewise.
     """
     real = df.filter(F.col(end) > F.col(start))
     ends = real.select(*keys, F.col(start).alias("t"), F.lit(1).alias("d")).unionByName(real.select(*keys, F.col(end).alias("t"), F.lit(-1).alias("d")))
+    if bin_s:
+        levels = ends.groupBy(*keys, "t").agg(F.sum("d").alias("d"))
+        swept = ranks.running(levels, time_bin(F.col("t"), bin_s), [F.col("t")], {"before": "d"}, keys)
+        was, now = F.col("before") > 1, F.col("before") + F.col("d") > 1
+        edges = swept.filter(was != now).select(*keys, "t", now.cast("long").alias("begins"))
+        nth = ranks.running(edges, time_bin(F.col("t"), bin_s), [F.col("t")], {"nth": "begins"}, keys)
+        return nth.groupBy(*keys, (F.col("nth") + F.col("begins")).alias("region")).agg(F.min("t").alias(start), F.max("t").alias(end)).drop("region")
     order = Window.partitionBy(*keys).orderBy("t")
     levels = ends.groupBy(*keys, "t").agg(F.sum("d").alias("d")).withColumn("open", F.sum("d").over(order)).withColumn("next", F.lead("t").over(order))
     busy = levels.filter((F.col("open") > 1) & F.col("next").isNotNull())
