@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.operators.ranks import number_bucket, running
+from parlance.operators.ranks import number_bucket, running, with_medians
 
 
 def roc(df: DataFrame, y: str = "y", s: str = "s") -> DataFrame:
@@ -51,7 +51,7 @@ def holdout(df: DataFrame, key: list[str], truth: str, predicted: str) -> DataFr
     return per.agg(F.sum("n").alias("n"), (F.sum("k") / F.sum("n")).alias("accuracy"), F.avg(F.col("k") / F.col("n")).alias("balanced_accuracy"), F.count("*").alias("n_classes"))
 
 
-def confusion(df: DataFrame, truth: str, predicted: str, classes: tuple[str, ...] = ("AGENT", "CLIENT")) -> DataFrame:
+def confusion_by_class(df: DataFrame, truth: str, predicted: str, classes: tuple[str, ...] = ("AGENT", "CLIENT")) -> DataFrame:
     """``truth, predicted, n`` for every pair of classes, 0 where none; rows of other or missing classes are left out."""
     every = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes], "truth string, predicted string")
     counts = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
@@ -80,4 +80,4 @@ def open_set_metrics(df: DataFrame) -> DataFrame:
 
 def pair_summary(df: DataFrame, y: str = "y", s: str = "s") -> DataFrame:
     """Count, mean and median score of each label."""
-    return df.groupBy(y).agg(F.count("*").alias("n"), F.avg(s).alias("mean_score"), F.percentile(s, F.lit(0.5)).alias("median_score"))
+    return with_medians(df.groupBy(y).agg(F.count("*").alias("n"), F.avg(s).alias("mean_score")), df, {s: "median_score"}, [y])

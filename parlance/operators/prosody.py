@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.nulls import truly
-from parlance.operators.ranks import number_bucket, numbered, quantiles, running
+from parlance.operators.ranks import number_bucket, numbered, quantiles, running, with_medians
 
 #: Weights of the scaled features in each score.
 AROUSAL = {"rms_audio_dbfs": 0.35, "energy_dynamic_range": 0.20, "pitch_range_p90_p10": 0.20, "spectral_centroid_mean": 0.15, "zcr_mean": 0.10}
@@ -80,17 +80,17 @@ def prosodic_scores(df: DataFrame, ok: Column, high: float = 0.75) -> DataFrame:
 
 
 def aggregates(df: DataFrame, key_sets: list[list[str]], measures: list[str]) -> DataFrame:
-    """Count, sum, mean, median and maximum of the measures over several key sets, with ``level`` naming the set."""
+    """Count, sum, mean, median and maximum of the measures over several key sets, with ``level`` naming the set.
+
+    A row is read once for all sets; the medians are selected by counted buckets, whatever a group's size.
+    """
     every = list(dict.fromkeys(k for ks in key_sets for k in ks))
-    parts = []
-    for ks in key_sets:
-        aggs = [f(c).alias(f"{c}_{n}") for c in measures for n, f in (("count", F.count), ("sum", F.sum), ("mean", F.avg), ("median", lambda x: F.percentile(x, F.lit(0.5))), ("max", F.max))]
-        g = df.groupBy(*ks).agg(*aggs)
-        parts.append(g.select(F.lit("+".join(ks)).alias("level"), *[(F.col(k) if k in ks else F.lit(None)).cast("string").alias(k) for k in every], *[c for c in g.columns if c not in ks]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sets = [F.struct(F.lit("+".join(ks)).alias("level"), *[(F.col(k) if k in ks else F.lit(None)).cast("string").alias(k) for k in every]) for ks in key_sets]
+    rows = df.select(F.explode(F.array(*sets)).alias("__g"), *measures).select("__g.*", *[F.col(c).alias(f"__m_{c}") for c in measures])
+    by = ["level", *every]
+    sums = rows.groupBy(*by).agg(*[f(f"__m_{c}").alias(f"{c}_{n}") for c in measures for n, f in (("count", F.count), ("sum", F.sum), ("mean", F.avg), ("max", F.max))])
+    out = with_medians(sums, rows, {f"__m_{c}": f"{c}_median" for c in measures}, by)
+    return out.select(*by, *[f"{c}_{n}" for c in measures for n in ("count", "sum", "mean", "median", "max")])
 
 
 def iqr_outliers(df: DataFrame, column: str, times: float = 1.5) -> DataFrame:

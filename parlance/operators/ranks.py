@@ -71,23 +71,53 @@ def average_ranks(df: DataFrame, column: str, into: str) -> DataFrame:
     return out.select(column, (F.col("__below") + (F.col("__k") + 1) / 2.0).alias(into), F.col("__below_all").alias("n_rows"))
 
 
-def quantiles(df: DataFrame, asked: dict[str, list[float]], names: dict[tuple[str, float], str]) -> DataFrame:
+def _keyed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns that ``right`` adds, where the keys are equal or both null."""
+    r = right.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & left[k].eqNullSafe(r[f"__j{i}"])
+    return left.join(r, on, how).drop(*[f"__j{i}" for i in range(len(keys))])
+
+
+def quantiles(df: DataFrame, asked: dict[str, list[float]], names: dict[tuple[str, float], str], keys: list[str] | None = None) -> DataFrame:
     """One row of exact quantiles, interpolated between neighbours: a column ``names[c, q]`` for each column and share.
 
     Values are counted first and placed by bucket; only buckets that hold an asked place are ordered. Nulls are left out.
+    With ``keys`` it is one row a group (null keys are groups; a group without any value has no row), and a group of any size
+    is dealt over its buckets: no task holds its values.
     """
+    keys = keys or []
     items = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in asked]))
-    counts = df.select(items.alias("x")).select("x.c", "x.v").filter("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("k")).withColumn("b", number_bucket(F.col("v")))
-    among = Window.partitionBy("c")
-    per = counts.groupBy("c", "b").agg(F.sum("k").alias("kb"))
+    own = [F.col(k).alias(f"__q{i}") for i, k in enumerate(keys)]  # keys may be called c, v, k, b or q
+    g = [f"__q{i}" for i in range(len(keys))]
+    values = df.select(*own, items.alias("__x")).select(*g, "__x.c", "__x.v").filter("v IS NOT NULL")
+    among = Window.partitionBy(*g, "c")
+    if keys:  # buckets are counted where the rows are, and rows of other buckets than the held ones are not shuffled
+        values = values.withColumn("b", number_bucket(F.col("v")))
+        per = values.groupBy(*g, "c", "b").agg(F.count("*").alias("kb"))
+    else:
+        counts = values.groupBy("c", "v").agg(F.count("*").alias("k")).withColumn("b", number_bucket(F.col("v")))
+        per = counts.groupBy("c", "b").agg(F.sum("k").alias("kb"))
     per = per.withColumn("n", F.sum("kb").over(among)).withColumn("before", F.sum("kb").over(among.orderBy("b")) - F.col("kb"))
     shares = F.map_from_arrays(F.array(*map(F.lit, asked)), F.array(*[F.array(*map(F.lit, qs)).cast("array<double>") for qs in asked.values()]))
     per = per.withColumn("at", F.transform(F.element_at(shares, F.col("c")), lambda q: F.struct(q.alias("q"), (q * (F.col("n") - 1)).alias("p"))))
     inside = lambda i, lo, k: (i >= lo) & (i < lo + k)
-    held = per.filter(F.exists("at", lambda x: inside(F.floor(x["p"]), F.col("before"), F.col("kb")) | inside(F.ceil(x["p"]), F.col("before"), F.col("kb"))))
-    placed = counts.join(held.select("c", "b", "before", "at"), ["c", "b"]).withColumn("lo", F.col("before") + F.sum("k").over(Window.partitionBy("c", "b").orderBy("v")) - F.col("k"))
-    each = placed.select("c", "v", "lo", "k", F.explode("at").alias("x"))
+    held = per.filter(F.exists("at", lambda x: inside(F.floor(x["p"]), F.col("before"), F.col("kb")) | inside(F.ceil(x["p"]), F.col("before"), F.col("kb")))).select(*g, "c", "b", "before", "at")
+    if keys:
+        met = _keyed(values, held, [*g, "c", "b"]).groupBy(*g, "c", "b", "v").agg(F.count("*").alias("k"), F.first("before").alias("before"), F.first("at").alias("at"))
+    else:
+        met = counts.join(held, ["c", "b"])
+    placed = met.withColumn("lo", F.col("before") + F.sum("k").over(Window.partitionBy(*g, "c", "b").orderBy("v")) - F.col("k"))
+    each = placed.select(*g, "c", "v", "lo", "k", F.explode("at").alias("x"))
     pick = lambda i: F.max(F.when(inside(i, F.col("lo"), F.col("k")), F.col("v")))
-    found = each.groupBy("c", F.col("x.q").alias("q")).agg(F.first("x.p").alias("p"), pick(F.floor("x.p")).alias("a"), pick(F.ceil("x.p")).alias("z"))
+    found = each.groupBy(*g, "c", F.col("x.q").alias("q")).agg(F.first("x.p").alias("p"), pick(F.floor("x.p")).alias("a"), pick(F.ceil("x.p")).alias("z"))
     value = F.when(F.col("a") == F.col("z"), F.col("a")).otherwise((F.ceil("p") - F.col("p")) * F.col("a") + (F.col("p") - F.floor("p")) * F.col("z"))
-    return found.agg(*[F.max(F.when((F.col("c") == c) & (F.col("q") == q), value)).alias(names[c, q]) for c, qs in asked.items() for q in qs])
+    out = found.groupBy(*g).agg(*[F.max(F.when((F.col("c") == c) & (F.col("q") == q), value)).alias(names[c, q]) for c, qs in asked.items() for q in qs])
+    return out.withColumnsRenamed({f"__q{i}": k for i, k in enumerate(keys)})
+
+
+def with_medians(groups: DataFrame, df: DataFrame, medians: dict[str, str], keys: list[str] | None = None) -> DataFrame:
+    """``groups`` (one row a group of ``df``) with the exact median of each column under its name in ``medians``; null without values."""
+    half = quantiles(df, {c: [0.5] for c in medians}, {(c, 0.5): n for c, n in medians.items()}, keys)
+    return _keyed(groups, half, keys, "left") if keys else groups.crossJoin(F.broadcast(half))

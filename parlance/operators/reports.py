@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.nulls import first_text, truly
 from parlance.operators.matching import keep_first, null_safe_join
-from parlance.operators.ranks import by_digest
+from parlance.operators.ranks import by_digest, with_medians
 from parlance.operators.sentiment import long_metrics
 
 
@@ -34,7 +34,8 @@ def different(df: DataFrame, *columns: str) -> DataFrame:
 def relabel_summary(df: DataFrame, keys: list[str], changed: str = "changed", margin: str = "margin") -> DataFrame:
     """For each recording: segments, changed ones and their share, mean, median and largest margin."""
     hit = F.col(changed).cast("long")
-    return df.groupBy(*keys).agg(F.count("*").alias("n_segments"), F.sum(hit).alias("n_changed"), F.avg(hit).alias("share_changed"), F.avg(margin).alias("mean_margin"), F.percentile(margin, F.lit(0.5)).alias("median_margin"), F.max(margin).alias("max_margin"))
+    facts = df.groupBy(*keys).agg(F.count("*").alias("n_segments"), F.sum(hit).alias("n_changed"), F.avg(hit).alias("share_changed"), F.avg(margin).alias("mean_margin"), F.max(margin).alias("max_margin"))
+    return with_medians(facts, df, {margin: "median_margin"}, keys)
 
 
 def per_call_accuracy(df: DataFrame, keys: list[str], truth: str, predicted: str, names: tuple[str, ...] = ("AGENT", "CLIENT")) -> DataFrame:
@@ -74,8 +75,8 @@ def open_set_summary(samples: DataFrame, persons: DataFrame, profiles: DataFrame
 def prosody_summary(segments: DataFrame, candidates: DataFrame, scores: DataFrame, ok: Column, key: str, role: str, measures: list[str], label: str | None = None) -> DataFrame:
     """One wide row: sizes, recordings, roles, mean and median of the measures, and the most frequent label (ties by name)."""
     facts = [F.count("*").alias("n_scored"), F.sum(truly(ok).cast("long")).alias("n_ok"), F.count_distinct(key).alias("n_audios"), F.count_distinct(role).alias("n_roles")]
-    facts += [f(m).alias(f"{n}_{m}") for m in measures for n, f in (("mean", F.avg), ("median", lambda c: F.percentile(c, F.lit(0.5))))]
-    out = scores.agg(*facts).crossJoin(rows(segments).withColumnRenamed("n", "n_segments")).crossJoin(rows(candidates).withColumnRenamed("n", "n_candidates"))
+    facts += [F.avg(m).alias(f"mean_{m}") for m in measures]
+    out = with_medians(scores.agg(*facts), scores, {m: f"median_{m}" for m in measures}).crossJoin(rows(segments).withColumnRenamed("n", "n_segments")).crossJoin(rows(candidates).withColumnRenamed("n", "n_candidates"))
     if label:
         counts = scores.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("k"))
         top = counts.agg(F.min_by(F.struct(label, "k"), F.struct(-F.col("k"), label)).alias("x")).select(F.col(f"x.{label}").alias("most_common_label"), F.col("x.k").alias("most_common_n"))

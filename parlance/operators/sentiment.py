@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.labels import call_phase, mean_sentiment_class
 from parlance.functions.nulls import share_of
+from parlance.operators.ranks import with_medians
 
 LABELS = ("negative", "neutral", "positive")
 
@@ -61,9 +62,9 @@ def quality_summary(df: DataFrame, key: str, min_words: int = 2) -> DataFrame:
     empty = F.coalesce(F.trim("text"), F.lit("")) == ""
     one = df.agg(
         F.count("*").alias("n_segments"), F.count_distinct(key).alias("n_calls"), F.sum(empty.cast("long")).alias("n_empty"), F.sum((F.col("n_words") >= min_words).cast("long")).alias("n_eligible"),
-        F.avg("n_words").alias("mean_words"), F.percentile("n_words", F.lit(0.5)).alias("median_words"), F.sum(F.col("role").isNull().cast("long")).alias("n_no_role"),
+        F.avg("n_words").alias("mean_words"), F.sum(F.col("role").isNull().cast("long")).alias("n_no_role"),
     )
-    return long_metrics(one)
+    return long_metrics(with_medians(one, df, {"n_words": "median_words"}))
 
 
 def merged_results(base: DataFrame, results: DataFrame, uid: str, newest: Column) -> DataFrame:

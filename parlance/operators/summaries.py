@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parlance.functions.nulls import first_text, safe_rate
 from parlance.functions.text import clock, clock_hundredths, salted_hash
 from parlance.functions.vectors import cosine
+from parlance.operators.ranks import with_medians
 
 
 def recording_summary(segments: DataFrame, regions: DataFrame, keys: list[str], start: str = "start_s", end: str = "end_s") -> DataFrame:
@@ -37,9 +38,10 @@ def speakers_per_recording(segments: DataFrame, keys: list[str]) -> DataFrame:
 def silence_summary(ratios: DataFrame, ratio: str = "silence_ratio", level: str = "top_db", high: float = 0.6) -> DataFrame:
     """For each level of the silence threshold: mean, median, deviation and extremes of the ratio, and recordings over ``high``."""
     r = F.col(ratio)
-    return ratios.groupBy(level).agg(
-        F.count(r).alias("n"), F.avg(r).alias("mean"), F.percentile(r, F.lit(0.5)).alias("median"), F.stddev_samp(r).alias("std"), F.min(r).alias("min"), F.max(r).alias("max"), F.sum((r > high).cast("long")).alias("n_high")
+    facts = ratios.groupBy(level).agg(
+        F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.min(r).alias("min"), F.max(r).alias("max"), F.sum((r > high).cast("long")).alias("n_high")
     )
+    return with_medians(facts, ratios, {ratio: "median"}, [level])
 
 
 def speaker_similarity(centroids: DataFrame, key: str, vector: str = "centroid") -> DataFrame:

@@ -176,6 +176,18 @@ def overlap_regions_sweep(spark, d):
     return intervals.overlap_regions(A.segments(spark, d))
 
 
+@query(ORACLE_SQL["merge_adjacent_islands"])
+def merge_adjacent_binned(spark, d):
+    """The islands again, each recording dealt over bins of a day."""
+    m = intervals.merge_adjacent(A.segments(spark, d), max_gap=GAP, bin_s=86_400.0)
+    return m.select("audio_id", "run", "island", "speaker", "start_s", "end_s", "n_merged")
+
+
+@query(ORACLE_SQL["overlap_regions_sweep"])
+def overlap_regions_binned(spark, d):
+    return intervals.overlap_regions(A.segments(spark, d), bin_s=86_400.0)
+
+
 _OVER = f"{_SWEEP}, so AS (SELECT seg.*, coalesce((SELECT sum(least(seg.end_s, b) - greatest(seg.start_s, a)) FROM ovl WHERE ovl.audio_id = seg.audio_id AND seg.start_s < b AND seg.end_s > a), 0.0) AS overlap_s FROM seg)"
 
 
@@ -730,7 +742,7 @@ def holdout_by_role(spark, d):
 
 @query(f"WITH {_HOLD}, v(c) AS (VALUES ('AGENT'), ('CLIENT')) SELECT a.c AS truth, b.c AS predicted, (SELECT count(*) FROM t WHERE t.role = a.c AND t.predicted = b.c) AS n FROM v a, v b")
 def holdout_confusion(spark, d):
-    return evaluation.confusion(_held_out(spark, d), "role", "predicted")
+    return evaluation.confusion_by_class(_held_out(spark, d), "role", "predicted")
 
 
 @query(f"WITH {A.TXT} SELECT audio_id, seg_id, CASE WHEN regexp_matches(speaker, '^user$') THEN 'CLIENT' ELSE NULL END AS strict_role, CASE WHEN upper(trim(role)) IN ('AGENT', 'CLIENT') THEN upper(trim(role)) ELSE 'UNKNOWN' END AS plain_role, printf('%02d:%02d', CAST(floor(start_s / 60) AS INT), CAST(start_s % 60 AS INT)) AS clock FROM (SELECT * FROM txt)")

@@ -210,7 +210,7 @@ def test_metrics_by_class(spark):
     df = spark.createDataFrame(rows, "role string, predicted string")
     got = {r.role: (r.precision, r.recall, r.f1, r.support) for r in evaluation.by_class(df, "role", "predicted").collect()}
     assert got["AGENT"] == pytest.approx((3 / 6, 3 / 5, 6 / 11, 5)) and got["CLIENT"] == (0.0, 0.0, 0.0, 1)
-    table = {(r.truth, r.predicted): r.n for r in evaluation.confusion(df, "role", "predicted").collect()}
+    table = {(r.truth, r.predicted): r.n for r in evaluation.confusion_by_class(df, "role", "predicted").collect()}
     assert table == {("AGENT", "AGENT"): 3, ("AGENT", "CLIENT"): 2, ("CLIENT", "AGENT"): 1, ("CLIENT", "CLIENT"): 0}
     assert {r.support for r in evaluation.by_class(df.limit(0), "role", "predicted").collect()} == {0}
 
