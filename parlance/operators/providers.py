@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
+import struct
 import wave
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -30,7 +33,10 @@ class RowsProvider(Protocol):
 
 
 def decoded(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in -1..1 and rate of a PCM WAV file of 8, 16, 24 or 32 bits."""
+    """Mono samples in -1..1 and rate of a WAV file: PCM of 8, 16, 24 or 32 bits, or floats of 32 or 64."""
+    floats = _float_samples(content)
+    if floats is not None:
+        return floats
     with wave.open(io.BytesIO(content)) as w:
         rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
         raw = w.readframes(w.getnframes())
@@ -44,6 +50,68 @@ def decoded(content: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, channels).mean(1), rate
 
 
+def _float_samples(content: bytes) -> tuple[np.ndarray, int] | None:
+    """Samples and rate of a WAV file of floats, also in the extensible format; None for other files, which :func:`decoded` reads or refuses."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        return None
+    at, form = 12, None
+    while at + 8 <= len(content):
+        name, size = struct.unpack_from("<4sI", content, at)
+        body = content[at + 8 : at + 8 + size]
+        if name == b"fmt " and len(body) >= 16:
+            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
+            kind = struct.unpack_from("<H", body, 24)[0] if kind == 0xFFFE and len(body) >= 26 else kind
+            if kind != 3 or bits not in (32, 64) or not channels:
+                return None
+            form = (channels, rate, bits // 8)
+        elif name == b"data" and form:
+            channels, rate, width = form
+            whole = len(body) // (width * channels) * width * channels
+            x = np.frombuffer(body[:whole], f"<f{width}").reshape(-1, channels).mean(1)
+            return np.nan_to_num(x, nan=0.0, posinf=1.0, neginf=-1.0).astype(np.float32), rate
+        at += 8 + size + size % 2
+    return None
+
+
+@lru_cache(maxsize=8)
+def _phases(up: int, down: int, zeros: int, rolloff: float, beta: float) -> np.ndarray:
+    """A row of taps for each place of an output sample between two input samples: a sinc under a Kaiser window, with a sum of 1."""
+    cut = min(1.0, up / down) * rolloff
+    half = math.ceil(zeros / cut)
+    away = np.arange(1 - half, half + 1)[None, :] - np.arange(up)[:, None] / up
+    window = np.i0(beta * np.sqrt(np.clip(1 - (away / half) ** 2, 0, 1)))
+    taps = np.sinc(cut * away) * window
+    return (taps / taps.sum(1, keepdims=True)).astype(np.float32)
+
+
+def resampled(x: np.ndarray, rate: int, target: int, zeros: int = 32, rolloff: float = 0.945, beta: float = 12.0) -> np.ndarray:
+    """Samples at another rate, band-limited: what lies over half the lower rate goes, so nothing folds back.
+
+    A polyphase filter: output samples at the same place between two input samples share their taps, ``zeros`` zero
+    crossings on either side. The signal is silent beyond its ends. ``ceil(len(x) * target / rate)`` samples come out.
+    """
+    if rate == target or not len(x):
+        return x
+    if rate <= 0 or target <= 0:
+        raise ValueError("rates must be positive")
+    common = math.gcd(rate, target)
+    up, down = target // common, rate // common
+    taps = _phases(up, down, zeros, rolloff, beta)
+    half = taps.shape[1] // 2
+    views = np.lib.stride_tricks.sliding_window_view(np.pad(x.astype(np.float32, copy=False), (half - 1, half + 1)), 2 * half)
+    out = np.empty(-(-len(x) * up // down), np.float32)
+    for first in range(min(up, len(out))):
+        base, phase = divmod(first * down, up)
+        out[first::up] = views[base::down][: len(out[first::up])] @ taps[phase]
+    return out
+
+
+def at_rate(content: bytes, target: int | None) -> tuple[np.ndarray, int]:
+    """:func:`decoded`, then :func:`resampled` where a rate is asked for."""
+    x, rate = decoded(content)
+    return (x, rate) if target is None else (resampled(x, rate, target), target)
+
+
 def per_recording(files: DataFrame, make: Callable[[], RowsProvider], schema: str, rows: Callable[[RowsProvider, str, bytes], list[tuple]], errors: bool) -> DataFrame:
     """``rows`` of each file (``path``, ``content``) with a provider made once a task.
 
@@ -70,9 +138,9 @@ def per_recording(files: DataFrame, make: Callable[[], RowsProvider], schema: st
     return files.select("path", "content").mapInPandas(run, f"{schema}, path string, error string" if errors else schema)
 
 
-def applied(files: DataFrame, make: Callable[[], RowsProvider], schema: str, errors: bool = False) -> DataFrame:
-    """A provider's rows of each WAV file (``path``, ``content``). With ``errors`` unreadable files are rows of :func:`failures`."""
-    return per_recording(files, make, schema, lambda p, path, content: p.rows(path.rsplit("/", 1)[-1], *decoded(content)), errors)
+def applied(files: DataFrame, make: Callable[[], RowsProvider], schema: str, errors: bool = False, target_rate: int | None = None) -> DataFrame:
+    """A provider's rows of each WAV file (``path``, ``content``), at ``target_rate`` if given. With ``errors`` unreadable files are rows of :func:`failures`."""
+    return per_recording(files, make, schema, lambda p, path, content: p.rows(path.rsplit("/", 1)[-1], *at_rate(content, target_rate)), errors)
 
 
 def failures(rows: DataFrame) -> DataFrame:

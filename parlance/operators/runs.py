@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from parlance.operators.providers import RowsProvider, decoded, per_recording, rms_dbfs, shortened
+from parlance.operators.providers import RowsProvider, at_rate, decoded, per_recording, rms_dbfs, shortened
 from parlance.operators.summaries import signature
 
 CLEANED = "path string, original_s double, clean_s double, removed_s double, removed_ratio double, rms_before double, rms_after double, valid boolean, error string"
@@ -70,10 +70,10 @@ def with_gain(x: np.ndarray, target_rms: float = 0.08, most: float = 10.0) -> tu
 
 
 def transcribed(files: DataFrame, make: Callable[[], RowsProvider], run: TranscriptionRun, errors: bool = False) -> DataFrame:
-    """A provider's rows of each recording; one without any is tried again louder, where the run says so. ``errors`` as in ``providers.applied``."""
+    """A provider's rows of each recording, heard at the run's rate; one without any is tried again louder, where the run says so. ``errors`` as in ``providers.applied``."""
 
     def work(provider: RowsProvider, path: str, content: bytes) -> list[tuple]:
-        samples, rate = decoded(content)
+        samples, rate = at_rate(content, run.target_rate)
         name = path.rsplit("/", 1)[-1]
         rows = provider.rows(name, samples, rate)
         if not rows and run.retry_with_gain:
