@@ -44,6 +44,8 @@ def running(df: DataFrame, bucket: Column, order: list[Column], sums: dict[str,
     on = ranked["__rb"].eqNullSafe(offsets["__rk"])
     for k in keys:
         on = on & ranked[k].eqNullSafe(offsets[f"__rk_{k}"])
+    if keys:  # rows by group and bucket, which are not broadcast
+        offsets = offsets.hint("merge")
     return ranked.join(offsets, on).select(*df.columns, *[(F.col(f"__ri_{n}") + F.col(f"__ro_{n}")).alias(n) for n in sums], *[f"{n}_all" for n in sums])
 
 
@@ -72,8 +74,8 @@ def average_ranks(df: DataFrame, column: str, into: str) -> DataFrame:
 
 
 def _keyed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``left`` with the columns that ``right`` adds, where the keys are equal or both null."""
-    r = right.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    """``left`` with the columns that ``right`` adds, where the keys are equal or both null. ``right`` has rows by group, which grow with the table: it is sorted and merged, not gathered on the driver to be broadcast."""
+    r = right.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys]).hint("merge")
     on = F.lit(True)
     for i, k in enumerate(keys):
         on = on & left[k].eqNullSafe(r[f"__j{i}"])
@@ -93,7 +95,7 @@ def quantiles(df: DataFrame, asked: dict[str, list[float]], names: dict[tuple[st
     g = [f"__q{i}" for i in range(len(keys))]
     values = df.select(*own, items.alias("__x")).select(*g, "__x.c", "__x.v").filter("v IS NOT NULL")
     among = Window.partitionBy(*g, "c")
-    if keys:  # buckets are counted where the rows are, and rows of other buckets than the held ones are not shuffled
+    if keys:  # buckets are counted where the rows are
         values = values.withColumn("b", number_bucket(F.col("v")))
         per = values.groupBy(*g, "c", "b").agg(F.count("*").alias("kb"))
     else:

@@ -45,3 +45,14 @@ def test_rollup_has_no_map_of_values(spark):
     assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 0
     rows = spark.createDataFrame([("p", "q", 1.0), ("p", None, 4.0)], "a string, b string, x double")
     assert {(r.level, r.a, r.b, r.x_median) for r in prosody.aggregates(rows, [["a"], ["a", "b"]], ["x"]).collect()} == {("a", "p", None, 2.5), ("a+b", "p", "q", 1.0), ("a+b", "p", None, 4.0)}
+
+
+def test_groups_are_not_broadcast(spark):
+    """What is joined to groups has rows by group: gathered on the driver it fills its memory."""
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("g"), (F.col("id") % 97).cast("double").alias("x"))
+    out = ranks.with_medians(df.groupBy("g").agg(F.count("*").alias("n")), df, {"x": "m"}, ["g"])
+    sums = ranks.running(df, ranks.number_bucket(F.col("x")), [F.col("x")], {"s": F.lit(1)}, ["g"])
+    for made in (out, sums):
+        rows = made.collect()
+        assert rows
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
