@@ -203,11 +203,9 @@ def plane(df: DataFrame, vector: str = "v", into: str = "xy") -> DataFrame:
 
 def text_pair_scores(df: DataFrame, key: str, a: str, b: str, weights: tuple[float, float] = (0.55, 0.45)) -> DataFrame:
     """``key, cosine, containment, score`` of two texts of a row: TF-IDF of character grams over the two, and token containment; 0 where one is blank."""
-    from parlance.operators.roles import gram_weights, token_scores
+    from parlance.operators.roles import gram_cosines, token_scores
 
-    sides = df.select(key, F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col(a).alias("t")), F.struct(F.lit("b").alias("s"), F.col(b).alias("t")))).alias("x")).select(key, "x.s", "x.t")
-    w = gram_weights(sides, [key], "s", "t")
-    cos = w.groupBy(key, "gram").agg(F.count("*").alias("k"), F.product("w").alias("p")).filter("k = 2").groupBy(key).agg(F.sum("p").alias("__c"))
+    cos = gram_cosines(df, key, a, b).withColumnRenamed("cosine", "__c")
     both = token_scores(df.select(key, F.col(a).alias("__x"), F.col(b).alias("__y")), "__x", "__y").join(cos, key, "left")
     blank = truly(F.trim("__x") == "") | truly(F.trim("__y") == "") | F.col("__x").isNull() | F.col("__y").isNull()
     cosine = F.coalesce("__c", F.lit(0.0))

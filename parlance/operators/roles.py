@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,19 @@ def token_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("__a", match_tokens(F.col(a))).withColumn("__b", match_tokens(F.col(b))).withColumn("containment", containment(F.col("__a"), F.col("__b"))).withColumn("jaccard", jaccard(F.col("__a"), F.col("__b"))).drop("__a", "__b")
 
 
+#: Characters of text in one task when grams are made: a gram a character for each of three lengths, counted in about 100 MB.
+TASK_CHARS = 1 << 19
+
+
+def dealt_by_size(texts: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """``texts`` dealt by ``keys`` into as many tasks as their size asks for, so that a task's grams do not grow with the table.
+
+    The size is summed before the plan goes on. What is grouped by the keys and more afterwards stays in its task: texts travel, not their grams.
+    """
+    total = texts.agg(F.sum(size)).first()[0] or 0
+    return texts.repartition(int(total // TASK_CHARS) + 1, *keys)
+
+
 def _raw_weights(texts: DataFrame, group: list[str], text_id: str, text: str, hashed: bool = False) -> DataFrame:
     """TF-IDF weights of character 3- to 5-grams before they are brought to unit length: ``group, text_id, gram, raw``.
 
@@ -69,6 +84,22 @@ def gram_weights(texts: DataFrame, group: list[str], text_id: str, text: str) ->
     return raw.join(_lengths(raw, group, text_id), [*group, text_id]).select(*group, text_id, "gram", (F.col("raw") / F.col("len")).alias("w"))
 
 
+def gram_cosines(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``key, cosine`` of the two texts of each row by TF-IDF weights of their character grams, as :func:`gram_weights` has them over the two; ``key`` is unique, and without shared grams there is no row.
+
+    The grams of a row are counted side by side in the row's task, with both counts in one row of the gram: of two texts a gram is in one or in both.
+    """
+    dealt = dealt_by_size(pairs.select(key, a, b), [key], F.coalesce(F.length(a), F.lit(0)) + F.coalesce(F.length(b), F.lit(0)))
+    of = lambda c, side: F.transform(char_grams(F.col(c)), lambda g: F.struct(F.xxhash64(g).alias("gram"), F.lit(side).alias("side")))
+    listed = F.concat(of(a, 0), of(b, 1))
+    grams = dealt.select(key, F.explode_outer(listed).alias("x")).select(key, "x.gram", "x.side").filter("gram IS NOT NULL")
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    counts = grams.groupBy(key, "gram").agg(F.count(F.when(F.col("side") == 0, 1)).alias("x"), F.count(F.when(F.col("side") == 1, 1)).alias("y"))
+    idf = F.when((F.col("x") > 0) & (F.col("y") > 0), 1.0).otherwise(log(3 / 2) + 1)
+    sums = counts.select(key, (x * y).alias("p"), (x * idf).alias("wx"), (y * idf).alias("wy")).groupBy(key).agg(F.sum("p").alias("p"), F.sqrt(F.sum(F.col("wx") * F.col("wx"))).alias("la"), F.sqrt(F.sum(F.col("wy") * F.col("wy"))).alias("lb"))
+    return sums.filter("p > 0").select(key, (F.col("p") / (F.col("la") * F.col("lb"))).alias("cosine"))
+
+
 def aligned(turns: DataFrame, windows: DataFrame, key: str, turn_id: str = "turn", window_id: str = "window", cos_weight: float = 0.65, accept: tuple[float, float, float, float] = (0.70, 0.50, 0.35, 0.03)) -> DataFrame:
     """For each turn the best window of its call by ``0.65 cosine + 0.35 containment``, with the margin to the second.
 
