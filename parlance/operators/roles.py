@@ -212,9 +212,7 @@ def role_scores(evidence_table: DataFrame, official: DataFrame, key: str) -> Dat
     more = [c for c in ("seconds", "n_rows") if c in evidence_table.columns]
     e = evidence_table.select(key, "speaker", F.col("evidence_text").alias("a"), F.col("n_words").alias("evidence"), *more)
     pairs = e.join(official.select(key, "role", F.col("role_text").alias("b")), key).withColumn("pair", F.concat_ws("|", F.col(key).cast("string"), "speaker", "role"))
-    sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col("a").alias("t")), F.struct(F.lit("b").alias("s"), F.col("b").alias("t")))).alias("x")).select("pair", "x.s", "x.t")
-    w = gram_weights(sides, ["pair"], "s", "t")
-    cos = w.groupBy("pair", "gram").agg(F.count("*").alias("k"), F.product("w").alias("p")).filter("k = 2").groupBy("pair").agg(F.sum("p").alias("cosine"))
+    cos = gram_cosines(pairs, "pair", "a", "b")
     both = token_scores(pairs, "a", "b").join(cos, "pair", "left")
     blank = truly(F.trim("a") == "") | truly(F.trim("b") == "")
     score = 0.55 * F.coalesce("cosine", F.lit(0.0)) + 0.45 * F.col("containment")

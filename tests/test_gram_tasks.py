@@ -43,6 +43,14 @@ def test_pairs_keep_their_grams(spark):
     assert not any("gram" in line for line in exchanges(out))
 
 
+def test_roles_keep_their_grams(spark):
+    e = spark.createDataFrame([(1, str(i), t, 30, 9.0, 3) for i, t in enumerate(some(3, 2))], "k long, speaker string, evidence_text string, n_words long, seconds double, n_rows long")
+    o = spark.createDataFrame([(1, r, t) for r, t in zip(("AGENT", "CLIENT"), some(4, 2))], "k long, role string, role_text string")
+    out = roles.role_scores(e, o, "k")
+    assert out.count() == 4 and len(out.collect()) == 4
+    assert not any("gram" in line for line in exchanges(out))
+
+
 def test_more_text_more_tasks(spark, monkeypatch):
     df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "k long, t string")
     monkeypatch.setattr(roles, "TASK_CHARS", 1000)
