@@ -56,32 +56,17 @@ def dealt_by_size(texts: DataFrame, keys: list[str], size: Column) -> DataFrame:
     return texts.repartition(int(total // TASK_CHARS) + 1, *keys)
 
 
-def _raw_weights(texts: DataFrame, group: list[str], text_id: str, text: str, hashed: bool = False) -> DataFrame:
-    """TF-IDF weights of character 3- to 5-grams before they are brought to unit length: ``group, text_id, gram, raw``.
-
-    Grams are strings, or 64-bit hashes if ``hashed``. A group's gram is in one task from here on, so rows of two texts can meet without a further shuffle.
-    """
-    listed = F.transform(char_grams(F.col(text)), lambda g: F.xxhash64(g)) if hashed else char_grams(F.col(text))
-    dealt = texts.select(*group, text_id, text).repartition(*group, text_id)  # texts travel, a fifteenth of their grams; these are then counted where they are made
-    grams = dealt.select(*group, text_id, F.explode_outer(listed).alias("gram")).filter("gram IS NOT NULL")  # the inner form makes the grams twice
-    tf = grams.groupBy(*group, text_id, "gram").agg(F.count("*").alias("tf"))
-    n = texts.groupBy(*group).agg(F.count("*").alias("n")) if group else texts.agg(F.count("*").alias("n"))
-    w = tf.withColumn("df", F.count("*").over(Window.partitionBy(*group, "gram")))
-    w = w.join(n, group) if group else w.crossJoin(F.broadcast(n))
-    return w.select(*group, text_id, "gram", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
-
-
-def _lengths(raw: DataFrame, group: list[str], text_id: str) -> DataFrame:
-    return raw.groupBy(*group, text_id).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("len"))
-
-
 def gram_weights(texts: DataFrame, group: list[str], text_id: str, text: str) -> DataFrame:
     """Unit-length TF-IDF weights of character 3- to 5-grams within each group: ``group, text_id, gram, w``.
 
-    idf = ln((1 + n) / (1 + df)) + 1 over the group's texts.
+    idf = ln((1 + n) / (1 + df)) + 1 over the group's texts. A group's texts are in one task; none travels as grams.
     """
-    raw = _raw_weights(texts, group, text_id, text)
-    return raw.join(_lengths(raw, group, text_id), [*group, text_id]).select(*group, text_id, "gram", (F.col("raw") / F.col("len")).alias("w"))
+    dealt = dealt_by_size(texts.select(*group, text_id, text), group, F.length(text)).withColumn("n", F.count("*").over(Window.partitionBy(*group)))
+    grams = dealt.select(*group, text_id, "n", F.explode_outer(char_grams(F.col(text))).alias("gram")).filter("gram IS NOT NULL")  # the inner form makes the grams twice
+    tf = grams.groupBy(*group, text_id, "n", "gram").agg(F.count("*").alias("tf"))
+    df = F.count("*").over(Window.partitionBy(*group, "gram"))
+    raw = tf.select(*group, text_id, "gram", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + df)) + 1)).alias("raw"))
+    return raw.select(*group, text_id, "gram", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*group, text_id)))).alias("w"))
 
 
 def gram_cosines(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
@@ -100,30 +85,49 @@ def gram_cosines(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return sums.filter("p > 0").select(key, (F.col("p") / (F.col("la") * F.col("lb"))).alias("cosine"))
 
 
+#: Turns whose windows one task compares; a call of more turns is dealt over several tasks.
+STRIPE = 256
+
+
+def _window_cosines(turns: DataFrame, windows: DataFrame, key: str, turn_id: str, window_id: str) -> DataFrame:
+    """``key, turn_id, window_id, cosine`` of the turns and windows of a call that share a gram.
+
+    A call's texts go to one task, or where it has more than ``STRIPE`` turns to one for each so many: there all its texts count in idf,
+    and the stripe's turns are compared. Texts travel once; grams, weights and products stay in the task.
+    """
+    sides = turns.select(key, F.lit(True).alias("is_turn"), F.col(turn_id).alias("id"), F.col("turn_text").alias("t")).unionByName(windows.select(key, F.lit(False).alias("is_turn"), F.col(window_id).alias("id"), F.col("window_text").alias("t")))
+    calls = turns.groupBy(key).agg(F.ceil(F.count("*") / STRIPE).cast("int").alias("stripes"))
+    sizes = sides.groupBy(key).agg(F.count("*").alias("n")).join(calls, key)
+    copies = sides.join(sizes, key).withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)))
+    dealt = dealt_by_size(copies, [key, "stripe"], F.length("t"))
+    by = [key, "stripe"]
+    mine = F.col("is_turn") & (F.pmod(F.xxhash64("id"), F.col("stripes")) == F.col("stripe"))
+    listed = F.transform(char_grams(F.col("t")), lambda g: F.xxhash64(g))
+    grams = dealt.select(*by, "is_turn", "id", "n", mine.alias("mine"), F.explode_outer(listed).alias("gram")).filter("gram IS NOT NULL")
+    tf = grams.groupBy(*by, "is_turn", "id", "n", "mine", "gram").agg(F.count("*").alias("tf"))
+    df = F.count("*").over(Window.partitionBy(*by, "gram"))
+    raw = tf.select(*by, "is_turn", "id", "mine", "gram", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + df)) + 1)).alias("raw"))
+    w = raw.select("*", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*by, "is_turn", "id")))).alias("w"))
+    listed_of = lambda which: F.collect_list(F.when(which, F.struct("id", "w")))
+    met = w.filter(F.col("mine") | ~F.col("is_turn")).groupBy(*by, "gram").agg(listed_of(F.col("is_turn")).alias("a"), listed_of(~F.col("is_turn")).alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
+    products = met.select(*by, F.explode("a").alias("a"), "b").select(*by, "a", F.explode("b").alias("b"))
+    return products.select(*by, F.col("a.id").alias(turn_id), F.col("b.id").alias(window_id), (F.col("a.w") * F.col("b.w")).alias("p")).groupBy(*by, turn_id, window_id).agg(F.sum("p").alias("cosine")).drop("stripe")
+
+
 def aligned(turns: DataFrame, windows: DataFrame, key: str, turn_id: str = "turn", window_id: str = "window", cos_weight: float = 0.65, accept: tuple[float, float, float, float] = (0.70, 0.50, 0.35, 0.03)) -> DataFrame:
     """For each turn the best window of its call by ``0.65 cosine + 0.35 containment``, with the margin to the second.
 
     ``turns`` has ``turn_text``, ``windows`` has ``window_text``. ``accepted`` needs the combined
-    score, the cosine, the containment and the margin at their limits. Only windows that share a gram are pairs. Products are summed before
-    they are divided by the texts' lengths, so weights travel once.
+    score, the cosine, the containment and the margin at their limits. Only windows that share a gram are pairs.
     """
-    ids = turns.select(key, F.concat(F.lit("t"), F.col(turn_id)).alias("id"), F.col("turn_text").alias("t")).unionByName(windows.select(key, F.concat(F.lit("w"), F.col(window_id)).alias("id"), F.col("window_text").alias("t")))
-    raw = _raw_weights(ids, [key], "id", "t", hashed=True)
-    a = raw.filter(F.col("id").startswith("t")).select(key, "gram", F.col("id").alias("ta"), F.col("raw").alias("wa"))
-    b = raw.filter(F.col("id").startswith("w")).select(key, "gram", F.col("id").alias("tb"), F.col("raw").alias("wb"))
-    products = a.join(b, [key, "gram"]).groupBy(key, "ta", "tb").agg(F.sum(F.col("wa") * F.col("wb")).alias("product"))
-    length = _lengths(raw, [key], "id")
-    la, lb = length.select(key, F.col("id").alias("ta"), F.col("len").alias("la")), length.select(key, F.col("id").alias("tb"), F.col("len").alias("lb"))
-    cos = products.join(la, [key, "ta"]).join(lb, [key, "tb"]).select(key, "ta", "tb", (F.col("product") / (F.col("la") * F.col("lb"))).alias("cosine"))
-    t = turns.withColumn("ta", F.concat(F.lit("t"), F.col(turn_id)))
-    v = windows.withColumn("tb", F.concat(F.lit("w"), F.col(window_id)))
-    pairs = token_scores(cos.join(t, [key, "ta"]).join(v, [key, "tb"]), "turn_text", "window_text")
+    cos = _window_cosines(turns, windows, key, turn_id, window_id)
+    pairs = token_scores(cos.join(turns, [key, turn_id]).join(windows, [key, window_id]), "turn_text", "window_text")
     pairs = pairs.withColumn("combined", cos_weight * F.col("cosine") + (1 - cos_weight) * F.col("containment"))
     order = Window.partitionBy(key, turn_id).orderBy(F.desc("combined"), window_id)
     best = pairs.withColumn("rn", F.row_number().over(order)).withColumn("second", F.lead("combined").over(order)).filter("rn = 1")
     best = best.withColumn("margin", F.col("combined") - F.coalesce("second", F.lit(0.0)))
     ok = (F.col("combined") >= accept[0]) & (F.col("cosine") >= accept[1]) & (F.col("containment") >= accept[2]) & (F.col("margin") >= accept[3])
-    return best.withColumn("accepted", ok).drop("rn", "ta", "tb")
+    return best.withColumn("accepted", ok).drop("rn")
 
 
 def threshold_sensitivity(matches: DataFrame, key: str, metrics: list[str], thresholds: tuple[float, ...] = (0.3, 0.5, 0.6, 0.7, 0.8)) -> DataFrame:

@@ -56,3 +56,18 @@ def test_more_text_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(roles, "TASK_CHARS", 1000)
     assert roles.dealt_by_size(df, ["k"], F.length("t")).rdd.getNumPartitions() == 6
     assert roles.dealt_by_size(df.limit(0), ["k"], F.length("t")).rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("stripe", [256, 3])
+def test_calls_dealt_in_stripes_score_alike(spark, monkeypatch, stripe):
+    """A call of more turns than a task compares gives the scores of the whole call."""
+    monkeypatch.setattr(roles, "STRIPE", stripe)
+    t, w = some(5, 11), some(6, 7)
+    turns = spark.createDataFrame([(1, i, x) for i, x in enumerate(t)] + [(2, 0, "alone")], "k long, turn long, turn_text string")
+    windows = spark.createDataFrame([(1, i, x) for i, x in enumerate(w)] + [(3, 0, "alone")], "k long, window long, window_text string")
+    out = roles._window_cosines(turns, windows, "k", "turn", "window")
+    rows = out.collect()
+    got = {(r.turn, r.window): r.cosine for r in rows}
+    assert len(rows) == len(got)
+    assert got == pytest.approx({(i, j): c for i, x in enumerate(t) for j, y in enumerate(w) if (c := cosine(x, y, t + w))})
+    assert not any("gram" in line for line in exchanges(out))
