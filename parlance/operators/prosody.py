@@ -102,13 +102,14 @@ def iqr_outliers(df: DataFrame, column: str, times: float = 1.5) -> DataFrame:
 
 
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation, least, exact quartiles and largest of each column, one row each."""
-    stats = [
-        ("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("p25", lambda c: F.percentile(c, F.lit(0.25))), ("p50", lambda c: F.percentile(c, F.lit(0.5))), ("p75", lambda c: F.percentile(c, F.lit(0.75))), ("max", F.max),
-    ]
-    one = df.agg(*[F.struct(*[f(c).cast("double").alias(n) for n, f in stats]).alias(c) for c in columns])
-    items = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}.{n}").alias(n) for n, _ in stats]) for c in columns]))
-    return one.select(items.alias("x")).select("x.*")
+    """Count, mean, deviation, least, exact quartiles and largest of each column, one row each; no task holds a column's values."""
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    before, after = [("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min)], [("max", F.max)]
+    facts = df.agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in columns for n, f in before + after])
+    ends = quantiles(df, {c: list(shares.values()) for c in columns}, {(c, q): f"{c}_{n}" for c in columns for n, q in shares.items()})
+    order = [n for n, _ in before] + list(shares) + [n for n, _ in after]
+    items = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{n}").alias(n) for n in order]) for c in columns]))
+    return facts.crossJoin(F.broadcast(ends)).select(items.alias("x")).select("x.*")
 
 
 def ecdf(df: DataFrame, column: str) -> DataFrame:
