@@ -579,8 +579,12 @@ def crosstab_state_label(spark, d):
 _DIS = f"{_FUSE}, q AS (SELECT quantile_cont(tension, 0.75) AS qt, quantile_cont(arousal, 0.75) AS qa FROM fu WHERE a1 IS NOT NULL AND t1 IS NOT NULL), di AS (SELECT fu.*, coalesce(tension >= qt, false) OR coalesce(arousal >= qa, false) AS neg FROM fu, q WHERE a1 IS NOT NULL AND t1 IS NOT NULL)"
 
 
+def _disagreed(both):
+    return fusion.disagreement(both, ["tension_proxy_score", "arousal_proxy_score"], "t1")
+
+
 def _disagreement(spark, d):
-    return fusion.disagreement(fusion.comparable(_fused(spark, d)), ["tension_proxy_score", "arousal_proxy_score"], "t1")
+    return _disagreed(fusion.comparable(_fused(spark, d)))
 
 
 @query(f"WITH {_DIS} SELECT audio_id, count(*) AS n, count(*) FILTER (neg) AS n_negative, count(*) FILTER (t1 >= 0 AND neg) AS n_masked, count(*) FILTER (t1 < 0 AND NOT neg) AS n_contained FROM di GROUP BY audio_id")

@@ -135,9 +135,10 @@ def prosody_run_summary(spark, d):
 
 @query(f"WITH {C._DIS}, bo AS (SELECT * FROM fu WHERE a1 IS NOT NULL AND t1 IS NOT NULL) SELECT 'segments' AS metric, {R('count(*)', 'value')} FROM fu UNION ALL SELECT 'comparable', {R('count(*)', 'value')} FROM bo UNION ALL SELECT 'pearson_tension_proxy_score', {R('corr(tension, t1)', 'value')} FROM bo UNION ALL SELECT 'pearson_arousal_proxy_score', {R('corr(arousal, t1)', 'value')} FROM bo UNION ALL SELECT 'pct_masked_frustration', {R('round(100 * avg(CAST(t1 >= 0 AND neg AS INT)), 2)', 'value')} FROM di")
 def fusion_run_summary(spark, d):
-    both = fusion.comparable(C._fused(spark, d))
+    fused = C._fused(spark, d)  # once: each call reads medians and percentiles of all features anew
+    both = fusion.comparable(fused)
     pairs = fusion.correlations(both, [("tension_proxy_score", "t1"), ("arousal_proxy_score", "t1")])
-    return reports.fusion_summary(C._fused(spark, d), pairs, C._disagreement(spark, d))
+    return reports.fusion_summary(fused, pairs, C._disagreed(both))
 
 
 _OKS = "comb >= 0.2 AND cosine >= 0.1 AND cont >= 0.05 AND margin >= 0.001"

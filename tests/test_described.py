@@ -3,6 +3,8 @@
 import pytest
 
 from parlance.operators import prosody
+from parlance.plans import catalogue as C
+from parlance.plans import reports
 
 
 def test_no_task_holds_a_column(spark):
@@ -14,3 +16,10 @@ def test_no_task_holds_a_column(spark):
     assert "percentile" not in out._jdf.queryExecution().executedPlan().toString()
     none = prosody.described(df.limit(0), ["a"]).first()
     assert none["n"] == 0 and none["p50"] is None
+
+
+def test_segments_are_fused_once(spark, monkeypatch):
+    calls, fused = [], C._fused
+    monkeypatch.setattr(C, "_fused", lambda *a: calls.append(a) or fused(*a))
+    assert reports.fusion_run_summary(spark, "/root/testdata/sf0.001").count() == 5
+    assert len(calls) == 1
